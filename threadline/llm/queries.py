@@ -7,6 +7,9 @@ import importlib
 #: query name -> module; each module has a function of that name and, where SQL can say it, SQL.
 MODULES = {
     "op1_warc": "warc",
+    "op2_url_filters": "urlfilter",
+    "op3_token_output": "tokenfile",
+    "op4_simhash_near_dedup": "simhash",
 }
 
 
