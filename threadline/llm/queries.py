@@ -10,6 +10,8 @@ MODULES = {
     "op2_url_filters": "urlfilter",
     "op3_token_output": "tokenfile",
     "op4_simhash_near_dedup": "simhash",
+    "op6_sentencepiece": "spviterbi",
+    "op8_benchmark_decontamination": "winnow",
 }
 
 
