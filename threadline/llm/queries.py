@@ -12,6 +12,8 @@ MODULES = {
     "op4_simhash_near_dedup": "simhash",
     "op6_sentencepiece": "spviterbi",
     "op8_benchmark_decontamination": "winnow",
+    "op9_toxicity": "nnpu",
+    "op7_lm_scoring": "pst",
 }
 
 
