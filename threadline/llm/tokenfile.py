@@ -18,7 +18,10 @@ are ignored.
 
 from __future__ import annotations
 
+import array
 import os
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -30,20 +33,35 @@ from pyspark.sql import functions as F
 
 from .common import partitions, scratch, table
 
-#: Pieces that a worker remembers before it starts afresh.
-CACHE_PIECES = 400_000
+#: Pieces and words that a worker remembers before it starts afresh.
+CACHE_PIECES, CACHE_WORDS = 300_000, 700_000
+WORDS = re.compile(r"( ?[^\W\d_]+)")
 _workers: dict = {}
 
 
+def odd_numerals() -> frozenset[str]:
+    """Characters that Python counts among letters and digits but that are neither letters nor decimal digits."""
+    return frozenset(c for c in map(chr, range(0x80, sys.maxunicode)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece, asking the library only for new pieces."""
+    """Encodes texts piece by piece, asking the library only for new words.
+
+    A piece starts with a space that a non-space follows. A new piece is cut
+    further at its runs of letters, where that is safe: no apostrophe (it can
+    start a contraction), no numerals that are not decimal digits, and no two
+    blanks before letters. Texts with a special token go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = odd_numerals()
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -57,18 +75,36 @@ class PieceEncoder:
                 out[-1] += " " + x
         return out
 
+    def cut(self, piece: str) -> list[str]:
+        if "'" in piece or not piece.isascii() and not self.odd.isdisjoint(piece):
+            return [piece]
+        parts = WORDS.split(piece)
+        if len(parts) > 3 and any(len(x) > 1 and x[-2:].isspace() and not y.startswith(" ") for x, y in zip(parts[2:-1:2], parts[3::2], strict=False)) or parts[0][-2:].isspace() and len(parts[0]) > 1:
+            return [piece]
+        return [x for x in parts if x]
+
+    def ask(self, new: list[str]) -> list[bytes]:
+        return [array.array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
     def learn(self, new: list[str]) -> None:
-        for piece, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(enc.ids, np.int32).tobytes()
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        words = self.words
+        cut = [self.cut(p) for p in new]
+        missing = list({w for ws in cut for w in ws if w not in words})
+        words.update(zip(missing, self.ask(missing), strict=True))
+        for p, ws in zip(new, cut, strict=True):
+            self.known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
+        if any(s in t for t in texts for s in self.special):
+            return self.ask(texts)
         cut = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known = {}
         known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        self.learn(new)
+        self.learn(list({p for ps in cut for p in ps if p not in known}))
         return [b"".join([known[p] for p in ps]) for ps in cut]
 
 
