@@ -14,6 +14,8 @@ MODULES = {
     "op8_benchmark_decontamination": "winnow",
     "op9_toxicity": "nnpu",
     "op7_lm_scoring": "pst",
+    "op5_suffix_array_dedup": "bwtdedup",
+    "op10_embedding_near_dedup": "rpforest",
 }
 
 
