@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import partitions, scratch, table
 
 #: Pieces and words that a worker remembers before it starts afresh.
-CACHE_PIECES, CACHE_WORDS = 300_000, 700_000
+CACHE_PIECES, CACHE_WORDS = 200_000, 600_000
+PIECES = re.compile(r" (?=\S)")
 WORDS = re.compile(r"( ?[^\W\d_]+)")
 _workers: dict = {}
 
@@ -51,6 +52,7 @@ class PieceEncoder:
     further at its runs of letters, where that is safe: no apostrophe (it can
     start a contraction), no numerals that are not decimal digits, and no two
     blanks before letters. Texts with a special token go to the library whole.
+    Full caches become the old ones, from which what is still in use moves on.
     """
 
     def __init__(self, path: str):
@@ -60,26 +62,17 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = odd_numerals()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces, without the space that they start with
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Pieces that join to the text; each but the first starts with a space before a non-space."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for x in parts[1:]:
-            if x and not x[0].isspace():
-                out.append(" " + x)
-            else:
-                out[-1] += " " + x
-        return out
-
     def cut(self, piece: str) -> list[str]:
+        """Parts of a piece (with its space) that the pre-tokeniser never joins."""
         if "'" in piece or not piece.isascii() and not self.odd.isdisjoint(piece):
             return [piece]
         parts = WORDS.split(piece)
-        if len(parts) > 3 and any(len(x) > 1 and x[-2:].isspace() and not y.startswith(" ") for x, y in zip(parts[2:-1:2], parts[3::2], strict=False)) or parts[0][-2:].isspace() and len(parts[0]) > 1:
+        blanks = (x for x, y in zip(parts[::2], parts[1::2], strict=False) if len(x) > 1 and not y.startswith(" "))
+        if any(x[-2:].isspace() for x in blanks):
             return [piece]
         return [x for x in parts if x]
 
@@ -87,25 +80,36 @@ class PieceEncoder:
         return [array.array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
+        """Ids of new pieces; they are given without their space."""
         if len(self.words) > CACHE_WORDS:
             self.words = {}
-        words = self.words
-        cut = [self.cut(p) for p in new]
-        missing = list({w for ws in cut for w in ws if w not in words})
+        words, known, cut = self.words, self.known, []
+        for p in new:
+            if p.isalpha():
+                cut.append((p, (" " + p,)))
+            elif p[:-1].isalpha() and p[-1] in ".,;:!?":
+                cut.append((p, (" " + p[:-1], p[-1])))
+            else:
+                cut.append((p, self.cut(" " + p)))
+        missing = list({w for _, ws in cut for w in ws if w not in words})
         words.update(zip(missing, self.ask(missing), strict=True))
-        for p, ws in zip(new, cut, strict=True):
-            self.known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        for p, ws in cut:
+            known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
         if any(s in t for t in texts for s in self.special):
             return self.ask(texts)
-        cut = [self.pieces(t) for t in texts]
+        cut = [PIECES.split(t) for t in texts]
+        firsts = self.ask([ps[0] for ps in cut])
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        known = self.known
-        self.learn(list({p for ps in cut for p in ps if p not in known}))
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+            self.known, self.old = {}, self.known
+        new = set().union(*cut).difference(self.known)
+        kept = [p for p in new if p in self.old]
+        self.known.update((p, self.old[p]) for p in kept)
+        self.learn(list(new.difference(kept)))
+        get = self.known.__getitem__
+        return [f + b"".join(map(get, ps[1:])) for f, ps in zip(firsts, cut, strict=True)]
 
 
 def encoder(path: str) -> PieceEncoder:
