@@ -24,8 +24,13 @@ def _modules() -> dict:
 
 
 def queries() -> dict:
-    return {q: getattr(m, q) for q, m in _modules().items()}
+    import corpus_pipeline
+
+    return {q: getattr(m, q) for q, m in _modules().items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q: m.SQL for q, m in _modules().items() if getattr(m, "SQL", None)}
+    import corpus_pipeline
+
+    found = {q: m.SQL for q, m in _modules().items() if getattr(m, "SQL", None)}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
