@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 SPACE = "▁"
-#: The odd base of the rolling hash, and how many words a worker remembers.
+#: The odd base of the rolling hash, and how many words and parts a worker remembers.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS = 200_000, 600_000
 #: Words of one length that are solved together; longer words make smaller batches.
 BATCH_CHARS = 1 << 19
 _workers: dict = {}
@@ -66,7 +66,13 @@ class Viterbi:
         self.scores = score[self.ids]
         self.unk_score = float(self.scores.min()) - 10.0
         self.power = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)  # whether some key has these leading bits; most substrings end here
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        #: Adjacent characters of some piece; a word falls apart where its neighbours are no such pair.
+        self.pairs = {a + b for i in usable for a, b in zip(self.piece[i], self.piece[i][1:], strict=False)}
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(s: str) -> int:
@@ -75,59 +81,99 @@ class Viterbi:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def solve(self, words: list[str]) -> list[np.ndarray]:
-        """Best segmentations (piece ids) of words that all have one length."""
+    def solve(self, words: list[str]) -> list[bytes]:
+        """Best segmentations of words that all have one length, as ids in bytes."""
         n, length = len(words), len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((length + 1, n), np.uint64)
         for i in range(length):
             prefix[i + 1] = prefix[i] * BASE + chars[:, i]
         best = np.zeros((length + 1, n))
-        back = np.zeros((length + 1, n), np.int32)  # length of the last piece; its slot among the keys, -1: none
-        slot = np.full((length + 1, n), -1, np.int32)
+        back = np.ones((length + 1, n), np.int32)  # length of the last piece
+        slot = np.full((length + 1, n), -1, np.int32)  # its id, -1: a character that no piece has
         for end in range(1, length + 1):
             top = np.full(n, -np.inf)
             for k in range(min(self.longest, end), 0, -1):
                 key = prefix[end] - prefix[end - k] * self.power[k]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                cand = best[end - k] + np.where(hit, self.scores[at], self.unk_score if k == 1 else -np.inf)
-                better = cand > top
-                top = np.where(better, cand, top)
-                back[end] = np.where(better, k, back[end])
-                slot[end] = np.where(better, np.where(hit, at, -1), slot[end])
-            best[end] = top
-        backs, slots = back.T.tolist(), slot.T.tolist()
-        out = []
-        for w, b, s in zip(words, backs, slots, strict=True):
-            ids: list[int] = []
-            end = length
-            while end:
-                k = b[end]
-                if s[end] >= 0:
-                    ids.append(int(self.ids[s[end]]))
-                else:
-                    ids.extend(self.byte_id.get(x, self.unk_id) for x in reversed(w[end - k : end].encode("utf-8", "surrogatepass")))
-                end -= k
-            out.append(np.array(ids[::-1], np.int32))
+                at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+                if not len(at):
+                    continue
+                found = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+                hit = self.keys[found] == key[at]
+                at, found = at[hit], found[hit]
+                cand = best[end - k, at] + self.scores[found]
+                better = cand > top[at]
+                at, found = at[better], found[better]
+                top[at] = cand[better]
+                back[end, at] = k
+                slot[end, at] = self.ids[found]
+            lone = best[end - 1] + self.unk_score
+            bare = (slot[end] < 0) | (lone > top)
+            best[end] = np.where(bare, lone, top)
+            back[end, bare], slot[end, bare] = 1, -1
+        # all words walk back at once, a piece a step
+        row, end, rows, ids = np.arange(n), np.full(n, length), [], []
+        while len(row):
+            rows.append(row)
+            ids.append(slot[end, row])
+            end = end - back[end, row]
+            row, end = row[end > 0], end[end > 0]
+        step = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        row, flat = np.concatenate(rows), np.concatenate(ids).astype(np.int32)
+        order = np.lexsort((-step, row))
+        row, flat = row[order], flat[order]
+        ends = np.cumsum(np.bincount(row, minlength=n)) * 4
+        blob = flat.tobytes()
+        out = [blob[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.unique(row[flat < 0]).tolist():
+            out[i] = self.spelled(words[i], back[:, i].tolist(), slot[:, i].tolist())
+        return out
+
+    def spelled(self, word: str, back: list[int], slot: list[int]) -> bytes:
+        """The same for a word with characters that no piece has: those become their bytes' pieces."""
+        ids: list[int] = []
+        end = len(word)
+        while end:
+            if slot[end] >= 0:
+                ids.append(slot[end])
+            else:
+                ids.extend(self.byte_id.get(x, self.unk_id) for x in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
+            end -= back[end]
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def cut(self, word: str) -> list[str]:
+        """Parts that no piece joins."""
+        pairs, at, out = self.pairs, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
         return out
 
     def learn(self, words: list[str]) -> None:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        parts = self.parts
+        cut = [self.cut(w) for w in words]
         by_length: dict[int, list[str]] = {}
-        for w in words:
+        for w in {x for ws in cut for x in ws if x not in parts}:
             by_length.setdefault(len(w), []).append(w)
         for length, ws in by_length.items():
             step = max(1, BATCH_CHARS // length)
             for at in range(0, len(ws), step):
                 run = ws[at : at + step]
-                for w, ids in zip(run, self.solve(run), strict=True):
-                    self.known[w] = ids.tobytes()
+                parts.update(zip(run, self.solve(run), strict=True))
+        for w, ws in zip(words, cut, strict=True):
+            self.known[w] = parts[ws[0]] if len(ws) == 1 else b"".join([parts[x] for x in ws])
 
     @staticmethod
     def words(text: str) -> list[str]:
         """Words with their leading U+2581; they join to the normalised text."""
         if not text:
             return []
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return [SPACE + p for p in text.split(" ")]
         out, lead = [], SPACE
         for part in text.split(" "):
             if part:
@@ -143,10 +189,13 @@ class Viterbi:
         """Per text its ids as little-endian 32-bit integers."""
         cut = [self.words(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        self.learn(list({w for ws in cut for w in ws if w not in known}))
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+            self.known, self.old = {}, self.known
+        new = set().union(*cut).difference(self.known)
+        kept = [w for w in new if w in self.old]
+        self.known.update((w, self.old[w]) for w in kept)
+        self.learn(list(new.difference(kept)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in cut]
 
     def decode(self, ids: list[int]) -> str:
         raw, n = self.raw, len(self.raw)
@@ -163,7 +212,7 @@ def model(path: str) -> Viterbi:
     return _workers[path]
 
 
-def runs(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to about `most`."""
     at = n = 0
     for i, s in enumerate(sizes):
@@ -194,7 +243,10 @@ def decode_column(ids: Column, model_path: str) -> Column:
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
         v = model(model_path)
-        return pa.array([v.decode(r.as_py() or []) for r in rows], pa.string())
+        if rows.null_count or rows.values.null_count:
+            return pa.array([v.decode(r.as_py() or []) for r in rows], pa.string())
+        off = rows.offsets.to_numpy().tolist()
+        return pa.array([v.decode(rows.values[s:e].to_numpy().tolist()) for s, e in zip(off[:-1], off[1:], strict=True)], pa.string())
 
     return decode(ids)
 
