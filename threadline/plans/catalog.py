@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("q_stats",)
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= importlib.import_module(f"{__package__}.{m}").QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
