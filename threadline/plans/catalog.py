@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_stats",)
+MODULES = ("q_stats", "q_text")
 
 
 def _all() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +44,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns dressed up with what comments hold: markers, links, markup, bots."""
+    """Conversation turns dressed up with what comments hold: markers, links, markup, bots.
+
+    Written out once, as a comment table would be, so that the predicates read a
+    column instead of the expression that made it.
+    """
     t, k = F.col("text"), F.col("turn") % 8
     body = (
         F.when(k == 1, F.concat(t, F.lit(" https://a.example/x?y=1 www.b.example [link](http://c.example/d) EDIT 2: done"))).when(k == 2, F.lit("[removed]"))
@@ -51,7 +57,7 @@ def noisy_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(t)
     )
     author = F.when(F.col("conv_id") % 11 == 0, "automoderator").when(F.col("conv_id") % 13 == 0, "[deleted]").otherwise(F.col("role"))
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", author.alias("author"), body.alias("body"))
+    return written(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", author.alias("author"), body.alias("body")), "noisy")
 
 
 NOISY = r"""noisy AS (
