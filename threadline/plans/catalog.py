@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_stats", "q_text")
+MODULES = ("q_stats", "q_text", "q_model")
 
 
 def _all() -> dict:

@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table under spark.checkpoint.dir (a temporary folder where that is unset) and read it back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; a temporary folder where that is unset, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = have.get() if have.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-threadline-")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+        base = have.get() if have.isDefined() else None
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-threadline-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and its size is known."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
