@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .common import partitions, table, written
 
-LENGTH, K = 100, 40
+LENGTH, K = 100, 48
 PIECE = 1 << 18
 GROUP_ROWS, GROUP_BYTES, BATCH_BYTES = 8192, 4 << 20, 2 << 20
 SHARDS, STEP = 4, 4
