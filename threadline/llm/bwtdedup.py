@@ -167,7 +167,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, ver, text): ver is 0 where ids are unique, else the text's hash; nothing is null."""
     ids = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), (F.xxhash64(text) if ids else F.lit(0).cast("long")).alias("_ver"), text.alias("_body"))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    # a zero that is no literal: with a literal the two joins of the texts would not share one exchange
+    return docs.select("*", doc.alias("_doc"), (F.xxhash64(text) if ids else doc.bitwiseAND(F.lit(0))).alias("_ver"), text.alias("_body"))
 
 
 SCAN = "kind int, mh long, doc long, ver long, start long, n long"
@@ -482,9 +484,12 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     d = keyed(docs.select(*keep, text_col), id_col, text_col)
     spans = repeated_spans(d, length, k)
     per = spans.groupBy("doc", "ver").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
-    j = d.join(per.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_ver") == F.col("ver")), "left")
+    alone = keep == [id_col]  # then the id comes back out of the key, and the texts are shuffled once for both joins
+    left = d.select("_doc", "_ver", "_body", *([] if alone else keep))
+    j = left.join(per.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_ver") == F.col("ver")), "left")
+    columns = [F.nullif("_doc", F.lit(NULL_ID)).cast(docs.schema[id_col].dataType).alias(id_col)] if alone else keep
     return j.withColumn("_c", cut_out("_body", "spans")).select(
-        *keep, F.col("_c.kept").alias("kept"), F.octet_length("_body").cast("long").alias("n_bytes"), "_c.n_removed", "_c.n_spans", "_c.kept_sha256"
+        *columns, F.col("_c.kept").alias("kept"), F.octet_length("_body").cast("long").alias("n_bytes"), "_c.n_removed", "_c.n_spans", "_c.kept_sha256"
     )
 
 
