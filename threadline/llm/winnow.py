@@ -83,6 +83,11 @@ def spread(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def run_of(m: int):
+    """The hash of the m words from a place on; a function of one argument, as transform() counts them."""
+    return lambda i: F.xxhash64(F.slice(F.col("h"), i + 1, m))
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast what was counted to be small; else a shuffled hash join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
@@ -110,7 +115,7 @@ def document_hits(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFra
     for m in lengths:
         side = windows.filter(F.col("len") == m).select("win").distinct()
         grams = docs.select("dkey", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-        found = grams.select("dkey", F.posexplode(F.transform(upto(F.size("h") - (m - 1)), lambda i, m=m: F.xxhash64(F.slice(F.col("h"), i + 1, m)))).alias("start", "win"))
+        found = grams.select("dkey", F.posexplode(F.transform(upto(F.size("h") - (m - 1)), run_of(m))).alias("start", "win"))
         hits.append(found.join(small(side), "win").select("dkey", "start", F.lit(m).alias("len"), "win"))
     return reduce(DataFrame.unionByName, hits).distinct(), windows.select("win", "item_id").dropna().distinct()
 
