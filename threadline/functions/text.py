@@ -108,14 +108,21 @@ def stopwords(english: list[str] | None = None) -> list[str]:
 
 def terms(t: Column, stop: list[str] | None = None, min_length: int = 3) -> Column:
     """Normalised tokens without stop words and short ones, in text order."""
-    drop = F.array(*[F.lit(w) for w in (EXTRA_STOPWORDS if stop is None else stop)])
-    return F.filter(F.split(normalize_for_terms(t), " "), lambda x: (F.length(x) >= min_length) & ~F.array_contains(drop, x))
+    drop = EXTRA_STOPWORDS if stop is None else stop
+    return F.filter(F.split(normalize_for_terms(t), " "), lambda x: (F.length(x) >= min_length) & ~x.isin(drop))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams of an array; fewer tokens than n give none."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return tokens
+
+    def of(t: Column) -> Column:
+        last = F.size(t) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    # bound once as a lambda variable: written in place, the tokens would be made anew for every gram
+    return F.transform(F.array(tokens), of)[0]
 
 
 def preview(t: Column, n: int = 200) -> Column:

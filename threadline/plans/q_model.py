@@ -226,7 +226,7 @@ QUERIES = {
     "vector_lookup": (vector_lookup, "SELECT vec_id IS NULL AS unknown, count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN embeddings ON doc_id = vec_id GROUP BY 1"),
     "cluster_summary": (cluster_summary, f"{X_}, k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2), m AS (SELECT cluster_id, string_agg(subreddit || ':' || k, ',' ORDER BY subreddit) AS communities, arg_min(subreddit, (-k, subreddit)) AS top_community FROM k GROUP BY 1) SELECT cluster_id, count(*) AS n, any_value(top_community) AS top_community, min(ts) AS first_at, max(ts) AS last_at, round(avg(score), 4) AS mean_sentiment, round(stddev_samp(score), 4) AS std_sentiment, any_value(communities) AS communities FROM vectors JOIN m USING (cluster_id) GROUP BY 1"),
     "cluster_totals": (cluster_totals, f"{X_} SELECT count(DISTINCT cluster_id) FILTER (cluster_id <> 0) AS clusters, count(*) FILTER (cluster_id = 0) AS noise, round(100.0 * count(*) FILTER (cluster_id = 0) / count(*), 4) AS noise_pct FROM vectors"),
-    "temporal_clusters": (temporal_clusters, f"{X_} SELECT CAST(period AS INT) AS period, cluster_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY period), 6) AS share FROM vectors GROUP BY 1, 2, vectors.period".replace(", vectors.period", "")),
+    "temporal_clusters": (temporal_clusters, f"{X_}, g AS (SELECT CAST(period AS INT) AS period, cluster_id, count(*) AS n FROM vectors GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY period), 6) AS share FROM g"),
     "cluster_evolution": (cluster_evolution, f"{_CENT} SELECT CAST(from_period AS INT) AS from_period, CAST(to_period AS INT) AS to_period, from_cluster, to_cluster, round(similarity, 6) AS similarity, from_count, to_count FROM evo"),
     "flow_edges": (flow_edges, f"{_CENT}, nodes AS (SELECT p, c, row_number() OVER (ORDER BY p, c) - 1 AS id FROM (SELECT from_period AS p, from_cluster AS c FROM evo UNION SELECT to_period, to_cluster FROM evo)) SELECT a.id AS source, b.id AS target, from_count * 10 AS value, round(similarity, 6) AS similarity FROM evo JOIN nodes a ON a.p = from_period AND a.c = from_cluster JOIN nodes b ON b.p = to_period AND b.c = to_cluster"),
     "cluster_river": (cluster_river, f"{X_} SELECT CAST(period AS INT) AS period, cluster_id, count(*) AS n FROM vectors WHERE cluster_id IN (SELECT cluster_id FROM vectors GROUP BY 1 ORDER BY count(*) DESC, cluster_id LIMIT 5) GROUP BY 1, 2"),
