@@ -132,9 +132,10 @@ def preview(t: Column, n: int = 200) -> Column:
 def response_record(t: Column, schema: str, fallback: str = "Unknown", n: int = 500) -> Column:
     """The JSON object in a model's answer, or else a record of the fallback and the first characters."""
     found = F.from_json(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")), schema)
-    first, *rest = [f.split()[0] for f in schema.split(",")]
+    fields = [f.split(None, 1) for f in schema.split(",")]
+    first, *rest = [name for name, _ in fields]
     named = [F.lit(fallback).alias(first)] + [F.substring(t, 1, n).alias(rest[0])] + [F.lit(None).alias(x) for x in rest[1:]]
-    return F.when(found.getField(first).isNotNull(), found).otherwise(F.struct(*named).cast(f"struct<{schema.replace(' ', ':')}>"))
+    return F.when(found.getField(first).isNotNull(), found).otherwise(F.struct(*named).cast("struct<" + ",".join(f"{n}:{t.strip()}" for n, t in fields) + ">"))
 
 
 def model_input(t: Column, n: int = 512) -> Column:
