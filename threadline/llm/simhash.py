@@ -114,9 +114,10 @@ class BKTree:
         self.dist, self.child = e[:, 1], e[:, 2]
         self.first = np.searchsorted(e[:, 0], np.arange(len(whole) + 1))
 
-    def links(self, radius: int, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) within the radius, in blocks of queries; each pair once, query the larger index."""
+    def links(self, radius: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) within the radius, in blocks of queries with at most `most` pairs at a time; each pair once, query the larger index."""
         n = len(self.keys)
+        step = max(1, most // max(1, n))
         for lo in range(0, n, step):
             q = np.arange(lo, min(lo + step, n))
             node = np.zeros(len(q), np.int64)
