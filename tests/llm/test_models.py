@@ -119,3 +119,53 @@ def test_nnpu_risk_learns_from_unlabelled():
     rows, cols = np.nonzero(np.stack([y, rng.random(3000) < 0.5], axis=1))
     w, b = nnpu.fit_nnpu(rows, cols, positive, 2, 0.3)
     assert w[0] + b > 0 > b and abs(w[1]) < abs(w[0]) / 2
+
+
+def plain_tree(docs, held, depth=3):
+    """Scores by the definition: every context seen five times can be kept, every successor seen twice is listed."""
+    tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None]
+    train = [tok(t) for i, t in docs if not held(i)]
+    one = Counter(w for ws in train for w in ws)
+    n_all, once, twice = sum(one.values()), sum(n == 1 for n in one.values()), sum(n == 2 for n in one.values())
+    discount = min(0.95, max(0.05, once / (once + 2 * twice)))
+    grams: dict = {}
+    for ws in train:
+        ws = [None, *ws]
+        for i in range(1, len(ws)):
+            for d in range(1, min(depth, i) + 1):
+                grams.setdefault(tuple(ws[i - d : i]), Counter())[ws[i]] += 1
+    root = lambda x: (one[x] - discount) / n_all if one[x] else discount * len(one) / n_all
+    total = {c: sum(s.values()) for c, s in grams.items()}
+    kept = set()
+    for c, s in grams.items():
+        if total[c] >= 5 and any(n > 1 for n in s.values()):
+            up = lambda x, c=c: grams[c[1:]][x] / total[c[1:]] if len(c) > 1 else root(x)
+            if sum(n * math.log(n / total[c] / up(x)) for x, n in s.items() if n > 1) > 0.5 * len(s) * math.log(total[c]):
+                kept |= {c[i:] for i in range(len(c))}
+
+    def p(c, x):
+        if not c:
+            return root(x)
+        if c not in kept:
+            return p(c[1:], x)
+        s = {y: n for y, n in grams[c].items() if n > 1}
+        return (s.get(x, 0) + (20 + total[c] - sum(s.values())) * p(c[1:], x)) / (total[c] + 20)
+
+    for c in list(kept)[:50]:
+        assert abs(sum(p(c, x) for x in one) + p(c, "never seen") - 1) < 1e-9
+    assert {len(c) for c in kept} == {1, 2, 3}
+    return {i: sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), ws[k])) for k in range(1, len(ws))) for i, t in docs for ws in [[None, *tok(t)]]}
+
+
+@pytest.mark.parametrize("share", [1e-5, 0.01, 2.0])
+def test_language_model_is_whole(spark, monkeypatch, share):
+    """All successors and contexts count, however small their share; entries of the table and common ones score alike."""
+    monkeypatch.setattr(pst, "HOT_SHARE", share)
+    random.seed(4)
+    words = [f"w{i}" for i in range(400)]
+    phrases = [" ".join(random.choice(words) for _ in range(5)) for _ in range(60)]
+    docs = [(i, " ".join(random.choice(phrases) if random.random() < 0.5 else random.choice(words) for _ in range(random.randint(0, 50)))) for i in range(300)] + [(300, None), (301, "new words")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = plain_tree(docs, held)
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(docs, "doc_id long, text string"), ~pst.held_out()).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6

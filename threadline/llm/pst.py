@@ -1,23 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens are words (A-Z in lower case) and one end a document, which is also the
-context of the first word. The symbols that the tree tells apart are words
-that hold at least SYMBOL_SHARE of all tokens; the others are one class, whose
-words are told apart by their counts alone. A context is a run of up to DEPTH
-symbols. Level by level, contexts that hold at least CONTEXT_SHARE of all
-tokens are counted over the whole corpus with what follows them; one is kept
-if its next-symbol distribution diverges from its parent's (the context one
-symbol shorter) by more nats in all than a BIC term for its successors, and so
-are the suffixes of kept ones. A distribution is smoothed towards its
-parent's; the root has absolute discounting, whose freed mass is the unknown
-word's, as in the base score one symbol. A word is scored in the state of the
-longest kept suffix.
-
-Symbols are at most 1 / SYMBOL_SHARE and contexts at most DEPTH /
-CONTEXT_SHARE whatever the corpus, so tree and symbols can be broadcast; the
-counts that give them are sums over all training text. Words that hold at
-least BROADCAST_SHARE of all tokens are broadcast with their counts; all
-others meet theirs in a shuffle keyed by a 64-bit hash of the word.
+context of the first word. A context is a run of up to DEPTH words. Level by
+level, contexts seen at least CONTEXT_MIN times are counted over the whole
+corpus with what follows them; one is kept if its next-word distribution
+diverges from its parent's (the context one word shorter) by more nats in all
+than a BIC term for its successors, and so are the suffixes of kept ones. All
+successors seen at least SUCCESSOR_MIN times are listed. The mass of the others
+goes to the back-off weight, as PULL tokens do, and so by the parent's
+distribution to all words: with total T and unlisted mass L,
+P(x | c) = n / (T + PULL) + (L + PULL) / (T + PULL) P(x | parent), which sums to
+one. The root has absolute discounting, whose freed mass is the unknown word's,
+as in the base score one symbol. A word is scored in its longest kept suffix.
+
+The counts needed are absolute, so the tree grows with the corpus. It stays in
+Spark tables keyed by 64-bit hashes of word runs. Scores are sums of looked-up
+logarithms: every kept context adds its back-off weight and every listed
+successor its gain over backing off, so positions meet the tree in the shuffle
+in which rare words meet their counts. What is broadcast has a bound whatever
+the corpus: words and entries that hold a share of all tokens (BROADCAST_SHARE,
+HOT_SHARE), and bit filters of FILTER_BITS that keep runs out of shuffles that
+are surely not in a table; a false hit costs a row, not a result.
 
 Defined results: null texts are empty, with the end as only token; rows with a
 null id are learned from and not held out; repeated rows each count and each
@@ -27,12 +30,12 @@ of its formula and the score is zero; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,10 +43,10 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-DEPTH, CONTEXT_SHARE, SYMBOL_SHARE, PULL = 3, 2e-5, 5e-5, 20.0
-#: A kept context lists successors that hold this share of all tokens (one million at most); the others are left to smoothing.
-SUCCESSOR_SHARE = 1e-6
-BROADCAST_SHARE = 2e-6
+DEPTH, CONTEXT_MIN, SUCCESSOR_MIN, PULL = 3, 5, 2, 20.0
+BROADCAST_SHARE, HOT_SHARE = 2e-6, 1e-5
+#: Bits of a filter (16 MB), and of one part of it as it is made.
+FILTER_BITS, PART_BITS = 27, 18
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end token's place among words: it has a space, which no word has.
 END_TOKEN = b" end"
@@ -80,54 +83,54 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Suffixes:
-    """Symbols and, by level, the contexts so far: arrays that a task looks up positions in.
+def word_key(w: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed(texts: list[list[bytes]], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of documents end to end, each after an end that is a context only, and the place of that end."""
+    flat: list[int] = []
+    size: list[int] = []
+    end = word_key(END_TOKEN)
+    for ws in texts:
+        if len(memo) > 500_000:
+            memo.clear()
+        for w in ws:
+            if w not in memo:
+                memo[w] = word_key(w)
+        flat.append(end)
+        flat.extend(map(memo.__getitem__, ws))
+        flat.append(end)
+        size.append(len(ws) + 2)
+    n = np.array(size, np.int64)
+    return np.array(flat, np.int64).view(np.uint64), np.repeat(np.cumsum(n) - n, n)
+
+
+def runs(h: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 .. most words the hash of the run that ends at each position, and whether its document has so many words."""
+    place = np.arange(len(h))
+    g = mixed(h)
+    yield g, np.ones(len(h), bool)
+    for k in range(1, most):
+        old = place - k
+        g = mixed(g * np.uint64(0x9E3779B97F4A7C15) + h[np.maximum(old, 0)])
+        yield g, old >= start
+
+
+def before(x: np.ndarray) -> np.ndarray:
+    """Values of the position before; the first has none and is never a token."""
+    return np.concatenate((x[:1], x[:-1]))
 
-    levels[d] has the sorted keys of the contexts of d + 1 symbols, where a key
-    is (oldest symbol, row of the shorter context); states() gives for every
-    position the row of the context before it, or -1.
-    """
 
-    def __init__(self, symbols: dict[bytes, int]):
-        self.symbols = symbols  # 1 ..; 0 is the class of all other words
-        self.width = len(symbols) + 1
-        self.levels: list[np.ndarray] = []
-
-    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol numbers of documents end to end, each after an end that is a context only, and where tokens are."""
-        get, end = self.symbols.get, self.symbols.get(END_TOKEN, 0)
-        flat: list[int] = []
-        skip: list[int] = []
-        for ws in texts:
-            skip.append(len(flat))
-            flat.append(end)
-            flat.extend([get(w, 0) for w in ws])
-            flat.append(end)
-        ids = np.array(flat, np.int64)
-        token = np.ones(len(ids), bool)
-        token[skip] = False
-        return ids, token
-
-    def states(self, ids: np.ndarray, token: np.ndarray) -> Iterator[np.ndarray]:
-        """Level after level the context rows of all positions; a context ends at its document's start."""
-        start = np.maximum.accumulate(np.where(token, -1, np.arange(len(ids))))
-        state = np.zeros(len(ids), np.int64)  # the empty context
-        rows = 1
-        for d, keys in enumerate(self.levels, 1):
-            old = np.arange(len(ids)) - d
-            ok = (old >= start) & token & (state >= 0)
-            x = np.where(ok, ids[np.maximum(old, 0)], 0)
-            state = find(keys, np.where(ok & (x > 0), x * rows + state, -1))
-            rows = max(1, len(keys))
-            yield state
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions of values in a sorted array, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted) & (wanted >= 0), at, -1)
+def weight_key(g: np.ndarray) -> np.ndarray:
+    """Key of a context's back-off weight, apart from that of the same run as a successor."""
+    return mixed(g ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def batches_of(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[list[bytes]]]:
@@ -143,121 +146,164 @@ def batches_of(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[li
         yield run
 
 
-def level_counts(docs: DataFrame, known: Suffixes) -> DataFrame:
-    """Counts for the contexts of the last level from one pass, ctx being a row of it.
+def bit_filter(rows: DataFrame, key: str, least: int = 1) -> np.ndarray:
+    """Bits of the keys' low FILTER_BITS bits that meet `least` (at most 100) occurrences (column n, if it is more than one), gathered in parts."""
+    low = F.col(key).bitwiseAND((1 << FILTER_BITS) - 1)
+    n = F.least(F.col("n"), F.lit(100)) if least > 1 else F.lit(1)
+    parts = rows.select(F.shiftright(low, PART_BITS).cast("int").alias("part"), low.bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("bit"), n.cast("int").alias("n"))
 
-    runs false: (ctx, x, n), x follows; runs true: x, a symbol, stands right before the context.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            part, bit, n = (b.column(i).to_numpy() for i in range(3))
+            order = np.argsort(part, kind="stable")
+            part, bit, n = part[order], bit[order], n[order]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, int)
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                count = held.setdefault(int(part[s]), np.zeros(1 << PART_BITS, np.uint8))
+                if least == 1:
+                    count[bit[s:e]] = 1
+                else:
+                    at, where = np.unique(bit[s:e], return_inverse=True)
+                    count[at] = np.minimum(count[at] + np.bincount(where, n[s:e]), 100)
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    step = 1 << (PART_BITS - 3)
+    for r in parts.repartition("part").mapInArrow(run, "part long, bits binary").collect():  # one row a part, all of one filter's size
+        out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
+    """Counts of contexts of `depth` words with a successor, a batch's together: (g, n), or (g, ctx, upg, n) of the repeated.
+
+    g is the run with the successor, upg the run one word shorter. frequent and
+    repeated: filters of contexts that can be frequent and of runs that can
+    occur again.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, repeated))
+    names = ["g", "n"] if repeated is None else ["g", "ctx", "upg", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
+        bits, again = shared.value
+        memo: dict[bytes, int] = {}
         for b in batches:
-            for texts in batches_of(b.column(0).to_pylist()):
-                ids, token = s.numbers(texts)
-                state = np.zeros(len(ids), np.int64)
-                for state in s.states(ids, token):
-                    pass
-                use = token & (state >= 0)
-                yield counted(False, state[use] * s.width + ids[use], s.width)
-                start = np.maximum.accumulate(np.where(token, -1, np.arange(len(ids))))
-                old = np.arange(len(ids)) - len(s.levels) - 1
-                use &= old >= start
-                x = ids[old[use]]
-                yield counted(True, (state[use] * s.width + x)[x > 0], s.width)
-
-    def counted(runs: bool, code: np.ndarray, width: int) -> pa.RecordBatch:
-        code, n = np.unique(code, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), runs)), pa.array(code // width), pa.array(code % width), pa.array(n.astype(np.int64))], names=["runs", "ctx", "x", "n"])
-
-    return docs.mapInArrow(run, "runs boolean, ctx long, x long, n long").groupBy("runs", "ctx", "x").agg(F.sum("n").alias("n"))
-
-
-class SuffixTree:
-    """Contexts by level with totals, successor counts and whether they are kept; scores positions."""
-
-    def __init__(self, known: Suffixes, root: np.ndarray):
-        self.known, self.root = known, root  # root: P of each symbol, the class of others first
-        self.totals: list[np.ndarray] = []
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.kept: list[np.ndarray] = []
-
-    def log10(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per position log10 P(symbol | longest kept suffix), the symbols, and which positions are tokens."""
-        ids, token = self.known.numbers(texts)
-        p = self.root[ids]
-        for d, state in enumerate(self.known.states(ids, token)):
-            at = np.maximum(state, 0)
-            if not len(self.totals[d]):
-                break
-            use = (state >= 0) & self.kept[d][at]
-            hit = find(self.codes[d], np.where(use, at * self.known.width + ids, -1))
-            n = np.where(hit >= 0, self.counts[d][np.maximum(hit, 0)], 0) if len(self.codes[d]) else 0
-            p = np.where(use, (n + PULL * p) / (self.totals[d][at] + PULL), p)
-        return np.log10(p), ids, token
-
-
-def learn_tree(docs: DataFrame, symbols: dict[bytes, int], root: np.ndarray, n_all: int) -> SuffixTree:
-    """Level by level: contexts that are frequent, their successors, and the divergence test.
-
-    Successor tables stay in Spark, where each context's gain is summed; what
-    comes to the driver is a row a context (at most 1 / CONTEXT_SHARE a level)
-    and the successors of kept contexts.
+            for texts in batches_of(b.column(0).to_pylist(), 1 << 24):
+                h, start = hashed(texts, memo)
+                for k, (g, long) in enumerate(runs(h, start, depth + 1), 1):
+                    if k == depth:
+                        ctx, upg = before(g), g
+                use = np.flatnonzero(long & (start < np.arange(len(h))))
+                use = use[may_hold(bits, ctx[use])]
+                if again is not None:
+                    use = use[may_hold(again, g[use])]
+                g, first, n = np.unique(g[use], return_index=True, return_counts=True)
+                use = use[first]
+                columns = [g] if again is None else [g, ctx[use], upg[use]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(n.astype(np.int64))], names=names)
+
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def learn_tree(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(key, v, n): log10 back-off weights of kept contexts and log10 gains of their listed successors, seen n times.
+
+    first: (g, n, p), the repeated words, their counts and the root's
+    probability. A run's count is its total as a context, and its successors
+    seen once are what the listed ones leave of it; so runs seen once need not
+    be told apart, and most are filtered out before runs are shuffled.
     """
     spark = docs.sparkSession
-    known = Suffixes(symbols)
-    tree = SuffixTree(known, root)
-    least = max(2.0, CONTEXT_SHARE * n_all)
-    grown = np.arange(1, known.width, dtype=np.int64)  # one symbol before the empty context
-    tables: list[DataFrame] = []
-    parents: list[np.ndarray] = []
-    pairs = lambda x, y: spark.createDataFrame(pd.DataFrame({"k": np.asarray(x), "v": np.asarray(y)}))
-    for d in range(DEPTH):
-        known.levels.append(grown)
-        if not len(grown):
-            break
-        both = written(level_counts(docs, known).filter("n > 1 or not runs"), "counts")
-        c = both.filter("not runs").select("ctx", F.col("x").alias("nxt"), "n")
-        # successors seen once are left to smoothing, but count as kinds
-        totals = c.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= least)
-        c = written(c.filter("n > 1").join(totals.hint("shuffle_hash"), "ctx"), "successors")
-        tables.append(c)
-        if d == 0:
-            up = np.zeros(len(grown), np.int64)
-            j = c.join(F.broadcast(pairs(np.arange(known.width), root)), F.col("nxt") == F.col("k")).withColumn("p", F.col("v"))  # a row a symbol
-        else:
-            up = grown % len(known.levels[d - 1])
-            j = c.join(F.broadcast(pairs(np.arange(len(grown)), up)), F.col("ctx") == F.col("k"))  # a row a context
-            q = tables[d - 1].select(F.col("ctx").alias("v"), "nxt", (F.col("n") / F.col("total")).alias("q"))
-            j = j.join(q.hint("shuffle_hash"), ["v", "nxt"], "left").withColumn("p", F.coalesce("q", 0.5 / F.col("total")))
-        per = j.groupBy("ctx").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"))
-        kept = np.zeros(len(grown), bool)
-        for r in per.filter(F.col("gain") > 0.5 * F.col("kinds") * F.log("total")).select("ctx").collect():
-            kept[r.ctx] = True
-        tree.kept.append(kept)
-        parents.append(up)
-        if d + 1 < DEPTH:
-            runs = both.filter("runs").filter(F.col("n") >= least).collect()  # at most 1 / CONTEXT_SHARE
-            grown = np.array(sorted(r.x * len(grown) + r.ctx for r in runs), np.int64)
-    for d in range(len(tree.kept) - 1, 0, -1):  # suffixes of kept contexts are kept
-        tree.kept[d - 1][np.unique(parents[d][tree.kept[d]])] = True
-    for d, kept in enumerate(tree.kept):
-        ids = np.flatnonzero(kept)
-        rows = tables[d].join(F.broadcast(pairs(ids, ids)), F.col("ctx") == F.col("k"), "left_semi").filter(F.col("n") >= SUCCESSOR_SHARE * n_all) if len(ids) else tables[d].limit(0)
-        got = rows.select("ctx", "nxt", "n", "total").toPandas().sort_values(["ctx", "nxt"])
-        total = np.zeros(len(kept))
-        total[got.ctx.to_numpy(np.int64)] = got.total
-        tree.kept[d] = kept & (total > 0)
-        tree.totals.append(total)
-        tree.codes.append((got.ctx * known.width + got.nxt).to_numpy(np.int64))
-        tree.counts.append(got.n.to_numpy(np.float64))
-    del known.levels[len(tree.kept) :]
-    return tree
-
-
-def word_key(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    contexts = first.select(F.col("g").alias("ctx"), F.lit(0).cast("long").alias("up"), F.col("n").alias("total")).filter(F.col("total") >= CONTEXT_MIN)
+    for d in range(1, DEPTH + 1):
+        frequent = bit_filter(contexts, "ctx")
+        repeated = bit_filter(level_counts(docs, d, frequent), "g", SUCCESSOR_MIN)
+        release(spark)
+        c = level_counts(docs, d, frequent, repeated).groupBy("g").agg(F.first("ctx").alias("ctx"), F.first("upg").alias("upg"), F.sum("n").alias("n")).filter(F.col("n") >= SUCCESSOR_MIN)
+        s = written(c.join(contexts.select("ctx", "total").hint("shuffle_hash"), "ctx"), "successors")
+        release(spark)
+        q = first.select("g", "p") if d == 1 else levels[-1][1].select("g", (F.col("n") / F.col("total")).alias("p"))
+        j = s.join(q.select(F.col("g").alias("upg"), "p").hint("shuffle_hash"), "upg")
+        rest = F.first("total") - F.sum("n")  # each is a kind
+        per = j.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"), rest.alias("rest"), F.count("*").alias("kinds"))
+        tested = contexts.join(per.hint("shuffle_hash"), "ctx").withColumn("kept", F.col("gain") > 0.5 * (F.col("kinds") + F.col("rest")) * F.log("total"))
+        levels.append((written(tested.select("ctx", "up", "total", "rest", "kept"), "contexts"), s))
+        contexts = s.filter(F.col("n") >= CONTEXT_MIN).select(F.col("g").alias("ctx"), F.col("upg").alias("up"), F.col("n").alias("total"))
+    kept: list[DataFrame] = []
+    for d in range(DEPTH - 1, -1, -1):  # suffixes of kept contexts are kept
+        k = levels[d][0]
+        if kept:
+            below = kept[0].select(F.col("up").alias("ctx")).distinct().withColumn("suffix", F.lit(True))
+            k = k.join(below.hint("shuffle_hash"), "ctx", "left").withColumn("kept", F.col("kept") | F.coalesce("suffix", F.lit(False)))
+        kept.insert(0, written(k.filter("kept").select("ctx", "up", "total", "rest"), "kept"))
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(weight_key(b.column(0).to_numpy().view(np.uint64)).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
+
+    out = spark.createDataFrame([], "key long, v double, n long")
+    free = F.col("rest") + PULL
+    p = first
+    for k, (_, s) in zip(kept, levels, strict=True):
+        mine = s.join(k.select("ctx", "rest").hint("shuffle_hash"), "ctx").join(p.select(F.col("g").alias("upg"), F.col("p").alias("pp")).hint("shuffle_hash"), "upg")
+        p = written(mine.select("g", "n", ((F.col("n") + free * F.col("pp")) / (F.col("total") + PULL)).alias("p"), F.log10(1 + F.col("n") / free / F.col("pp")).alias("v")), "gains")
+        w = k.select("ctx", F.log10(free / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")).mapInArrow(weights, "key long, v double, n long")
+        out = out.unionAll(w).unionAll(p.select(F.col("g").alias("key"), "v", "n"))
+    return written(out, "tree")
+
+
+class Lookup:
+    """The common entries of a tree in whole, and a filter of the others."""
+
+    def __init__(self, tree: DataFrame, least: float):
+        hot = tree.filter(F.col("n") >= least).select("key", "v").toPandas().sort_values("key")  # at most 2 DEPTH / HOT_SHARE rows
+        self.keys, self.values = hot.key.to_numpy(np.int64), hot.v.to_numpy(np.float64)
+        self.bits = bit_filter(tree.filter(F.col("n") < least), "key")
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of common entries, else zero; and 1 where an entry is common, -1 where it may be in the table, else 0."""
+        at = np.minimum(np.searchsorted(self.keys, keys.view(np.int64)), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == keys.view(np.int64) if len(self.keys) else np.zeros(len(keys), bool)
+        value = np.where(hit, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys))
+        return value, np.where(hit, 1, -may_hold(self.bits, keys).astype(np.int64))
+
+    def scores(self, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per position the sum of common entries; positions and keys of those to be met in the table."""
+        total = np.zeros(len(h))
+        places: list[np.ndarray] = [np.zeros(0, np.int64)]
+        keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        listed = kept = np.flatnonzero(start < np.arange(len(h)))
+
+        def add(use: np.ndarray, key: np.ndarray) -> np.ndarray:
+            value, state = self.look(key)
+            total[use] += value
+            places.append(use[state < 0])
+            keys.append(key[state < 0])
+            return use[state != 0]
+
+        last = None
+        for g, long in runs(h, start, DEPTH + 1):
+            if last is not None:
+                # no entry where the context or run one word shorter has none
+                kept = add(kept[long[kept]], weight_key(before(last)[kept[long[kept]]]))
+                listed = np.intersect1d(listed, kept, assume_unique=True)
+                listed = add(listed, g[listed])
+            last = g
+        return total, np.concatenate(places), np.concatenate(keys)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,24 +320,30 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     common = [(bytes(r.word), r.n) for r in vocabulary.filter(F.col("n") >= least).collect()]  # at most 1 / BROADCAST_SHARE rows
     base = {w: math.log10((n + 0.1) / floor) for w, n in common}
     own = {w: math.log10((n - discount) / n_all) for w, n in common}
-    frequent = sorted((w for w, n in common if n >= max(2.0, SYMBOL_SHARE * n_all)), key=lambda w: (-own[w], w))
-    symbols = {w: i for i, w in enumerate(frequent, 1)}
-    root = np.array([0.0, *(10 ** own[w] for w in frequent)])
-    root[0] = max(1.0 - root.sum(), 1e-9)
-    tree = learn_tree(train, symbols, root, n_all)
-    model = spark.sparkContext.broadcast((tree, base, own))
-    others = math.log10(root[0])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = np.array([word_key(w) for w in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(key.view(np.uint64)).view(np.int64)), b.column(1), b.column(2)], names=["g", "n", "p"])
+
+    listed = vocabulary.filter(F.col("n") >= SUCCESSOR_MIN).select("word", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p"))
+    tree = learn_tree(train, written(listed.mapInArrow(words, "g long, n long, p double"), "words"))
+    held = Lookup(tree, HOT_SHARE * n_all)
+    release(spark)
+    model = spark.sparkContext.broadcast((held, base, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, base, own = model.value
+        memo: dict[bytes, int] = {}
         for b in batches:
             uid, doc, text = b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            at = 0
+            at, uids = 0, np.array(uid, np.int64)
             for texts in batches_of(text):
-                lp, ids, token = held.log10(texts)
-                starts = np.flatnonzero(~token)
-                # the class of others stands for its words: their own share of it comes on top
-                sums = np.add.reduceat(np.where(token, lp - np.where(ids == 0, others, 0.0), 0.0), starts).tolist()
+                h, start = hashed(texts, memo)
+                total, place, key_at = held.scores(h, start)
+                begin = np.unique(start)
+                sums = np.add.reduceat(total, begin).tolist()
+                who = at + np.searchsorted(begin, start[place])
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for i, ws in enumerate(texts):
                     u, key = uid[at + i], doc[at + i]
@@ -305,19 +357,23 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                             continue
                         part += k * bs
                         known += k
-                        if w not in symbols:
-                            s += k * own[w]
+                        s += k * own[w]
                     # the row of the document itself, under a key of its own that meets no word
                     for kv, tf, p_, s_, sizes in [(word_key(b"  %d" % u), 0, part, s, ((len(ws) + 1) << 32) | known), *[(x, k, 0.0, 0.0, 0) for x, k in rare]]:
                         for col, val in zip(out, (u, key, kv, tf, p_, s_, sizes), strict=True):
                             col.append(val)
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], pa.array(np.zeros(len(out[0]), np.int32))], names=names)
+                for i in range(0, len(place), 200_000):
+                    k = key_at[i : i + 200_000].view(np.int64)
+                    none = [pa.array(np.zeros(len(k), np.int32)), *[pa.array(np.zeros(len(k)))] * 2, pa.array(np.zeros(len(k), np.int64))]
+                    ids = who[i : i + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[ids]), pa.nulls(len(k), pa.int64()), pa.array(k), *none, pa.array(np.ones(len(k), np.int32))], names=names)
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-    names = ["uid", "doc_id", "key", "tf", "part", "score", "sizes"]
+    names = ["uid", "doc_id", "key", "tf", "part", "score", "sizes", "runs"]
     whole = d.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = whole.mapInArrow(run, "uid long, doc_id long, key long, tf int, part double, score double, sizes long")
+    parts = whole.mapInArrow(run, "uid long, doc_id long, key long, tf int, part double, score double, sizes long, runs int")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,14 +382,15 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rare = vocabulary.filter(F.col("n") < least).mapInArrow(keyed, "key long, c long")
     tf, c = F.col("tf"), F.coalesce("c", F.lit(0))
     own_p = F.when(c > 0, (c - F.lit(discount)) / F.lit(float(max(n_all, 1)))).otherwise(F.lit(unknown))
-    j = parts.join(rare.hint("shuffle_hash"), "key", "left")
+    entries = rare.select("key", "c", F.lit(0.0).alias("v")).unionAll(tree.filter(F.col("n") < HOT_SHARE * n_all).select("key", F.lit(0).cast("long"), "v"))
+    j = parts.join(entries.hint("shuffle_hash"), "key", "left")
     return j.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum(F.shiftright("sizes", 32)).alias("n_tokens"),
         F.sum(F.col("sizes").bitwiseAND(0xFFFFFFFF) + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         F.sum(F.col("part") + tf * F.log10((c + 0.1) / F.lit(floor))).alias("base_score"),
-        F.sum(F.col("score") + tf * F.log10(own_p)).alias("score"),
+        F.sum(F.col("score") + tf * F.log10(own_p) + F.col("runs") * F.coalesce("v", F.lit(0.0))).alias("score"),
     )
 
 
