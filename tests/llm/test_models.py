@@ -169,3 +169,12 @@ def test_language_model_is_whole(spark, monkeypatch, share):
     want = plain_tree(docs, held)
     got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(docs, "doc_id long, text string"), ~pst.held_out()).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_language_model_keeps_rare_contexts(spark):
+    """Eight occurrences are a context, though they hold far less than a fifty-thousandth of a large corpus."""
+    random.seed(6)
+    docs = [(i, " ".join(random.choices(["w%d" % k for k in range(40)], k=150))) for i in range(3000)]
+    docs += [(3000 + i, "zq zr zs " * 2) for i in range(4)] + [(9001, "zq zr zs"), (9002, "zs zr zq")]
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 9000).collect()}
+    assert got[9001] > got[9002] + 1
