@@ -1,6 +1,7 @@
 """Properties and small exact cases of the operators."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadline.operators import clean as C
@@ -33,6 +34,14 @@ def test_thread_flatten_drops_orphans(spark):
     assert sorted((r.id, r._depth) for r in t.collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_threads_have_no_depth_limit(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 250) for i in range(5)] + [(2000, 2001), (2001, 2000), (2002, 2001), (3000, 3000)]
+    t = flatten_threads(spark.createDataFrame(rows, "id long, parent_id long"))
+    assert sorted((r.id, r._depth) for r in t.collect()) == [(i, i) for i in range(300)] + [(1000 + i, 251) for i in range(5)]
+    with pytest.raises(RuntimeError):
+        flatten_threads(spark.createDataFrame([(1, None), (2, 1), (2, 3), (3, 2)], "id long, parent_id long"))
+
+
 def test_reasons_add_up(spark):
     df = spark.createDataFrame([("bob", "one two three four five"), ("bob", "lol"), (None, "x"), ("AutoModerator", "one two three four five six")], "author string, body string")
     n = {r.reason: r.n for r in C.first_reason_counts(df).collect()}

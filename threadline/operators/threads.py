@@ -6,24 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten_threads(comments: DataFrame, id="id", parent="parent_id", max_depth: int = 200, shared: str | None = None) -> DataFrame:
+def flatten_threads(comments: DataFrame, id="id", parent="parent_id", shared: str | None = None) -> DataFrame:
     """Comments reachable from a root (null parent) with _depth, _is_top_level and _parent_comment_id.
 
-    Breadth first: each round joins the frontier with its children. Every level
+    Pointer doubling: after k rounds a comment points 2^k comments up, or knows
+    its depth, so a thread of any depth takes a logarithm of rounds. Every round
     is written to the shared folder before the next one reads it, so lineage
-    stays short and a lost executor costs a level.
+    stays short and a lost executor costs a round. Comments of a ring that no
+    root reaches are not in the result; one that a root reaches is an error.
     """
     from ..sources.shared import written
 
     known = comments.filter(F.col("body").isNotNull()) if "body" in comments.columns else comments
-    level = written(known.filter(F.col(parent).isNull()).withColumn("_depth", F.lit(0)), "level")
-    out = level
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col(id).alias("_up")).distinct()
-        level = written(known.join(up.hint("shuffle_hash"), F.col(parent) == F.col("_up")).drop("_up").withColumn("_depth", F.lit(depth)), "level")
-        if level.limit(1).count() == 0:
+    steps = known.select(F.col(id).alias("_node"), F.col(parent).alias("_up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("_n"))
+    steps = written(steps.filter("_node is not null").distinct(), "steps")
+    found, live, reach = steps.filter("_up is null"), steps.filter("_up is not null"), 1
+    n_nodes = steps.select("_node").distinct().count()
+    while live.limit(1).count():
+        if reach > n_nodes:  # what still climbs goes round
+            if found.filter(F.col("_n") >= n_nodes).limit(1).count():
+                raise RuntimeError("a thread's comments answer each other in a ring")
             break
-        out = out.unionByName(level)
+        on = found.unionByName(live).select(F.col("_node").alias("_at"), F.col("_up").alias("_next"), F.col("_n").alias("_more"))
+        far = live.join(on.hint("shuffle_hash"), F.col("_up") == F.col("_at")).select("_node", F.col("_next").alias("_up"), (F.col("_n") + F.col("_more")).alias("_n"))
+        far = written(far.distinct(), "steps")
+        found, live, reach = found.unionByName(far.filter("_up is null")), far.filter("_up is not null"), reach * 2
+    up = found.select(F.col("_node").alias("_at"), (F.col("_n") + 1).cast("int").alias("_depth"))
+    tops = known.filter(F.col(parent).isNull()).withColumn("_depth", F.lit(0))
+    out = tops.unionByName(known.join(up.hint("shuffle_hash"), F.col(parent) == F.col("_at")).drop("_at"))
     return out.withColumns({"_is_top_level": F.col("_depth") == 0, "_parent_comment_id": F.col(parent)})
 
 

@@ -94,12 +94,12 @@ def _tree(spark, d):
 
 
 def thread_flatten(spark, d):
-    t = flatten_threads(_tree(spark, d), max_depth=50)
+    t = flatten_threads(_tree(spark, d))
     return t.select("id", F.col("_depth").cast("long").alias("depth"), F.col("_is_top_level").alias("top_level"), F.col("_parent_comment_id").alias("parent"))
 
 
 def thread_depth(spark, d):
-    t = flatten_threads(_tree(spark, d), max_depth=50)
+    t = flatten_threads(_tree(spark, d))
     return t.groupBy("conv_id").agg(F.max("_depth").cast("long").alias("depth"), F.count("*").alias("n"))
 
 
