@@ -17,11 +17,11 @@ def test_viterbi(spark):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("piece_bpe_32k.model")
     v = spviterbi.Viterbi(path)
-    score = {v.piece[int(i)]: s for i, s in zip(v.ids, v.scores, strict=True)}
-    number = {v.piece[int(i)]: int(i) for i in v.ids}
+    score = {v.pieces[int(i)]: s for i, s in zip(v.ids, v.scores, strict=True)}
+    number = {v.pieces[int(i)]: int(i) for i in v.ids}
 
     def plain(t):
-        w = "▁" + t.replace(" ", "▁") if t else ""
+        w = " " + t.replace("▁", " ") if t else ""
         best = [(0.0, [])]
         for e in range(1, len(w) + 1):
             top = None
@@ -30,14 +30,34 @@ def test_viterbi(spark):
                 if s is not None and (top is None or best[e - k][0] + s > top[0]):
                     top = (best[e - k][0] + s, [*best[e - k][1], w[e - k : e]])
             best.append(top)
-        return [i for x in best[-1][1] for i in ([number[x]] if x in number else [v.byte_id[b] for b in x.encode()])]
+        return [i for x in best[-1][1] for i in ([number[x]] if x in number else [int(v.byte_ids[b]) for b in x.encode()])]
 
-    texts = ["Hello  world, the the.", "", None, " x ", "日本語 ﬁ \n\t é", "a" * 300, "1/2 <s> </s> ünï"]
+    random.seed(8)
+    texts = ["Hello  world, the the.", "", None, " x ", "日本語 ﬁ \n\t é", "a" * 300, "1/2 <s> </s> ünï", "  ", "▁a▁▁b", "Hello  world, the the.", "x" * 2500 + " " + "ab" * 300]
+    texts += ["".join(random.choice("abcé日😀 the") for _ in range(n)) for n in (3, 41, 60, 900)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, ids int")
     enc = {r.doc_id: list(r.ids) for r in spviterbi.encode_documents(df, path).collect()}
     assert enc == {i: plain(t or "") for i, t in enumerate(texts)}
-    assert all(r.exact for r in spviterbi.encoded_and_back(df, path).collect())
-    assert v.decode([None, -1, 10**6, 1, number["▁x"]]) == "x"
+    assert {r.doc_id: r.exact for r in spviterbi.encoded_and_back(df, path).collect()} == {i: "▁" not in (t or "") for i, t in enumerate(texts)}
+    long = "a few words " * 50_000  # the ids of a very long text are those of its words
+    ids, n = v.encode([long, "a few words a few words"])
+    assert n[0] - 1 == (n[1] // 2) * 50_000 and v.decode(ids, n) == [long, "a few words a few words"]
+    assert spviterbi.encode_documents(df.limit(0), path).count() == 0 and spviterbi.encoded_and_back(df.limit(0), path).count() == 0
+    odd = spark.createDataFrame([(1, [None, -1, 10**6, 1, number[" x"]]), (2, None), (3, []), (4, [number["x"], number[" x"]])], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.decoded for r in spviterbi.decode_documents(odd, path).collect()} == {1: "x", 2: "", 3: "", 4: "x x"}
+
+
+def test_viterbi_solves_long_parts_alike(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    v = spviterbi.Viterbi(P.path("piece_bpe_32k.model"))
+    random.seed(9)
+    texts = ["".join(random.choice("abcdethinrs日") for _ in range(n)) for n in range(1, 120, 7)]
+    want = [x.tolist() for x in v.encode(texts)]
+    for even, long, run in ((40, 10, 1 << 18), (2, 2048, 64)):
+        monkeypatch.setattr(spviterbi, "EVEN", even)
+        monkeypatch.setattr(spviterbi, "LONG", long)
+        monkeypatch.setattr(spviterbi, "SOLVE_CHARS", run)
+        assert [x.tolist() for x in v.encode(texts)] == want
 
 
 def test_language_model(spark):

@@ -4,206 +4,273 @@ The pieces and their scores come from a SentencePiece model file. A text's
 spaces become U+2581, one more is put in front, and the segmentation with the
 largest total score is taken; of equal ones, that whose last piece is longest,
 then that of the piece before, and so on. Characters that no piece covers are
-spelled with the file's byte pieces. As no piece has a U+2581 after another
-character, words (runs of U+2581 with what follows up to the next) are
-independent, so a worker solves each distinct word once: words of one length
-form a matrix, substring hashes of one length are looked up in the sorted
-piece keys at once, and the maxima keep backpointers.
+spelled with the file's byte pieces.
+
+Texts are taken in runs of a few megabytes. A run falls into parts wherever no
+piece joins two neighbouring characters (so before every word), and each
+distinct part of the run is solved once: parts of one length form a matrix and
+advance together, hashes of all substrings of one length are looked up in the
+sorted piece keys at once, and vectorised maxima keep the length of the last
+piece. What a worker holds follows from the size of a run, not from what it
+has seen.
 
 This is the unigram rule. A file that was made for merges (BPE) gives other
 ids under the library's merge rule; decoding is the same for both.
 
 Defined results: null texts are empty ones and give no ids; U+2581 in a text
 decodes as a space; ids outside the file, nulls and control pieces decode to
-nothing; repeated rows and further columns stay as they are.
+nothing; an empty table gives an empty one; repeated rows and further columns
+stay as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SPACE = "▁"
-#: The odd base of the rolling hash, and how many words and parts a worker remembers.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS, CACHE_PARTS = 200_000, 600_000
-#: Words of one length that are solved together; longer words make smaller batches.
-BATCH_CHARS = 1 << 19
+#: The odd base of the rolling hash, modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+#: Characters of texts that are encoded together, and of parts that are solved together.
+RUN_CHARS, SOLVE_CHARS = 1 << 23, 1 << 18
+#: Parts up to EVEN characters form matrices of one length; longer ones up to LONG share matrices a little longer than they are.
+EVEN, LONG, STRETCH = 40, 2048, 1.2
 _workers: dict = {}
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] times, then the same of the next."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def widths(cp: np.ndarray) -> np.ndarray:
+    """Bytes of characters in UTF-8."""
+    return 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+
+
+def joined(strings: pa.LargeStringArray) -> str:
+    """The strings end to end."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return bytes(memoryview(strings.buffers()[2])[at[0] : at[-1]]).decode("utf-8", "surrogatepass")
+
+
 class Viterbi:
+    """A model file's pieces, with spaces for U+2581."""
+
     def __init__(self, model_path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = sp.get_piece_size()
-        self.piece = [sp.id_to_piece(i) for i in range(n)]
-        usable = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.byte_id = {int(self.piece[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
-        self.raw = [b""] * n
-        for i in usable:
-            self.raw[i] = self.piece[i].replace(SPACE, " ").encode()
-        for b, i in self.byte_id.items():
-            self.raw[i] = bytes([b])
         self.unk_id = sp.unk_id()
-        if any(SPACE in self.piece[i].lstrip(SPACE) for i in usable):
+        usable = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        self.pieces = {i: sp.id_to_piece(i).replace(SPACE, " ") for i in usable}
+        self.byte_ids = np.full(256, self.unk_id, np.int32)
+        raw = [b""] * n
+        for i, piece in self.pieces.items():
+            raw[i] = piece.encode()
+        for i in range(n):
+            if sp.is_byte(i):
+                b = int(sp.id_to_piece(i)[1:-1], 16)
+                self.byte_ids[b], raw[i] = i, bytes([b])
+        # bytes of pieces end to end; a last one without bytes stands for ids that are not in the file
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([*map(len, raw), 0], np.int64)
+        self.raw_begin = np.cumsum(self.raw_size) - self.raw_size
+        if any(" " in piece.lstrip(" ") for piece in self.pieces.values()):
             raise ValueError("a piece has U+2581 after another character; words would not be independent")
-        self.longest = max(len(self.piece[i]) for i in usable)
-        keys = np.array([self._hash(self.piece[i]) for i in usable], np.uint64)
+        self.longest = max(map(len, self.pieces.values()))
+        keys = np.array([self._hash(self.pieces[i]) for i in usable], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable, np.int32)[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a key")
-        score = np.array([sp.get_score(i) for i in range(n)], np.float64)
-        self.scores = score[self.ids]
+        self.scores = np.array([sp.get_score(i) for i in usable], np.float64)[order]
         self.unk_score = float(self.scores.min()) - 10.0
-        self.power = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         self.maybe = np.zeros(1 << 20, bool)  # whether some key has these leading bits; most substrings end here
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        #: Adjacent characters of some piece; a word falls apart where its neighbours are no such pair.
-        self.pairs = {a + b for i in usable for a, b in zip(self.piece[i], self.piece[i][1:], strict=False)}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # characters next to each other in some piece: their numbers, and a table of pairs
+        joined = {a + b for piece in self.pieces.values() for a, b in zip(piece, piece[1:], strict=False)}
+        self.number = np.zeros(0x110000, np.uint16)
+        chars = sorted(set("".join(joined)))
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.kinds = len(chars) + 1
+        self.pair = np.zeros(self.kinds * self.kinds, bool)
+        for a, b in joined:
+            self.pair[int(self.number[ord(a)]) * self.kinds + int(self.number[ord(b)])] = True
 
     @staticmethod
     def _hash(s: str) -> int:
         h = 0
         for c in s:
-            h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            h = (h * BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def solve(self, words: list[str]) -> list[bytes]:
-        """Best segmentations of words that all have one length, as ids in bytes."""
-        n, length = len(words), len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros((length + 1, n), np.uint64)
-        for i in range(length):
-            prefix[i + 1] = prefix[i] * BASE + chars[:, i]
-        best = np.zeros((length + 1, n))
-        back = np.ones((length + 1, n), np.int32)  # length of the last piece
-        slot = np.full((length + 1, n), -1, np.int32)  # its id, -1: a character that no piece has
-        for end in range(1, length + 1):
-            top = np.full(n, -np.inf)
-            for k in range(min(self.longest, end), 0, -1):
-                key = prefix[end] - prefix[end - k] * self.power[k]
-                at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
-                if not len(at):
-                    continue
-                found = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-                hit = self.keys[found] == key[at]
-                at, found = at[hit], found[hit]
-                cand = best[end - k, at] + self.scores[found]
-                better = cand > top[at]
-                at, found = at[better], found[better]
-                top[at] = cand[better]
-                back[end, at] = k
-                slot[end, at] = self.ids[found]
-            lone = best[end - 1] + self.unk_score
-            bare = (slot[end] < 0) | (lone > top)
-            best[end] = np.where(bare, lone, top)
-            back[end, bare], slot[end, bare] = 1, -1
-        # all words walk back at once, a piece a step
-        row, end, rows, ids = np.arange(n), np.full(n, length), [], []
-        while len(row):
-            rows.append(row)
-            ids.append(slot[end, row])
-            end = end - back[end, row]
-            row, end = row[end > 0], end[end > 0]
-        step = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        row, flat = np.concatenate(rows), np.concatenate(ids).astype(np.int32)
-        order = np.lexsort((-step, row))
-        row, flat = row[order], flat[order]
-        ends = np.cumsum(np.bincount(row, minlength=n)) * 4
-        blob = flat.tobytes()
-        out = [blob[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        for i in np.unique(row[flat < 0]).tolist():
-            out[i] = self.spelled(words[i], back[:, i].tolist(), slot[:, i].tolist())
-        return out
-
-    def spelled(self, word: str, back: list[int], slot: list[int]) -> bytes:
-        """The same for a word with characters that no piece has: those become their bytes' pieces."""
-        ids: list[int] = []
-        end = len(word)
-        while end:
-            if slot[end] >= 0:
-                ids.append(slot[end])
-            else:
-                ids.extend(self.byte_id.get(x, self.unk_id) for x in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
-            end -= back[end]
-        return np.array(ids[::-1], np.int32).tobytes()
-
-    def cut(self, word: str) -> list[str]:
-        """Parts that no piece joins."""
-        pairs, at, out = self.pairs, 0, []
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                out.append(word[at:i])
-                at = i
-        out.append(word[at:])
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
-        parts = self.parts
-        cut = [self.cut(w) for w in words]
-        by_length: dict[int, list[str]] = {}
-        for w in {x for ws in cut for x in ws if x not in parts}:
-            by_length.setdefault(len(w), []).append(w)
-        for length, ws in by_length.items():
-            step = max(1, BATCH_CHARS // length)
-            for at in range(0, len(ws), step):
-                run = ws[at : at + step]
-                parts.update(zip(run, self.solve(run), strict=True))
-        for w, ws in zip(words, cut, strict=True):
-            self.known[w] = parts[ws[0]] if len(ws) == 1 else b"".join([parts[x] for x in ws])
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Words with their leading U+2581; they join to the normalised text."""
-        if not text:
-            return []
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return [SPACE + p for p in text.split(" ")]
-        out, lead = [], SPACE
-        for part in text.split(" "):
-            if part:
-                out.append(lead + part)
-                lead = SPACE
-            else:
-                lead += SPACE
-        if len(lead) > 1:
-            out.append(lead[:-1])
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.old = {}, self.known
-        new = set().union(*cut).difference(self.known)
-        kept = [w for w in new if w in self.old]
-        self.known.update((w, self.old[w]) for w in kept)
-        self.learn(list(new.difference(kept)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
-
-    def decode(self, ids: list[int]) -> str:
-        raw, n = self.raw, len(self.raw)
-        try:
-            got = b"".join([raw[i] for i in ids])
-        except (IndexError, TypeError):
-            got = b"".join([raw[i] for i in ids if i is not None and 0 <= i < n])
-        return got.removeprefix(b" ").decode("utf-8", "replace")
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that are pieces, and the pieces' places in the sorted keys."""
+        at = np.flatnonzero(self.maybe[(keys >> np.uint64(44)).astype(np.int64)])
+        key = keys[at]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[found] == key
+        return at[hit], found[hit]
+
+    def best_lengths(self, cp: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For parts (characters cp[begin : begin + size], about one size) the ends of their pieces in cp and the pieces' lengths, part by part.
+
+        Lanes of characters in step: row e of `score` holds, for pieces that end
+        after e characters, the longest first, their scores in every part.
+        """
+        n, most, deep = len(begin), int(size.max()), min(self.longest, int(size.max()))
+        chars = np.zeros((most, n), np.uint64)
+        inside = np.arange(most)[:, None]
+        real = inside < size
+        chars[real] = cp[(begin + inside)[real]].astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros((most + 1, n), np.uint64)
+        for e in range(most):
+            np.multiply(prefix[e], np.uint64(BASE), out=prefix[e + 1])
+            prefix[e + 1] += chars[e]
+        score = np.full((most, deep, n), -np.inf)
+        score[:, deep - 1] = self.unk_score
+        for k in range(1, deep + 1):
+            key = prefix[k:] - prefix[: most + 1 - k] * np.uint64(pow(BASE, k, 1 << 64))
+            at, found = self.look(key.ravel())
+            score[k - 1 :, deep - k].reshape(-1, n)[at // n, at % n] = self.scores[found]
+        best = np.full((most + deep, n), -np.inf)
+        best[deep - 1] = 0.0
+        back = np.empty((most, n), np.int16)
+        lanes = np.arange(n)
+        for e in range(most):
+            total = best[e : e + deep] + score[e]
+            top = total.argmax(axis=0)
+            best[e + deep] = total[top, lanes]
+            back[e] = deep - top
+        # all parts walk back at once, a piece a step
+        part, end, parts, ends, lens = lanes, size.copy(), [], [], []
+        while len(part):
+            k = back[end - 1, part].astype(np.int64)
+            parts.append(part)
+            ends.append(end)
+            lens.append(k)
+            end = end - k
+            part, end = part[end > 0], end[end > 0]
+        part, end, k = np.concatenate(parts), np.concatenate(ends), np.concatenate(lens)
+        order = np.lexsort((end, part))
+        return (begin[part] + end)[order], k[order]
+
+    def long_lengths(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long part, whose substrings are looked up at once and whose maxima are taken one by one."""
+        n = len(cp)
+        inverse, base = np.uint64(pow(BASE, -1, 1 << 64)), np.uint64(BASE)
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base))))
+        falling = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, inverse))))
+        prefix = np.concatenate(([np.uint64(0)], np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * falling[1:]) * power[1:]))
+        ends, lens, worth = [np.arange(1, n + 1)], [np.ones(n, np.int64)], [np.full(n, self.unk_score)]
+        for k in range(1, min(self.longest, n) + 1):
+            at, found = self.look(prefix[k:] - prefix[: n + 1 - k] * power[k])
+            ends.append(at + k)
+            lens.append(np.full(len(at), k))
+            worth.append(self.scores[found])
+        end, size, score = np.concatenate(ends), np.concatenate(lens), np.concatenate(worth)
+        order = np.lexsort((-size, end))
+        best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        for e, k, s in zip(end[order].tolist(), size[order].tolist(), score[order].tolist(), strict=True):
+            if best[e - k] + s > best[e]:
+                best[e], back[e] = best[e - k] + s, k
+        out = []
+        while n:
+            out.append((n, back[n]))
+            n -= back[n]
+        found = np.array(out[::-1], np.int64)
+        return found[:, 0], found[:, 1]
+
+    def solve(self, text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that stand end to end in the text, and how many each has."""
+        cp = points(text)
+        begin = np.cumsum(size) - size
+        order = np.argsort(size, kind="stable")
+        wide = size[order].astype(np.float64)
+        wide = np.where(wide > EVEN, np.ceil(np.log(np.maximum(wide, 1) / EVEN) / np.log(STRETCH)) + EVEN, wide)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(wide)) + 1, [len(order)]))
+        ends, lens, whose = [], [], []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            step = max(1, SOLVE_CHARS // int(size[order[e - 1]]))
+            for at in range(s, e, step):
+                part = order[at : min(e, at + step)]
+                if size[part[-1]] <= LONG:
+                    end, k = self.best_lengths(cp, begin[part], size[part])
+                    ends.append(end)
+                    lens.append(k)
+                else:
+                    for p in part.tolist():
+                        end, k = self.long_lengths(cp[begin[p] : begin[p] + size[p]])
+                        ends.append(begin[p] + end)
+                        lens.append(k)
+        end, k = np.concatenate(ends), np.concatenate(lens)
+        back = np.argsort(end, kind="stable")  # in the order of the text again
+        end, k = end[back], k[back]
+        # the pieces' keys once more, now only those of the best segmentation
+        key = np.zeros(len(end), np.uint64)
+        for i in range(int(k.max())):
+            on = np.flatnonzero(k > i)
+            key[on] = key[on] * np.uint64(BASE) + cp[end[on] - k[on] + i].astype(np.uint64) + np.uint64(1)
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        ids = np.where(self.keys[found] == key, self.ids[found], -1)
+        whose = np.searchsorted(begin + size, end)
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):  # characters that no piece has become the pieces of their bytes
+            n = np.ones(len(ids), np.int64)
+            n[bare] = widths(cp[end[bare] - 1])
+            at = np.cumsum(n) - n
+            spelled = np.frombuffer("".join(map(chr, cp[end[bare] - 1].tolist())).encode("utf-8", "surrogatepass"), np.uint8)
+            ids, whose = np.repeat(ids, n), np.repeat(whose, n)
+            ids[spread(at[bare], n[bare])] = self.byte_ids[spelled]
+        return ids.astype(np.int32), np.bincount(whose, minlength=len(size))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        body = "".join([" " + t if t else "" for t in texts]).replace(SPACE, " ")
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        if not body:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        cp, raw = points(body), body.encode("utf-8", "surrogatepass")
+        kind = self.number[cp]
+        cut = np.ones(len(cp), bool)
+        cut[1:] = ~self.pair[kind[:-1].astype(np.int32) * self.kinds + kind[1:]]
+        start = (np.cumsum(size) - size)[size > 0]
+        cut[start] = True
+        first = np.flatnonzero(cut)
+        place = first if len(raw) == len(cp) else (np.cumsum(widths(cp)) - widths(cp))[first]
+        offsets = np.append(place, len(raw)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        which, kinds = parts.indices.to_numpy(), parts.dictionary
+        ids, count = self.solve(joined(kinds), pc.utf8_length(kinds).to_numpy().astype(np.int64))
+        begin = np.cumsum(count) - count
+        n = count[which]
+        out = np.zeros(len(texts), np.int64)
+        out[size > 0] = np.add.reduceat(n, np.searchsorted(first, start))
+        return ids[spread(begin[which], n)], out
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """Texts of ids that stand end to end."""
+        known = np.where((ids >= 0) & (ids < len(self.raw_size) - 1), ids, len(self.raw_size) - 1)
+        size = self.raw_size[known]
+        raw = self.raw[spread(self.raw_begin[known], size)].tobytes()
+        end = np.concatenate(([0], np.cumsum(size)))[np.cumsum(count)].tolist()
+        return [raw[s:e].removeprefix(b" ").decode("utf-8", "replace") for s, e in zip([0, *end[:-1]], end, strict=True)]
 
 
 def model(path: str) -> Viterbi:
@@ -212,7 +279,7 @@ def model(path: str) -> Viterbi:
     return _workers[path]
 
 
-def runs(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def runs(sizes: list[int], most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to about `most`."""
     at = n = 0
     for i, s in enumerate(sizes):
@@ -224,15 +291,31 @@ def runs(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def encoded_runs(v: Viterbi, texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts (null: empty), their ids end to end and how many each has, a run at a time."""
+    for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        part = [t or "" for t in texts[s:e].to_pylist()]
+        yield (part, *v.encode(part))
+
+
+def lists(ids: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(ids))
+
+
+def checksums(ids: np.ndarray, count: np.ndarray) -> list[int]:
+    """CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
+    view = memoryview(np.ascontiguousarray(ids).astype("<i4", copy=False)).cast("B")
+    end = (4 * np.cumsum(count)).tolist()
+    return [zlib.crc32(view[s:e]) for s, e in zip([0, *end[:-1]], end, strict=True)]
+
+
 def encode_column(text: Column, model_path: str) -> Column:
     """Text to array<int> of piece ids."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        v, whole = model(model_path), [t or "" for t in texts.to_pylist()]
-        blobs = [b for s, e in runs([len(t) for t in whole]) for b in v.encode(whole[s:e])]
-        offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+        found = [(ids, n) for _, ids, n in encoded_runs(model(model_path), texts)]
+        return lists(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int32)]), np.concatenate([f[1] for f in found] or [np.zeros(0, int)]))
 
     return encode(text)
 
@@ -242,25 +325,39 @@ def decode_column(ids: Column, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        v = model(model_path)
-        if rows.null_count or rows.values.null_count:
-            return pa.array([v.decode(r.as_py() or []) for r in rows], pa.string())
-        off = rows.offsets.to_numpy().tolist()
-        return pa.array([v.decode(rows.values[s:e].to_numpy().tolist()) for s, e in zip(off[:-1], off[1:], strict=True)], pa.string())
+        count = pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64)
+        flat, out = pc.fill_null(rows.flatten(), -1).to_numpy(), []
+        at = np.concatenate(([0], np.cumsum(count)))
+        for s, e in runs(count.tolist(), RUN_CHARS // 4):
+            out += model(model_path).decode(flat[at[s] : at[e]], count[s:e])
+        return pa.array(out, pa.string())
 
     return decode(ids)
 
 
-def ids_crc32(ids: Column) -> Column:
-    """CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+CHECKED = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded_sha256": pa.string(), "exact": pa.bool_()}
 
-    @F.arrow_udf("long")
-    def crc(rows: pa.Array) -> pa.Array:
-        off = rows.offsets.to_numpy().tolist()
-        view = memoryview(np.ascontiguousarray(rows.values.to_numpy(zero_copy_only=False)).astype("<i4", copy=False)).cast("B")
-        return pa.array([zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(off[:-1], off[1:], strict=True)], pa.int64())
 
-    return crc(ids)
+def encode_and_check(text: Column, model_path: str, with_ids: bool = True) -> Column:
+    """A struct of the ids (if wanted), their number and CRC-32, the SHA-256 of what they decode to, and whether that is the text: one pass, so that nothing is encoded twice."""
+
+    @F.arrow_udf(("ids array<int>, " if with_ids else "") + "n_pieces long, ids_crc32 long, decoded_sha256 string, exact boolean")
+    def check(texts: pa.Array) -> pa.Array:
+        v = model(model_path)
+        columns: tuple[list, ...] = ([], [], [], [])
+        found: list[np.ndarray] = [np.zeros(0, np.int32)]
+        for part, ids, count in encoded_runs(v, texts):
+            again = v.decode(ids, count)
+            for c, x in zip(columns, (count.tolist(), checksums(ids, count), [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in again], [a == b for a, b in zip(part, again, strict=True)]), strict=True):
+                c.extend(x)
+            if with_ids:
+                found.append(ids)
+        arrays = [pa.array(c, k) for c, k in zip(columns, CHECKED.values(), strict=True)]
+        if not with_ids:
+            return pa.StructArray.from_arrays(arrays, list(CHECKED))
+        return pa.StructArray.from_arrays([lists(np.concatenate(found), np.array(columns[0], np.int64)), *arrays], ["ids", *CHECKED])
+
+    return check(text)
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -279,11 +376,7 @@ def default_model() -> str:
 
 def encoded_and_back(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256, and whether decoding gives the text again."""
-    enc = encode_documents(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_path)
-    dec = decode_documents(enc.withColumn("ids_crc32", ids_crc32(F.col("ids"))), model_path)
-    return dec.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("exact")
-    )
+    return docs.select("doc_id", encode_and_check(F.col("text"), model_path, with_ids=False).alias("_c")).select("doc_id", *[f"_c.{c}" for c in CHECKED])
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
