@@ -1,9 +1,12 @@
 """WARC, URL lists, token files: round trips and defined edge cases."""
 
+import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 
@@ -69,4 +72,58 @@ def test_token_files(spark):
         at += len(ids)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.starts_and_digests(spark, out).collect())
     assert got == sorted(want)
-    assert sorted((r.start, len(r.ids)) for r in tokenfile.read_token_files(spark, out).collect()) == sorted((w[1], w[2]) for w in want)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens) for r in tokenfile.token_index(spark, out).collect()) == sorted(w[:3] for w in want)
+    assert sorted(len(r.ids) for r in tokenfile.read_token_files(spark, out, 2, 3).collect()) == sorted(w[2] for w in want if w[0] in (2, 3))
+
+
+def test_token_parts_against_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    enc = tokenfile.PartEncoder(P.path("byte_bpe_50k.json"))
+    random.seed(3)
+    bits = ["'s", "'t", "'", "'ll", " ", "  ", "\n", "\n\n", "\t", " \n", "a", "the", "don", "12", "3", "²", "½", ".", "...", "!?", "é", "ß", "×", "÷", "\u00a0", "\u3000", " ", "日本", "—", "“", "😀", "\x1c", "\x85", "ǅ", "ñ", "x_y", "|", "Ⅷ", "ȡ", "ɐ"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 12))) for _ in range(4000)] + ["", "the " * 30000]
+    for run in (texts[:2000], texts[2000:], texts[:2000], ["<|endoftext|>a", " b"]):
+        ids, count = enc.encode(run, 2)
+        want = [e.ids + [2] for e in enc.tokenizer.encode_batch(run, add_special_tokens=False)]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_token_cache_has_a_bound(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokenfile, "CACHE_BYTES", 20_000)
+    enc = tokenfile.PartEncoder(P.path("byte_bpe_50k.json"))
+    for k in range(30):
+        run = [f"word{k}x{i} same" for i in range(100)]
+        ids, count = enc.encode(run)
+        assert ids.tolist() == [i for e in enc.tokenizer.encode_batch(run, add_special_tokens=False) for i in e.ids]
+        assert len(enc.known) + len(enc.old) < 900
+
+
+@pytest.mark.parametrize("delta", [True, False])
+def test_token_files_allow_selective_reads(spark, delta):
+    P = pytest.importorskip("public_tokenizers")
+    out = scratch(spark, "tok")
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat(concat('w', id % 97, ' and '), 400) as text", "'x' as ids", "1 as part", "2 as n_tokens")
+    tokenfile.write_token_files(tokenfile.encode_ids(docs, P.path("byte_bpe_50k.json"), end_id=2), out, row_group_mb=1, page_kb=16, delta=delta)
+    plan = tokenfile.token_index(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1].split(chr(10))[0]
+    ranged = tokenfile.read_token_files(spark, out, 100, 120)
+    assert "GreaterThanOrEqual(doc_id,100)" in ranged._jdf.queryExecution().executedPlan().toString() and ranged.count() == 21
+    groups = total = 0
+    for f in sorted(Path(out.removeprefix("file://")).glob("*.parquet")):
+        m = pq.ParquetFile(f).metadata
+        for g in range(m.num_row_groups):
+            c = {m.row_group(g).column(i).path_in_schema: m.row_group(g).column(i) for i in range(m.num_columns)}
+            groups += c["doc_id"].statistics.min <= 120 and c["doc_id"].statistics.max >= 100
+            ids = next(v for k, v in c.items() if k.startswith("ids"))
+            assert ids.has_offset_index and c["doc_id"].has_column_index and c["n_tokens"].has_column_index
+            assert ("DELTA_BINARY_PACKED" in ids.encodings) == delta and any("DICTIONARY" in e for e in ids.encodings) != delta
+            total += 1
+    assert groups <= 2 and total >= 4  # the others are skipped by their statistics
+
+
+def test_token_files_empty(spark):
+    P = pytest.importorskip("public_tokenizers")
+    out = scratch(spark, "tok")
+    tokenfile.write_token_files(tokenfile.encode_ids(spark.createDataFrame([], "doc_id long, text string"), P.path("byte_bpe_50k.json"), end_id=2), out)
+    assert tokenfile.starts_and_digests(spark, out).count() == 0 and tokenfile.token_index(spark, out).count() == 0

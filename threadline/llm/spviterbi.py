@@ -26,7 +26,6 @@ stay as they are.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,24 +34,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import RUN, checksums, distinct_parts, joined, lists, runs, spread
 from .common import table
 
 SPACE = "▁"
 #: The odd base of the rolling hash, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-#: Characters of texts that are encoded together, and of parts that are solved together.
-RUN_CHARS, SOLVE_CHARS = 1 << 23, 1 << 18
+#: Characters of parts that are solved together.
+SOLVE_CHARS = 1 << 18
 #: Parts up to EVEN characters form matrices of one length; longer ones up to LONG share matrices a little longer than they are.
 EVEN, LONG, STRETCH = 40, 2048, 1.2
 _workers: dict = {}
 
 
-def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... count[0] times, then the same of the next."""
-    ends = np.cumsum(count)
-    return np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -62,12 +56,6 @@ def widths(cp: np.ndarray) -> np.ndarray:
     return 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
 
 
-def joined(strings: pa.LargeStringArray) -> str:
-    """The strings end to end."""
-    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    return bytes(memoryview(strings.buffers()[2])[at[0] : at[-1]]).decode("utf-8", "surrogatepass")
-
-
 class Viterbi:
     """A model file's pieces, with spaces for U+2581."""
 
@@ -254,9 +242,7 @@ class Viterbi:
         cut[start] = True
         first = np.flatnonzero(cut)
         place = first if len(raw) == len(cp) else (np.cumsum(widths(cp)) - widths(cp))[first]
-        offsets = np.append(place, len(raw)).astype(np.int64)
-        parts = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        which, kinds = parts.indices.to_numpy(), parts.dictionary
+        which, kinds = distinct_parts(raw, place)
         ids, count = self.solve(joined(kinds), pc.utf8_length(kinds).to_numpy().astype(np.int64))
         begin = np.cumsum(count) - count
         n = count[which]
@@ -279,18 +265,6 @@ def model(path: str) -> Viterbi:
     return _workers[path]
 
 
-def runs(sizes: list[int], most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges whose sizes add up to about `most`."""
-    at = n = 0
-    for i, s in enumerate(sizes):
-        n += s
-        if n >= most:
-            yield at, i + 1
-            at, n = i + 1, 0
-    if at < len(sizes):
-        yield at, len(sizes)
-
-
 def encoded_runs(v: Viterbi, texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Texts (null: empty), their ids end to end and how many each has, a run at a time."""
     for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
@@ -298,17 +272,6 @@ def encoded_runs(v: Viterbi, texts: pa.Array) -> Iterator[tuple[list[str], np.nd
         yield (part, *v.encode(part))
 
 
-def lists(ids: np.ndarray, count: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(ids))
-
-
-def checksums(ids: np.ndarray, count: np.ndarray) -> list[int]:
-    """CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
-    view = memoryview(np.ascontiguousarray(ids).astype("<i4", copy=False)).cast("B")
-    end = (4 * np.cumsum(count)).tolist()
-    return [zlib.crc32(view[s:e]) for s, e in zip([0, *end[:-1]], end, strict=True)]
-
-
 def encode_column(text: Column, model_path: str) -> Column:
     """Text to array<int> of piece ids."""
 
@@ -328,7 +291,7 @@ def decode_column(ids: Column, model_path: str) -> Column:
         count = pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64)
         flat, out = pc.fill_null(rows.flatten(), -1).to_numpy(), []
         at = np.concatenate(([0], np.cumsum(count)))
-        for s, e in runs(count.tolist(), RUN_CHARS // 4):
+        for s, e in runs(count.tolist(), RUN // 4):
             out += model(model_path).decode(flat[at[s] : at[e]], count[s:e])
         return pa.array(out, pa.string())
 
