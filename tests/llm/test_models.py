@@ -177,17 +177,20 @@ def plain_tree(docs, held, depth=3):
     return {i: sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), ws[k])) for k in range(1, len(ws))) for i, t in docs for ws in [[None, *tok(t)]]}
 
 
-@pytest.mark.parametrize("share", [1e-5, 0.01, 2.0])
-def test_language_model_is_whole(spark, monkeypatch, share):
-    """All successors and contexts count, however small their share; entries of the table and common ones score alike."""
+@pytest.mark.parametrize(("share", "context", "run"), [(1e-5, 1e-4, 1 << 24), (0.01, 0.01, 2000), (2.0, 2.0, 300)])
+def test_language_model_is_whole(spark, monkeypatch, share, context, run):
+    """All successors and contexts count, however small their share; entries of the table and common ones score alike, and so do contexts dealt whole or by pairs."""
     monkeypatch.setattr(pst, "HOT_SHARE", share)
+    monkeypatch.setattr(pst, "BROADCAST_SHARE", share)
+    monkeypatch.setattr(pst, "HOT_CONTEXT", context)
+    monkeypatch.setattr(pst, "COUNT_RUN", run)
     random.seed(4)
     words = [f"w{i}" for i in range(400)]
     phrases = [" ".join(random.choice(words) for _ in range(5)) for _ in range(60)]
-    docs = [(i, " ".join(random.choice(phrases) if random.random() < 0.5 else random.choice(words) for _ in range(random.randint(0, 50)))) for i in range(300)] + [(300, None), (301, "new words")]
+    docs = [(i, " ".join(random.choice(phrases) if random.random() < 0.5 else random.choice(words) for _ in range(random.randint(0, 50)))) for i in range(300)] + [(300, None), (301, "new words"), (302, phrases[0] + (" " + phrases[1]) * 3000), (303, "ü Ü\u00a0x\u2003 W1")]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     want = plain_tree(docs, held)
-    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(docs, "doc_id long, text string"), ~pst.held_out()).collect()}
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, key string"), ~pst.held_out()).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
 
 

@@ -16,11 +16,18 @@ as in the base score one symbol. A word is scored in its longest kept suffix.
 The counts needed are absolute, so the tree grows with the corpus. It stays in
 Spark tables keyed by 64-bit hashes of word runs. Scores are sums of looked-up
 logarithms: every kept context adds its back-off weight and every listed
-successor its gain over backing off, so positions meet the tree in the shuffle
-in which rare words meet their counts. What is broadcast has a bound whatever
-the corpus: words and entries that hold a share of all tokens (BROADCAST_SHARE,
-HOT_SHARE), and bit filters of FILTER_BITS that keep runs out of shuffles that
-are surely not in a table; a false hit costs a row, not a result.
+successor its gain over backing off.
+
+Shuffles carry packed arrays: a run of texts sends each bucket one row that
+holds its distinct (context, next word) pairs with their counts, or its
+lookups, as binary columns. A bucket is a share of the hashes of contexts or
+keys; the pairs of contexts that hold HOT_CONTEXT of all tokens are dealt by
+the pair, so no context has a task of its own. Buckets are four a shuffle
+partition, and a task holds one at a time. What is broadcast has a bound
+whatever the corpus: words and entries that hold a share of all tokens
+(BROADCAST_SHARE, HOT_SHARE), hot contexts, and bit filters of FILTER_BITS that
+keep what is surely not in a table out of shuffles; a false hit costs a few
+bytes, not a result.
 
 Defined results: null texts are empty, with the end as only token; rows with a
 null id are learned from and not held out; repeated rows each count and each
@@ -32,53 +39,81 @@ from __future__ import annotations
 
 import gc
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .batches import distinct_parts, runs
+from .common import partitions, table, written
 
 DEPTH, CONTEXT_MIN, SUCCESSOR_MIN, PULL = 3, 5, 2, 20.0
-BROADCAST_SHARE, HOT_SHARE = 2e-6, 1e-5
+#: Shares of all tokens from which words and entries are broadcast, and contexts are dealt by their pairs.
+BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 2e-6, 3e-6, 1e-4
 #: Bits of a filter (16 MB), and of one part of it as it is made.
 FILTER_BITS, PART_BITS = 27, 18
+#: Bytes of texts whose pairs are counted together before they are shuffled.
+COUNT_RUN = 1 << 24
+#: Buckets a shuffle partition.
+BUCKETS = 4
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end token's place among words: it has a space, which no word has.
 END_TOKEN = b" end"
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words in UTF-8, cut at ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(TO_LOWER).split()
+U = np.uint64
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+class Words:
+    """The words of a run of texts: distinct ones (bytes, A-Z in lower case), which of them stands where, and words a text."""
+
+    def __init__(self, texts: list[str]):
+        raws = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
+        raw = np.frombuffer(b"".join(raws).translate(TO_LOWER), np.uint8)
+        white = np.concatenate(([True], WHITE[raw]))
+        begin = np.flatnonzero(white[:-1] & ~white[1:])
+        end = np.flatnonzero(~white[:-1] & white[1:])
+        length = end - begin
+        self.which, kinds = distinct_parts(raw[~white[1:]].tobytes(), np.cumsum(length) - length)
+        self.kinds: list[bytes] = kinds.cast(pa.large_binary()).to_pylist()
+        bounds = np.searchsorted(begin, np.cumsum([0] + [len(r) for r in raws]))
+        self.count = np.diff(bounds)
+
+    def keys(self) -> np.ndarray:
+        return np.array([word_key(w) for w in self.kinds], np.int64).view(U)
+
+    def tokens(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the texts' words end to end, each text between an end that is a context only and its end token; and the place of the first of these."""
+        size = self.count + 2
+        start = np.cumsum(size) - size
+        flat = np.full(int(size.sum()), np.int64(word_key(END_TOKEN)).view(U), U)
+        own = np.repeat(start + 1 - (np.cumsum(self.count) - self.count), self.count)
+        flat[own + np.arange(len(self.which))] = keys[self.which]
+        return flat, np.repeat(start, size)
+
+
+def word_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, Words]]:
+    for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
+        yield s, e, Words([t or "" for t in texts[s:e].to_pylist()])
+
+
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all tokens; a task counts a few megabytes of text before it emits."""
+    """(word, n) over all tokens; a run of texts is counted before it is emitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(tokens(t))
-                c[END_TOKEN] += 1
-                if len(c) > 1_000_000:
-                    yield from out(c)
-                    c = Counter()
-        yield from out(c)
-
-    def out(c: Counter) -> Iterator[pa.RecordBatch]:
-        words, counts = list(c.keys()), list(c.values())
-        for at in range(0, len(words), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000], pa.binary()), pa.array(counts[at : at + 100_000], pa.int64())], names=["word", "n"])
+            for s, e, w in word_runs(b.column(0), COUNT_RUN):
+                n = np.append(np.bincount(w.which, minlength=len(w.kinds)), e - s)
+                yield pa.RecordBatch.from_arrays([pa.array([*w.kinds, END_TOKEN], pa.binary()), pa.array(n)], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -88,39 +123,14 @@ def word_key(w: bytes) -> int:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def hashed(texts: list[list[bytes]], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of documents end to end, each after an end that is a context only, and the place of that end."""
-    flat: list[int] = []
-    size: list[int] = []
-    end = word_key(END_TOKEN)
-    for ws in texts:
-        if len(memo) > 500_000:
-            memo.clear()
-        for w in ws:
-            if w not in memo:
-                memo[w] = word_key(w)
-        flat.append(end)
-        flat.extend(map(memo.__getitem__, ws))
-        flat.append(end)
-        size.append(len(ws) + 2)
-    n = np.array(size, np.int64)
-    return np.array(flat, np.int64).view(np.uint64), np.repeat(np.cumsum(n) - n, n)
-
-
-def runs(h: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 1 .. most words the hash of the run that ends at each position, and whether its document has so many words."""
-    place = np.arange(len(h))
-    g = mixed(h)
-    yield g, np.ones(len(h), bool)
-    for k in range(1, most):
-        old = place - k
-        g = mixed(g * np.uint64(0x9E3779B97F4A7C15) + h[np.maximum(old, 0)])
-        yield g, old >= start
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a run with one more word at its end."""
+    return mixed(run * U(0x9E3779B97F4A7C15) + word)
 
 
 def before(x: np.ndarray) -> np.ndarray:
@@ -128,46 +138,37 @@ def before(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x[:1], x[:-1]))
 
 
-def weight_key(g: np.ndarray) -> np.ndarray:
-    """Key of a context's back-off weight, apart from that of the same run as a successor."""
-    return mixed(g ^ np.uint64(0x5851F42D4C957F2D))
+def run_hashes(h: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 .. most words the hash of the run that ends at each position, and whether its document has so many words."""
+    place = np.arange(len(h))
+    g = mixed(h)
+    yield g, np.ones(len(h), bool)
+    for k in range(1, most):
+        g = longer(before(g), h)
+        yield g, place - k >= start
 
 
-def batches_of(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[list[bytes]]]:
-    run: list[list[bytes]] = []
-    n = 0
-    for t in texts:
-        run.append(tokens(t))
-        n += len(t or "")
-        if n >= size:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+def weight_key(g: np.ndarray) -> np.ndarray:
+    """Key of a context's back-off weight, apart from that of the same run as a successor."""
+    return mixed(g ^ U(0x5851F42D4C957F2D))
 
 
-def bit_filter(rows: DataFrame, key: str, least: int = 1) -> np.ndarray:
-    """Bits of the keys' low FILTER_BITS bits that meet `least` (at most 100) occurrences (column n, if it is more than one), gathered in parts."""
+def bit_filter(rows: DataFrame, key: str) -> np.ndarray:
+    """Bits of the keys' low FILTER_BITS bits, gathered in parts."""
     low = F.col(key).bitwiseAND((1 << FILTER_BITS) - 1)
-    n = F.least(F.col("n"), F.lit(100)) if least > 1 else F.lit(1)
-    parts = rows.select(F.shiftright(low, PART_BITS).cast("int").alias("part"), low.bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("bit"), n.cast("int").alias("n"))
+    parts = rows.select(F.shiftright(low, PART_BITS).cast("int").alias("part"), low.bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            part, bit, n = (b.column(i).to_numpy() for i in range(3))
+            part, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
             order = np.argsort(part, kind="stable")
-            part, bit, n = part[order], bit[order], n[order]
+            part, bit = part[order], bit[order]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, int)
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                count = held.setdefault(int(part[s]), np.zeros(1 << PART_BITS, np.uint8))
-                if least == 1:
-                    count[bit[s:e]] = 1
-                else:
-                    at, where = np.unique(bit[s:e], return_inverse=True)
-                    count[at] = np.minimum(count[at] + np.bincount(where, n[s:e]), 100)
+                held.setdefault(int(part[s]), np.zeros(1 << PART_BITS, bool))[bit[s:e]] = True
         for k, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     step = 1 << (PART_BITS - 3)
@@ -177,8 +178,24 @@ def bit_filter(rows: DataFrame, key: str, least: int = 1) -> np.ndarray:
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys & np.uint64((1 << FILTER_BITS) - 1)
-    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    low = keys & U((1 << FILTER_BITS) - 1)
+    return (bits[(low >> U(3)).astype(np.int64)] >> (low & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys, and whether the key stands there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def slices(x: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of equal values."""
+    if not len(x):
+        return []
+    cut = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(cut[:-1], cut[1:], strict=True))
 
 
 def release(spark: SparkSession) -> None:
@@ -187,62 +204,123 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
-    """Counts of contexts of `depth` words with a successor, a batch's together: (g, n), or (g, ctx, upg, n) of the repeated.
+PAIRS = "bucket int, ctx binary, size binary, up binary, word binary, n binary"
+LISTED = "ctx long, up long, word long, n long, total long"
 
-    g is the run with the successor, upg the run one word shorter. frequent and
-    repeated: filters of contexts that can be frequent and of runs that can
-    occur again.
+
+def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(ctx, up, word, n, total): successors seen SUCCESSOR_MIN times of contexts of `depth` words that are seen CONTEXT_MIN times.
+
+    frequent: a filter of the contexts that can be; hot: the contexts, sorted,
+    whose pairs are dealt to all buckets; their total is left at zero. up is
+    the context one word shorter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, repeated))
-    names = ["g", "n"] if repeated is None else ["g", "ctx", "upg", "n"]
+    n = partitions(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
+    names = ["bucket", "ctx", "size", "up", "word", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, again = shared.value
-        memo: dict[bytes, int] = {}
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, split = shared.value
         for b in batches:
-            for texts in batches_of(b.column(0).to_pylist(), 1 << 24):
-                h, start = hashed(texts, memo)
-                for k, (g, long) in enumerate(runs(h, start, depth + 1), 1):
-                    if k == depth:
-                        ctx, upg = before(g), g
-                use = np.flatnonzero(long & (start < np.arange(len(h))))
+            for _, _, w in word_runs(b.column(0), COUNT_RUN):
+                h, start = w.tokens(w.keys())
+                up = ctx = None
+                for g, long in run_hashes(h, start, depth):
+                    up, ctx, inside = ctx, before(g), before(long)
+                use = np.flatnonzero(inside & (start < np.arange(len(h))) & (np.arange(len(h)) - depth >= start))
                 use = use[may_hold(bits, ctx[use])]
-                if again is not None:
-                    use = use[may_hold(again, g[use])]
-                g, first, n = np.unique(g[use], return_index=True, return_counts=True)
+                g, first, count = np.unique(longer(ctx[use], h[use]), return_index=True, return_counts=True)
                 use = use[first]
-                columns = [g] if again is None else [g, ctx[use], upg[use]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(n.astype(np.int64))], names=names)
+                c, deal = ctx[use], ctx[use]
+                apart = found_in(split, c)[1]
+                deal = np.where(apart, g, deal) % U(BUCKETS * n)
+                order = np.lexsort((c, deal))
+                c, deal, count, word = c[order], deal[order], count[order].astype(np.int32), h[use][order]
+                older = up[use][order] if depth > 1 else None
+                rows = []
+                for s, e in slices(deal):
+                    ends = np.array([x for x, _ in slices(c[s:e])] + [e - s])
+                    at = s + ends[:-1]
+                    rows.append((int(deal[s]), c[at].tobytes(), np.diff(ends).astype(np.int32).tobytes(), b"" if older is None else older[at].tobytes(), word[s:e].tobytes(), count[s:e].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], names=names)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = shared.value[1]
+        held: list[tuple] = []
+        bucket = None
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and k != bucket:
+                    yield counted(held, split)
+                    held = []
+                bucket = k
+                held.append(row)
+        if held:
+            yield counted(held, split)
+
+    def counted(rows: list[tuple], split: np.ndarray) -> pa.RecordBatch:
+        ctx, size, up, word, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate((U, np.int32, U, U, np.int32)))
+        ctx = np.repeat(ctx, size)
+        up = np.repeat(up, size) if len(up) else np.zeros(len(ctx), U)
+        order = np.lexsort((word, ctx))
+        ctx, up, word, count = ctx[order], up[order], word[order], count[order].astype(np.int64)
+        new = np.ones(len(ctx), bool)
+        new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(count, first)
+        ctx, up, word = ctx[first], up[first], word[first]
+        new = np.ones(len(ctx), bool)
+        new[1:] = ctx[1:] != ctx[:-1]
+        total = np.add.reduceat(count, np.flatnonzero(new))[np.cumsum(new) - 1]
+        apart = found_in(split, ctx)[1]
+        keep = (count >= SUCCESSOR_MIN) & (apart | (total >= CONTEXT_MIN))
+        total[apart] = 0
+        return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (ctx, up, word, count, total)], names=["ctx", "up", "word", "n", "total"])
+
+    dealt = docs.mapInArrow(pairs, PAIRS).repartitionById(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(merged, LISTED)
+
+
+def with_runs(listed: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, with g, the run of context and word, and upg, the same without its first word."""
+    names = ["g", "upg", *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, up, word = (b.column(c).to_numpy().view(U) for c in ("ctx", "up", "word"))
+            shorter = np.where(up == U(0), mixed(word), longer(up, word))
+            yield pa.RecordBatch.from_arrays([pa.array(longer(ctx, word).view(np.int64)), pa.array(shorter.view(np.int64)), *[b.column(c) for c in columns]], names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return listed.mapInArrow(run, ", ".join(f"{c} {'double' if c == 'free' else 'long'}" for c in names))
 
 
-def learn_tree(docs: DataFrame, first: DataFrame) -> DataFrame:
+def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
     """(key, v, n): log10 back-off weights of kept contexts and log10 gains of their listed successors, seen n times.
 
     first: (g, n, p), the repeated words, their counts and the root's
     probability. A run's count is its total as a context, and its successors
-    seen once are what the listed ones leave of it; so runs seen once need not
-    be told apart, and most are filtered out before runs are shuffled.
+    seen once are what the listed ones leave of it.
     """
     spark = docs.sparkSession
     levels: list[tuple[DataFrame, DataFrame]] = []
-    contexts = first.select(F.col("g").alias("ctx"), F.lit(0).cast("long").alias("up"), F.col("n").alias("total")).filter(F.col("total") >= CONTEXT_MIN)
+    contexts, q = first.select(F.col("g").alias("ctx"), F.col("n").alias("total")).filter(F.col("total") >= CONTEXT_MIN), first.select("g", "p")
     for d in range(1, DEPTH + 1):
-        frequent = bit_filter(contexts, "ctx")
-        repeated = bit_filter(level_counts(docs, d, frequent), "g", SUCCESSOR_MIN)
-        release(spark)
-        c = level_counts(docs, d, frequent, repeated).groupBy("g").agg(F.first("ctx").alias("ctx"), F.first("upg").alias("upg"), F.sum("n").alias("n")).filter(F.col("n") >= SUCCESSOR_MIN)
-        s = written(c.join(contexts.select("ctx", "total").hint("shuffle_hash"), "ctx"), "successors")
+        common = contexts.filter(F.col("total") >= max(CONTEXT_MIN, HOT_CONTEXT * n_all)).select("ctx", "total").toPandas()  # 1 / HOT_CONTEXT rows at most
+        hot = np.sort(common.ctx.to_numpy(np.int64).view(U))
+        s = level_counts(docs, d, bit_filter(contexts, "ctx"), hot)
+        if len(hot):
+            totals = spark.createDataFrame(common).select("ctx", F.col("total").alias("whole"))
+            s = s.join(F.broadcast(totals), "ctx", "left").select("ctx", "up", "word", "n", F.coalesce("whole", "total").alias("total"))
+        s = written(s, "successors")
         release(spark)
-        q = first.select("g", "p") if d == 1 else levels[-1][1].select("g", (F.col("n") / F.col("total")).alias("p"))
-        j = s.join(q.select(F.col("g").alias("upg"), "p").hint("shuffle_hash"), "upg")
+        j = with_runs(s, ["ctx", "up", "n", "total"]).join(q.select(F.col("g").alias("upg"), "p").hint("shuffle_hash"), "upg")
         rest = F.first("total") - F.sum("n")  # each is a kind
-        per = j.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"), rest.alias("rest"), F.count("*").alias("kinds"))
-        tested = contexts.join(per.hint("shuffle_hash"), "ctx").withColumn("kept", F.col("gain") > 0.5 * (F.col("kinds") + F.col("rest")) * F.log("total"))
-        levels.append((written(tested.select("ctx", "up", "total", "rest", "kept"), "contexts"), s))
-        contexts = s.filter(F.col("n") >= CONTEXT_MIN).select(F.col("g").alias("ctx"), F.col("upg").alias("up"), F.col("n").alias("total"))
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p")))
+        per = j.groupBy("ctx").agg(F.first("up").alias("up"), F.first("total").alias("total"), gain.alias("gain"), rest.alias("rest"), F.count("*").alias("kinds"))
+        levels.append((written(per.select("ctx", "up", "total", "rest", (F.col("gain") > 0.5 * (F.col("kinds") + F.col("rest")) * F.log("total")).alias("kept")), "contexts"), s))
+        contexts = with_runs(s.filter(F.col("n") >= CONTEXT_MIN), ["n"]).select(F.col("g").alias("ctx"), F.col("n").alias("total"))
+        q = with_runs(s, ["n", "total"]).select("g", (F.col("n") / F.col("total")).alias("p"))
+        release(spark)
     kept: list[DataFrame] = []
     for d in range(DEPTH - 1, -1, -1):  # suffixes of kept contexts are kept
         k = levels[d][0]
@@ -253,15 +331,16 @@ def learn_tree(docs: DataFrame, first: DataFrame) -> DataFrame:
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(weight_key(b.column(0).to_numpy().view(np.uint64)).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(weight_key(b.column(0).to_numpy().view(U)).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
 
     out = spark.createDataFrame([], "key long, v double, n long")
-    free = F.col("rest") + PULL
     p = first
     for k, (_, s) in zip(kept, levels, strict=True):
-        mine = s.join(k.select("ctx", "rest").hint("shuffle_hash"), "ctx").join(p.select(F.col("g").alias("upg"), F.col("p").alias("pp")).hint("shuffle_hash"), "upg")
-        p = written(mine.select("g", "n", ((F.col("n") + free * F.col("pp")) / (F.col("total") + PULL)).alias("p"), F.log10(1 + F.col("n") / free / F.col("pp")).alias("v")), "gains")
-        w = k.select("ctx", F.log10(free / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")).mapInArrow(weights, "key long, v double, n long")
+        mine = s.join(k.select("ctx", (F.col("rest") + PULL).alias("free")).hint("shuffle_hash"), "ctx")
+        mine = with_runs(mine, ["n", "total", "free"]).join(p.select(F.col("g").alias("upg"), F.col("p").alias("pp")).hint("shuffle_hash"), "upg")
+        p = written(mine.select("g", "n", ((F.col("n") + F.col("free") * F.col("pp")) / (F.col("total") + PULL)).alias("p"), F.log10(1 + F.col("n") / F.col("free") / F.col("pp")).alias("v")), "gains")
+        release(spark)
+        w = k.select("ctx", F.log10((F.col("rest") + PULL) / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")).mapInArrow(weights, "key long, v double, n long")
         out = out.unionAll(w).unionAll(p.select(F.col("g").alias("key"), "v", "n"))
     return written(out, "tree")
 
@@ -270,23 +349,25 @@ class Lookup:
     """The common entries of a tree in whole, and a filter of the others."""
 
     def __init__(self, tree: DataFrame, least: float):
-        hot = tree.filter(F.col("n") >= least).select("key", "v").toPandas().sort_values("key")  # at most 2 DEPTH / HOT_SHARE rows
-        self.keys, self.values = hot.key.to_numpy(np.int64), hot.v.to_numpy(np.float64)
+        hot = tree.filter(F.col("n") >= least).select("key", "v").toPandas()  # at most 2 DEPTH / HOT_SHARE rows
+        keys = hot.key.to_numpy(np.int64).view(U)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], hot.v.to_numpy(np.float64)[order]
         self.bits = bit_filter(tree.filter(F.col("n") < least), "key")
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of common entries, else zero; and 1 where an entry is common, -1 where it may be in the table, else 0."""
-        at = np.minimum(np.searchsorted(self.keys, keys.view(np.int64)), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == keys.view(np.int64) if len(self.keys) else np.zeros(len(keys), bool)
+        at, hit = found_in(self.keys, keys)
         value = np.where(hit, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys))
-        return value, np.where(hit, 1, -may_hold(self.bits, keys).astype(np.int64))
+        return value, np.where(hit, 1, -may_hold(self.bits, keys).astype(np.int8))
 
     def scores(self, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per position the sum of common entries; positions and keys of those to be met in the table."""
         total = np.zeros(len(h))
         places: list[np.ndarray] = [np.zeros(0, np.int64)]
-        keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        listed = kept = np.flatnonzero(start < np.arange(len(h)))
+        keys: list[np.ndarray] = [np.zeros(0, U)]
+        kept = np.flatnonzero(start < np.arange(len(h)))
+        listed = np.ones(len(h), bool)
 
         def add(use: np.ndarray, key: np.ndarray) -> np.ndarray:
             value, state = self.look(key)
@@ -296,20 +377,32 @@ class Lookup:
             return use[state != 0]
 
         last = None
-        for g, long in runs(h, start, DEPTH + 1):
+        for g, long in run_hashes(h, start, DEPTH + 1):
             if last is not None:
                 # no entry where the context or run one word shorter has none
-                kept = add(kept[long[kept]], weight_key(before(last)[kept[long[kept]]]))
-                listed = np.intersect1d(listed, kept, assume_unique=True)
-                listed = add(listed, g[listed])
+                kept = kept[long[kept]]
+                kept = add(kept, weight_key(before(last)[kept]))
+                more = kept[listed[kept]]
+                more = add(more, g[more])
+                listed[:] = False
+                listed[more] = True
             last = g
         return total, np.concatenate(places), np.concatenate(keys)
 
 
+#: A document of a run, and what the tables add to it.
+DOC = np.dtype([("id", "<i8"), ("null", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+PART = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
+#: Kinds of rows: an entry of the tree, a word's count, lookups in the tree, lookups of words, documents.
+ENTRY, COUNT, ASK_TREE, ASK_WORDS, DOCS = range(5)
+DEALT = "bucket int, kind int, key long, v double, chunk long, keys binary, docs binary"
+DEALT_NAMES = ["bucket", "kind", "key", "v", "chunk", "keys", "docs"]
+
+
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), learn.alias("_learn"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("_learn"))
     train = d.filter("_learn").select("text")
     vocabulary = written(token_counts(train), "vocabulary")
     n_all, v_all, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
@@ -317,81 +410,134 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
     unknown = discount * v_all / n_all if n_all else 1.0
     least = max(1.0, BROADCAST_SHARE * n_all)
-    common = [(bytes(r.word), r.n) for r in vocabulary.filter(F.col("n") >= least).collect()]  # at most 1 / BROADCAST_SHARE rows
-    base = {w: math.log10((n + 0.1) / floor) for w, n in common}
-    own = {w: math.log10((n - discount) / n_all) for w, n in common}
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = np.array([word_key(w) for w in b.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(key.view(np.uint64)).view(np.int64)), b.column(1), b.column(2)], names=["g", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mixed(key.view(U)).view(np.int64)), b.column(1)], names=["key", "g", "n"])
 
-    listed = vocabulary.filter(F.col("n") >= SUCCESSOR_MIN).select("word", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p"))
-    tree = learn_tree(train, written(listed.mapInArrow(words, "g long, n long, p double"), "words"))
+    keyed = written(vocabulary.mapInArrow(words, "key long, g long, n long"), "words")
+    release(spark)
+    tree = learn_tree(train, keyed.filter(F.col("n") >= SUCCESSOR_MIN).select("g", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p")), n_all)
+    release(spark)
     held = Lookup(tree, HOT_SHARE * n_all)
+    common = keyed.filter(F.col("n") >= least).select("key", "n").toPandas()  # at most 1 / BROADCAST_SHARE rows
+    order = np.argsort(common.key.to_numpy(np.int64).view(U))
     release(spark)
-    model = spark.sparkContext.broadcast((held, base, own))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, base, own = model.value
-        memo: dict[bytes, int] = {}
+    model = spark.sparkContext.broadcast((held, common.key.to_numpy(np.int64).view(U)[order], common.n.to_numpy(np.int64)[order]))
+    n_parts = partitions(spark)
+    n_buckets = BUCKETS * n_parts
+
+    def by_count(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The base score of a token seen c times, and its score at the root."""
+        own = np.log10(np.where(c > 0, c - discount, 1.0) / max(n_all, 1))
+        return np.log10((c + 0.1) / floor), np.where(c > 0, own, math.log10(unknown))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, common, counts = model.value
+        task, chunk = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for s, e, w in word_runs(b.column("text"), COUNT_RUN):
+                n = e - s
+                keys = np.append(w.keys(), np.int64(word_key(END_TOKEN)).view(U))
+                h, start = w.tokens(keys)
+                first = np.unique(start)
+                total, place, tree_keys = held.scores(h, start)
+                doc_of = np.repeat(np.arange(n), w.count + 2)
+                token_doc = np.concatenate((np.repeat(np.arange(n), w.count), np.arange(n)))
+                token = np.concatenate((w.which, np.full(n, len(keys) - 1)))
+                at, hit = found_in(common, keys)
+                base, own = by_count(np.where(hit, counts[at], 0) if len(counts) else np.zeros(len(keys)))
+                docs_ = np.zeros(n, DOC)
+                ids = b.column("doc_id")[s:e]
+                docs_["id"], docs_["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+                docs_["tokens"] = w.count + 1
+                known = hit[token]
+                docs_["known"] = np.bincount(token_doc[known], minlength=n)
+                docs_["base"] = np.bincount(token_doc[known], base[token[known]], n)
+                docs_["score"] = np.add.reduceat(total, first) + np.bincount(token_doc[known], own[token[known]], n)
+                rows = [((task + chunk) % n_buckets, DOCS, b"", docs_.tobytes())]
+                for kind, k, doc in ((ASK_TREE, tree_keys, doc_of[place]), (ASK_WORDS, keys[token[~known]], token_doc[~known])):
+                    deal = (k >> U(40)) % U(n_buckets)
+                    order = np.lexsort((doc, deal))
+                    k, doc, deal = k[order], doc[order].astype(np.uint32), deal[order]
+                    rows += [(int(deal[x]), kind, k[x:y].tobytes(), doc[x:y].tobytes()) for x, y in slices(deal)]
+                m = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
+                     pa.array(np.full(m, (task << 32) + chunk)), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=DEALT_NAMES,
+                )
+                chunk += 1
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, tables, ready = None, ([], [], [], []), None
         for b in batches:
-            uid, doc, text = b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            at, uids = 0, np.array(uid, np.int64)
-            for texts in batches_of(text):
-                h, start = hashed(texts, memo)
-                total, place, key_at = held.scores(h, start)
-                begin = np.unique(start)
-                sums = np.add.reduceat(total, begin).tolist()
-                who = at + np.searchsorted(begin, start[place])
-                out: tuple[list, ...] = ([], [], [], [], [], [], [])
-                for i, ws in enumerate(texts):
-                    u, key = uid[at + i], doc[at + i]
-                    c = Counter(ws)
-                    c[END_TOKEN] += 1
-                    part, s, known, rare = 0.0, sums[i], 0, []
-                    for w, k in c.items():
-                        bs = base.get(w)
-                        if bs is None:
-                            rare.append((word_key(w), k))
-                            continue
-                        part += k * bs
-                        known += k
-                        s += k * own[w]
-                    # the row of the document itself, under a key of its own that meets no word
-                    for kv, tf, p_, s_, sizes in [(word_key(b"  %d" % u), 0, part, s, ((len(ws) + 1) << 32) | known), *[(x, k, 0.0, 0.0, 0) for x, k in rare]]:
-                        for col, val in zip(out, (u, key, kv, tf, p_, s_, sizes), strict=True):
-                            col.append(val)
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], pa.array(np.zeros(len(out[0]), np.int32))], names=names)
-                for i in range(0, len(place), 200_000):
-                    k = key_at[i : i + 200_000].view(np.int64)
-                    none = [pa.array(np.zeros(len(k), np.int32)), *[pa.array(np.zeros(len(k)))] * 2, pa.array(np.zeros(len(k), np.int64))]
-                    ids = who[i : i + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[ids]), pa.nulls(len(k), pa.int64()), pa.array(k), *none, pa.array(np.ones(len(k), np.int32))], names=names)
-
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-    names = ["uid", "doc_id", "key", "tf", "part", "score", "sizes", "runs"]
-    whole = d.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = whole.mapInArrow(run, "uid long, doc_id long, key long, tf int, part double, score double, sizes long, runs int")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [b.column(c) for c in ("bucket", "kind")]
+            both = columns[0].to_numpy().astype(np.int64) * 8 + columns[1].to_numpy()
+            out = []
+            for s, e in slices(both):
+                k, kind = int(both[s] >> 3), int(both[s] & 7)
+                if k != bucket:
+                    bucket, tables, ready = k, ([], [], [], []), None
+                if kind <= COUNT:
+                    tables[2 * kind].append(b.column("key")[s:e].to_numpy().view(U))
+                    tables[2 * kind + 1].append(b.column("v")[s:e].to_numpy())
+                    continue
+                if ready is None:
+                    ready = []
+                    for i in (0, 2):
+                        key = np.concatenate(tables[i] or [np.zeros(0, U)])
+                        order = np.argsort(key)
+                        ready += [key[order], np.concatenate(tables[i + 1] or [np.zeros(0)])[order]]
+                for chunk, keys, docs_ in zip(*(b.column(c)[s:e].to_pylist() for c in ("chunk", "keys", "docs")), strict=True):
+                    if kind == DOCS:
+                        out.append((chunk, 0, docs_))
+                        continue
+                    doc, keys = np.frombuffer(docs_, np.uint32), np.frombuffer(keys, U)
+                    at, hit = found_in(ready[0 if kind == ASK_TREE else 2], keys)
+                    if kind == ASK_TREE:
+                        doc, at = doc[hit], at[hit]
+                    if not len(doc):
+                        continue
+                    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                    part = np.zeros(len(cut), PART)
+                    part["doc"] = doc[cut]
+                    if kind == ASK_TREE:
+                        part["score"] = np.add.reduceat(ready[1][at], cut)
+                    else:
+                        base, own = by_count(np.where(hit, ready[3][at], 0) if len(ready[3]) else np.zeros(len(doc)))
+                        part["known"] = np.add.reduceat(hit.astype(np.uint32), cut)
+                        part["base"], part["score"] = np.add.reduceat(base, cut), np.add.reduceat(own, cut)
+                    out.append((chunk, 1, part.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "kind", "rows"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_ = None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in b.column("word").to_pylist()], pa.int64()), b.column("n")], names=["key", "c"])
-
-    rare = vocabulary.filter(F.col("n") < least).mapInArrow(keyed, "key long, c long")
-    tf, c = F.col("tf"), F.coalesce("c", F.lit(0))
-    own_p = F.when(c > 0, (c - F.lit(discount)) / F.lit(float(max(n_all, 1)))).otherwise(F.lit(unknown))
-    entries = rare.select("key", "c", F.lit(0.0).alias("v")).unionAll(tree.filter(F.col("n") < HOT_SHARE * n_all).select("key", F.lit(0).cast("long"), "v"))
-    j = parts.join(entries.hint("shuffle_hash"), "key", "left")
-    return j.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum(F.shiftright("sizes", 32)).alias("n_tokens"),
-        F.sum(F.col("sizes").bitwiseAND(0xFFFFFFFF) + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        F.sum(F.col("part") + tf * F.log10((c + 0.1) / F.lit(floor))).alias("base_score"),
-        F.sum(F.col("score") + tf * F.log10(own_p) + F.col("runs") * F.coalesce("v", F.lit(0.0))).alias("score"),
-    )
+            for _, kind, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 0:
+                    if docs_ is not None:
+                        yield finished(docs_)
+                    docs_ = np.frombuffer(rows, DOC).copy()
+                else:
+                    part = np.frombuffer(rows, PART)
+                    for c in ("known", "base", "score"):
+                        docs_[c][part["doc"]] += part[c]
+        if docs_ is not None:
+            yield finished(docs_)
+
+    def finished(x: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(x["id"]), mask=x["null"].copy()), *[pa.array(np.ascontiguousarray(x[c])) for c in ("tokens", "known", "base", "score")]]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    none = [F.lit(None).cast(t) for t in ("long", "binary", "binary")]
+    deal = (F.shiftrightunsigned("key", 40) % n_buckets).cast("int")
+    entries = tree.filter(F.col("n") < HOT_SHARE * n_all).select(deal, F.lit(ENTRY), "key", "v", *none)
+    counts = keyed.filter(F.col("n") < least).select(deal, F.lit(COUNT), "key", F.col("n").cast("double"), *none)
+    rows = d.select("doc_id", "text").mapInArrow(asked, DEALT).unionAll(entries).unionAll(counts)
+    met = rows.repartitionById(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "chunk long, kind int, rows binary")
+    scored = met.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
