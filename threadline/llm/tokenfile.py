@@ -209,13 +209,14 @@ def write_token_files(tokens: DataFrame, path: str, row_group_mb: int = 16, page
     }).parquet(path)
 
 
-def starts(rows: DataFrame) -> DataFrame:
+def starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows of token files with `start`, the number of ids before the row: running sums within parts, then the parts' offsets.
 
-    Only `part`, `seq` and `n_tokens` are needed for it. The side that is
-    broadcast has a row a part, so as many rows as there are partitions.
+    Only `part`, `seq` and `n_tokens` are needed for it, and for the offsets
+    `part` and `n_tokens` of all rows (sizes). The side that is broadcast has a
+    row a part, so as many rows as there are partitions.
     """
-    per = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    per = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -225,7 +226,8 @@ def starts(rows: DataFrame) -> DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(part, seq, doc_id, n_tokens, start) of all rows; the id lists are not read."""
-    return starts(spark.read.parquet(path).select("part", "seq", "doc_id", "n_tokens"))
+    t = spark.read.parquet(path).select("part", "seq", "doc_id", "n_tokens")
+    return starts(t, t)
 
 
 def read_token_files(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
@@ -247,7 +249,7 @@ def starts_and_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("seq"), b.column("doc_id"), pa.array(count), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "n_tokens", "ids_crc32"])
 
     read = t.select("part", "seq", "doc_id", "ids").mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
-    return starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return starts(read, t.select("part", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
