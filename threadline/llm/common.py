@@ -19,15 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of a local session's own; a cluster needs the setting."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = sc._jsc.sc().getCheckpointDir()
         conf = found.get() if found.isDefined() else None
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.sparkContext.setCheckpointDir(conf)
-    return "file://" + conf.removeprefix("file:") if conf.startswith("/") or conf.startswith("file:/") and "://" not in conf else conf
+        sc.setCheckpointDir(conf)
+    return "file://" + conf if conf.startswith("/") else conf
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -15,7 +15,9 @@ edges marked). Candidates are counted in Spark over the training sample; those
 that are at least LIFT times as frequent in positives as in unlabelled text
 are kept. Fitting is on a bounded sample, taken by hash order: POSITIVES and
 UNLABELLED rows at most (documented parameters); scoring covers every row.
-The model is a table of at most FEATURES weights, so it can be broadcast.
+A kept feature is in MIN_SHARE of the sampled positives at least, so there are
+at most 1 / MIN_SHARE times as many as an average positive has; the table of
+weights is of the sample's size whatever the corpus, and can be broadcast.
 
 Defined results: null and empty texts get the score of a text without
 features; without positives every score is zero; rows with a null id are
@@ -25,6 +27,7 @@ further columns are kept by `score`, where clashing names are overwritten.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -35,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 20000
+POSITIVES, UNLABELLED = 4000, 12000
 #: A feature is a candidate if so many positives, and this share of them, have it, and it is this much likelier there.
 MIN_COUNT, MIN_SHARE, LIFT = 5, 0.01, 5.0
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 500_000
+#: Words that a worker remembers, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -114,9 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         sample.mapInArrow(features, "positive boolean, f string")
         .groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
         .filter((F.col("p") >= max(MIN_COUNT, MIN_SHARE * n_p)) & (F.col("p") / n_p >= LIFT * F.col("u") / n_u))
-        .orderBy(F.desc("p"), "f").limit(FEATURES)
     )
-    index = {r.f: i for i, r in enumerate(counted.select("f").collect())}  # FEATURES rows at most
+    index = {f: i for i, f in enumerate(sorted(r.f for r in counted.select("f").collect()))}  # bounded by the sample, see above
     if not index:
         return {"weights": {}, "bias": float(np.log(prior / (1 - prior)))}
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -140,14 +143,14 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The input's columns with `score` and `predicted`."""
     if model["bias"] is None:
         return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    digest = hashlib.sha256(repr((sorted(model["weights"].items()), model["bias"])).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((digest, model))
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        weights, bias = shared.value["weights"], shared.value["bias"]
-        cache = _cache.setdefault(id(weights), {})
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        digest, model = shared.value
+        weights, bias = model["weights"], model["bias"]
+        cache = word_cache(digest)
         none: tuple = ()
         out = []
         for t in texts:
@@ -156,9 +159,13 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             for w in set(WORD.findall(t.lower())) if t else none:
                 f = cache.get(w)
                 if f is None:
-                    f = cache[w] = tuple(x for x in word_features(w) if x in weights) or none
+                    f = tuple(x for x in word_features(w) if x in weights) or none
+                    if len(w) <= CACHE_CHARS:
+                        cache[w] = f
                 if f:
                     found.update(f)
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
             z = bias + sum(weights[f] for f in sorted(found))
             out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
         return pa.array(out, pa.float64())
@@ -166,7 +173,15 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-_cache: dict = {}
+#: The features of words that a worker has met, under the digest of the one model that they are for.
+_cache: dict[str, dict] = {}
+
+
+def word_cache(digest: str) -> dict:
+    if digest not in _cache:
+        _cache.clear()
+        _cache[digest] = {}
+    return _cache[digest]
 
 
 def learned(spark: SparkSession, sf_dir: str) -> dict:

@@ -1,36 +1,30 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage; a package that is missing shows here, when this module is imported."""
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+
+from . import bwtdedup, nnpu, pst, rpforest, simhash, spviterbi, tokenfile, urlfilter, warc, winnow
 
 #: query name -> module; each module has a function of that name and, where SQL can say it, SQL.
 MODULES = {
-    "op1_warc": "warc",
-    "op2_url_filters": "urlfilter",
-    "op3_token_output": "tokenfile",
-    "op4_simhash_near_dedup": "simhash",
-    "op6_sentencepiece": "spviterbi",
-    "op8_benchmark_decontamination": "winnow",
-    "op9_toxicity": "nnpu",
-    "op7_lm_scoring": "pst",
-    "op5_suffix_array_dedup": "bwtdedup",
-    "op10_embedding_near_dedup": "rpforest",
+    "op1_warc": warc,
+    "op2_url_filters": urlfilter,
+    "op3_token_output": tokenfile,
+    "op4_simhash_near_dedup": simhash,
+    "op6_sentencepiece": spviterbi,
+    "op8_benchmark_decontamination": winnow,
+    "op9_toxicity": nnpu,
+    "op7_lm_scoring": pst,
+    "op5_suffix_array_dedup": bwtdedup,
+    "op10_embedding_near_dedup": rpforest,
 }
 
 
-def _modules() -> dict:
-    return {q: importlib.import_module(f"{__package__}.{m}") for q, m in MODULES.items()}
-
-
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {q: getattr(m, q) for q, m in _modules().items()} | {"pipeline": corpus_pipeline.run}
+    return {q: getattr(m, q) for q, m in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    found = {q: m.SQL for q, m in _modules().items() if getattr(m, "SQL", None)}
+    found = {q: m.SQL for q, m in MODULES.items() if getattr(m, "SQL", None)}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
