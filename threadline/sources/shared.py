@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder where that is unset, as in tests."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a temporary folder of a local session's own; a cluster needs the setting."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = have.get() if have.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-threadline-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
