@@ -44,7 +44,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch(spark, name)
     schema = df.schema
     df.write.options(**options).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables; only when all that was made of them is written too."""
+    for t in tables:
+        spark, path = t.sparkSession, t.__dict__.get("_written_to")
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,12 +18,12 @@ Spark tables keyed by 64-bit hashes of word runs. Scores are sums of looked-up
 logarithms: every kept context adds its back-off weight and every listed
 successor its gain over backing off.
 
-Shuffles carry packed arrays: a run of texts sends each bucket one row that
-holds its distinct (context, next word) pairs with their counts, or its
-lookups, as binary columns. A bucket is a share of the hashes of contexts or
-keys; the pairs of contexts that hold HOT_CONTEXT of all tokens are dealt by
-the pair, so no context has a task of its own. Buckets are four a shuffle
-partition, and a task holds one at a time. What is broadcast has a bound
+Shuffles carry packed arrays (module packed): a run of texts sends each bucket
+one row that holds its distinct (context, next word) pairs with their counts,
+or its lookups, as binary columns. A bucket is a share of the hashes of
+contexts or keys; the pairs of contexts that hold HOT_CONTEXT of all tokens are
+dealt by the pair, so no context has a task of its own. Tables are deleted once
+all that is made of them is written. What is broadcast has a bound
 whatever the corpus: words and entries that hold a share of all tokens
 (BROADCAST_SHARE, HOT_SHARE), hot contexts, and bit filters of FILTER_BITS that
 keep what is surely not in a table out of shuffles; a false hit costs a few
@@ -50,23 +50,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import distinct_parts, runs
-from .common import partitions, table, written
+from .common import discard, partitions, table, written
+from .packed import bucket_of, buckets, dealt, met, slices
 
 DEPTH, CONTEXT_MIN, SUCCESSOR_MIN, PULL = 3, 5, 2, 20.0
 #: Shares of all tokens from which words and entries are broadcast, and contexts are dealt by their pairs.
-BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 2e-6, 3e-6, 1e-4
+BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 1e-6, 1e-6, 1e-4
 #: Bits of a filter (16 MB), and of one part of it as it is made.
 FILTER_BITS, PART_BITS = 27, 18
 #: Bytes of texts whose pairs are counted together before they are shuffled.
 COUNT_RUN = 1 << 24
-#: Buckets a shuffle partition.
-BUCKETS = 4
-TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: A-Z to lower case, and all white space to blanks.
+TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 #: The end token's place among words: it has a space, which no word has.
 END_TOKEN = b" end"
 U = np.uint64
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -77,16 +75,22 @@ class Words:
     """The words of a run of texts: distinct ones (bytes, A-Z in lower case), which of them stands where, and words a text."""
 
     def __init__(self, texts: list[str]):
-        raws = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
-        raw = np.frombuffer(b"".join(raws).translate(TO_LOWER), np.uint8)
-        white = np.concatenate(([True], WHITE[raw]))
-        begin = np.flatnonzero(white[:-1] & ~white[1:])
-        end = np.flatnonzero(~white[:-1] & white[1:])
-        length = end - begin
-        self.which, kinds = distinct_parts(raw[~white[1:]].tobytes(), np.cumsum(length) - length)
-        self.kinds: list[bytes] = kinds.cast(pa.large_binary()).to_pylist()
-        bounds = np.searchsorted(begin, np.cumsum([0] + [len(r) for r in raws]))
-        self.count = np.diff(bounds)
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([0] + [len(r) for r in raws]).astype(np.int64)
+        low = pa.Array.from_buffers(pa.large_string(), len(raws), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(raws).translate(TO_LOWER))])
+        parts = pc.split_pattern(low, " ")
+        coded = parts.values.dictionary_encode()
+        which = coded.indices.to_numpy()
+        self.kinds: list[bytes] = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        if b"" in self.kinds:  # between two blanks, before the first word, after the last
+            none = self.kinds.index(b"")
+            word = which != none
+            bounds = np.concatenate(([0], np.cumsum(word)))[bounds]
+            which = which[word]
+            which = which - (which > none)
+            del self.kinds[none]
+        self.which, self.count = which, np.diff(bounds)
 
     def keys(self) -> np.ndarray:
         return np.array([word_key(w) for w in self.kinds], np.int64).view(U)
@@ -153,26 +157,30 @@ def weight_key(g: np.ndarray) -> np.ndarray:
     return mixed(g ^ U(0x5851F42D4C957F2D))
 
 
-def bit_filter(rows: DataFrame, key: str) -> np.ndarray:
-    """Bits of the keys' low FILTER_BITS bits, gathered in parts."""
-    low = F.col(key).bitwiseAND((1 << FILTER_BITS) - 1)
-    parts = rows.select(F.shiftright(low, PART_BITS).cast("int").alias("part"), low.bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("bit"))
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys' (the one column's) low FILTER_BITS bits, gathered in parts."""
+    n = partitions(keys.sparkSession)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = np.sort(b.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1))
+            part = (low >> U(PART_BITS)).astype(np.int32)
+            cut = slices(part)
+            bit = (low & U((1 << PART_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[s]) for s, _ in cut], pa.int32()), pa.array([bit[s:e].tobytes() for s, e in cut], pa.binary())], names=["part", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            part, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
-            order = np.argsort(part, kind="stable")
-            part, bit = part[order], bit[order]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, int)
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                held.setdefault(int(part[s]), np.zeros(1 << PART_BITS, bool))[bit[s:e]] = True
+            for part, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(part, np.zeros(1 << PART_BITS, bool))[np.frombuffer(bits, np.int32)] = True
         for k, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
+    schema = "part int, bits binary"
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     step = 1 << (PART_BITS - 3)
-    for r in parts.repartition("part").mapInArrow(run, "part long, bits binary").collect():  # one row a part, all of one filter's size
+    for r in keys.mapInArrow(places, schema).repartitionById(n, "part").mapInArrow(run, schema).collect():  # one row a part, all of one filter's size
         out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
@@ -190,14 +198,6 @@ def found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_keys[at] == keys
 
 
-def slices(x: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of equal values."""
-    if not len(x):
-        return []
-    cut = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
-    return list(zip(cut[:-1], cut[1:], strict=True))
-
-
 def release(spark: SparkSession) -> None:
     """Let shuffle files go that nothing refers to; else they stay until the driver happens to collect its garbage."""
     gc.collect()
@@ -205,22 +205,22 @@ def release(spark: SparkSession) -> None:
 
 
 PAIRS = "bucket int, ctx binary, size binary, up binary, word binary, n binary"
-LISTED = "ctx long, up long, word long, n long, total long"
+LISTED = ["ctx", "up", "word", "n", "total"]
 
 
-def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
+def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndarray, hot_total: np.ndarray) -> DataFrame:
     """(ctx, up, word, n, total): successors seen SUCCESSOR_MIN times of contexts of `depth` words that are seen CONTEXT_MIN times.
 
     frequent: a filter of the contexts that can be; hot: the contexts, sorted,
-    whose pairs are dealt to all buckets; their total is left at zero. up is
-    the context one word shorter.
+    whose pairs are dealt to all buckets, and their totals. up is the context
+    one word shorter, 0 for none.
     """
-    n = partitions(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
+    n_buckets = buckets(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot, hot_total))
     names = ["bucket", "ctx", "size", "up", "word", "n"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, split = shared.value
+        bits, split, _ = shared.value
         for b in batches:
             for _, _, w in word_runs(b.column(0), COUNT_RUN):
                 h, start = w.tokens(w.keys())
@@ -229,13 +229,16 @@ def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndar
                     up, ctx, inside = ctx, before(g), before(long)
                 use = np.flatnonzero(inside & (start < np.arange(len(h))) & (np.arange(len(h)) - depth >= start))
                 use = use[may_hold(bits, ctx[use])]
-                g, first, count = np.unique(longer(ctx[use], h[use]), return_index=True, return_counts=True)
-                use = use[first]
-                c, deal = ctx[use], ctx[use]
-                apart = found_in(split, c)[1]
-                deal = np.where(apart, g, deal) % U(BUCKETS * n)
-                order = np.lexsort((c, deal))
-                c, deal, count, word = c[order], deal[order], count[order].astype(np.int32), h[use][order]
+                g = longer(ctx[use], h[use])
+                order = np.argsort(g)
+                g = g[order]
+                first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
+                count, use, g = np.diff(np.append(first, len(g))).astype(np.int32), use[order[first]], g[first]
+                c = ctx[use]
+                deal = bucket_of(np.where(found_in(split, c)[1], g, c), n_buckets)
+                # by bucket, then by context; contexts alike in their upper bits can come in several stretches
+                order = np.argsort((deal.astype(U) << U(44)) | (c >> U(20))) if n_buckets < 1 << 20 else np.lexsort((c, deal))
+                c, deal, count, word = c[order], deal[order], count[order], h[use][order]
                 older = up[use][order] if depth > 1 else None
                 rows = []
                 for s, e in slices(deal):
@@ -245,53 +248,122 @@ def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], names=names)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = shared.value[1]
         held: list[tuple] = []
         bucket = None
         for b in batches:
             for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and k != bucket:
-                    yield counted(held, split)
+                    yield counted(held)
                     held = []
                 bucket = k
                 held.append(row)
         if held:
-            yield counted(held, split)
+            yield counted(held)
 
-    def counted(rows: list[tuple], split: np.ndarray) -> pa.RecordBatch:
+    def counted(rows: list[tuple]) -> pa.RecordBatch:
+        _, split, whole = shared.value
         ctx, size, up, word, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate((U, np.int32, U, U, np.int32)))
         ctx = np.repeat(ctx, size)
         up = np.repeat(up, size) if len(up) else np.zeros(len(ctx), U)
-        order = np.lexsort((word, ctx))
+        order = np.argsort(longer(ctx, word))
         ctx, up, word, count = ctx[order], up[order], word[order], count[order].astype(np.int64)
         new = np.ones(len(ctx), bool)
         new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
         first = np.flatnonzero(new)
         count = np.add.reduceat(count, first)
         ctx, up, word = ctx[first], up[first], word[first]
+        order = np.argsort(ctx)
+        ctx, up, word, count = ctx[order], up[order], word[order], count[order]
         new = np.ones(len(ctx), bool)
         new[1:] = ctx[1:] != ctx[:-1]
         total = np.add.reduceat(count, np.flatnonzero(new))[np.cumsum(new) - 1]
-        apart = found_in(split, ctx)[1]
-        keep = (count >= SUCCESSOR_MIN) & (apart | (total >= CONTEXT_MIN))
-        total[apart] = 0
-        return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (ctx, up, word, count, total)], names=["ctx", "up", "word", "n", "total"])
+        keep = count >= SUCCESSOR_MIN
+        ctx, up, word, count, total = (x[keep] for x in (ctx, up, word, count, total))
+        at, apart = found_in(split, ctx)
+        if apart.any():
+            total = np.where(apart, whole[at], total)
+        keep = total >= CONTEXT_MIN
+        return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (ctx, up, word, count, total)], names=LISTED)
+
+    packed = docs.mapInArrow(pairs, PAIRS).repartitionById(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(merged, ", ".join(f"{c} long" for c in LISTED))
+
 
-    dealt = docs.mapInArrow(pairs, PAIRS).repartitionById(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(merged, LISTED)
+def column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    x = b.column(name).to_numpy(zero_copy_only=False)
+    return x.view(U) if x.dtype == np.int64 else x
 
 
-def with_runs(listed: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with g, the run of context and word, and upg, the same without its first word."""
-    names = ["g", "upg", *columns]
+def parent_run(up: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The run of context and word without its first word."""
+    return np.where(up == U(0), mixed(word), longer(up, word))
+
+
+def values_at(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For hashes their number in a table of (key, double) columns; all are in it."""
+    own = table[0].view(U)
+    order = np.argsort(own)
+    at, hit = found_in(own[order], keys.view(U))
+    if not hit.all():
+        raise RuntimeError("a run is listed whose shorter run is not")
+    return table[1].view(np.float64)[order][at] if len(order) else np.zeros(0)
+
+
+def runs_of(listed: DataFrame) -> DataFrame:
+    """(g, n): the listed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ctx, up, word = (b.column(c).to_numpy().view(U) for c in ("ctx", "up", "word"))
-            shorter = np.where(up == U(0), mixed(word), longer(up, word))
-            yield pa.RecordBatch.from_arrays([pa.array(longer(ctx, word).view(np.int64)), pa.array(shorter.view(np.int64)), *[b.column(c) for c in columns]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(longer(column(b, "ctx"), column(b, "word")).view(np.int64)), b.column("n")], names=["g", "n"])
+
+    return listed.mapInArrow(run, "g long, n long")
+
 
-    return listed.mapInArrow(run, ", ".join(f"{c} {'double' if c == 'free' else 'long'}" for c in names))
+def tested_contexts(s: DataFrame, parents: DataFrame) -> DataFrame:
+    """(ctx, up, total, rest, kept) of one level: the divergence test. parents: packed (run, probability) of the level above."""
+
+    def mine(b: pa.RecordBatch) -> list[np.ndarray]:
+        up = column(b, "up")
+        return [parent_run(up, column(b, "word")), column(b, "ctx"), up, column(b, "n"), column(b, "total")]
+
+    def sums(ctx: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(ctx)
+        first = np.flatnonzero(np.concatenate(([True], np.diff(ctx[order]) != 0))[: len(ctx)])
+        firsts, added = columns[:2], columns[2:]
+        return [ctx[order][first], *[c[order][first] for c in firsts], *[np.add.reduceat(c[order], first) if len(first) else c for c in added]]
+
+    def terms(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+        upg, ctx, up, n, total = x
+        return sums(ctx, up, total, n * np.log(n / total / values_at(upg, table)), n, np.ones(len(n), np.int64))
+
+    def test(x: np.ndarray) -> list[np.ndarray]:
+        ctx, up, total, gain, listed, kinds = sums(x[0], x[1], x[2], x[3].view(np.float64), x[4], x[5])
+        rest = total - listed  # each of these is a kind
+        return [ctx, up, total, rest, gain > 0.5 * (kinds + rest) * np.log(total)]
+
+    partial = met([dealt(s, mine, 0), parents], [5, 2], terms)
+    return met([partial], [6], test, ["ctx", "up", "total", "rest", "kept"], "ctx long, up long, total long, rest long, kept boolean")
+
+
+def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
+    """(g, n, p, v) of the kept contexts' listed successors: count, model probability, log10 gain. parents: packed (run, model probability)."""
+
+    def of_kept(x: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+        ctx, up, word, n, total = x
+        order = np.argsort(k[0].view(U))
+        at, hit = found_in(k[0].view(U)[order], ctx.view(U))
+        free = k[1][order][at[hit]] if len(order) else np.zeros(0, np.int64)
+        up, word, ctx = up[hit].view(U), word[hit].view(U), ctx[hit].view(U)
+        return [parent_run(up, word), longer(ctx, word), n[hit], total[hit], free]
+
+    def gain(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+        upg, g, n, total, free = x
+        free, pp = free.view(np.float64), values_at(upg, table)
+        return [g, n, (n + free * pp) / (total + PULL), np.log10(1 + n / free / pp)]
+
+    all_ = dealt(s, lambda b: [column(b, c) for c in LISTED], 0)
+    some = dealt(kept, lambda b: [column(b, "ctx"), b.column("rest").to_numpy() + PULL], 1)
+    return met([met([all_, some], [5, 2], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
 
 
 def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
@@ -302,24 +374,19 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
     seen once are what the listed ones leave of it.
     """
     spark = docs.sparkSession
+    given = lambda b: [column(b, "g"), column(b, "p")]
     levels: list[tuple[DataFrame, DataFrame]] = []
-    contexts, q = first.select(F.col("g").alias("ctx"), F.col("n").alias("total")).filter(F.col("total") >= CONTEXT_MIN), first.select("g", "p")
+    contexts, parents = first.select("g", "n"), dealt(first.select("g", "p"), given, 1)
     for d in range(1, DEPTH + 1):
-        common = contexts.filter(F.col("total") >= max(CONTEXT_MIN, HOT_CONTEXT * n_all)).select("ctx", "total").toPandas()  # 1 / HOT_CONTEXT rows at most
-        hot = np.sort(common.ctx.to_numpy(np.int64).view(U))
-        s = level_counts(docs, d, bit_filter(contexts, "ctx"), hot)
-        if len(hot):
-            totals = spark.createDataFrame(common).select("ctx", F.col("total").alias("whole"))
-            s = s.join(F.broadcast(totals), "ctx", "left").select("ctx", "up", "word", "n", F.coalesce("whole", "total").alias("total"))
-        s = written(s, "successors")
+        contexts = contexts.filter(F.col("n") >= CONTEXT_MIN)
+        common = contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toPandas()  # 1 / HOT_CONTEXT rows at most
+        order = np.argsort(common.g.to_numpy(np.int64).view(U))
+        hot, total = common.g.to_numpy(np.int64).view(U)[order], common.n.to_numpy(np.int64)[order]
+        s = written(level_counts(docs, d, bit_filter(contexts.select("g")), hot, total), "successors")
         release(spark)
-        j = with_runs(s, ["ctx", "up", "n", "total"]).join(q.select(F.col("g").alias("upg"), "p").hint("shuffle_hash"), "upg")
-        rest = F.first("total") - F.sum("n")  # each is a kind
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p")))
-        per = j.groupBy("ctx").agg(F.first("up").alias("up"), F.first("total").alias("total"), gain.alias("gain"), rest.alias("rest"), F.count("*").alias("kinds"))
-        levels.append((written(per.select("ctx", "up", "total", "rest", (F.col("gain") > 0.5 * (F.col("kinds") + F.col("rest")) * F.log("total")).alias("kept")), "contexts"), s))
-        contexts = with_runs(s.filter(F.col("n") >= CONTEXT_MIN), ["n"]).select(F.col("g").alias("ctx"), F.col("n").alias("total"))
-        q = with_runs(s, ["n", "total"]).select("g", (F.col("n") / F.col("total")).alias("p"))
+        levels.append((written(tested_contexts(s, parents), "contexts"), s))
+        contexts = runs_of(s.select("ctx", "word", "n").filter(F.col("n") >= CONTEXT_MIN))
+        parents = dealt(s, lambda b: [longer(column(b, "ctx"), column(b, "word")), b.column("n").to_numpy() / b.column("total").to_numpy()], 1)
         release(spark)
     kept: list[DataFrame] = []
     for d in range(DEPTH - 1, -1, -1):  # suffixes of kept contexts are kept
@@ -328,21 +395,22 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
             below = kept[0].select(F.col("up").alias("ctx")).distinct().withColumn("suffix", F.lit(True))
             k = k.join(below.hint("shuffle_hash"), "ctx", "left").withColumn("kept", F.col("kept") | F.coalesce("suffix", F.lit(False)))
         kept.insert(0, written(k.filter("kept").select("ctx", "up", "total", "rest"), "kept"))
+    discard(*[k for k, _ in levels])
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(weight_key(b.column(0).to_numpy().view(U)).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(weight_key(column(b, "ctx")).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
 
     out = spark.createDataFrame([], "key long, v double, n long")
-    p = first
+    parents = dealt(first.select("g", "p"), given, 1)
     for k, (_, s) in zip(kept, levels, strict=True):
-        mine = s.join(k.select("ctx", (F.col("rest") + PULL).alias("free")).hint("shuffle_hash"), "ctx")
-        mine = with_runs(mine, ["n", "total", "free"]).join(p.select(F.col("g").alias("upg"), F.col("p").alias("pp")).hint("shuffle_hash"), "upg")
-        p = written(mine.select("g", "n", ((F.col("n") + F.col("free") * F.col("pp")) / (F.col("total") + PULL)).alias("p"), F.log10(1 + F.col("n") / F.col("free") / F.col("pp")).alias("v")), "gains")
+        p = written(gains_of(s, k, parents), "gains")
+        discard(s)
         release(spark)
+        parents = dealt(p.select("g", "p"), given, 1)
         w = k.select("ctx", F.log10((F.col("rest") + PULL) / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")).mapInArrow(weights, "key long, v double, n long")
         out = out.unionAll(w).unionAll(p.select(F.col("g").alias("key"), "v", "n"))
-    return written(out, "tree")
+    return out
 
 
 class Lookup:
@@ -353,7 +421,7 @@ class Lookup:
         keys = hot.key.to_numpy(np.int64).view(U)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], hot.v.to_numpy(np.float64)[order]
-        self.bits = bit_filter(tree.filter(F.col("n") < least), "key")
+        self.bits = bit_filter(tree.filter(F.col("n") < least).select("key"))
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of common entries, else zero; and 1 where an entry is common, -1 where it may be in the table, else 0."""
@@ -395,8 +463,8 @@ DOC = np.dtype([("id", "<i8"), ("null", "?"), ("tokens", "<i8"), ("known", "<i8"
 PART = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
 #: Kinds of rows: an entry of the tree, a word's count, lookups in the tree, lookups of words, documents.
 ENTRY, COUNT, ASK_TREE, ASK_WORDS, DOCS = range(5)
-DEALT = "bucket int, kind int, key long, v double, chunk long, keys binary, docs binary"
-DEALT_NAMES = ["bucket", "kind", "key", "v", "chunk", "keys", "docs"]
+DEALT = "bucket int, kind int, chunk long, keys binary, docs binary"
+DEALT_NAMES = ["bucket", "kind", "chunk", "keys", "docs"]
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,6 +485,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mixed(key.view(U)).view(np.int64)), b.column(1)], names=["key", "g", "n"])
 
     keyed = written(vocabulary.mapInArrow(words, "key long, g long, n long"), "words")
+    discard(vocabulary)
     release(spark)
     tree = learn_tree(train, keyed.filter(F.col("n") >= SUCCESSOR_MIN).select("g", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p")), n_all)
     release(spark)
@@ -425,8 +494,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     order = np.argsort(common.key.to_numpy(np.int64).view(U))
     release(spark)
     model = spark.sparkContext.broadcast((held, common.key.to_numpy(np.int64).view(U)[order], common.n.to_numpy(np.int64)[order]))
-    n_parts = partitions(spark)
-    n_buckets = BUCKETS * n_parts
+    n_parts, n_buckets = partitions(spark), buckets(docs)
 
     def by_count(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The base score of a token seen c times, and its score at the root."""
@@ -458,14 +526,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 docs_["score"] = np.add.reduceat(total, first) + np.bincount(token_doc[known], own[token[known]], n)
                 rows = [((task + chunk) % n_buckets, DOCS, b"", docs_.tobytes())]
                 for kind, k, doc in ((ASK_TREE, tree_keys, doc_of[place]), (ASK_WORDS, keys[token[~known]], token_doc[~known])):
-                    deal = (k >> U(40)) % U(n_buckets)
-                    order = np.lexsort((doc, deal))
+                    deal = bucket_of(k, n_buckets)
+                    order = np.argsort(deal * n + doc)
                     k, doc, deal = k[order], doc[order].astype(np.uint32), deal[order]
                     rows += [(int(deal[x]), kind, k[x:y].tobytes(), doc[x:y].tobytes()) for x, y in slices(deal)]
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
-                     pa.array(np.full(m, (task << 32) + chunk)), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=DEALT_NAMES,
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(np.full(m, (task << 32) + chunk)),
+                     pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=DEALT_NAMES,
                 )
                 chunk += 1
 
@@ -480,8 +548,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 if k != bucket:
                     bucket, tables, ready = k, ([], [], [], []), None
                 if kind <= COUNT:
-                    tables[2 * kind].append(b.column("key")[s:e].to_numpy().view(U))
-                    tables[2 * kind + 1].append(b.column("v")[s:e].to_numpy())
+                    for packed in b.column("docs")[s:e].to_pylist():
+                        key, v = np.frombuffer(packed, np.int64).reshape(2, -1)
+                        tables[2 * kind].append(key.view(U))
+                        tables[2 * kind + 1].append(v.view(np.float64))
                     continue
                 if ready is None:
                     ready = []
@@ -530,11 +600,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(np.ascontiguousarray(x["id"]), mask=x["null"].copy()), *[pa.array(np.ascontiguousarray(x[c])) for c in ("tokens", "known", "base", "score")]]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    none = [F.lit(None).cast(t) for t in ("long", "binary", "binary")]
-    deal = (F.shiftrightunsigned("key", 40) % n_buckets).cast("int")
-    entries = tree.filter(F.col("n") < HOT_SHARE * n_all).select(deal, F.lit(ENTRY), "key", "v", *none)
-    counts = keyed.filter(F.col("n") < least).select(deal, F.lit(COUNT), "key", F.col("n").cast("double"), *none)
-    rows = d.select("doc_id", "text").mapInArrow(asked, DEALT).unionAll(entries).unionAll(counts)
+    entries = dealt(tree.filter(F.col("n") < HOT_SHARE * n_all).select("key", "v"), lambda b: [column(b, "key"), column(b, "v")], ENTRY)
+    counts = dealt(keyed.filter(F.col("n") < least).select("key", "n"), lambda b: [column(b, "key"), b.column("n").to_numpy().astype(np.float64)], COUNT)
+    tables = entries.unionAll(counts).select("bucket", "side", F.lit(None).cast("long"), F.lit(None).cast("binary"), "rows")
+    rows = d.select("doc_id", "text").mapInArrow(asked, DEALT).unionAll(tables)
     met = rows.repartitionById(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "chunk long, kind int, rows binary")
     scored = met.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
