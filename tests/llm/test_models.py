@@ -195,6 +195,7 @@ def test_language_model_is_whole(spark, monkeypatch, share, context, run):
     monkeypatch.setattr(pst, "BROADCAST_SHARE", share)
     monkeypatch.setattr(pst, "HOT_CONTEXT", context)
     monkeypatch.setattr(pst, "COUNT_RUN", run)
+    monkeypatch.setattr(pst, "SCORE_RUN", run)
     random.seed(4)
     words = [f"w{i}" for i in range(400)]
     phrases = [" ".join(random.choice(words) for _ in range(5)) for _ in range(60)]

@@ -44,12 +44,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import distinct_parts, runs
+from .batches import runs
 from .common import discard, partitions, table, written
 from .packed import bucket_of, buckets, dealt, met, slices
 
@@ -60,6 +59,8 @@ BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 1e-6, 1e-6, 1e-4
 FILTER_BITS, PART_BITS = 27, 18
 #: Bytes of texts whose pairs are counted together before they are shuffled.
 COUNT_RUN = 1 << 24
+#: Bytes of texts that are scored together.
+SCORE_RUN = 1 << 22
 #: A-Z to lower case, and all white space to blanks.
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 #: The end token's place among words: it has a space, which no word has.
@@ -71,8 +72,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def word_keys(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words (binary or strings of 64-bit offsets): polynomials of their bytes."""
+    if not len(words):
+        return np.zeros(0, U)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(U) + U(1)
+    size = np.diff(at)
+    begin = at[:-1] - at[0]
+    power = np.cumprod(np.full(int(size.max()), U(0x9E3779B97F4A7C15)))
+    return np.add.reduceat(raw * power[np.arange(len(raw)) - np.repeat(begin, size)], begin)
+
+
+def words_array(words: list[bytes] | pa.Array) -> pa.LargeBinaryArray:
+    return words.cast(pa.large_binary()) if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+
+
 class Words:
-    """The words of a run of texts: distinct ones (bytes, A-Z in lower case), which of them stands where, and words a text."""
+    """The words of a run of texts: distinct ones (A-Z in lower case), which of them stands where, and words a text."""
 
     def __init__(self, texts: list[str]):
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -80,31 +97,33 @@ class Words:
         low = pa.Array.from_buffers(pa.large_string(), len(raws), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(raws).translate(TO_LOWER))])
         parts = pc.split_pattern(low, " ")
         coded = parts.values.dictionary_encode()
-        which = coded.indices.to_numpy()
-        self.kinds: list[bytes] = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        which, self.kinds = coded.indices.to_numpy(), coded.dictionary
         bounds = parts.offsets.to_numpy().astype(np.int64)
-        if b"" in self.kinds:  # between two blanks, before the first word, after the last
-            none = self.kinds.index(b"")
+        none = pc.index(self.kinds, pa.scalar("", pa.large_string())).as_py()
+        if none >= 0:  # between two blanks, before the first word, after the last
             word = which != none
             bounds = np.concatenate(([0], np.cumsum(word)))[bounds]
             which = which[word]
             which = which - (which > none)
-            del self.kinds[none]
+            self.kinds = self.kinds.take(pa.array(np.delete(np.arange(len(self.kinds)), none)))
         self.which, self.count = which, np.diff(bounds)
 
     def keys(self) -> np.ndarray:
-        return np.array([word_key(w) for w in self.kinds], np.int64).view(U)
+        return word_keys(self.kinds)
 
     def tokens(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the texts' words end to end, each text between an end that is a context only and its end token; and the place of the first of these."""
         size = self.count + 2
         start = np.cumsum(size) - size
-        flat = np.full(int(size.sum()), np.int64(word_key(END_TOKEN)).view(U), U)
+        flat = np.full(int(size.sum()), END_KEY, U)
         own = np.repeat(start + 1 - (np.cumsum(self.count) - self.count), self.count)
         flat[own + np.arange(len(self.which))] = keys[self.which]
         return flat, np.repeat(start, size)
 
 
+END_KEY = word_keys(words_array([END_TOKEN]))[0]
+
+
 def word_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, Words]]:
     for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
         yield s, e, Words([t or "" for t in texts[s:e].to_pylist()])
@@ -117,15 +136,11 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for s, e, w in word_runs(b.column(0), COUNT_RUN):
                 n = np.append(np.bincount(w.which, minlength=len(w.kinds)), e - s)
-                yield pa.RecordBatch.from_arrays([pa.array([*w.kinds, END_TOKEN], pa.binary()), pa.array(n)], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([w.kinds.cast(pa.binary()), pa.array([END_TOKEN], pa.binary())]), pa.array(n)], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_key(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
@@ -204,64 +219,72 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-PAIRS = "bucket int, ctx binary, size binary, up binary, word binary, n binary"
-LISTED = ["ctx", "up", "word", "n", "total"]
+PAIRS = "bucket int, level int, ctx binary, size binary, up binary, word binary, n binary"
+LISTED = ["level", "ctx", "up", "word", "n"]
 
 
-def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndarray, hot_total: np.ndarray) -> DataFrame:
-    """(ctx, up, word, n, total): successors seen SUCCESSOR_MIN times of contexts of `depth` words that are seen CONTEXT_MIN times.
+def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(level, ctx, up, word, n): successors seen SUCCESSOR_MIN times of contexts of `depths` words that can be seen CONTEXT_MIN times.
 
-    frequent: a filter of the contexts that can be; hot: the contexts, sorted,
-    whose pairs are dealt to all buckets, and their totals. up is the context
-    one word shorter, 0 for none.
+    frequent: a filter of the runs of depths[0] words that are; a longer context
+    must have such a run at both its ends. hot: those runs, sorted, that hold a
+    share of all tokens; the pairs of contexts made of them are dealt to all
+    buckets. up is the context one word shorter, 0 for none.
     """
-    n_buckets = buckets(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot, hot_total))
-    names = ["bucket", "ctx", "size", "up", "word", "n"]
+    n_buckets, least = buckets(docs), min(depths)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
+    names = ["bucket", "level", "ctx", "size", "up", "word", "n"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, split, _ = shared.value
+        bits, split = shared.value
         for b in batches:
             for _, _, w in word_runs(b.column(0), COUNT_RUN):
                 h, start = w.tokens(w.keys())
-                up = ctx = None
-                for g, long in run_hashes(h, start, depth):
-                    up, ctx, inside = ctx, before(g), before(long)
-                use = np.flatnonzero(inside & (start < np.arange(len(h))) & (np.arange(len(h)) - depth >= start))
-                use = use[may_hold(bits, ctx[use])]
-                g = longer(ctx[use], h[use])
-                order = np.argsort(g)
-                g = g[order]
-                first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
-                count, use, g = np.diff(np.append(first, len(g))).astype(np.int32), use[order[first]], g[first]
-                c = ctx[use]
-                deal = bucket_of(np.where(found_in(split, c)[1], g, c), n_buckets)
-                # by bucket, then by context; contexts alike in their upper bits can come in several stretches
-                order = np.argsort((deal.astype(U) << U(44)) | (c >> U(20))) if n_buckets < 1 << 20 else np.lexsort((c, deal))
-                c, deal, count, word = c[order], deal[order], count[order], h[use][order]
-                older = up[use][order] if depth > 1 else None
-                rows = []
-                for s, e in slices(deal):
-                    ends = np.array([x for x, _ in slices(c[s:e])] + [e - s])
-                    at = s + ends[:-1]
-                    rows.append((int(deal[s]), c[at].tobytes(), np.diff(ends).astype(np.int32).tobytes(), b"" if older is None else older[at].tobytes(), word[s:e].tobytes(), count[s:e].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], names=names)
+                token = start < np.arange(len(h))
+                rows: list[tuple] = []
+                up = often = apart = None
+                for d, (g, long) in enumerate(run_hashes(h, start, max(depths)), 1):
+                    ctx, fits = before(g), before(long)
+                    if d == least:
+                        often, apart = may_hold(bits, ctx), found_in(split, ctx)[1]
+                    elif d > least:  # the run at the end of the context, and the one at its beginning
+                        often, apart = often & before(often), apart & before(apart)
+                    if d in depths:
+                        use = np.flatnonzero(token & fits & often)
+                        rows += list(of_level(d, ctx[use], None if up is None else up[use], h[use], apart[use]))
+                    up = ctx
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i > 1 else pa.int32()) for i in range(7)], names=names)
+
+    def of_level(d: int, ctx: np.ndarray, up: np.ndarray | None, word: np.ndarray, apart: np.ndarray) -> Iterator[tuple]:
+        g = longer(ctx, word)
+        order = np.argsort(g)
+        g = g[order]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
+        count, use, g = np.diff(np.append(first, len(g))).astype(np.int32), order[first], g[first]
+        c = ctx[use]
+        deal = bucket_of(np.where(apart[use], g, c), n_buckets)
+        # by bucket, then by context; contexts alike in their upper bits can come in several stretches
+        order = np.argsort((deal.astype(U) << U(44)) | (c >> U(20))) if n_buckets < 1 << 20 else np.lexsort((c, deal))
+        c, deal, count, use = c[order], deal[order], count[order], use[order]
+        for s, e in slices(deal):
+            ends = np.array([x for x, _ in slices(c[s:e])] + [e - s])
+            at = s + ends[:-1]
+            yield int(deal[s]), d, c[at].tobytes(), np.diff(ends).astype(np.int32).tobytes(), b"" if up is None else up[use[at]].tobytes(), word[use[s:e]].tobytes(), count[s:e].tobytes()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        bucket = None
+        at = None
         for b in batches:
-            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and k != bucket:
-                    yield counted(held)
+            for k, d, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (k, d) != at:
+                    yield counted(at[1], held)
                     held = []
-                bucket = k
+                at = k, d
                 held.append(row)
         if held:
-            yield counted(held)
+            yield counted(at[1], held)
 
-    def counted(rows: list[tuple]) -> pa.RecordBatch:
-        _, split, whole = shared.value
+    def counted(d: int, rows: list[tuple]) -> pa.RecordBatch:
         ctx, size, up, word, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate((U, np.int32, U, U, np.int32)))
         ctx = np.repeat(ctx, size)
         up = np.repeat(up, size) if len(up) else np.zeros(len(ctx), U)
@@ -271,22 +294,14 @@ def level_counts(docs: DataFrame, depth: int, frequent: np.ndarray, hot: np.ndar
         new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
         first = np.flatnonzero(new)
         count = np.add.reduceat(count, first)
-        ctx, up, word = ctx[first], up[first], word[first]
-        order = np.argsort(ctx)
-        ctx, up, word, count = ctx[order], up[order], word[order], count[order]
-        new = np.ones(len(ctx), bool)
-        new[1:] = ctx[1:] != ctx[:-1]
-        total = np.add.reduceat(count, np.flatnonzero(new))[np.cumsum(new) - 1]
-        keep = count >= SUCCESSOR_MIN
-        ctx, up, word, count, total = (x[keep] for x in (ctx, up, word, count, total))
-        at, apart = found_in(split, ctx)
-        if apart.any():
-            total = np.where(apart, whole[at], total)
-        keep = total >= CONTEXT_MIN
-        return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (ctx, up, word, count, total)], names=LISTED)
+        first = first[count >= SUCCESSOR_MIN]
+        count = count[count >= SUCCESSOR_MIN]
+        order = np.argsort(ctx[first])
+        first, count = first[order], count[order]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *[pa.array(x.view(np.int64)) for x in (ctx[first], up[first], word[first], count)]], names=LISTED)
 
-    packed = docs.mapInArrow(pairs, PAIRS).repartitionById(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(merged, ", ".join(f"{c} long" for c in LISTED))
+    packed = docs.mapInArrow(pairs, PAIRS).repartitionById(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "level")
+    return packed.mapInArrow(merged, "level int, ctx long, up long, word long, n long")
 
 
 def column(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -319,51 +334,64 @@ def runs_of(listed: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "g long, n long")
 
 
-def tested_contexts(s: DataFrame, parents: DataFrame) -> DataFrame:
-    """(ctx, up, total, rest, kept) of one level: the divergence test. parents: packed (run, probability) of the level above."""
+def tested_contexts(s: DataFrame, parents: DataFrame, totals: DataFrame, above: DataFrame | None) -> DataFrame:
+    """(ctx, up, total, rest, kept) of one level: the divergence test.
+
+    parents: packed (run, number) of the level above: counts, or at the root
+    probabilities. totals: packed (ctx, count) of the contexts that are seen
+    often enough. above: this table of the level above, whose totals turn its
+    counts into probabilities.
+    """
 
     def mine(b: pa.RecordBatch) -> list[np.ndarray]:
         up = column(b, "up")
-        return [parent_run(up, column(b, "word")), column(b, "ctx"), up, column(b, "n"), column(b, "total")]
+        return [parent_run(up, column(b, "word")), column(b, "ctx"), up, column(b, "n")]
 
-    def sums(ctx: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    def sums(ctx: np.ndarray, up: np.ndarray, *added: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(ctx)
         first = np.flatnonzero(np.concatenate(([True], np.diff(ctx[order]) != 0))[: len(ctx)])
-        firsts, added = columns[:2], columns[2:]
-        return [ctx[order][first], *[c[order][first] for c in firsts], *[np.add.reduceat(c[order], first) if len(first) else c for c in added]]
+        return [ctx[order][first], up[order][first], *[np.add.reduceat(c[order], first) if len(first) else c for c in added]]
 
     def terms(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
-        upg, ctx, up, n, total = x
-        return sums(ctx, up, total, n * np.log(n / total / values_at(upg, table)), n, np.ones(len(n), np.int64))
-
-    def test(x: np.ndarray) -> list[np.ndarray]:
-        ctx, up, total, gain, listed, kinds = sums(x[0], x[1], x[2], x[3].view(np.float64), x[4], x[5])
-        rest = total - listed  # each of these is a kind
-        return [ctx, up, total, rest, gain > 0.5 * (kinds + rest) * np.log(total)]
-
-    partial = met([dealt(s, mine, 0), parents], [5, 2], terms)
-    return met([partial], [6], test, ["ctx", "up", "total", "rest", "kept"], "ctx long, up long, total long, rest long, kept boolean")
+        upg, ctx, up, n = x
+        return sums(ctx, up, n * np.log(n / values_at(upg, table)), n, np.ones(len(n), np.int64))
+
+    def with_total(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        ctx, up, gain, listed, kinds = sums(x[0], x[1], x[2].view(np.float64), x[3], x[4])
+        order = np.argsort(t[0])
+        at, hit = found_in(t[0][order], ctx)
+        total = t[1][order][at[hit]] if len(order) else np.zeros(0, np.int64)
+        return [ctx[hit], up[hit], total, gain[hit] - listed[hit] * np.log(total), listed[hit], kinds[hit]]
+
+    partial = met([dealt(s, mine, 0), parents], [4, 2], terms)
+    out = met([partial, totals], [5, 2], with_total, ["ctx", "up", "total", "gain", "listed", "kinds"], "ctx long, up long, total long, gain double, listed long, kinds long")
+    gain = F.col("gain")
+    if above is not None:
+        out = out.join(above.select(F.col("ctx").alias("up"), F.col("total").alias("whole")).hint("shuffle_hash"), "up")
+        gain = gain + F.col("listed") * F.log("whole")
+    rest = F.col("total") - F.col("listed")  # each of these is a kind
+    return out.select("ctx", "up", "total", rest.alias("rest"), (gain > 0.5 * (F.col("kinds") + rest) * F.log("total")).alias("kept"))
 
 
 def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
     """(g, n, p, v) of the kept contexts' listed successors: count, model probability, log10 gain. parents: packed (run, model probability)."""
 
     def of_kept(x: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
-        ctx, up, word, n, total = x
+        ctx, up, word, n = x
         order = np.argsort(k[0].view(U))
         at, hit = found_in(k[0].view(U)[order], ctx.view(U))
-        free = k[1][order][at[hit]] if len(order) else np.zeros(0, np.int64)
+        free, total = (c[order][at[hit]] if len(order) else c for c in k[1:])
         up, word, ctx = up[hit].view(U), word[hit].view(U), ctx[hit].view(U)
-        return [parent_run(up, word), longer(ctx, word), n[hit], total[hit], free]
+        return [parent_run(up, word), longer(ctx, word), n[hit], total, free]
 
     def gain(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
         upg, g, n, total, free = x
         free, pp = free.view(np.float64), values_at(upg, table)
         return [g, n, (n + free * pp) / (total + PULL), np.log10(1 + n / free / pp)]
 
-    all_ = dealt(s, lambda b: [column(b, c) for c in LISTED], 0)
-    some = dealt(kept, lambda b: [column(b, "ctx"), b.column("rest").to_numpy() + PULL], 1)
-    return met([met([all_, some], [5, 2], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
+    all_ = dealt(s, lambda b: [column(b, c) for c in ("ctx", "up", "word", "n")], 0)
+    some = dealt(kept, lambda b: [column(b, "ctx"), b.column("rest").to_numpy() + PULL, column(b, "total")], 1)
+    return met([met([all_, some], [4, 3], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
 
 
 def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
@@ -371,22 +399,27 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
 
     first: (g, n, p), the repeated words, their counts and the root's
     probability. A run's count is its total as a context, and its successors
-    seen once are what the listed ones leave of it.
+    seen once are what the listed ones leave of it. Contexts of one word are
+    counted in one pass over the texts, longer ones together in another.
     """
     spark = docs.sparkSession
-    given = lambda b: [column(b, "g"), column(b, "p")]
+    root = lambda: dealt(first.select("g", "p"), lambda b: [column(b, "g"), column(b, "p")], 1)
     levels: list[tuple[DataFrame, DataFrame]] = []
-    contexts, parents = first.select("g", "n"), dealt(first.select("g", "p"), given, 1)
+    contexts, parents = first.select("g", "n"), root()
+    counted: list[DataFrame] = []
     for d in range(1, DEPTH + 1):
         contexts = contexts.filter(F.col("n") >= CONTEXT_MIN)
-        common = contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toPandas()  # 1 / HOT_CONTEXT rows at most
-        order = np.argsort(common.g.to_numpy(np.int64).view(U))
-        hot, total = common.g.to_numpy(np.int64).view(U)[order], common.n.to_numpy(np.int64)[order]
-        s = written(level_counts(docs, d, bit_filter(contexts.select("g")), hot, total), "successors")
-        release(spark)
-        levels.append((written(tested_contexts(s, parents), "contexts"), s))
-        contexts = runs_of(s.select("ctx", "word", "n").filter(F.col("n") >= CONTEXT_MIN))
-        parents = dealt(s, lambda b: [longer(column(b, "ctx"), column(b, "word")), b.column("n").to_numpy() / b.column("total").to_numpy()], 1)
+        if d <= 2:
+            common = contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toPandas()  # 1 / HOT_CONTEXT rows at most
+            hot = np.sort(common.g.to_numpy(np.int64).view(U))
+            depths = (1,) if d == 1 else tuple(range(2, DEPTH + 1))
+            counted.append(written(level_counts(docs, depths, bit_filter(contexts.select("g")), hot), "successors"))
+            release(spark)
+        s = counted[-1].filter(F.col("level") == d).drop("level")
+        totals = dealt(contexts, lambda b: [column(b, "g"), b.column("n").to_numpy()], 1)
+        levels.append((written(tested_contexts(s, parents, totals, levels[-1][0] if levels else None), "contexts"), s))
+        contexts = runs_of(s.select("ctx", "word", "n"))
+        parents = dealt(s, lambda b: [longer(column(b, "ctx"), column(b, "word")), b.column("n").to_numpy().astype(np.float64)], 1)
         release(spark)
     kept: list[DataFrame] = []
     for d in range(DEPTH - 1, -1, -1):  # suffixes of kept contexts are kept
@@ -402,48 +435,46 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(weight_key(column(b, "ctx")).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
 
     out = spark.createDataFrame([], "key long, v double, n long")
-    parents = dealt(first.select("g", "p"), given, 1)
+    parents = root()
     for k, (_, s) in zip(kept, levels, strict=True):
         p = written(gains_of(s, k, parents), "gains")
-        discard(s)
         release(spark)
-        parents = dealt(p.select("g", "p"), given, 1)
+        parents = dealt(p.select("g", "p"), lambda b: [column(b, "g"), column(b, "p")], 1)
         w = k.select("ctx", F.log10((F.col("rest") + PULL) / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")).mapInArrow(weights, "key long, v double, n long")
         out = out.unionAll(w).unionAll(p.select(F.col("g").alias("key"), "v", "n"))
+    discard(*counted)
     return out
 
 
 class Lookup:
-    """The common entries of a tree in whole, and a filter of the others."""
+    """The common entries of a tree in whole, and a filter of all."""
 
     def __init__(self, tree: DataFrame, least: float):
         hot = tree.filter(F.col("n") >= least).select("key", "v").toPandas()  # at most 2 DEPTH / HOT_SHARE rows
         keys = hot.key.to_numpy(np.int64).view(U)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], hot.v.to_numpy(np.float64)[order]
-        self.bits = bit_filter(tree.filter(F.col("n") < least).select("key"))
-
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of common entries, else zero; and 1 where an entry is common, -1 where it may be in the table, else 0."""
-        at, hit = found_in(self.keys, keys)
-        value = np.where(hit, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys))
-        return value, np.where(hit, 1, -may_hold(self.bits, keys).astype(np.int8))
+        self.bits = bit_filter(tree.select("key"))
 
     def scores(self, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per position the sum of common entries; positions and keys of those to be met in the table."""
         total = np.zeros(len(h))
         places: list[np.ndarray] = [np.zeros(0, np.int64)]
         keys: list[np.ndarray] = [np.zeros(0, U)]
-        kept = np.flatnonzero(start < np.arange(len(h)))
-        listed = np.ones(len(h), bool)
 
         def add(use: np.ndarray, key: np.ndarray) -> np.ndarray:
-            value, state = self.look(key)
-            total[use] += value
-            places.append(use[state < 0])
-            keys.append(key[state < 0])
-            return use[state != 0]
+            """Positions whose key may have an entry."""
+            some = may_hold(self.bits, key)
+            use, key = use[some], key[some]
+            at, hit = found_in(self.keys, key)
+            if len(self.keys):
+                total[use[hit]] += self.values[at[hit]]
+            places.append(use[~hit])
+            keys.append(key[~hit])
+            return use
 
+        kept = np.flatnonzero(start < np.arange(len(h)))
+        listed = np.ones(len(h), bool)
         last = None
         for g, long in run_hashes(h, start, DEPTH + 1):
             if last is not None:
@@ -481,13 +512,18 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = np.array([word_key(w) for w in b.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mixed(key.view(U)).view(np.int64)), b.column(1)], names=["key", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(word_keys(words_array(b.column(0))).view(np.int64)), b.column(1)], names=["key", "n"])
 
-    keyed = written(vocabulary.mapInArrow(words, "key long, g long, n long"), "words")
+    keyed = written(vocabulary.mapInArrow(words, "key long, n long"), "words")
     discard(vocabulary)
     release(spark)
-    tree = learn_tree(train, keyed.filter(F.col("n") >= SUCCESSOR_MIN).select("g", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p")), n_all)
+
+    def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(column(b, "key")).view(np.int64)), b.column(1), b.column(2)], names=["g", "n", "p"])
+
+    listed = keyed.filter(F.col("n") >= SUCCESSOR_MIN).select("key", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p"))
+    tree = learn_tree(train, listed.mapInArrow(first_runs, "g long, n long, p double"), n_all)
     release(spark)
     held = Lookup(tree, HOT_SHARE * n_all)
     common = keyed.filter(F.col("n") >= least).select("key", "n").toPandas()  # at most 1 / BROADCAST_SHARE rows
@@ -505,9 +541,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         held, common, counts = model.value
         task, chunk = TaskContext.get().partitionId(), 0
         for b in batches:
-            for s, e, w in word_runs(b.column("text"), COUNT_RUN):
+            for s, e, w in word_runs(b.column("text"), SCORE_RUN):
                 n = e - s
-                keys = np.append(w.keys(), np.int64(word_key(END_TOKEN)).view(U))
+                keys = np.append(w.keys(), END_KEY)
                 h, start = w.tokens(keys)
                 first = np.unique(start)
                 total, place, tree_keys = held.scores(h, start)
