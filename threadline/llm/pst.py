@@ -174,34 +174,34 @@ def weight_key(g: np.ndarray) -> np.ndarray:
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
     """Bits of the keys' (the one column's) low FILTER_BITS bits, gathered in parts."""
-    n = partitions(keys.sparkSession)
+    n, width, part_width = partitions(keys.sparkSession), FILTER_BITS, PART_BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = np.sort(b.column(0).to_numpy().view(U) & U((1 << FILTER_BITS) - 1))
-            part = (low >> U(PART_BITS)).astype(np.int32)
+            low = np.sort(b.column(0).to_numpy().view(U) & U((1 << width) - 1))
+            part = (low >> U(part_width)).astype(np.int32)
             cut = slices(part)
-            bit = (low & U((1 << PART_BITS) - 1)).astype(np.int32)
+            bit = (low & U((1 << part_width) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([int(part[s]) for s, _ in cut], pa.int32()), pa.array([bit[s:e].tobytes() for s, e in cut], pa.binary())], names=["part", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for part, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(part, np.zeros(1 << PART_BITS, bool))[np.frombuffer(bits, np.int32)] = True
+                held.setdefault(part, np.zeros(1 << part_width, bool))[np.frombuffer(bits, np.int32)] = True
         for k, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     schema = "part int, bits binary"
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    step = 1 << (PART_BITS - 3)
+    out = np.zeros(1 << (width - 3), np.uint8)
+    step = 1 << (part_width - 3)
     for r in keys.mapInArrow(places, schema).repartitionById(n, "part").mapInArrow(run, schema).collect():  # one row a part, all of one filter's size
         out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys & U((1 << FILTER_BITS) - 1)
+    low = keys & U(8 * len(bits) - 1)
     return (bits[(low >> U(3)).astype(np.int64)] >> (low & U(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -314,14 +314,12 @@ def parent_run(up: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.where(up == U(0), mixed(word), longer(up, word))
 
 
-def values_at(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For hashes their number in a table of (key, double) columns; all are in it."""
+def values_at(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes their number in a table of (key, double) columns, and whether they are in it."""
     own = table[0].view(U)
     order = np.argsort(own)
     at, hit = found_in(own[order], keys.view(U))
-    if not hit.all():
-        raise RuntimeError("a run is listed whose shorter run is not")
-    return table[1].view(np.float64)[order][at] if len(order) else np.zeros(0)
+    return (table[1].view(np.float64)[order][at] if len(order) else np.ones(len(keys))), hit
 
 
 def runs_of(listed: DataFrame) -> DataFrame:
@@ -353,8 +351,9 @@ def tested_contexts(s: DataFrame, parents: DataFrame, totals: DataFrame, above:
         return [ctx[order][first], up[order][first], *[np.add.reduceat(c[order], first) if len(first) else c for c in added]]
 
     def terms(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
-        upg, ctx, up, n = x
-        return sums(ctx, up, n * np.log(n / values_at(upg, table)), n, np.ones(len(n), np.int64))
+        above, hit = values_at(x[0], table)
+        above, (ctx, up, n) = above[hit], x[1:, hit]  # what the filter let through wrongly can lack its shorter run
+        return sums(ctx, up, n * np.log(n / above), n, np.ones(len(n), np.int64))
 
     def with_total(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
         ctx, up, gain, listed, kinds = sums(x[0], x[1], x[2].view(np.float64), x[3], x[4])
@@ -386,7 +385,9 @@ def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
 
     def gain(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
         upg, g, n, total, free = x
-        free, pp = free.view(np.float64), values_at(upg, table)
+        free, (pp, hit) = free.view(np.float64), values_at(upg, table)
+        if not hit.all():
+            raise RuntimeError("a kept context lists a successor that its suffix does not")
         return [g, n, (n + free * pp) / (total + PULL), np.log10(1 + n / free / pp)]
 
     all_ = dealt(s, lambda b: [column(b, c) for c in ("ctx", "up", "word", "n")], 0)
