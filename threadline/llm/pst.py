@@ -58,7 +58,7 @@ BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 1e-6, 1e-6, 1e-4
 #: Bits of a filter (16 MB), and of one part of it as it is made.
 FILTER_BITS, PART_BITS = 27, 18
 #: Bytes of texts whose pairs are counted together before they are shuffled.
-COUNT_RUN = 1 << 24
+COUNT_RUN = 1 << 23
 #: Bytes of texts that are scored together.
 SCORE_RUN = 1 << 22
 #: A-Z to lower case, and all white space to blanks.
@@ -127,6 +127,7 @@ END_KEY = word_keys(words_array([END_TOKEN]))[0]
 def word_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, Words]]:
     for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
         yield s, e, Words([t or "" for t in texts[s:e].to_pylist()])
+        pa.default_memory_pool().release_unused()
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
