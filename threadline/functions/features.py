@@ -39,6 +39,29 @@ def edited_at(c: Column) -> Column:
     return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
 
 
+def blank(c: Column) -> Column:
+    """Nulls and the spelled-out None and nan give an empty string."""
+    t = c.cast("string")
+    return F.when(t.isNull() | t.isin("None", "nan"), "").otherwise(t)
+
+
+def only(df: DataFrame, names: list[str]) -> DataFrame:
+    """The listed columns that are there, in the list's order."""
+    return df.select(*[F.col(c) for c in names if c in df.columns])
+
+
+def plain_types(df: DataFrame, edited: str = "edited") -> DataFrame:
+    """Columns that any sink takes: `edited` as a number, nested columns as JSON; nulls stay null."""
+    out = {edited: edited_at(F.col(edited))} if edited in df.columns else {}
+    out |= {f.name: F.to_json(f.name) for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
+    return df.withColumns(out) if out else df
+
+
+def provenance(df: DataFrame, **tags) -> DataFrame:
+    """Constant or computed columns named with an underscore: where a row comes from."""
+    return df.withColumns({f"_{k}": v if isinstance(v, Column) else F.lit(v) for k, v in tags.items()}) if tags else df
+
+
 def full_text(title: Column, body: Column) -> Column:
     return F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import EXTRA_STOPWORDS
+from ..config import ENGLISH_STOPWORDS, EXTRA_STOPWORDS
 
 #: White space and words in the Unicode sense; the spelling works for Java and RE2 alike.
 SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
@@ -43,7 +43,7 @@ def remove_markup(t: Column) -> Column:
 
 
 def remove_edit_markers(t: Column, cut: bool = False) -> Column:
-    """Drop `Edit 2:` and `Update:`; with cut all that follows one, too (only these spellings)."""
+    """Drop `Edit 2:` and `Update:` (fixed patterns); with cut all that follows one, too (only these spellings)."""
     if cut:
         return F.regexp_replace(t, rf"(?s)\b(Edit|EDIT|edit|Update|UPDATE){SPACE}*\p{{Nd}}*{SPACE}*:.*$", "")
     return F.regexp_replace(t, rf"(?i)\b(edit|update){SPACE}*\p{{Nd}}*{SPACE}*:", "")
@@ -97,19 +97,25 @@ def normalize_for_terms(t: Column) -> Column:
     return strip(t)
 
 
-def stopwords(english: list[str] | None = None) -> list[str]:
-    """English stop words (given, or Spark's) and the extra ones."""
-    if english is None:
-        from pyspark.ml.feature import StopWordsRemover
+def stopwords(base: list[str] | None = None) -> list[str]:
+    """English stop words (or another language's) and the extra ones."""
+    return sorted({*(ENGLISH_STOPWORDS if base is None else base), *EXTRA_STOPWORDS})
 
-        english = StopWordsRemover.loadDefaultStopWords("english")
-    return sorted({*english, *EXTRA_STOPWORDS})
+
+def tokens(t: Column) -> Column:
+    """The words of normalize_for_terms, with empty strings among them, in three passes over the text instead of seven."""
+    t = F.lower(F.coalesce(t, F.lit("")))
+    return F.split(rewritten(t, [(rf"http{NOT_SPACE}+|www{NOT_SPACE}+", ""), (r"\p{Nd}+", "")]), r"[^\p{L}\p{N}_]+")
+
+
+def is_term(x: Column, stop: list[str] | None = None, min_length: int = 3) -> Column:
+    return (F.length(x) >= min_length) & ~x.isin(stopwords() if stop is None else stop)
 
 
 def terms(t: Column, stop: list[str] | None = None, min_length: int = 3) -> Column:
-    """Normalised tokens without stop words and short ones, in text order."""
-    drop = EXTRA_STOPWORDS if stop is None else stop
-    return F.filter(F.split(normalize_for_terms(t), " "), lambda x: (F.length(x) >= min_length) & ~x.isin(drop))
+    """Normalised tokens without stop words (by default the English and the extra ones) and short ones, in text order."""
+    stop = stopwords() if stop is None else stop
+    return F.filter(tokens(t), lambda x: is_term(x, stop, min_length))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -118,10 +124,13 @@ def ngrams(tokens: Column, n: int) -> Column:
         return tokens
 
     def of(t: Column) -> Column:
-        last = F.size(t) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+        size = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        out = F.slice(t, 1, size)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(t, k + 1, size), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
 
-    # bound once as a lambda variable: written in place, the tokens would be made anew for every gram
+    # bound once as a lambda variable: written in place, the tokens would be made anew for every part
     return F.transform(F.array(tokens), of)[0]
 
 

@@ -5,26 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
-from .stats import row_shares, top_values, with_share
+from ..sources.shared import small, written
+from .stats import row_shares, seeded_order, top_values, with_share
 from .vectors import centroids, cosine, reduce_dimensions
 
 
-def neighbour_pairs(df: DataFrame, radius: float, id="id", vec="embedding", within: tuple[str, ...] = (), tables: int = 4, width: float | None = None) -> DataFrame:
-    """(a, b): ids of vectors at most `radius` apart, a < b, found by random-projection buckets.
+def neighbour_pairs(df: DataFrame, radius: float, id="id", vec="embedding", within: tuple[str, ...] = (), axes: int = 3) -> DataFrame:
+    """(a, b): ids of all vectors at most `radius` apart, a < b; exact.
 
-    A pair must share a bucket in one of the tables, so a few are missed; more
-    tables or a larger width miss fewer.
+    Projections on orthonormal axes (the principal ones, fitted in one pass)
+    never lengthen a distance, so a pair lies in one cell of a grid of that
+    width or in cells next to each other. Every vector goes to its own cell and
+    is looked for from the cells around; cells and the `within` columns are the
+    join's key, and distances are tested in the join.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    d = df.select(F.col(id).alias("id"), *within, array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width or 4 * radius, numHashTables=tables, seed=42).fit(d)
-    near = lsh.approxSimilarityJoin(d, d, radius, distCol="dist").filter("datasetA.id < datasetB.id")
+    d = df.select(F.col(id).alias("id"), *within, F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
+    first = d.select(F.size("v")).first()
+    k = min(axes, first[0]) if first else 1
+    if first is None or d.limit(k + 1).count() <= 1:
+        return d.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    pc = PCA(k=k, inputCol="p", outputCol="q").fit(d.select(array_to_vector("v").alias("p"))).pc.toArray()
+    line = lambda j: F.array(*[F.lit(float(x)) for x in pc[:, j]])
+    wide = radius * (1 + 1e-9) + 1e-12
+    cells = [F.floor(F.aggregate(F.zip_with("v", line(j), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / wide).alias(f"_c{j}") for j in range(k)]
+    at = written(d.select("id", *within, "v", *cells), "cells")
+    around = at.select(*[F.col(c).alias(f"_w_{c}") for c in within], F.col("id").alias("b"), F.col("v").alias("w"), *[F.col(f"_c{j}") for j in range(k)])
+    for j in range(k):
+        around = around.withColumn(f"_c{j}", F.explode(F.array(*[F.col(f"_c{j}") + s for s in (-1, 0, 1)])))
+    on = [f"_c{j}" for j in range(k)]
+    same = F.lit(True)
     for c in within:
-        near = near.filter(F.col(f"datasetA.{c}") == F.col(f"datasetB.{c}"))
-    return near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")).distinct()
+        same = same & (F.col(c) == F.col(f"_w_{c}"))
+    keys = [at[c] == around[c] for c in on]
+    match = same & (F.col("id") < F.col("b"))
+    for e in keys:
+        match = match & e
+    square = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return at.join(around.hint("shuffle_hash"), match).filter(square <= radius * radius).select(F.col("id").alias("a"), "b")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -42,13 +62,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def density_clusters(df: DataFrame, radius: float, min_size: int = 50, min_samples: int = 10, id="id", vec="embedding", within: tuple[str, ...] = (), reduce_to: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def density_clusters(df: DataFrame, radius: float, min_size: int = 50, min_samples: int = 10, id="id", vec="embedding", within: tuple[str, ...] = (), reduce_to: int | None = None, pairs: DataFrame | None = None, least_rows: int = 0) -> DataFrame:
     """id, cluster_id (-1: noise), cluster_prob, is_noise; with `within`, each of its groups on its own, all in one job.
 
     Core points have min_samples neighbours; connected core points and the
     neighbours of core points are a cluster, named by its smallest core id; ones
     below min_size are noise. cluster_prob is the share of a point's neighbours
-    in its own cluster.
+    in its own cluster. A group of `within` with fewer than least_rows rows is
+    noise as a whole (twice min_size is a usual guard).
     """
     src = df if reduce_to is None else reduce_dimensions(df, reduce_to, vec, vec)
     near = written(neighbour_pairs(src, radius, id, vec, within) if pairs is None else pairs, "pairs")
@@ -62,9 +83,13 @@ def density_clusters(df: DataFrame, radius: float, min_size: int = 50, min_sampl
     j = all_.join(roots.withColumnsRenamed({"c": "c1", "root": "own"}).hint("shuffle_hash"), F.col("id") == F.col("c1"), "left")
     j = j.join(edge.hint("shuffle_hash"), F.col("id") == F.col("a"), "left").select("id", *within, F.coalesce("own", "via").alias("root"))
     sized = j.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("root").isNotNull() & (F.col("size") >= min_size))
-    lab = written(j.join(sized.hint("shuffle_hash"), "root", "left").select("id", *within, F.when(F.col("size").isNotNull(), F.col("root")).alias("root")), "labels")
+    named = j.join(sized.hint("shuffle_hash"), "root", "left").select("id", *within, F.when(F.col("size").isNotNull(), F.col("root")).alias("root"))
+    if within and least_rows:
+        enough = df.groupBy(*within).agg(F.count("*").alias("_k")).filter(F.col("_k") >= least_rows).withColumn("_enough", F.lit(True)).drop("_k")
+        named = named.join(small(enough), list(within), "left").withColumn("root", F.when(F.col("_enough"), F.col("root"))).drop("_enough")
+    lab = written(named.select("id", *within, "root"), "labels")
     of = lab.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    share = both.join(lab.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.hint("shuffle_hash"), "b").groupBy("a").agg(F.avg((F.col("ra") == F.col("rb")).cast("double")).alias("p"))
+    share = both.join(lab.select(F.col("id").alias("a"), F.col("root").alias("ra")).hint("shuffle_hash"), "a").join(of.hint("shuffle_hash"), "b").groupBy("a").agg(F.avg((F.col("ra") == F.col("rb")).cast("double")).alias("p"))
     out = lab.join(share.hint("shuffle_hash"), F.col("id") == F.col("a"), "left")
     return out.select("id", *within, F.coalesce("root", F.lit(-1)).alias("cluster_id"), F.when(F.col("root").isNull(), 0.0).otherwise(F.coalesce("p", F.lit(1.0))).alias("cluster_prob"), F.col("root").isNull().alias("is_noise"))
 
@@ -122,12 +147,17 @@ def heatmap(df: DataFrame, group: str, cluster="cluster_id") -> DataFrame:
 
 
 def sample_texts(df: DataFrame, cluster="cluster_id", prob="cluster_prob", id="id", n: int = 20, seed: int = 42) -> DataFrame:
-    """Per cluster the n/2 most probable members and as many others by a seeded hash, ranked."""
-    w = Window.partitionBy(cluster).orderBy(F.desc(prob), id)
-    d = df.withColumn("_r", F.row_number().over(w)).withColumn("_top", F.col("_r") <= n // 2)
-    v = Window.partitionBy(cluster, "_top").orderBy(F.when(F.col("_top"), F.col("_r")).otherwise(F.xxhash64(F.lit(seed), F.col(id))), id)
-    d = d.withColumn("_k", F.row_number().over(v)).filter(F.col("_k") <= F.when(F.col("_top"), n // 2).otherwise(n - n // 2))
-    return d.withColumn("sample_rank", F.when(F.col("_top"), F.col("_k")).otherwise(F.col("_k") + n // 2)).drop("_r", "_top", "_k")
+    """Per cluster the n/2 most probable members and as many others by a seeded digest, ranked.
+
+    Both halves are cut by rank before they are compared: of the n digest-first
+    members at most n/2 can be among the most probable.
+    """
+    half = n // 2
+    top = df.withColumn("sample_rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(prob), id))).filter(F.col("sample_rank") <= half)
+    drawn = df.withColumn("_h", F.row_number().over(Window.partitionBy(cluster).orderBy(seeded_order(id, seed), id))).filter(F.col("_h") <= n)
+    rest = drawn.join(top.select(F.col(cluster).alias("_c"), F.col(id).alias("_i")).hint("shuffle_hash"), (F.col(cluster) == F.col("_c")) & (F.col(id) == F.col("_i")), "left_anti")
+    rest = rest.withColumn("sample_rank", F.row_number().over(Window.partitionBy(cluster).orderBy("_h")) + half).filter(F.col("sample_rank") <= n).drop("_h")
+    return top.unionByName(rest)
 
 
 def summary_requests(samples: DataFrame, summary: DataFrame, cluster="cluster_id", text="text", each: int = 500, budget: int = 8000) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import provenance
+from ..sources.shared import small
+
 
 def holds_all(text: Column, query: Column) -> Column:
     """Every space-separated token of the query is in the text, whatever the case."""
@@ -32,12 +35,37 @@ def query_hits(matched: DataFrame) -> DataFrame:
     return matched.select(F.explode("_matched_queries").alias("query")).groupBy("query").agg(F.count("*").alias("n"))
 
 
+def scan_grid(communities: list[str], windows: DataFrame, queries: list[str]) -> DataFrame:
+    """(community, window_start, window_end, query): all scans of a collection, made of three stated lists."""
+    dims = F.array(*[F.struct(F.lit(c).alias("community"), F.lit(q).alias("query")) for c in communities for q in queries])
+    return windows.select("window_start", "window_end", F.explode(dims).alias("d")).select("d.community", "window_start", "window_end", "d.query")
+
+
+def windowed_matches(posts: DataFrame, communities: list[str], windows: DataFrame, queries: list[str], granularity: str, kind: str, text="text", ts="ts", by="subreddit") -> DataFrame:
+    """A row a post and window that holds it (both ends included), of the communities, with the queries it matches and where it comes from.
+
+    The grid of scans is met in one pass: communities and queries are tested in
+    the row, and posts meet windows by day.
+    """
+    d = matched_queries(posts.filter(F.lower(by).isin([c.lower() for c in communities])), queries, text).withColumn("_d", F.to_date(ts))
+    end = F.when(F.col("window_end").cast("timestamp") == F.date_trunc("day", F.col("window_end").cast("timestamp")), F.col("window_end").cast("timestamp") + F.expr("interval 86399999999 microseconds")).otherwise(F.col("window_end").cast("timestamp"))
+    w = windows.select(F.col("window_start").cast("timestamp").alias("_window_start"), end.alias("_window_end"))
+    w = w.withColumn("_d", F.explode(F.sequence(F.to_date("_window_start"), F.to_date("_window_end"))))
+    j = d.join(small(w), "_d").filter((F.col(ts) >= F.col("_window_start")) & (F.col(ts) <= F.col("_window_end"))).drop("_d")
+    return provenance(j, granularity=granularity, collection_type=kind)
+
+
+def collect_windows(posts: DataFrame, communities: list[str], windows: DataFrame, queries: list[str], granularity: str = "monthly", kind: str = "historical", text="text", ts="ts", by="subreddit", id="id") -> DataFrame:
+    """Posts of the grid once each: the first window's tags, the union of the queries."""
+    return collected(windowed_matches(posts, communities, windows, queries, granularity, kind, text, ts, by), id, "_window_start")
+
+
 def collected(matched: DataFrame, id="id", window="window_start") -> DataFrame:
     """One row a post over overlapping windows: the first window's fields, the union of the queries."""
     w = Window.partitionBy(id).orderBy(window)
     first = matched.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_matched_queries")
     q = matched.groupBy(id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_matched_queries")))).alias("_matched_queries"))
-    return first.join(q, id)
+    return first.join(q.hint("shuffle_hash"), id)
 
 
 def without_done(work: DataFrame, done: DataFrame, id="id") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import both_in, mentions
-from ..functions.text import ngrams, terms
+from ..functions.text import is_term, ngrams, terms, tokens
+from ..sources.shared import small
 
 
 def term_rows(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -15,7 +16,15 @@ def term_rows(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = N
 
 
 def top_terms(df: DataFrame, n: int, k: int, text="text", stop: list[str] | None = None) -> DataFrame:
-    return term_rows(df, text, n, stop).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
+    return term_counts(df, text, n, stop).orderBy(F.desc("n"), "term").limit(k)
+
+
+def term_counts(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, term, n). Single words are counted first and tested after, each once."""
+    if n > 1:
+        return term_rows(df, text, n, stop, keep).groupBy(*keep, "term").agg(F.count("*").alias("n"))
+    words = df.select(*keep, F.explode(tokens(F.col(text))).alias("term")).groupBy(*keep, "term").agg(F.count("*").alias("n"))
+    return words.filter(is_term(F.col("term"), stop))
 
 
 def drop_pairs(bigrams: DataFrame, names: list[str]) -> DataFrame:
@@ -26,12 +35,10 @@ def drop_pairs(bigrams: DataFrame, names: list[str]) -> DataFrame:
 
 def lexical_stats(df: DataFrame, text="text", stop: list[str] | None = None) -> DataFrame:
     """Tokens, tokens kept, vocabulary size and its share of the tokens, in percent."""
-    from ..functions.text import normalize_for_terms
-
-    all_tokens = F.filter(F.split(normalize_for_terms(F.col(text)), " "), lambda x: x != "")
-    sizes = df.agg(F.sum(F.size(all_tokens)).cast("long").alias("tokens"))
-    words = term_rows(df, text, 1, stop).groupBy("term").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept_tokens"), F.count("*").alias("vocabulary"))
-    return sizes.crossJoin(words).withColumn("diversity_pct", 100.0 * F.try_divide(F.col("vocabulary").cast("double"), F.col("kept_tokens")))  # a row each
+    words = df.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter("term <> ''")
+    kept = is_term(F.col("term"), stop)
+    sizes = words.agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("kept_tokens"), F.count_if(kept).alias("vocabulary"))
+    return sizes.withColumn("diversity_pct", 100.0 * F.try_divide(F.col("vocabulary").cast("double"), F.col("kept_tokens")))
 
 
 def keyword_coverage(df: DataFrame, groups: dict[str, list[str]], text="text") -> DataFrame:
@@ -51,7 +58,7 @@ def topic_trend(df: DataFrame, groups: dict[str, list[str]], by: Column, text="t
 def panel_terms(df: DataFrame, panel: str, k: int, text="text", stop: list[str] | None = None, fold_plurals: bool = True, min_rows: int = 0) -> DataFrame:
     """(panel, term, n): the k most frequent words of each panel; a word's plural in s counts with it where both occur."""
     big = df if not min_rows else df.join(df.groupBy(panel).count().filter(F.col("count") > min_rows).select(panel), panel, "left_semi")
-    c = term_rows(big, text, 1, stop, (panel,)).groupBy(panel, "term").agg(F.count("*").alias("n"))
+    c = term_counts(big, text, 1, stop, (panel,))
     if fold_plurals:
         base = c.select(F.col(panel).alias("_p"), F.concat("term", F.lit("s")).alias("_plural"), F.col("term").alias("_one"))
         c = c.join(base.hint("shuffle_hash"), (F.col(panel) == F.col("_p")) & (F.col("term") == F.col("_plural")), "left")
@@ -68,14 +75,15 @@ def compare_vocabulary(df: DataFrame, panel: str, left, right, k: int = 20, most
     return wide.orderBy(F.desc(F.col("left_n") + F.col("right_n")), "term").limit(most)
 
 
-def class_tfidf(df: DataFrame, cls: str, text="text", stop: list[str] | None = None, min_df: int = 1) -> DataFrame:
-    """(class, term, weight): frequency within the class times ln(1 + average class size / frequency overall)."""
-    rows = term_rows(df, text, 1, stop, (cls,))
-    tf = rows.groupBy(cls, "term").agg(F.count("*").alias("n"))
+def class_tfidf(df: DataFrame, cls: str, text="text", stop: list[str] | None = None, min_df: int = 1, grams: tuple[int, ...] = (1,)) -> DataFrame:
+    """(class, term, weight): frequency within the class times ln(1 + average class size / frequency overall); over words, or also longer n-grams."""
+    tf = term_counts(df, text, grams[0], stop, (cls,))
+    for n in grams[1:]:
+        tf = tf.unionByName(term_counts(df, text, n, stop, (cls,)))
     size = tf.groupBy(cls).agg(F.sum("n").alias("size"))
     mean = size.agg(F.avg("size").alias("mean"))
     total = tf.groupBy("term").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_df)
-    j = tf.join(total.hint("shuffle_hash"), "term").join(size.hint("shuffle_hash"), cls).crossJoin(F.broadcast(mean))  # one row
+    j = tf.join(total.hint("shuffle_hash"), "term").join(small(size), cls).crossJoin(F.broadcast(mean))  # a row a class, one row
     return j.select(cls, "term", (F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("f"))).alias("weight"))
 
 
@@ -96,7 +104,7 @@ def cluster_keywords(df: DataFrame, cluster: str, doc: str, text="text", k: int
     stats = tf.groupBy(cluster, "term").agg(F.sum("tf").alias("f"), F.count("*").alias("df"))
     stats = top_per(stats, cluster, "f", vocabulary).drop("rank")
     docs = df.groupBy(cluster).agg(F.countDistinct(doc).alias("docs"))
-    v = tf.join(stats.hint("shuffle_hash"), [cluster, "term"]).join(docs.hint("shuffle_hash"), cluster)
+    v = tf.join(stats.hint("shuffle_hash"), [cluster, "term"]).join(small(docs), cluster)
     v = v.withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     norm = v.groupBy(cluster, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     m = v.join(norm.hint("shuffle_hash"), [cluster, doc]).groupBy(cluster, "term").agg((F.sum(F.col("w") / F.col("norm")) / F.first("docs")).alias("weight"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import COMMENT_FIELDS
+from ..functions.features import parent_comment
+from ..sources.shared import written
+
 
 def flatten_threads(comments: DataFrame, id="id", parent="parent_id", shared: str | None = None) -> DataFrame:
     """Comments reachable from a root (null parent) with _depth, _is_top_level and _parent_comment_id.
@@ -15,8 +19,6 @@ def flatten_threads(comments: DataFrame, id="id", parent="parent_id", shared: st
     stays short and a lost executor costs a round. Comments of a ring that no
     root reaches are not in the result; one that a root reaches is an error.
     """
-    from ..sources.shared import written
-
     known = comments.filter(F.col("body").isNotNull()) if "body" in comments.columns else comments
     steps = known.select(F.col(id).alias("_node"), F.col(parent).alias("_up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("_n"))
     steps = written(steps.filter("_node is not null").distinct(), "steps")
@@ -37,6 +39,35 @@ def flatten_threads(comments: DataFrame, id="id", parent="parent_id", shared: st
     return out.withColumns({"_is_top_level": F.col("_depth") == 0, "_parent_comment_id": F.col(parent)})
 
 
+NESTED = ", ".join(f"{c}: string" for c in COMMENT_FIELDS)
+
+
+def flatten_nested(trees: DataFrame, tree: str = "tree", id: str = "submission_id") -> DataFrame:
+    """Comments of nested trees {comment: {fields, replies: {...}}} in JSON, a row each, with _depth and its companions.
+
+    Level by level the replies of the last one are taken apart, each level a
+    narrow stage that is written before the next reads it; levels end with the
+    deepest thread. Comments without a body go with what is below them; of a
+    comment that occurs twice in a tree the later one in reading order stays.
+    """
+    schema = f"map<string, struct<{NESTED}, replies: string>>"
+    level = trees.select(F.col(id).alias("_submission_id"), F.array().cast("array<int>").alias("_path"), F.col(tree).alias("_tree"))
+    found, depth = None, 0
+    while True:
+        parts = level.select("_submission_id", F.col("_path").alias("_above"), F.posexplode(F.from_json("_tree", schema)).alias("_i", "_id", "c")).filter("c.body is not null")
+        flat = parts.select("_submission_id", F.concat("_above", F.array("_i")).alias("_path"), "_id", "c.*", F.lit(depth).alias("_depth"))
+        flat = written(flat, "level")
+        if not flat.limit(1).count() and found is not None:
+            break
+        found = flat.drop("replies") if found is None else found.unionByName(flat.drop("replies"))
+        level = flat.filter("replies is not null").select("_submission_id", "_path", F.col("replies").alias("_tree"))
+        depth += 1
+    w = Window.partitionBy("_submission_id", "_id").orderBy(F.desc("_path"))
+    last = found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_path")
+    return last.withColumns({"_is_top_level": F.col("_depth") == 0, "_parent_comment_id": parent_comment(F.col("parent_id"))})
+
+
 def with_submission(comments: DataFrame, posts: DataFrame, link="submission_id", id="id", fields: tuple[str, ...] = ("title", "score")) -> DataFrame:
+    """Comments with fields of their submission; both sides may be large."""
     side = posts.select(F.col(id).alias("_sid"), *[F.col(f).alias(f"_submission_{f}") for f in fields])
-    return comments.join(side, F.col(link) == F.col("_sid"), "left").drop("_sid")
+    return comments.join(side.hint("merge"), F.col(link) == F.col("_sid"), "left").drop("_sid")

@@ -2,22 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import small, written
 from .clusters import density_clusters
 from .stats import with_share
-from .terms import class_tfidf, top_per
-from .vectors import embed, reduce_dimensions
+from .terms import class_tfidf, term_rows, top_per
+from .vectors import centroids, cosine, embed, reduce_dimensions
 
 
-def fit_topics(df: DataFrame, radius: float, min_topic_size: int = 10, min_samples: int = 5, reduce_to: int = 5, id="id", text="text") -> tuple[DataFrame, DataFrame]:
+def fit_topics(df: DataFrame, radius: float, min_topic_size: int = 10, min_samples: int = 5, reduce_to: int = 5, id="id", text="text", n_topics: int | None = None, grams: tuple[int, ...] = (1, 2), rerank: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with topic_id, topic_prob, topic_label; words of topics): -1 are outliers."""
-    d = reduce_dimensions(embed(df, text), reduce_to).select(F.col(id).alias("id"), F.col(text).alias("text"), "reduced")
+    e = written(embed(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "embedded")
+    d = reduce_dimensions(e, reduce_to).select("id", "text", "reduced")
     c = density_clusters(d, radius, min_topic_size, min_samples, vec="reduced")
-    j = d.join(c, "id").select("id", "text", F.col("cluster_id").alias("topic_id"), F.col("cluster_prob").alias("topic_prob"))
-    words = top_per(class_tfidf(j.filter("topic_id <> -1"), "topic_id", min_df=2), "topic_id", "weight", 10)
-    return j.join(topic_labels(words), "topic_id", "left"), words
+    j = d.join(c.hint("shuffle_hash"), "id").select("id", "text", F.col("cluster_id").alias("topic_id"), F.col("cluster_prob").alias("topic_prob"))
+    j = written(j, "topics")
+    if n_topics is not None:
+        j = written(merged_topics(j, n_topics), "topics")
+    weights = class_tfidf(j.filter("topic_id <> -1"), "topic_id", min_df=2, grams=grams)
+    words = top_per(weights, "topic_id", "weight", 30 if rerank else 10)
+    if rerank:
+        words = reranked(words.drop("rank"), j, e.select("id", "embedding"))
+    words = written(words, "words")
+    return j.join(small(topic_labels(words)), "topic_id", "left"), words
+
+
+def merged_topics(docs: DataFrame, n: int, topic: str = "topic_id", text: str = "text") -> DataFrame:
+    """Topics merged down to n: the smallest one joins the one whose term weights are the most alike, again and again.
+
+    The similarities of all pairs of topics are computed in Spark; the chain of
+    merges runs over that table of topics alone.
+    """
+    w = class_tfidf(docs.filter(F.col(topic) != -1), topic, text, min_df=2)
+    size = {r[topic]: r.n for r in docs.filter(F.col(topic) != -1).groupBy(topic).agg(F.count("*").alias("n")).collect()}  # a row a topic
+    if len(size) <= n:
+        return docs
+    norm = w.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    u = written(w.join(small(norm), topic).select(topic, "term", (F.col("weight") / F.col("norm")).alias("u")), "weights")
+    a, b = u.select(F.col(topic).alias("a"), "term", F.col("u").alias("ua")), u.select(F.col(topic).alias("b"), "term", F.col("u").alias("ub"))
+    pairs = a.join(b.hint("shuffle_hash"), "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("s"))
+    like: dict = {}
+    for r in pairs.collect():  # a row a pair of topics
+        like[r.a, r.b] = like[r.b, r.a] = r.s
+    into = {t: t for t in size}
+    live = dict(size)
+    while len(live) > n:
+        least = min(live, key=lambda t: (live[t], t))
+        best = max((t for t in live if t != least), key=lambda t: (like.get((least, t), 0.0), live[t], -t))
+        for t in live:  # average linkage, weighted by size
+            if t not in (least, best):
+                s = (like.get((least, t), 0.0) * live[least] + like.get((best, t), 0.0) * live[best]) / (live[least] + live[best])
+                like[best, t] = like[t, best] = s
+        live[best] += live.pop(least)
+        into = {t: best if x == least else x for t, x in into.items()}
+    of = F.create_map(*[F.lit(x) for p in into.items() for x in p])
+    return docs.withColumn(topic, F.coalesce(F.try_element_at(of, F.col(topic)), F.col(topic)))
+
+
+def reranked(words: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, topic: str = "topic_id") -> DataFrame:
+    """The candidate words of topics (topic, term, weight) by likeness: a term is the mean vector of the topic's documents with it, compared with the topic's mean."""
+    v = docs.filter(F.col(topic) != -1).join(vectors.hint("shuffle_hash"), "id")
+    c = centroids(v, topic).select(topic, F.col("centroid"))
+    grams = term_rows(v, "text", 1, keep=(topic, "id")).unionByName(term_rows(v, "text", 2, keep=(topic, "id"))).distinct()
+    with_term = grams.join(small(words.select(topic, "term")), [topic, "term"]).join(vectors.hint("shuffle_hash"), "id")
+    t = centroids(with_term, topic, "term").select(topic, "term", F.col("centroid").alias("term_vector"))
+    j = t.join(small(c), topic).join(small(words), [topic, "term"])
+    return top_per(j.select(topic, "term", "weight", cosine(F.col("term_vector"), F.col("centroid")).alias("similarity")), topic, "similarity", k)
+
+
+def save_topics(docs: DataFrame, words: DataFrame, path: str) -> None:
+    """A topic model as two Parquet tables."""
+    docs.write.mode("overwrite").parquet(f"{path}/documents")
+    words.write.mode("overwrite").parquet(f"{path}/words")
+
+
+def load_topics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/words")
 
 
 def topic_labels(words: DataFrame, n: int = 4, topic="topic_id") -> DataFrame:
@@ -27,7 +89,7 @@ def topic_labels(words: DataFrame, n: int = 4, topic="topic_id") -> DataFrame:
 
 
 def topic_info(docs: DataFrame, words: DataFrame, topic="topic_id") -> DataFrame:
-    return docs.groupBy(topic).agg(F.count("*").alias("n")).join(topic_labels(words, topic=topic), topic, "left")
+    return docs.groupBy(topic).agg(F.count("*").alias("n")).join(small(topic_labels(words, topic=topic)), topic, "left")
 
 
 def topics_by_group(docs: DataFrame, group: str, topic="topic_id") -> DataFrame:

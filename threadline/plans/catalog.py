@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_stats", "q_text", "q_model")
+MODULES = ("q_stats", "q_text", "q_model", "q_files")
 
 
 def _all() -> dict:

@@ -12,11 +12,14 @@ from ..operators import stats as S
 from ..operators import terms as W
 from ..operators import topics as O
 from ..operators import vectors as V
+from ..operators.periods import periods_at
 from ..sources.shared import folder
 from ..streaming import streams as Z
 from . import sqltext as Q
 from .inputs import ACTIVITY, NOISY, VECTORS, activity, dated_vectors, noisy_comments, table, texts
+from .pipelines import sentiment_tables
 
+RADIUS = 0.9
 POSITIVE, NEGATIVE = ["the", "and", "la", "der"], ["of", "to", "que", "die"]
 
 
@@ -118,13 +121,16 @@ def summary_requests(spark, d):
 
 
 def density_clusters(spark, d):
-    """Density clusters of the vectors after reduction, pairs by random-projection buckets."""
-    v = dated_vectors(spark, d)
-    return C.density_clusters(v, radius=0.35, min_size=5, min_samples=3, reduce_to=10)
+    """Density clusters of the vectors: all pairs within the radius."""
+    c = C.density_clusters(dated_vectors(spark, d), radius=RADIUS, min_size=4, min_samples=2)
+    return c.withColumn("cluster_prob", F.round("cluster_prob", 6))
 
 
 def period_clusters(spark, d):
-    return C.density_clusters(dated_vectors(spark, d), radius=0.35, min_size=5, min_samples=3, within=("period",), reduce_to=10)
+    """The same in each period on its own, halved limits; periods below twice the least size are noise."""
+    v = dated_vectors(spark, d)
+    c = C.density_clusters(v, radius=RADIUS, min_size=2, min_samples=1, within=("period",), least_rows=200)
+    return c.withColumn("cluster_prob", F.round("cluster_prob", 6))
 
 
 def pca_2d(spark, d):
@@ -137,6 +143,54 @@ def topic_model(spark, d):
     return O.topic_info(docs, words)
 
 
+def topic_clusters(spark, d):
+    """Topics merged down to two, their words ranked again by likeness: documents a topic."""
+    docs, words = O.fit_topics(texts(spark, d).select("id", "text"), 0.2, n_topics=2, rerank=True)
+    return docs.groupBy("topic_id").agg(F.count("*").alias("n")).join(words.groupBy("topic_id").agg(F.count("*").alias("words")).hint("shuffle_hash"), "topic_id", "left")
+
+
+def scorer_sentiment(spark, d):
+    """A scorer of the user's on texts cut as a model's input."""
+    def load():
+        import pandas as pd
+
+        return lambda b: pd.DataFrame({"label": b.str.len().mod(3).map({0: "LABEL_pos", 1: "negative", 2: "neutral"}), "confidence": b.str.len() / 1000.0})
+
+    t = N.score_with(texts(spark, d), load)
+    return t.select("id", F.col("sentiment_label").alias("label"), F.round("sentiment_score", 6).alias("score"))
+
+
+def sentiment_run(spark, d):
+    """Scored texts summed up overall, by community, by month, and by both, in one table."""
+    label, conf = N.lexicon_score(F.col("text"), POSITIVE, NEGATIVE)
+    t = N.score_sentiment(texts(spark, d).withColumn("year_month", F.concat(F.lit("2024-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"))), label, conf)
+    parts = sentiment_tables(t)
+    keyed = [p.withColumns({c: F.lit(None).cast("string") for c in ("subreddit", "year_month") if c not in p.columns}).withColumn("level", F.lit(k)) for k, p in parts.items()]
+    out = keyed[0]
+    for p in keyed[1:]:
+        out = out.unionByName(p)
+    return out.select("level", "subreddit", "year_month", "total", F.round("mean_sentiment", 6).alias("mean_sentiment"), "positive_count", "negative_count")
+
+
+def embedder_hook(spark, d):
+    def load():
+        return lambda b: [[float(len(x)), float(x.count(" "))] for x in b]
+
+    e = V.embed_with(texts(spark, d), load)
+    return e.select("id", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("blanks"))
+
+
+def embedding_index(spark, d):
+    """Ids by place in an index, unknown places without one, and the members of a cluster."""
+    from ..sources.archive import ids_at, members
+
+    e = table(spark, d, "embeddings")
+    index = e.select((F.col("vec_id") * 2).alias("embedding_idx"), F.col("vec_id").alias("id"))
+    got = ids_at(index, e.select(F.col("vec_id").alias("embedding_idx")))
+    mine = members(e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id")), 3)
+    return got.join(mine.withColumn("in_cluster", F.lit(True)).hint("shuffle_hash"), "id", "left").select("embedding_idx", "id", F.coalesce("in_cluster", F.lit(False)).alias("in_cluster"))
+
+
 def topics_over_time(spark, d):
     return O.topics_over_time(dated_vectors(spark, d), "ts", 30, "cluster_id")
 
@@ -164,8 +218,8 @@ def flashpoints(spark, d):
     """The configured periods in order of their start, with the number of events of the table inside."""
     p = spark.createDataFrame(PERIODS, "key string, name string, start string, end string, priority string")
     e = activity(spark, d).select("ts")
-    j = e.join(F.broadcast(p), (F.col("ts") >= F.col("start").cast("timestamp")) & (F.col("ts") <= F.col("end").cast("timestamp")), "right")
-    return j.groupBy("key", "priority").agg(F.count("ts").alias("n"))
+    n = e.select(F.explode(periods_at(F.col("ts"), [(k, s, t) for k, _, s, t, _ in PERIODS])).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return p.join(n.hint("shuffle_hash"), "key", "left").select("key", "priority", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _stream(spark, df, name, mode="append"):
@@ -214,6 +268,25 @@ _LAB = "WITH l AS (SELECT d.*, CASE WHEN toxic = 1 THEN 'negative' WHEN quality
 _AGG = "round(avg(sc), 6) AS mean_sentiment, round(stddev_samp(sc), 6) AS std_sentiment, count(*) AS total, " + ", ".join(f"count(*) FILTER (lab = '{k}') AS {k}_count, round(count(*) FILTER (lab = '{k}') / count(*), 6) AS {k}_ratio" for k in ("positive", "negative", "neutral"))
 _CENT = f"{X_}, e AS (SELECT period, cluster_id, i, avg(embedding[i]) AS x FROM (SELECT period, cluster_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM vectors) GROUP BY 1, 2, 3), c AS (SELECT period, cluster_id, list(x ORDER BY i) AS v FROM e GROUP BY 1, 2), n AS (SELECT period, cluster_id, count(*) AS n FROM vectors GROUP BY 1, 2), p AS (SELECT period, lead(period) OVER (ORDER BY period) AS nx FROM (SELECT DISTINCT period FROM vectors)), m AS (SELECT a.period AS from_period, b.period AS to_period, a.cluster_id AS from_cluster, b.cluster_id AS to_cluster, list_cosine_similarity(a.v, b.v) AS similarity FROM c a JOIN p ON a.period = p.period JOIN c b ON b.period = p.nx QUALIFY row_number() OVER (PARTITION BY a.period, a.cluster_id ORDER BY similarity DESC, b.cluster_id) = 1), evo AS (SELECT m.*, x.n AS from_count, y.n AS to_count FROM m JOIN n x ON x.period = from_period AND x.cluster_id = from_cluster JOIN n y ON y.period = to_period AND y.cluster_id = to_cluster WHERE similarity > 0)"
 _LEX = f"WITH t AS (SELECT doc_id AS id, string_split({Q.normal('text')}, ' ') AS w FROM documents), h AS (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'and', 'la', 'der'))) AS p, len(list_filter(w, lambda x: x IN ('of', 'to', 'que', 'die'))) AS n FROM t)"
+def _density(least, samples, within="", rows=0):
+    """Density clusters in SQL: pairs, core points, components of these by reachability, sizes, shares."""
+    w = f"AND x.{within} = y.{within}" if within else ""
+    few = f"LEFT JOIN (SELECT {within} AS g, count(*) AS k FROM vectors GROUP BY 1) z ON z.g = v.{within}" if within else ""
+    also = f"AND k >= {rows}" if within else ""
+    out = f"CAST(v.{within} AS INT) AS {within}, " if within else ""
+    return f"""WITH RECURSIVE {VECTORS}, near AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.id <> y.id {w} WHERE list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) <= {RADIUS}),
+core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= {samples}),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b JOIN core c ON c.id = n.b),
+roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY 1),
+via AS (SELECT n.a AS id, min(root) AS root FROM near n JOIN roots r ON r.id = n.b GROUP BY 1),
+lab AS (SELECT v.id, coalesce(r.root, w.root) AS root FROM vectors v LEFT JOIN roots r ON r.id = v.id LEFT JOIN via w ON w.id = v.id),
+big AS (SELECT root, count(*) AS size FROM lab WHERE root IS NOT NULL GROUP BY 1 HAVING count(*) >= {least}),
+fin AS (SELECT v.id, v.period, CASE WHEN size IS NOT NULL {also} THEN lab.root END AS root FROM vectors v JOIN lab USING (id) LEFT JOIN big ON big.root = lab.root {few}),
+share AS (SELECT n.a AS id, avg(CASE WHEN x.root = y.root THEN 1.0 WHEN x.root IS NULL OR y.root IS NULL THEN NULL ELSE 0.0 END) AS p FROM near n JOIN fin x ON x.id = n.a JOIN fin y ON y.id = n.b GROUP BY 1)
+SELECT v.id, {out}coalesce(root, -1) AS cluster_id, round(CASE WHEN root IS NULL THEN 0.0 ELSE coalesce(p, 1.0) END, 6) AS cluster_prob, root IS NULL AS is_noise FROM fin v LEFT JOIN share USING (id)"""
+
+
+_TERMS = f"t AS (SELECT doc_id, source, {Q.terms('text')} AS w FROM documents)"
 _VALID = " AND ".join(f"NOT {c}" for c in Q.reasons("author", "body").values())
 
 QUERIES = {
@@ -233,14 +306,19 @@ QUERIES = {
     "cluster_heatmap": (cluster_heatmap, f"{X_} SELECT subreddit, cluster_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY subreddit), 6) AS share FROM vectors GROUP BY 1, 2"),
     "representative_docs": (representative_docs, f"{X_} SELECT cluster_id, id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id) AS INT) AS rank FROM vectors QUALIFY rank <= 5"),
     "cluster_labels": (cluster_labels, f"{X_}, k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2) SELECT cluster_id, concat('C', cluster_id, ' (r/', arg_min(subreddit, (-k, subreddit)), ', n=', CAST(sum(k) AS BIGINT), ')') AS label FROM k GROUP BY 1"),
-    "summary_requests": (summary_requests, None),
-    "density_clusters": (density_clusters, None),
-    "period_clusters": (period_clusters, None),
+    "summary_requests": (summary_requests, f"""{X_}, v AS (SELECT vectors.id, cluster_id, score / 1e6 AS prob, text FROM vectors JOIN documents ON doc_id = vectors.id), tp AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY prob DESC, id) AS rk FROM v QUALIFY rk <= 3), dr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42:' || id), id) AS h FROM v QUALIFY h <= 6), rs AS (SELECT dr.*, row_number() OVER (PARTITION BY dr.cluster_id ORDER BY h) + 3 AS rk FROM dr ANTI JOIN tp ON tp.id = dr.id AND tp.cluster_id = dr.cluster_id QUALIFY rk <= 6), al AS (SELECT cluster_id, rk, text FROM tp UNION ALL SELECT cluster_id, rk, text FROM rs), pc AS (SELECT cluster_id, rk, '[' || rk || '] ' || CASE WHEN len(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS piece FROM al), g AS (SELECT cluster_id, string_agg(piece, chr(10) || chr(10) ORDER BY rk) AS samples, count(*) AS n_samples FROM pc GROUP BY 1), k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2), m AS (SELECT cluster_id, CAST(sum(k) AS BIGINT) AS n, arg_min(subreddit, (-k, subreddit)) AS top_community FROM k GROUP BY 1) SELECT cluster_id, n, n_samples, top_community, len('Cluster of ' || n || ' posts, mostly from r/' || top_community || '.' || chr(10) || chr(10) || 'Samples:' || chr(10) || chr(10) || samples || chr(10) || chr(10) || 'Answer with JSON: label, summary.') AS request_chars FROM g JOIN m USING (cluster_id)"""),
+    "density_clusters": (density_clusters, _density(4, 2)),
+    "period_clusters": (period_clusters, _density(2, 1, "period", 200)),
+    "topic_clusters": (topic_clusters, None),
+    "scorer_sentiment": (scorer_sentiment, f"WITH t AS (SELECT doc_id AS id, CASE WHEN {Q.strip('text')} <> '' THEN least(len(text), 512) END AS k FROM documents) SELECT id, CASE k % 3 WHEN 0 THEN 'LABEL_pos' WHEN 1 THEN 'negative' ELSE 'neutral' END AS label, round(CASE k % 3 WHEN 0 THEN k / 1000.0 WHEN 1 THEN -k / 1000.0 ELSE 0 END, 6) AS score FROM t"),
+    "sentiment_run": (sentiment_run, f"{_LEX}, s AS (SELECT id, source AS subreddit, '2024-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS year_month, coalesce((p - n) / nullif(p + n, 0), 0) AS sc FROM h JOIN documents ON doc_id = id) SELECT CASE WHEN grouping(subreddit) = 1 AND grouping(year_month) = 1 THEN 'summary' WHEN grouping(year_month) = 1 THEN 'by_community' WHEN grouping(subreddit) = 1 THEN 'by_month' ELSE 'by_both' END AS level, subreddit, year_month, count(*) AS total, round(avg(sc), 6) AS mean_sentiment, count(*) FILTER (sc > 0) AS positive_count, count(*) FILTER (sc < 0) AS negative_count FROM s GROUP BY GROUPING SETS ((), (subreddit), (year_month), (subreddit, year_month))"),
+    "embedder_hook": (embedder_hook, "SELECT doc_id AS id, len(text) AS chars, len(text) - len(replace(text, ' ', '')) AS blanks FROM documents"),
+    "embedding_index": (embedding_index, "SELECT e.vec_id AS embedding_idx, i.vec_id AS id, coalesce(i.label = 3, false) AS in_cluster FROM embeddings e LEFT JOIN embeddings i ON i.vec_id * 2 = e.vec_id"),
     "pca_2d": (pca_2d, None),
     "topic_model": (topic_model, None),
     "topics_over_time": (topics_over_time, f"{X_}, e AS (SELECT CAST(epoch_us(min(ts)) AS DOUBLE) AS lo, CAST(epoch_us(max(ts)) AS DOUBLE) AS hi FROM vectors) SELECT least(CAST(floor((epoch_us(ts) - lo) / ((hi - lo) / 30)) AS INT) + 1, 30) AS bin, cluster_id, count(*) AS n FROM vectors, e GROUP BY 1, 2"),
     "topics_by_group": (topics_by_group, f"{X_} SELECT subreddit, cluster_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY subreddit), 6) AS share FROM vectors GROUP BY 1, 2"),
-    "topic_words": (topic_words, None),
+    "topic_words": (topic_words, f"WITH {_TERMS}, c AS (SELECT source, unnest(w) AS term FROM t), n AS (SELECT source, term, count(*) AS n FROM c GROUP BY 1, 2), z AS (SELECT source, sum(n) AS size FROM n GROUP BY 1), m AS (SELECT avg(size) AS mean FROM z), f AS (SELECT term, sum(n) AS f FROM n GROUP BY 1 HAVING sum(n) >= 2), x AS (SELECT source, term, round(n / size * ln(1 + mean / f), 9) AS weight FROM n JOIN z USING (source) JOIN f USING (term), m), r AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM x QUALIFY rank <= 4) SELECT source AS subreddit, source || '_' || string_agg(term, '_' ORDER BY rank) AS topic_label FROM r GROUP BY 1"),
     "response_parsing": (response_parsing, "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 't' || turn ELSE 'Unknown' END AS label, md5(CASE WHEN turn % 2 = 0 THEN 's' || conv_id ELSE substr(text, 1, 500) END) AS summary_md5 FROM conversations"),
     "flashpoints": (flashpoints, f"WITH {ACTIVITY}, p(key, s, e, priority) AS (VALUES " + ", ".join(f"('{k}', TIMESTAMP '{s.replace('T', ' ')}', TIMESTAMP '{e.replace('T', ' ')}', '{pr}')" for k, _, s, e, pr in PERIODS) + ") SELECT key, priority, count(ts) AS n FROM p LEFT JOIN activity ON ts BETWEEN s AND e GROUP BY 1, 2"),
     "stream_window_counts": (stream_window_counts, f"WITH {ACTIVITY} SELECT date_trunc('hour', ts) AS window_start, subreddit, count(*) AS n FROM activity GROUP BY 1, 2"),

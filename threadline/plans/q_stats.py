@@ -9,7 +9,7 @@ from ..functions import features as X
 from ..operators import periods as T
 from ..operators import search as R
 from ..operators import stats as S
-from .inputs import ACTIVITY, POSTS, activity, posts, table
+from .inputs import ACTIVITY, NOISY, POSTS, activity, noisy_comments, posts, table
 
 #: Periods over the span of the orders, overlapping once: (name, start, end).
 PERIODS = [("rise", "1995-03-01", "1995-09-30"), ("peak", "1996-11-01", "1997-04-30 23:59:59"), ("split", "1997-04-01", "1997-12-31"), ("late", "2000-01-01", "2000-06-30")]
@@ -84,7 +84,7 @@ def score_histogram(spark, d):
 
 
 def author_overview(spark, d):
-    return rounded(S.author_overview(activity(spark, d)), "mean_posts", "median_posts")
+    return rounded(S.author_overview(noisy_comments(spark, d).withColumn("author", F.when(F.col("author") == "[deleted]", F.col("author")).otherwise(F.col("conv_id").cast("string")))), "mean_posts", "median_posts")
 
 
 def author_activity_hist(spark, d):
@@ -133,7 +133,7 @@ def monthly_with_mean(spark, d):
 
 def top_community_series(spark, d):
     p = posts(spark, d)
-    return S.cross_table(p.withColumn("year_month", F.date_format("ts", "yyyy-MM")), "year_month", "subreddit", ["1-urgent", "2-high", "3-medium"])
+    return S.ordered_cross_table(p.withColumn("year_month", F.date_format("ts", "yyyy-MM")), "year_month", "subreddit", 5)
 
 
 def crisis_tag(spark, d):
@@ -170,9 +170,7 @@ def timeline_events(spark, d):
 
 
 def monthly_windows(spark, d):
-    w = T.monthly_windows(spark, "1995-01-15", "1995-12-31")
-    p = posts(spark, d).select(F.to_date("ts").alias("day"))
-    return F.broadcast(w).join(p, (F.col("day") >= F.col("window_start")) & (F.col("day") <= F.col("window_end"))).groupBy("window_start", "window_end").agg(F.count("*").alias("n"))
+    return T.window_counts(posts(spark, d), T.monthly_windows(spark, "1995-01-15", "1995-12-31"), "ts")
 
 
 def hourly_stats(spark, d):
@@ -244,10 +242,36 @@ def dedup_last_wins(spark, d):
 
 
 def share_of_groups(spark, d):
-    """Communities of a group dimension held as configuration, counted by first letter of the group."""
-    dim = spark.createDataFrame([(s.lower(), g) for g, ss in COMMUNITY_GROUPS.items() for s in ss], "subreddit string, grp string")
+    """Communities of two group dimensions, the configured one and one over the given sources, with their shares."""
+    dims = COMMUNITY_GROUPS | {"low": ["SRC0", "src1", "Src2"], "teen": [f"src{i}" for i in range(10, 20)]}
+    dim = spark.createDataFrame([(s.lower(), g) for g, ss in dims.items() for s in ss], "subreddit string, grp string")
     p = table(spark, d, "documents").select(F.lower("source").alias("subreddit"))
-    return p.join(F.broadcast(dim), "subreddit", "left").groupBy(F.coalesce("grp", F.lit("none")).alias("grp")).agg(F.count("*").alias("n"))
+    return rounded(S.with_share(p.join(F.broadcast(dim), "subreddit", "left").groupBy(F.coalesce("grp", F.lit("none")).alias("grp")).agg(F.count("*").alias("n"))), "share")
+
+
+def peaks(spark, d):
+    """Season, month, weekday or weekend, and hour with the most activity."""
+    a = activity(spark, d)
+    of = {"season": X.season(F.month("ts")), "month": F.date_format("ts", "MM"), "weekend": F.when(X.is_weekend(F.col("ts")), "weekend").otherwise("weekday"), "hour": F.format_string("%02d", F.hour("ts"))}
+    long = a.select(F.inline(F.array(*[F.struct(F.lit(k).alias("what"), c.alias("key")) for k, c in of.items()]))).groupBy("what", "key").agg(F.count("*").alias("n"))
+    best = long.groupBy("what").agg(F.min(F.struct((-F.col("n")).alias("m"), "key")).alias("b"))
+    return best.select("what", "b.key", (-F.col("b.m")).alias("n"))
+
+
+def score_comments_sample(spark, d):
+    return S.seeded_sample(posts(spark, d).filter("score > 0"), 500, "id").select("id", r(X.log_clip(F.col("score"))).alias("log_score"), "num_comments")
+
+
+def ordered_communities(spark, d):
+    """Communities in the order of their totals, the order of a chart's columns."""
+    p = posts(spark, d)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(S.top_values(p, "subreddit", 5))], "place int, subreddit string").join(p.groupBy("subreddit").agg(F.count("*").alias("n")).hint("shuffle_hash"), "subreddit")
+
+
+def period_filter(spark, d):
+    from ..functions.predicates import in_period
+
+    return posts(spark, d).filter(in_period(F.col("ts"), "1996-01-01", "1996-06-30")).groupBy("subreddit").agg(F.count("*").alias("n"))
 
 
 P, A = f"WITH {POSTS} ", f"WITH {ACTIVITY} "
@@ -271,7 +295,7 @@ QUERIES = {
     "engagement_stats": (engagement_stats, f"{P} SELECT round(avg(score), 4) AS score_mean, round(median(score), 4) AS score_median, round(max(score), 4) AS score_max, round(quantile_cont(score, 0.95), 4) AS score_p95, round(avg(num_comments), 4) AS comments_mean, round(median(num_comments), 4) AS comments_median, CAST(sum(num_comments) AS BIGINT) AS comments_sum, max(num_comments) AS comments_max FROM posts"),
     "engagement_percentiles": (engagement_percentiles, f"{P}, q(p) AS (VALUES (CAST(0.5 AS DOUBLE)), (0.75), (0.9), (0.95), (0.99)), v AS (SELECT quantile_cont(score, [0.5, 0.75, 0.9, 0.95, 0.99]) AS s, quantile_cont(CAST(num_comments AS DOUBLE), [0.5, 0.75, 0.9, 0.95, 0.99]) AS c FROM posts), o AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM q) SELECT 'score' AS metric, p, round(s[i], 4) AS value FROM o, v UNION ALL SELECT 'num_comments', p, round(c[i], 4) FROM o, v"),
     "score_histogram": (score_histogram, f"{P}, x AS (SELECT log10(greatest(score, 1.0)) AS x FROM posts), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x), h AS (SELECT least(CAST(floor((x - lo) / ((hi - lo) / 50)) AS INT) + 1, 50) AS bin, count(*) AS n FROM x, e GROUP BY 1), b AS (SELECT CAST(unnest(range(1, 51)) AS INT) AS bin) SELECT bin, round(lo + (hi - lo) / 50 * (bin - 1), 4) AS lo, round(lo + (hi - lo) / 50 * bin, 4) AS hi, coalesce(n, 0) AS n FROM b CROSS JOIN e LEFT JOIN h USING (bin)"),
-    "author_overview": (author_overview, f"{A}, c AS (SELECT author, count(*) AS n FROM activity GROUP BY 1) SELECT count(*) AS authors, CAST(0 AS BIGINT) AS deleted_posts, round(avg(n), 4) AS mean_posts, round(median(n), 4) AS median_posts, max(n) AS max_posts FROM c"),
+    "author_overview": (author_overview, f"WITH {NOISY}, c AS (SELECT CASE WHEN author = '[deleted]' THEN author ELSE CAST(conv_id AS VARCHAR) END AS author, count(*) AS n FROM noisy GROUP BY 1), k AS (SELECT n FROM c WHERE author <> '[deleted]') SELECT (SELECT count(*) FROM c) AS authors, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM c WHERE author = '[deleted]') AS deleted_posts, round(avg(n), 4) AS mean_posts, round(median(n), 4) AS median_posts, max(n) AS max_posts FROM k"),
     "author_activity_hist": (author_activity_hist, f"{P}, c AS (SELECT author, count(*) AS n FROM posts GROUP BY 1) SELECT CASE WHEN n >= 100 THEN 100 WHEN n >= 50 THEN 50 WHEN n >= 20 THEN 20 WHEN n >= 10 THEN 10 WHEN n >= 5 THEN 5 WHEN n >= 2 THEN 2 ELSE 1 END AS from_posts, count(*) AS authors FROM c GROUP BY 1"),
     "cross_community_authors": (cross_community_authors, f"{P}, c AS (SELECT author, count(DISTINCT subreddit) AS communities FROM posts GROUP BY 1) SELECT communities, count(*) AS authors FROM c GROUP BY 1"),
     "top_authors": (top_authors, f"{P} SELECT author, count(*) AS n FROM posts GROUP BY 1 ORDER BY n DESC, author LIMIT 15"),
@@ -281,7 +305,7 @@ QUERIES = {
     "season_peak": (season_peak, f"{P}, g AS (SELECT CASE WHEN month(ts) IN (12, 1, 2) THEN 'Winter' WHEN month(ts) IN (3, 4, 5) THEN 'Spring' WHEN month(ts) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season, count(*) AS n FROM posts GROUP BY 1) SELECT season, n FROM g ORDER BY n DESC, season LIMIT 1"),
     "month_of_year": (month_of_year, f"{A}, m AS (SELECT CAST(unnest(range(1, 13)) AS INT) AS month) SELECT m.month, count(id) AS n FROM m LEFT JOIN activity ON month(ts) = m.month GROUP BY 1"),
     "monthly_with_mean": (monthly_with_mean, f"{P}, g AS (SELECT strftime(ts, '%Y-%m') AS year_month, count(*) AS n FROM posts GROUP BY 1) SELECT *, round(avg(n) OVER (), 4) AS mean FROM g"),
-    "top_community_series": (top_community_series, f"""{P} SELECT strftime(ts, '%Y-%m') AS year_month, count(*) FILTER (subreddit = '1-urgent') AS "1-urgent", count(*) FILTER (subreddit = '2-high') AS "2-high", count(*) FILTER (subreddit = '3-medium') AS "3-medium" FROM posts GROUP BY 1"""),
+    "top_community_series": (top_community_series, f"""{P} SELECT strftime(ts, '%Y-%m') AS year_month, count(*) FILTER (subreddit = '1-urgent') AS "1-urgent", count(*) FILTER (subreddit = '2-high') AS "2-high", count(*) FILTER (subreddit = '3-medium') AS "3-medium", count(*) FILTER (subreddit LIKE '4-%') AS "4-not specified", count(*) FILTER (subreddit = '5-low') AS "5-low" FROM posts GROUP BY 1"""),
     "crisis_tag": (crisis_tag, f"{P} SELECT id, {TAG} AS period FROM posts"),
     "crisis_counts": (crisis_counts, f"{P} SELECT {TAG} AS period, count(*) AS n FROM posts GROUP BY 1 HAVING {TAG} <> 'Normal'".replace(f"HAVING {TAG} <> 'Normal'", "HAVING period <> 'Normal'")),
     "crisis_engagement": (crisis_engagement, f"{P} SELECT {TAG} AS period, round(avg(score), 4) AS avg_score, round(avg(num_comments), 4) AS avg_comments, CASE WHEN {TAG} <> 'Normal' THEN 1 ELSE 0 END AS ord FROM posts GROUP BY 1, 4"),
@@ -298,9 +322,13 @@ QUERIES = {
     "shard_completeness": (shard_completeness, f"{P}, {DONE} SELECT e.subreddit, eligible, coalesce(processed, 0) AS processed, coalesce(processed, 0) >= eligible AS complete FROM (SELECT subreddit, count(*) AS eligible FROM posts WHERE num_comments >= 4 GROUP BY 1) e LEFT JOIN (SELECT subreddit, count(DISTINCT id) AS processed FROM posts SEMI JOIN done USING (id) GROUP BY 1) p USING (subreddit)"),
     "collected_posts": (collected_posts, f"{A}, t AS (SELECT id, subreddit, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS BIGINT) AS week FROM activity) SELECT id, week - 1 AS window_start, array_to_string(list_sort(list_distinct([concat('w', (week - 1) % 2), concat('w', week % 2), subreddit])), '|') AS queries FROM t"),
     "shard_counts": (shard_counts, "SELECT source, count(*) AS n FROM documents GROUP BY 1"),
-    "seeded_sample": (seeded_sample, None),
+    "seeded_sample": (seeded_sample, f"{P} SELECT id FROM posts ORDER BY md5('42:' || id), id LIMIT 200"),
+    "peaks": (peaks, f"{A}, l AS (SELECT unnest([{{'what': 'season', 'key': CASE WHEN month(ts) IN (12, 1, 2) THEN 'Winter' WHEN month(ts) IN (3, 4, 5) THEN 'Spring' WHEN month(ts) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END}}, {{'what': 'month', 'key': strftime(ts, '%m')}}, {{'what': 'weekend', 'key': CASE WHEN isodow(ts) > 5 THEN 'weekend' ELSE 'weekday' END}}, {{'what': 'hour', 'key': strftime(ts, '%H')}}], recursive := true) FROM activity) SELECT what, key, count(*) AS n FROM l GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY what ORDER BY n DESC, key) = 1"),
+    "score_comments_sample": (score_comments_sample, f"{P} SELECT id, round(log10(greatest(score, 1.0)), 4) AS log_score, num_comments FROM posts WHERE score > 0 ORDER BY md5('42:' || id), id LIMIT 500"),
+    "ordered_communities": (ordered_communities, f"{P}, g AS (SELECT subreddit, count(*) AS n FROM posts GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY n DESC, subreddit) - 1 AS INT) AS place, subreddit, n FROM g"),
+    "period_filter": (period_filter, f"{P} SELECT subreddit, count(*) AS n FROM posts WHERE ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1996-06-30' GROUP BY 1"),
     "sorted_periods": (sorted_periods, f"{P} SELECT DISTINCT 'month' AS granularity, strftime(ts, '%Y-%m') AS period FROM posts UNION SELECT 'quarter', concat(year(ts), 'Q', quarter(ts)) FROM posts UNION SELECT 'year', strftime(ts, '%Y') FROM posts"),
     "dedup_first_wins": (dedup_first_wins, "SELECT md5(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1"),
     "dedup_last_wins": (dedup_last_wins, "SELECT md5(text) AS key, max(doc_id) AS doc_id FROM documents GROUP BY 1"),
-    "share_of_groups": (share_of_groups, "SELECT 'none' AS grp, count(*) AS n FROM documents"),
+    "share_of_groups": (share_of_groups, "WITH g AS (SELECT CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'low' WHEN source LIKE 'src1_' THEN 'teen' ELSE 'none' END AS grp, count(*) AS n FROM documents GROUP BY 1) SELECT *, round(n / sum(n) OVER (), 4) AS share FROM g"),
 }

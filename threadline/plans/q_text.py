@@ -11,6 +11,7 @@ from ..operators import clean as C
 from ..operators import search as R
 from ..operators import stats as S
 from ..operators import terms as W
+from ..operators.periods import hourly_windows, monthly_windows
 from ..operators.threads import flatten_threads
 from . import sqltext as Q
 from .inputs import NOISY, noisy_comments, table, texts
@@ -146,15 +147,90 @@ def ctfidf_words(spark, d):
 
 
 def cluster_keywords_tfidf(spark, d):
-    t = W.cluster_keywords(texts(spark, d), "subreddit", "id", k=5)
-    return t.select("subreddit", "rank", F.round("weight", 6).alias("weight"))
+    t = W.cluster_keywords(texts(spark, d), "subreddit", "id", k=1000).drop("rank").withColumn("weight", F.round("weight", 9))
+    return W.top_per(t, "subreddit", "weight", 5)
+
+
+def emoji_filter(spark, d):
+    """Strict and wide emoji ranges, full accent folding: digests of each text."""
+    t = F.col("text")
+    return texts(spark, d).select("id", F.length(T.remove_emojis(F.concat(t, F.lit(" \U0001f600 \u2713 \u65e5")), True)).cast("long").alias("strict_chars"), F.length(T.remove_emojis(F.concat(t, F.lit(" \U0001f600 \u2713 \u65e5")))).cast("long").alias("wide_chars"))
+
+
+def length_flags(spark, d):
+    return texts(spark, d).select("id", P.is_too_long(F.col("text"), 10000).alias("too_long"), F.length(T.model_input(F.col("text"))).cast("long").alias("input_chars"))
+
+
+def top_queries(spark, d):
+    return S.top(query_hits(spark, d).filter("n > 0"), 10, "n", "query")
+
+
+def _dated(spark, d):
+    return texts(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600))
+
+
+def scan_grid(spark, d):
+    """Every scan of a collection, with the sources' documents that it finds."""
+    w = monthly_windows(spark, "2024-01-01", "2024-03-31")
+    grid = R.scan_grid(["SRC1", "src2", "src3"], w, QUERIES_)
+    m = R.windowed_matches(_dated(spark, d), ["SRC1", "src2", "src3"], w, QUERIES_, "monthly", "historical")
+    n = m.select(F.col("subreddit").alias("c"), F.to_date("_window_start").alias("s"), F.explode("_matched_queries").alias("q")).groupBy("c", "s", "q").agg(F.count("*").alias("n"))
+    j = grid.join(n.hint("shuffle_hash"), (F.lower("community") == F.col("c")) & (F.col("window_start") == F.col("s")) & (F.col("query") == F.col("q")), "left")
+    return j.select(F.lower("community").alias("community"), "window_start", "window_end", "query", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def collected_grid(spark, d):
+    """Documents of two overlapping window lists once each, with the first window's tags and all queries."""
+    w = monthly_windows(spark, "2024-01-01", "2024-03-31").unionByName(monthly_windows(spark, "2024-01-15", "2024-02-29"))
+    c = R.collect_windows(_dated(spark, d), ["src1", "src2", "src3"], w, QUERIES_)
+    return c.select("id", F.to_date("_window_start").alias("window_start"), F.col("_granularity").alias("granularity"), F.col("_collection_type").alias("kind"), F.array_join("_matched_queries", "|").alias("queries"))
+
+
+def hourly_collection(spark, d):
+    """Hourly windows of a crisis: documents once each."""
+    w = hourly_windows(spark, "2024-01-03 00:00:00", "2024-01-09 12:00:00").withColumn("window_end", F.col("window_end") - F.expr("interval 1 microsecond"))
+    c = R.collect_windows(_dated(spark, d), [f"src{i}" for i in range(20)], w, ["the and", "que"], "hourly", "crisis")
+    return c.select("id", F.col("_window_start").alias("window_start"), F.array_join("_matched_queries", "|").alias("queries"))
+
+
+def nested_threads(spark, d):
+    """Conversations as nested reply trees in JSON, taken apart again."""
+    from ..operators.threads import flatten_nested
+
+    n = noisy_comments(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "id", "author", "body")), False).alias("t"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    node = lambda acc, x: F.concat(F.lit('{"'), x["id"], F.lit('": {"body": '), quoted(x["body"]), F.lit(', "author": '), quoted(x["author"]), F.lit(', "parent_id": "'), F.when(x["turn"] == 0, "t3_s").otherwise(F.concat(F.lit("t1_"), x["id"] - 1)), F.lit('", "replies": '), acc, F.lit("}}"))
+    trees = n.select(F.col("conv_id").alias("submission_id"), F.aggregate("t", F.lit("{}"), node).alias("tree"))
+    t = flatten_nested(trees)
+    return t.select(F.col("_submission_id").alias("conv_id"), F.col("_id").cast("long").alias("id"), F.md5("body").alias("body_md5"), F.col("_depth").cast("long").alias("depth"), F.col("_is_top_level").alias("top_level"), F.col("_parent_comment_id").cast("long").alias("parent"))
+
+
+def comment_fields(spark, d):
+    """Allowed fields, blanked strings, plain types and provenance of rows that hold more than that."""
+    n = noisy_comments(spark, d)
+    wide = n.withColumns({"distinguished": F.when(F.col("turn") % 3 == 0, "None").when(F.col("turn") % 3 == 1, "mod"), "edited": F.when(F.col("turn") % 2 == 0, "false").otherwise(F.col("id").cast("string")), "awards": F.array(F.lit("a"), F.col("author"))})
+    kept = X.only(wide, ["id", "body", "author", "distinguished", "edited", "link_id"]).drop("body")
+    plain = X.plain_types(wide.select("id", "awards")).withColumnRenamed("id", "i")
+    j = kept.withColumn("distinguished", X.blank(F.col("distinguished"))).withColumn("edited", X.edited_at(F.col("edited"))).join(plain.hint("shuffle_hash"), F.col("id") == F.col("i")).drop("i")
+    return X.provenance(j, kind="comment", author_kind=F.upper("author")).withColumnsRenamed({"_kind": "kind", "_author_kind": "author_kind"})
+
+
+def comments_with_submission(spark, d):
+    from ..operators.threads import with_submission
+
+    c = noisy_comments(spark, d).select("id", F.col("conv_id").alias("submission_id"))
+    p = texts(spark, d).select("id", F.substring("text", 1, 20).alias("title"), F.length("text").cast("long").alias("score"))
+    return with_submission(c, p).select("id", "submission_id", F.col("_submission_title").alias("title"), F.col("_submission_score").alias("score"))
 
 
 N = f"WITH {NOISY} "
+_WITH_SIGNS = "(text || ' \U0001f600 \u2713 \u65e5')"
+_QLIST = "[" + ", ".join(Q.q(s) for s in QUERIES_) + "]"
 _R = Q.reasons("author", "body")
 _VALID = " AND ".join(f"NOT {c}" for c in _R.values())
 _TERMS = f"WITH t AS (SELECT doc_id, lang, source, {Q.terms('text')} AS w FROM documents)"
 _HITS = "list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'contains(lower(text), {Q.q(t)})' for t in s.split())} THEN {Q.q(s)} END" for s in QUERIES_) + "], lambda x: x IS NOT NULL)"
+_DATED = f"t AS (SELECT doc_id AS id, source, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) AS ts, {_HITS} AS h FROM documents)"
 _TREE = f"WITH RECURSIVE {NOISY}, c AS (SELECT id, conv_id, CASE WHEN turn > 0 THEN id - 1 END AS parent FROM noisy), f AS (SELECT id, conv_id, parent, CAST(0 AS BIGINT) AS depth FROM c WHERE parent IS NULL UNION ALL SELECT c.id, c.conv_id, c.parent, f.depth + 1 FROM c JOIN f ON c.parent = f.id)"
 _ANY = lambda ws: "regexp_matches(lower(text), " + Q.q("|".join(ws)) + ")"
 _TITLE = "substr(body, 1, 60)"
@@ -194,5 +270,14 @@ QUERIES = {
     "wordcloud_terms": (wordcloud_terms, f"{_TERMS}, c AS (SELECT lang, unnest(w) AS term FROM t), n AS (SELECT lang, term, count(*) AS n FROM c GROUP BY 1, 2), f AS (SELECT n.lang, coalesce(o.term, n.term) AS term, CAST(sum(n.n) AS BIGINT) AS n FROM n LEFT JOIN n o ON o.lang = n.lang AND n.term = o.term || 's' GROUP BY 1, 2) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 100"),
     "vocabulary_compare": (vocabulary_compare, f"{_TERMS}, c AS (SELECT lang, unnest(w) AS term FROM t WHERE lang IN ('en', 'de')), n AS (SELECT lang, term, count(*) AS n FROM c GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 20) SELECT term, CAST(coalesce(sum(n) FILTER (lang = 'en'), 0) AS BIGINT) AS left_n, CAST(coalesce(sum(n) FILTER (lang = 'de'), 0) AS BIGINT) AS right_n FROM n GROUP BY 1 ORDER BY left_n + right_n DESC, term LIMIT 15"),
     "ctfidf_words": (ctfidf_words, f"{_TERMS}, c AS (SELECT lang, unnest(w) AS term FROM t), n AS (SELECT lang, term, count(*) AS n FROM c GROUP BY 1, 2), z AS (SELECT lang, sum(n) AS size FROM n GROUP BY 1), m AS (SELECT avg(size) AS mean FROM z), f AS (SELECT term, sum(n) AS f FROM n GROUP BY 1 HAVING sum(n) >= 2), x AS (SELECT lang, term, round(n / size * ln(1 + mean / f), 9) AS weight FROM n JOIN z USING (lang) JOIN f USING (term), m) SELECT lang, term, weight, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INT) AS rank FROM x QUALIFY rank <= 10"),
-    "cluster_keywords_tfidf": (cluster_keywords_tfidf, f"{_TERMS}, g AS (SELECT source AS subreddit, doc_id, unnest(list_concat(w, {Q.grams('w', 2)})) AS term FROM t), tf AS (SELECT subreddit, doc_id, term, count(*) AS tf FROM g GROUP BY ALL), st AS (SELECT subreddit, term, sum(tf) AS f, count(*) AS df FROM tf GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY f DESC, term) <= 1000), dc AS (SELECT source AS subreddit, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1), v AS (SELECT *, tf * (ln((1 + docs) / (1 + df)) + 1) AS wt FROM tf JOIN st USING (subreddit, term) JOIN dc USING (subreddit)), nm AS (SELECT subreddit, doc_id, sqrt(sum(wt * wt)) AS norm FROM v GROUP BY 1, 2), m AS (SELECT subreddit, term, sum(wt / norm) / any_value(docs) AS weight FROM v JOIN nm USING (subreddit, doc_id) GROUP BY 1, 2) SELECT subreddit, CAST(row_number() OVER (PARTITION BY subreddit ORDER BY weight DESC, term) AS INT) AS rank, round(weight, 6) AS weight FROM m QUALIFY rank <= 5"),
+    "cluster_keywords_tfidf": (cluster_keywords_tfidf, f"{_TERMS}, g AS (SELECT source AS subreddit, doc_id, unnest(list_concat(w, {Q.grams('w', 2)})) AS term FROM t), tf AS (SELECT subreddit, doc_id, term, count(*) AS tf FROM g GROUP BY ALL), st AS (SELECT subreddit, term, sum(tf) AS f, count(*) AS df FROM tf GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY f DESC, term) <= 1000), dc AS (SELECT source AS subreddit, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1), v AS (SELECT *, tf * (ln((1 + docs) / (1 + df)) + 1) AS wt FROM tf JOIN st USING (subreddit, term) JOIN dc USING (subreddit)), nm AS (SELECT subreddit, doc_id, sqrt(sum(wt * wt)) AS norm FROM v GROUP BY 1, 2), m AS (SELECT subreddit, term, sum(wt / norm) / any_value(docs) AS weight FROM v JOIN nm USING (subreddit, doc_id) GROUP BY 1, 2), r AS (SELECT subreddit, term, round(weight, 9) AS weight FROM m) SELECT subreddit, term, weight, CAST(row_number() OVER (PARTITION BY subreddit ORDER BY weight DESC, term) AS INT) AS rank FROM r QUALIFY rank <= 5"),
+    "emoji_filter": (emoji_filter, f"SELECT doc_id AS id, len({Q.sub(_WITH_SIGNS, f'[{T.EMOJI}]+')}) AS strict_chars, len({Q.sub(_WITH_SIGNS, f'[{T.EMOJI}{T.EMOJI_WIDE}]+')}) AS wide_chars FROM documents"),
+    "length_flags": (length_flags, f"SELECT doc_id AS id, len(text) > 10000 AS too_long, CASE WHEN {Q.strip('text')} <> '' THEN least(len(text), 512) END AS input_chars FROM documents"),
+    "top_queries": (top_queries, f"WITH m AS (SELECT unnest({_HITS}) AS query FROM documents) SELECT query, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, query LIMIT 10"),
+    "scan_grid": (scan_grid, f"WITH {_DATED}, w(window_start, window_end) AS (VALUES (DATE '2024-01-01', DATE '2024-01-31'), (DATE '2024-02-01', DATE '2024-02-29'), (DATE '2024-03-01', DATE '2024-03-31')), c(community) AS (VALUES ('src1'), ('src2'), ('src3')), q(query) AS (SELECT unnest({_QLIST})) SELECT community, window_start, window_end, query, count(t.id) AS n FROM c CROSS JOIN w CROSS JOIN q LEFT JOIN t ON t.source = community AND CAST(t.ts AS DATE) BETWEEN window_start AND window_end AND list_contains(t.h, query) GROUP BY ALL"),
+    "collected_grid": (collected_grid, f"WITH {_DATED}, w(s, e) AS (VALUES (DATE '2024-01-01', DATE '2024-01-31'), (DATE '2024-02-01', DATE '2024-02-29'), (DATE '2024-03-01', DATE '2024-03-31'), (DATE '2024-01-15', DATE '2024-02-14'), (DATE '2024-02-15', DATE '2024-02-29')) SELECT id, min(s) AS window_start, 'monthly' AS granularity, 'historical' AS kind, array_to_string(list_sort(any_value(h)), '|') AS queries FROM t JOIN w ON CAST(ts AS DATE) BETWEEN s AND e WHERE source IN ('src1', 'src2', 'src3') AND len(h) > 0 GROUP BY id"),
+    "hourly_collection": (hourly_collection, "WITH t AS (SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) AS ts, list_filter([CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'and') THEN 'the and' END, CASE WHEN contains(lower(text), 'que') THEN 'que' END], lambda x: x IS NOT NULL) AS h FROM documents) SELECT id, date_trunc('hour', ts) AS window_start, array_to_string(list_sort(h), '|') AS queries FROM t WHERE len(h) > 0 AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09 12:00:00'"),
+    "nested_threads": (nested_threads, f"{N} SELECT conv_id, id, md5(body) AS body_md5, turn AS depth, turn = 0 AS top_level, CASE WHEN turn > 0 THEN id - 1 END AS parent FROM noisy"),
+    "comment_fields": (comment_fields, f"{N} SELECT id, author, CASE WHEN turn % 3 = 1 THEN 'mod' ELSE '' END AS distinguished, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE CAST(id AS DOUBLE) END AS edited, '[\"a\",\"' || author || '\"]' AS awards, 'comment' AS kind, upper(author) AS author_kind FROM noisy"),
+    "comments_with_submission": (comments_with_submission, f"{N} SELECT n.id, conv_id AS submission_id, substr(text, 1, 20) AS title, len(text) AS score FROM noisy n LEFT JOIN documents ON doc_id = conv_id"),
 }

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..config import BOT_ACCOUNTS, DELETED_MARKERS, EXTRA_STOPWORDS, LOW_VALUE_PATTERNS, MEDIA_DOMAINS, MODERATION_PATTERNS
-from ..functions.text import MARKUP, NOT_SPACE, SPACE
+from ..config import BOT_ACCOUNTS, DELETED_MARKERS, LOW_VALUE_PATTERNS, MEDIA_DOMAINS, MODERATION_PATTERNS
+from ..functions.text import MARKUP, NOT_SPACE, SPACE, stopwords
 
 
 def q(s: str) -> str:
@@ -57,7 +57,7 @@ def normal(e: str) -> str:
 
 
 def terms(e: str) -> str:
-    stop = "[" + ", ".join(q(w) for w in EXTRA_STOPWORDS) + "]"
+    stop = "[" + ", ".join(q(w) for w in stopwords()) + "]"
     return f"list_filter(string_split({normal(e)}, ' '), lambda x: len(x) >= 3 AND NOT list_contains({stop}, x))"
 
 

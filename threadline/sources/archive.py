@@ -2,7 +2,9 @@
 
 A shard is one JSON object a file, {id: {fields}}; keys that start with `_`
 are metadata. A file that does not parse is salvaged object by object, and
-what cannot be salvaged is dropped.
+what cannot be salvaged is dropped. A shard is parsed in one piece, so it must
+be below 2 GB and fit a task; an archive is split by community and window, and
+`save_shards` writes such pieces. JSON lines have no such bound.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ def keyed_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json"
     tagged = raw.select("_source", "value", F.map_filter(parsed, lambda k, v: v.isNotNull()).alias("m"))
     whole = tagged.filter("m is not null").select("_source", F.explode("m").alias("_id", "v"))
     if salvage:
-        # pairs "id": {...} with one nested level at most
-        pieces = F.regexp_extract_all("value", F.lit(r'"([a-z0-9]+)"\s*:\s*(\{(?:[^{}]|\{[^{}]*\})*\})'), F.lit(0))
+        # pairs "id": {...} with one nested level at most; possessive, as the matcher otherwise keeps a frame for every character
+        pieces = F.regexp_extract_all("value", F.lit(r'"([a-z0-9]+)"\s*:\s*(\{(?:[^{}]++|\{[^{}]*+\})*+\})'), F.lit(0))
         bad = tagged.filter("m is null").select("_source", F.explode(pieces).alias("p"))
         pair = F.from_json(F.concat(F.lit("{"), F.col("p"), F.lit("}")), f"map<string, struct<{ddl(schema)}>>")
         whole = whole.unionAll(bad.select("_source", F.explode(pair).alias("_id", "v")).filter("v is not null"))
@@ -67,7 +69,7 @@ def load_comments(spark: SparkSession, path: str, glob: str = "*comments*.json",
     """Comments with time parts, lengths, numeric `edited` and blanked nullable strings."""
     c = deduplicated(keyed_json(spark, path, COMMENT, glob), dedup)
     c = c.withColumn("created_datetime", X.epoch_to_timestamp(F.col("created_utc"))).withColumn("edited", X.edited_at(F.col("edited")))
-    c = c.withColumns({k: F.coalesce(k, F.lit("")) for k in ("distinguished", "_parent_comment_id", "permalink")})
+    c = c.withColumns({k: X.blank(F.col(k)) for k in ("distinguished", "_parent_comment_id", "permalink")})
     c = c.withColumns({"year": F.year("created_datetime"), "date": F.to_date("created_datetime"), "hour": F.hour("created_datetime")})
     return c.withColumns({"comment_length": X.text_length(F.col("body")), "word_count": X.word_count(F.col("body"))})
 
@@ -95,6 +97,29 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     return unified(as_corpus(s, "submission", X.full_text(F.col("title"), F.col("selftext"))), as_corpus(c, "comment", F.col("body")))
 
 
+def load_all(spark: SparkSession, raw: str, submissions: str | None = None, comments: str | None = None, use_clean: bool = True) -> DataFrame:
+    """The cleaned tables where both are there and wanted, else the raw folder; in the order of time within partitions."""
+    def there(path: str | None) -> bool:
+        if not path:
+            return False
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    d = load_clean(spark, submissions, comments) if use_clean and there(submissions) and there(comments) else load_corpus(spark, raw)
+    return in_time_order(d)
+
+
+def in_time_order(df: DataFrame, ts: str = "created_datetime") -> DataFrame:
+    """Ranges of time as partitions, each sorted: files written from it are in the order of time."""
+    return df.repartitionByRange(F.col(ts).asc_nulls_last()).sortWithinPartitions(F.col(ts).asc_nulls_last())
+
+
+def load_posts(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet posts table with time, date, year, month and region."""
+    p = spark.read.parquet(path).withColumn("created_datetime", X.epoch_to_timestamp(F.col("created_utc")))
+    return p.withColumns({"date": F.to_date("created_datetime"), "year": F.year("created_datetime"), "month": F.month("created_datetime"), "region": X.region(F.col("subreddit"))})
+
+
 def load_clean(spark: SparkSession, submissions: str, comments: str) -> DataFrame:
     s = spark.read.parquet(submissions)
     c = spark.read.parquet(comments)
@@ -107,6 +132,37 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tup
     {"parquet": lambda: w.option("compression", "snappy").parquet(path), "csv": lambda: w.option("header", True).csv(path), "json": lambda: w.json(path)}[fmt]()
 
 
+def save_shards(df: DataFrame, path: str, shard: str = "_shard", key: str = "_id") -> None:
+    """Keyed-JSON shards {id: {fields}}, a file `<shard>.json` for each value of the shard column, ids in their order.
+
+    An object is gathered whole, so a shard has to fit a task; what does not is
+    split by finer shards or written as JSON lines.
+    """
+    spark = df.sparkSession
+    name = F.to_json(F.array(F.col(key).cast("string")))
+    entry = F.concat(F.substring(name, 2, 1 << 20).substr(F.lit(1), F.length(name) - 2), F.lit(":"), F.to_json(F.struct(*[c for c in df.columns if c not in (key, shard)])))
+    items = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), entry.alias("e"))))
+    one = df.groupBy(shard).agg(F.concat(F.lit("{"), F.array_join(F.transform(items, lambda x: x["e"]), ","), F.lit("}")).alias("value"))
+    one.repartition(shard).write.mode("overwrite").partitionBy(shard).option("lineSep", "\n").text(path)
+    # text files cannot be named as they are written: a rename a shard
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.globStatus(fs_path(f"{path}/{shard}=*/part-*")):
+        folder = f.getPath().getParent()
+        fs.rename(f.getPath(), fs_path(f"{path}/{folder.getName().split('=', 1)[1]}.json"))
+        fs.delete(folder, True)
+
+
+def save_results(tables: dict[str, DataFrame], path: str, fmt: dict[str, str] | str = "parquet", partition_by: dict[str, tuple[str, ...]] | None = None) -> None:
+    """A folder a table; fmt and partition_by can be given by name."""
+    for name, t in tables.items():
+        save_table(t, f"{path}/{name}", fmt if isinstance(fmt, str) else fmt.get(name, "parquet"), (partition_by or {}).get(name, ()))
+
+
+def load_all_results(spark: SparkSession, path: str, formats: dict[str, str]) -> dict[str, DataFrame]:
+    return {name: load_results(spark, f"{path}/{name}", fmt) for name, fmt in formats.items()}
+
+
 def load_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
 
@@ -118,3 +174,13 @@ def save_embeddings(df: DataFrame, path: str, id_col: str = "id", vec_col: str =
 def embeddings_of(store: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """A row for each id asked for; an unknown one has a null embedding."""
     return ids.select(id_col).distinct().join(store, id_col, "left")
+
+
+def ids_at(index: DataFrame, places: DataFrame, place: str = "embedding_idx", id_col: str = "id") -> DataFrame:
+    """A row for each place asked for, with its id; an unknown one has none."""
+    return places.select(place).distinct().join(index.select(place, id_col), place, "left")
+
+
+def members(labels: DataFrame, cluster, cluster_col: str = "cluster_id", id_col: str = "id") -> DataFrame:
+    """Ids of one cluster."""
+    return labels.filter(F.col(cluster_col) == cluster).select(id_col)
