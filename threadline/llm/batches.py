@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -52,3 +53,11 @@ def checksums(ids: np.ndarray, count: np.ndarray) -> list[int]:
     view = memoryview(np.ascontiguousarray(ids).astype("<i4", copy=False)).cast("B")
     end = (4 * np.cumsum(count)).tolist()
     return [zlib.crc32(view[s:e]) for s, e in zip([0, *end[:-1]], end, strict=True)]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task and is one of several on its machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import give_back
 from .common import partitions
 
 #: Buckets a shuffle partition, and rows that a task packs together.
@@ -70,6 +71,8 @@ def dealt(rows: DataFrame, columns: Callable[[pa.RecordBatch], list[np.ndarray]]
                 held, size = [], 0
         if held:
             yield pack(np.concatenate(held, axis=1), side, n)
+        held = []
+        give_back()
 
     return rows.mapInArrow(run, PACKED)
 
@@ -97,5 +100,7 @@ def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.n
                 held[side].append(r)
         if bucket is not None:
             yield done()
+        held = []
+        give_back()
 
     return rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "side").mapInArrow(run, PACKED if names is None else schema)

@@ -39,7 +39,7 @@ from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import runs
+from .batches import give_back, runs
 from .common import discard, partitions, table, written
 from .packed import bucket_of, buckets, dealt, met, slices
 
@@ -127,7 +127,7 @@ END_KEY = word_keys(words_array([END_TOKEN]))[0]
 def word_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, Words]]:
     for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
         yield s, e, Words([t or "" for t in texts[s:e].to_pylist()])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,13 +173,13 @@ def weight_key(g: np.ndarray) -> np.ndarray:
     return mixed(g ^ U(0x5851F42D4C957F2D))
 
 
-def bit_filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys' (the one column's) low FILTER_BITS bits, gathered in parts."""
-    n, width, part_width = partitions(keys.sparkSession), FILTER_BITS, PART_BITS
+def bit_filter(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Bits of the keys' low FILTER_BITS bits, gathered in parts; `keys` gives those of a batch."""
+    n, width, part_width = partitions(rows.sparkSession), FILTER_BITS, PART_BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = np.sort(b.column(0).to_numpy().view(U) & U((1 << width) - 1))
+            low = np.sort(keys(b) & U((1 << width) - 1))
             part = (low >> U(part_width)).astype(np.int32)
             cut = slices(part)
             bit = (low & U((1 << part_width) - 1)).astype(np.int32)
@@ -196,7 +196,7 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     schema = "part int, bits binary"
     out = np.zeros(1 << (width - 3), np.uint8)
     step = 1 << (part_width - 3)
-    for r in keys.mapInArrow(places, schema).repartitionById(n, "part").mapInArrow(run, schema).collect():  # one row a part, all of one filter's size
+    for r in rows.mapInArrow(places, schema).repartitionById(n, "part").mapInArrow(run, schema).collect():  # one row a part, all of one filter's size
         out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
@@ -323,14 +323,14 @@ def values_at(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (table[1].view(np.float64)[order][at] if len(order) else np.ones(len(keys))), hit
 
 
-def runs_of(listed: DataFrame) -> DataFrame:
-    """(g, n): the listed runs."""
+def run_key(b: pa.RecordBatch) -> np.ndarray:
+    """The runs of listed rows."""
+    return longer(column(b, "ctx"), column(b, "word"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(longer(column(b, "ctx"), column(b, "word")).view(np.int64)), b.column("n")], names=["g", "n"])
 
-    return listed.mapInArrow(run, "g long, n long")
+def first_key(b: pa.RecordBatch) -> np.ndarray:
+    """The runs of single words."""
+    return mixed(column(b, "key"))
 
 
 def tested_contexts(s: DataFrame, parents: DataFrame, totals: DataFrame, above: DataFrame | None) -> DataFrame:
@@ -396,32 +396,36 @@ def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
     return met([met([all_, some], [4, 3], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
 
 
-def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
-    """(key, v, n): log10 back-off weights of kept contexts and log10 gains of their listed successors, seen n times.
+#: A part of the tree: rows with `v` and `n`, and what gives a batch's keys.
+Entries = tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]
+
 
-    first: (g, n, p), the repeated words, their counts and the root's
+def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> list[Entries]:
+    """log10 back-off weights (v) of kept contexts and log10 gains of their listed successors, seen n times.
+
+    first: (key, n, p), the repeated words, their counts and the root's
     probability. A run's count is its total as a context, and its successors
     seen once are what the listed ones leave of it. Contexts of one word are
     counted in one pass over the texts, longer ones together in another.
     """
     spark = docs.sparkSession
-    root = lambda: dealt(first.select("g", "p"), lambda b: [column(b, "g"), column(b, "p")], 1)
+    root = lambda: dealt(first.select("key", "p"), lambda b: [first_key(b), column(b, "p")], 1)
     levels: list[tuple[DataFrame, DataFrame]] = []
-    contexts, parents = first.select("g", "n"), root()
+    contexts, key, parents = first.select("key", "n"), first_key, root()
     counted: list[DataFrame] = []
     for d in range(1, DEPTH + 1):
         contexts = contexts.filter(F.col("n") >= CONTEXT_MIN)
         if d <= 2:
-            common = contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toPandas()  # 1 / HOT_CONTEXT rows at most
-            hot = np.sort(common.g.to_numpy(np.int64).view(U))
+            # 1 / HOT_CONTEXT rows at most
+            hot = [key(b) for b in contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toArrow().to_batches()]
             depths = (1,) if d == 1 else tuple(range(2, DEPTH + 1))
-            counted.append(written(level_counts(docs, depths, bit_filter(contexts.select("g")), hot), "successors"))
+            counted.append(written(level_counts(docs, depths, bit_filter(contexts, key), np.sort(np.concatenate(hot or [np.zeros(0, U)]))), "successors"))
             release(spark)
         s = counted[-1].filter(F.col("level") == d).drop("level")
-        totals = dealt(contexts, lambda b: [column(b, "g"), b.column("n").to_numpy()], 1)
+        totals = dealt(contexts, lambda b, key=key: [key(b), b.column("n").to_numpy()], 1)
         levels.append((written(tested_contexts(s, parents, totals, levels[-1][0] if levels else None), "contexts"), s))
-        contexts = runs_of(s.select("ctx", "word", "n"))
-        parents = dealt(s, lambda b: [longer(column(b, "ctx"), column(b, "word")), b.column("n").to_numpy().astype(np.float64)], 1)
+        contexts, key = s.select("ctx", "word", "n"), run_key
+        parents = dealt(contexts, lambda b: [run_key(b), b.column("n").to_numpy().astype(np.float64)], 1)
         release(spark)
     kept: list[DataFrame] = []
     for d in range(DEPTH - 1, -1, -1):  # suffixes of kept contexts are kept
@@ -431,19 +435,14 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
             k = k.join(below.hint("shuffle_hash"), "ctx", "left").withColumn("kept", F.col("kept") | F.coalesce("suffix", F.lit(False)))
         kept.insert(0, written(k.filter("kept").select("ctx", "up", "total", "rest"), "kept"))
     discard(*[k for k, _ in levels])
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(weight_key(column(b, "ctx")).view(np.int64)), b.column(1), b.column(2)], names=["key", "v", "n"])
-
-    out = spark.createDataFrame([], "key long, v double, n long")
+    out: list[Entries] = []
     parents = root()
     for k, (_, s) in zip(kept, levels, strict=True):
         p = written(gains_of(s, k, parents), "gains")
         release(spark)
         parents = dealt(p.select("g", "p"), lambda b: [column(b, "g"), column(b, "p")], 1)
-        w = k.select("ctx", F.log10((F.col("rest") + PULL) / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")).mapInArrow(weights, "key long, v double, n long")
-        out = out.unionAll(w).unionAll(p.select(F.col("g").alias("key"), "v", "n"))
+        out.append((k.select("ctx", F.log10((F.col("rest") + PULL) / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")), lambda b: weight_key(column(b, "ctx"))))
+        out.append((p.select("g", "v", "n"), lambda b: column(b, "g")))
     discard(*counted)
     return out
 
@@ -451,12 +450,17 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> DataFrame:
 class Lookup:
     """The common entries of a tree in whole, and a filter of all."""
 
-    def __init__(self, tree: DataFrame, least: float):
-        hot = tree.filter(F.col("n") >= least).select("key", "v").toPandas()  # at most 2 DEPTH / HOT_SHARE rows
-        keys = hot.key.to_numpy(np.int64).view(U)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], hot.v.to_numpy(np.float64)[order]
-        self.bits = bit_filter(tree.select("key"))
+    def __init__(self, tree: list[Entries], least: float):
+        keys: list[np.ndarray] = [np.zeros(0, U)]
+        values: list[np.ndarray] = [np.zeros(0)]
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for rows, key in tree:
+            for b in rows.filter(F.col("n") >= least).toArrow().to_batches():  # at most 2 DEPTH / HOT_SHARE rows in all
+                keys.append(key(b))
+                values.append(column(b, "v"))
+            self.bits |= bit_filter(rows, key)
+        order = np.argsort(np.concatenate(keys))
+        self.keys, self.values = np.concatenate(keys)[order], np.concatenate(values)[order]
 
     def scores(self, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per position the sum of common entries; positions and keys of those to be met in the table."""
@@ -520,12 +524,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     discard(vocabulary)
     release(spark)
 
-    def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(column(b, "key")).view(np.int64)), b.column(1), b.column(2)], names=["g", "n", "p"])
-
     listed = keyed.filter(F.col("n") >= SUCCESSOR_MIN).select("key", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p"))
-    tree = learn_tree(train, listed.mapInArrow(first_runs, "g long, n long, p double"), n_all)
+    tree = learn_tree(train, listed, n_all)
     release(spark)
     held = Lookup(tree, HOT_SHARE * n_all)
     common = keyed.filter(F.col("n") >= least).select("key", "n").toPandas()  # at most 1 / BROADCAST_SHARE rows
@@ -638,9 +638,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(np.ascontiguousarray(x["id"]), mask=x["null"].copy()), *[pa.array(np.ascontiguousarray(x[c])) for c in ("tokens", "known", "base", "score")]]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    entries = dealt(tree.filter(F.col("n") < HOT_SHARE * n_all).select("key", "v"), lambda b: [column(b, "key"), column(b, "v")], ENTRY)
-    counts = dealt(keyed.filter(F.col("n") < least).select("key", "n"), lambda b: [column(b, "key"), b.column("n").to_numpy().astype(np.float64)], COUNT)
-    tables = entries.unionAll(counts).select("bucket", "side", F.lit(None).cast("long"), F.lit(None).cast("binary"), "rows")
+    tables = dealt(keyed.filter(F.col("n") < least).select("key", "n"), lambda b: [column(b, "key"), b.column("n").to_numpy().astype(np.float64)], COUNT)
+    for some, key in tree:
+        tables = tables.unionAll(dealt(some.filter(F.col("n") < HOT_SHARE * n_all), lambda b, key=key: [key(b), column(b, "v")], ENTRY))
+    tables = tables.select("bucket", "side", F.lit(None).cast("long"), F.lit(None).cast("binary"), "rows")
     rows = d.select("doc_id", "text").mapInArrow(asked, DEALT).unionAll(tables)
     met = rows.repartitionById(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "chunk long, kind int, rows binary")
     scored = met.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
