@@ -17,6 +17,11 @@ def test_names():
     assert set(o) <= set(q) and len(q) > 90
 
 
+def test_a_missing_package_takes_the_subpackage_only():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'monthly_volume' in q and not any(k.startswith('op') for k in q) and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
 def test_imports_without_the_subpackage():
     code = "import sys; sys.modules['threadline.llm'] = None; import __spark_entry__ as e; assert 'monthly_volume' in e.queries() and not any(k.startswith('op1') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)

@@ -1,6 +1,9 @@
 """Properties and small exact cases of the operators."""
 
+import json
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,9 +11,11 @@ from threadline.operators import clean as C
 from threadline.operators import clusters as K
 from threadline.operators import periods as T
 from threadline.operators import search as R
+from threadline.operators import sentiment as N
 from threadline.operators import stats as S
+from threadline.operators import topics as O
 from threadline.operators import vectors as V
-from threadline.operators.threads import flatten_threads
+from threadline.operators.threads import flatten_nested, flatten_threads
 
 
 def test_last_period_wins_in_both_forms(spark):
@@ -76,3 +81,86 @@ def test_plans_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("a", "b")], "author string, body string")
     plan = C.clean_comments(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 301)] + [("b", float(x)) for x in rng.normal(size=200)] + [("c", 5.0), (None, 1.0), (None, 3.0), ("d", None)]
+    at = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {(r.g, r.p): r.value for r in S.exact_percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", at).collect()}
+    for g in ("a", "b", "c", None):
+        v = [x for k, x in rows if k == g]
+        assert all(abs(got[g, p] - np.percentile(v, 100 * p)) < 1e-9 for p in at)
+    assert ("d", 0.5) not in got and S.exact_percentiles(spark.createDataFrame([], "x double"), [], "x", [0.5]).count() == 0
+
+
+def test_neighbour_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(150, 6)), rng.normal(size=(60, 6)) * 0.05))
+    g = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame([(i, int(g[i]), [float(v) for v in r]) for i, r in enumerate(x)], "id long, g int, embedding array<double>")
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 1.1
+    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+    assert {(r.a, r.b) for r in K.neighbour_pairs(df, 1.1).collect()} == want and len(want) > 1000
+    assert {(r.a, r.b) for r in K.neighbour_pairs(df, 1.1, within=("g",)).collect()} == {(i, j) for i, j in want if g[i] == g[j]}
+    assert K.neighbour_pairs(df.limit(0), 1.1).count() == 0
+
+
+def test_nested_trees(spark):
+    tree = {"a": {"body": "1", "parent_id": "t3_p", "score": 4, "replies": {"b": {"body": "2", "parent_id": "t1_a", "replies": {"c": {"body": "{3}", "parent_id": "t1_b"}, "x": {"score": 1, "replies": {"y": {"body": "lost"}}}}}}}, "d": {"body": "4", "replies": ""}, "c": {"body": "later"}}
+    t = flatten_nested(spark.createDataFrame([("p", json.dumps(tree)), ("q", "{}"), ("r", None), ("s", "no json")], "submission_id string, tree string"))
+    assert sorted((r._id, r.body, r._depth, r._is_top_level, r._parent_comment_id) for r in t.collect()) == [("a", "1", 0, True, None), ("b", "2", 1, False, "a"), ("c", "later", 0, True, None), ("d", "4", 0, True, None)]
+
+
+def test_samples_per_cluster(spark):
+    rows = [(i, i % 2, float(i)) for i in range(40)] + [(100, 7, 1.0)]
+    got = K.sample_texts(spark.createDataFrame(rows, "id long, cluster_id int, cluster_prob double"), n=6).collect()
+    per = {c: sorted((r.sample_rank, r.id) for r in got if r.cluster_id == c) for c in (0, 1, 7)}
+    assert [x for _, x in per[0][:3]] == [38, 36, 34] and [k for k, _ in per[0]] == [1, 2, 3, 4, 5, 6] and len({x for _, x in per[1]}) == 6 and per[7] == [(1, 100)]
+
+
+def test_scorers_and_embedders(spark):
+    df = spark.createDataFrame([(1, "good day"), (2, None), (3, "  "), (4, "bad")], "id long, text string")
+
+    def load():
+        def run(b):
+            if (b == "bad").any():
+                raise ValueError("the scorer's own failure")
+            return pd.DataFrame({"label": ["LABEL_POS"] * len(b), "confidence": 0.5})
+
+        return run
+
+    one = {r.id: (r.sentiment_label, r.sentiment_score) for r in N.score_with(df.filter("id < 4").coalesce(1), load).collect()}
+    assert one == {1: ("LABEL_POS", 0.5), 2: ("neutral", 0.0), 3: ("neutral", 0.0)}
+    assert {r.sentiment_score for r in N.score_with(df.coalesce(1), load).collect()} == {0.0}
+    assert [list(r.embedding) for r in V.embed_with(df, lambda: lambda b: [[float(len(x))] for x in b]).orderBy("id").collect()] == [[8.0], [0.0], [2.0], [3.0]]
+
+
+def test_topics(spark, tmp_path):
+    words = {0: "apple banana cherry grape", 1: "engine wheel motor brake", 2: "apple banana cherry melon"}
+    docs = spark.createDataFrame([(i, i % 3, words[i % 3]) for i in range(90)] + [(100, -1, "noise")], "id long, topic_id int, text string")
+    m = {r.topic_id: r.n for r in O.merged_topics(docs, 2).groupBy("topic_id").agg(F.count("*").alias("n")).collect()}
+    assert sorted(m.values()) == [1, 30, 60] and m[-1] == 1 and m[1] == 30
+    vec = docs.select("id", F.when(F.col("topic_id") == 1, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("embedding"))
+    w = O.top_per(O.class_tfidf(docs.filter("topic_id <> -1"), "topic_id", grams=(1, 2)), "topic_id", "weight", 20)
+    assert any(" " in r.term for r in w.collect())
+    ranked = O.reranked(w.drop("rank"), docs, vec, 3).collect()
+    assert {r.topic_id for r in ranked} == {0, 1, 2} and all(abs(r.similarity - 1) < 1e-9 and r.rank <= 3 for r in ranked)
+    O.save_topics(docs, w, str(tmp_path / "m"))
+    d2, w2 = O.load_topics(spark, str(tmp_path / "m"))
+    assert d2.count() == 91 and sorted(map(str, w2.collect())) == sorted(map(str, w.collect()))
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 5)) * np.array([5.0, 2.0, 1.0, 0.5, 0.1])
+    got = np.array([r.reduced for r in V.reduce_dimensions(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>"), 2).orderBy("id").collect()])
+    c = x - x.mean(axis=0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(got), np.abs(x @ axes.T), atol=1e-6)
+
+
+def test_period_join_is_broadcast(spark):
+    dim = spark.createDataFrame([("a", "2020-01-01", "2020-01-20", 0)], "name string, s string, e string, ord int").selectExpr("name", "cast(s as timestamp) start", "cast(e as timestamp) end", "ord")
+    plan = T.tag_periods(spark.range(10).selectExpr("id", "timestamp_seconds(id) ts"), dim, "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from threadline.plans import pipelines as R
 from threadline.sources import archive as A
 
@@ -20,3 +22,26 @@ def test_clean_and_analyse(spark, tmp_path):
     for name, df in t.items():
         assert df.columns, name
     assert t["timelines"].count() == 151 + 92 + 123 and R.list_periods(spark).count() == 10
+
+
+def test_model_runs(spark, tmp_path):
+    words = ["apple banana cherry grape", "engine wheel motor brake"]
+    rows = [(i, words[i % 2] + f" w{i % 5}", f"2024-0{1 + i % 3}-01", "abc"[i % 3], "positive" if i % 2 else "neutral", (i % 2) / 2) for i in range(60)]
+    c = spark.createDataFrame(rows, "id long, text string, d string, subreddit string, sentiment_label string, sentiment_score double").withColumns({"created_datetime": F.col("d").cast("timestamp"), "year_month": F.substring("d", 1, 7)})
+    t = R.sentiment_tables(c)
+    assert t["summary"].first().total == 60 and t["by_both"].count() == 3 and sum(r.total for r in t["by_month"].collect()) == 60
+    topics = R.topic_tables(c, 0.3, min_topic_size=5, min_samples=3, reduce_to=2)
+    assert topics["documents"].count() == 60 and sum(r.n for r in topics["info"].collect()) == 60 and topics["over_time"].count() > 0 and topics["by_community"].count() > 0
+    e = c.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.1))))
+    k = R.cluster_tables(e, 0.3, min_size=5, min_samples=3)
+    assert k["totals"].first().clusters == 2 and k["requests"].count() == 2 and {r.similarity > 0.99 for r in k["evolution"].collect()} == {True}
+    A.save_results(t | {"topics": topics["info"]}, str(tmp_path / "r"), {"summary": "csv"}, {"by_both": ("year_month",)})
+    back = A.load_all_results(spark, str(tmp_path / "r"), {"summary": "csv", "by_both": "parquet"})
+    assert back["summary"].count() == 1 and back["by_both"].filter("year_month = '2024-02'").count() == 3
+
+
+def test_export(spark, tmp_path):
+    (tmp_path / "x_filtered.json").write_text(json.dumps({"a": {"id": "a", "title": "t", "created_utc": 5}}))
+    (tmp_path / "comments_x.json").write_text(json.dumps({"c": {"id": "c", "body": "b", "created_utc": 5}}))
+    R.run_export(spark, str(tmp_path), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/submissions")).first().title == "t" and spark.read.parquet(str(tmp_path / "out/comments")).count() == 1

@@ -2,6 +2,7 @@
 
 import json
 
+from threadline.functions import features as X
 from threadline.sources import archive as A
 
 
@@ -25,3 +26,31 @@ def test_corpus_and_sinks(spark, tmp_path):
     for fmt in ("parquet", "csv", "json"):
         A.save_table(c.select("id", "text"), str(tmp_path / fmt), fmt)
     assert A.load_results(spark, str(tmp_path / "csv"), "csv").count() == 2
+
+
+def test_salvage_of_long_items(spark, tmp_path):
+    """A cut shard with a long text and nested objects: the matcher must not need a frame a character."""
+    text = r'long text, with: colons and \"quotes\" ' * 1100
+    items = [f'"x{i}": {{"id": "x{i}", "selftext": "{text}", "extra": {{"a": 1, "b": [1, 2]}}, "title": "t{i}"}}' for i in range(3)]
+    (tmp_path / "a.json").write_text("{" + ", ".join(items) + ', "x9": {"id": "x9", "selftext": "cut ')
+    got = A.keyed_json(spark, str(tmp_path), A.SUBMISSION).select("_id", "title", "selftext").collect()
+    assert sorted((r._id, r.title, len(r.selftext)) for r in got) == [(f"x{i}", f"t{i}", len(text.replace("\\", ""))) for i in range(3)]
+
+
+def test_shards_round_trip(spark, tmp_path):
+    rows = [("s1", "a", 'say "hi" {x}', 1), ("s1", "b", None, 2), ("s2", "c", "\n\t\u00e9", None)]
+    A.save_shards(spark.createDataFrame(rows, "_shard string, _id string, title string, score long"), str(tmp_path / "x"))
+    assert sorted(p.name for p in (tmp_path / "x").glob("*.json")) == ["s1.json", "s2.json"]
+    got = A.keyed_json(spark, str(tmp_path / "x"), A.SUBMISSION).select("_source", "_id", "title", "score").collect()
+    assert sorted((r._source[:-5], r._id, r.title, r.score) for r in got) == rows
+
+
+def test_time_order_and_types(spark, tmp_path):
+    df = spark.range(500).selectExpr("timestamp_seconds((id * 7919) % 500) as created_datetime", "cast(id as string) as edited", "array(id) as tags", "named_struct('a', id) as s")
+    A.in_time_order(df).write.parquet(str(tmp_path / "t"))
+    parts = [[r[0] for r in spark.read.parquet(str(p)).select("created_datetime").collect()] for p in sorted((tmp_path / "t").glob("*.parquet"))]
+    assert [x for p in parts for x in p] == sorted(x for p in parts for x in p)
+    plain = X.plain_types(df)
+    assert dict(plain.dtypes) == {"created_datetime": "timestamp", "edited": "double", "tags": "string", "s": "string"}
+    odd = spark.createDataFrame([(None,), ("None",), ("nan",), ("ok",)], "x string")
+    assert [r[0] for r in odd.select(X.blank(odd.x)).collect()] == ["", "", "", "ok"]
