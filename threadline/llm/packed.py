@@ -28,8 +28,22 @@ def buckets(df: DataFrame) -> int:
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """Buckets of hashed keys, by their upper bits."""
-    return ((keys.view(np.uint64) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    """Buckets of hashed keys."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+
+
+LOW48 = np.uint64((1 << 48) - 1)
+
+
+def narrow(keys: np.ndarray) -> bytes:
+    """The lower 48 bits of hashes, six bytes each."""
+    return keys.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widened(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
 def slices(x: np.ndarray) -> list[tuple[int, int]]:
@@ -77,8 +91,8 @@ def dealt(rows: DataFrame, columns: Callable[[pa.RecordBatch], list[np.ndarray]]
     return rows.mapInArrow(run, PACKED)
 
 
-def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.ndarray]], names: list[str] | None = None, schema: str = "") -> DataFrame:
-    """Packed sides bucket by bucket: `each` gets an array of columns a side and gives columns, which are packed again by the first, or rows with the names."""
+def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.ndarray]], names: list[str] | None = None, schema: str = "", side: int = 0) -> DataFrame:
+    """Packed sides bucket by bucket: `each` gets an array of columns a side and gives columns, which are packed again by the first (as this side), or rows with the names."""
     rows = sides[0]
     for s in sides[1:]:
         rows = rows.unionAll(s)
@@ -89,15 +103,15 @@ def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.n
 
         def done() -> pa.RecordBatch:
             out = each(*[np.concatenate([np.frombuffer(r, np.int64).reshape(w, -1) for r in h], axis=1) if h else np.zeros((w, 0), np.int64) for h, w in zip(held, widths, strict=True)])
-            return pack(as_longs(out), 0, n) if names is None else pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+            return pack(as_longs(out), side, n) if names is None else pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
         for b in batches:
-            for k, side, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, which, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != bucket:
                     if bucket is not None:
                         yield done()
                     bucket, held = k, [[] for _ in widths]
-                held[side].append(r)
+                held[which].append(r)
         if bucket is not None:
             yield done()
         held = []

@@ -50,11 +50,11 @@ from pyspark.sql import functions as F
 
 from .batches import give_back, runs
 from .common import discard, partitions, table, written
-from .packed import bucket_of, buckets, dealt, met, slices
+from .packed import LOW48, bucket_of, buckets, dealt, met, narrow, slices, widened
 
 DEPTH, CONTEXT_MIN, SUCCESSOR_MIN, PULL = 3, 5, 2, 20.0
 #: Shares of all tokens from which words and entries are broadcast, and contexts are dealt by their pairs.
-BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 1e-6, 1e-6, 1e-4
+BROADCAST_SHARE, HOT_SHARE, HOT_CONTEXT = 5e-7, 5e-7, 1e-4
 #: Bits of a filter (16 MB), and of one part of it as it is made.
 FILTER_BITS, PART_BITS = 27, 18
 #: Bytes of texts whose pairs are counted together before they are shuffled.
@@ -72,8 +72,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
 def word_keys(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words (binary or strings of 64-bit offsets): polynomials of their bytes."""
+    """48-bit hashes of words (binary or strings of 64-bit offsets): polynomials of their bytes, mixed."""
     if not len(words):
         return np.zeros(0, U)
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
@@ -81,7 +87,7 @@ def word_keys(words: pa.Array) -> np.ndarray:
     size = np.diff(at)
     begin = at[:-1] - at[0]
     power = np.cumprod(np.full(int(size.max()), U(0x9E3779B97F4A7C15)))
-    return np.add.reduceat(raw * power[np.arange(len(raw)) - np.repeat(begin, size)], begin)
+    return mixed(np.add.reduceat(raw * power[np.arange(len(raw)) - np.repeat(begin, size)], begin)) & LOW48
 
 
 def words_array(words: list[bytes] | pa.Array) -> pa.LargeBinaryArray:
@@ -142,12 +148,6 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
-
-
 def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a run with one more word at its end."""
     return mixed(run * U(0x9E3779B97F4A7C15) + word)
@@ -220,43 +220,45 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-PAIRS = "bucket int, level int, ctx binary, size binary, up binary, word binary, n binary"
-LISTED = ["level", "ctx", "up", "word", "n"]
+PAIRS = "bucket int, level int, ctx binary, size binary, word binary, n binary"
+LISTED = ["level", "ctx", "word", "n"]
 
 
-def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(level, ctx, up, word, n): successors seen SUCCESSOR_MIN times of contexts of `depths` words that can be seen CONTEXT_MIN times.
+def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray, hot: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
+    """(level, ctx, word, n): successors seen SUCCESSOR_MIN times of contexts of `depths` words that can be seen CONTEXT_MIN times.
 
     frequent: a filter of the runs of depths[0] words that are; a longer context
     must have such a run at both its ends. hot: those runs, sorted, that hold a
     share of all tokens; the pairs of contexts made of them are dealt to all
-    buckets. up is the context one word shorter, 0 for none.
+    buckets. repeated: a filter of the runs of depths[0] words that occur twice,
+    among which the run that ends a longer pair must be.
     """
     n_buckets, least = buckets(docs), min(depths)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
-    names = ["bucket", "level", "ctx", "size", "up", "word", "n"]
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot, repeated))
+    names = ["bucket", "level", "ctx", "size", "word", "n"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, split = shared.value
+        bits, split, twice = shared.value
         for b in batches:
             for _, _, w in word_runs(b.column(0), COUNT_RUN):
                 h, start = w.tokens(w.keys())
                 token = start < np.arange(len(h))
                 rows: list[tuple] = []
-                up = often = apart = None
+                often = apart = None
                 for d, (g, long) in enumerate(run_hashes(h, start, max(depths)), 1):
                     ctx, fits = before(g), before(long)
                     if d == least:
                         often, apart = may_hold(bits, ctx), found_in(split, ctx)[1]
+                        if twice is not None:
+                            token &= may_hold(twice, g)
                     elif d > least:  # the run at the end of the context, and the one at its beginning
                         often, apart = often & before(often), apart & before(apart)
                     if d in depths:
                         use = np.flatnonzero(token & fits & often)
-                        rows += list(of_level(d, ctx[use], None if up is None else up[use], h[use], apart[use]))
-                    up = ctx
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i > 1 else pa.int32()) for i in range(7)], names=names)
+                        rows += list(of_level(d, ctx[use], h[use], apart[use]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i > 1 else pa.int32()) for i in range(6)], names=names)
 
-    def of_level(d: int, ctx: np.ndarray, up: np.ndarray | None, word: np.ndarray, apart: np.ndarray) -> Iterator[tuple]:
+    def of_level(d: int, ctx: np.ndarray, word: np.ndarray, apart: np.ndarray) -> Iterator[tuple]:
         g = longer(ctx, word)
         order = np.argsort(g)
         g = g[order]
@@ -270,7 +272,7 @@ def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray,
         for s, e in slices(deal):
             ends = np.array([x for x, _ in slices(c[s:e])] + [e - s])
             at = s + ends[:-1]
-            yield int(deal[s]), d, c[at].tobytes(), np.diff(ends).astype(np.int32).tobytes(), b"" if up is None else up[use[at]].tobytes(), word[use[s:e]].tobytes(), count[s:e].tobytes()
+            yield int(deal[s]), d, c[at].tobytes(), np.diff(ends).astype(np.int32).tobytes(), narrow(word[use[s:e]]), count[s:e].tobytes()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -286,11 +288,10 @@ def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray,
             yield counted(at[1], held)
 
     def counted(d: int, rows: list[tuple]) -> pa.RecordBatch:
-        ctx, size, up, word, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate((U, np.int32, U, U, np.int32)))
-        ctx = np.repeat(ctx, size)
-        up = np.repeat(up, size) if len(up) else np.zeros(len(ctx), U)
+        ctx, size, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in ((0, U), (1, np.int32), (3, np.int32)))
+        ctx, word = np.repeat(ctx, size), widened(b"".join(r[2] for r in rows))
         order = np.argsort(longer(ctx, word))
-        ctx, up, word, count = ctx[order], up[order], word[order], count[order].astype(np.int64)
+        ctx, word, count = ctx[order], word[order], count[order].astype(np.int64)
         new = np.ones(len(ctx), bool)
         new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
         first = np.flatnonzero(new)
@@ -299,10 +300,10 @@ def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray,
         count = count[count >= SUCCESSOR_MIN]
         order = np.argsort(ctx[first])
         first, count = first[order], count[order]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *[pa.array(x.view(np.int64)) for x in (ctx[first], up[first], word[first], count)]], names=LISTED)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *[pa.array(x.view(np.int64)) for x in (ctx[first], word[first], count)]], names=LISTED)
 
     packed = docs.mapInArrow(pairs, PAIRS).repartitionById(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "level")
-    return packed.mapInArrow(merged, "level int, ctx long, up long, word long, n long")
+    return packed.mapInArrow(merged, "level int, ctx long, word long, n long")
 
 
 def column(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -333,38 +334,46 @@ def first_key(b: pa.RecordBatch) -> np.ndarray:
     return mixed(column(b, "key"))
 
 
-def tested_contexts(s: DataFrame, parents: DataFrame, totals: DataFrame, above: DataFrame | None) -> DataFrame:
+def at_contexts(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of x (its first are contexts) that stand in the table, and the table's further columns for them."""
+    order = np.argsort(t[0].view(U))
+    at, hit = found_in(t[0].view(U)[order], x[0].view(U))
+    return x[:, hit], t[1:, order[at[hit]]] if len(order) else np.zeros((len(t) - 1, 0), np.int64)
+
+
+def tested_contexts(s: DataFrame, parents: DataFrame, contexts: DataFrame, above: DataFrame | None) -> DataFrame:
     """(ctx, up, total, rest, kept) of one level: the divergence test.
 
     parents: packed (run, number) of the level above: counts, or at the root
-    probabilities. totals: packed (ctx, count) of the contexts that are seen
-    often enough. above: this table of the level above, whose totals turn its
-    counts into probabilities.
+    probabilities. contexts: packed (ctx, count, up) of those that are seen often
+    enough; up is the context one word shorter, 0 for none. above: this table of
+    the level above, whose totals turn its counts into probabilities.
     """
 
-    def mine(b: pa.RecordBatch) -> list[np.ndarray]:
-        up = column(b, "up")
-        return [parent_run(up, column(b, "word")), column(b, "ctx"), up, column(b, "n")]
-
-    def sums(ctx: np.ndarray, up: np.ndarray, *added: np.ndarray) -> list[np.ndarray]:
+    def sums(ctx: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        """The first of two columns, the sum of the others, for each context."""
         order = np.argsort(ctx)
         first = np.flatnonzero(np.concatenate(([True], np.diff(ctx[order]) != 0))[: len(ctx)])
-        return [ctx[order][first], up[order][first], *[np.add.reduceat(c[order], first) if len(first) else c for c in added]]
+        return [ctx[order][first], *[c[order][first] for c in columns[:2]], *[np.add.reduceat(c[order], first) if len(first) else c for c in columns[2:]]]
+
+    def known(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        (ctx, word, n), (total, up) = at_contexts(x, t)
+        return [parent_run(up.view(U), word.view(U)), ctx, up, total, n]
 
     def terms(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
-        above, hit = values_at(x[0], table)
-        above, (ctx, up, n) = above[hit], x[1:, hit]  # what the filter let through wrongly can lack its shorter run
-        return sums(ctx, up, n * np.log(n / above), n, np.ones(len(n), np.int64))
-
-    def with_total(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-        ctx, up, gain, listed, kinds = sums(x[0], x[1], x[2].view(np.float64), x[3], x[4])
-        order = np.argsort(t[0])
-        at, hit = found_in(t[0][order], ctx)
-        total = t[1][order][at[hit]] if len(order) else np.zeros(0, np.int64)
-        return [ctx[hit], up[hit], total, gain[hit] - listed[hit] * np.log(total), listed[hit], kinds[hit]]
-
-    partial = met([dealt(s, mine, 0), parents], [4, 2], terms)
-    out = met([partial, totals], [5, 2], with_total, ["ctx", "up", "total", "gain", "listed", "kinds"], "ctx long, up long, total long, gain double, listed long, kinds long")
+        upg, ctx, up, total, n = x
+        number, hit = values_at(upg, table)
+        if not hit.all():
+            raise RuntimeError("a run is listed whose shorter run is not")
+        return sums(ctx, up, total, n * np.log(n / number), n, np.ones(len(n), np.int64))
+
+    def whole(x: np.ndarray) -> list[np.ndarray]:
+        ctx, up, total, gain, listed, kinds = sums(x[0], x[1], x[2], x[3].view(np.float64), x[4], x[5])
+        return [ctx, up, total, gain - listed * np.log(total), listed, kinds]
+
+    mine = dealt(s, lambda b: [column(b, c) for c in ("ctx", "word", "n")], 0)
+    partial = met([met([mine, contexts], [3, 3], known), parents], [5, 2], terms)
+    out = met([partial], [6], whole, ["ctx", "up", "total", "gain", "listed", "kinds"], "ctx long, up long, total long, gain double, listed long, kinds long")
     gain = F.col("gain")
     if above is not None:
         out = out.join(above.select(F.col("ctx").alias("up"), F.col("total").alias("whole")).hint("shuffle_hash"), "up")
@@ -377,12 +386,8 @@ def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
     """(g, n, p, v) of the kept contexts' listed successors: count, model probability, log10 gain. parents: packed (run, model probability)."""
 
     def of_kept(x: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
-        ctx, up, word, n = x
-        order = np.argsort(k[0].view(U))
-        at, hit = found_in(k[0].view(U)[order], ctx.view(U))
-        free, total = (c[order][at[hit]] if len(order) else c for c in k[1:])
-        up, word, ctx = up[hit].view(U), word[hit].view(U), ctx[hit].view(U)
-        return [parent_run(up, word), longer(ctx, word), n[hit], total, free]
+        (ctx, word, n), (free, total, up) = at_contexts(x, k)
+        return [parent_run(up.view(U), word.view(U)), longer(ctx.view(U), word.view(U)), n, total, free]
 
     def gain(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
         upg, g, n, total, free = x
@@ -391,9 +396,15 @@ def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
             raise RuntimeError("a kept context lists a successor that its suffix does not")
         return [g, n, (n + free * pp) / (total + PULL), np.log10(1 + n / free / pp)]
 
-    all_ = dealt(s, lambda b: [column(b, c) for c in ("ctx", "up", "word", "n")], 0)
-    some = dealt(kept, lambda b: [column(b, "ctx"), b.column("rest").to_numpy() + PULL, column(b, "total")], 1)
-    return met([met([all_, some], [4, 3], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
+    all_ = dealt(s, lambda b: [column(b, c) for c in ("ctx", "word", "n")], 0)
+    some = dealt(kept, lambda b: [column(b, "ctx"), b.column("rest").to_numpy() + PULL, column(b, "total"), column(b, "up")], 1)
+    return met([met([all_, some], [3, 4], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
+
+
+def as_contexts(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """(run, count, up) of listed runs as contexts, from (ctx, word, n) and (ctx, up)."""
+    (ctx, word, n), (up,) = at_contexts(x, t)
+    return [longer(ctx.view(U), word.view(U)), n, longer(up.view(U), word.view(U))]
 
 
 #: A part of the tree: rows with `v` and `n`, and what gives a batch's keys.
@@ -419,12 +430,21 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> list[Entries]:
             # 1 / HOT_CONTEXT rows at most
             hot = [key(b) for b in contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toArrow().to_batches()]
             depths = (1,) if d == 1 else tuple(range(2, DEPTH + 1))
-            counted.append(written(level_counts(docs, depths, bit_filter(contexts, key), np.sort(np.concatenate(hot or [np.zeros(0, U)]))), "successors"))
+            # a longer pair that occurs twice ends in one that does; those are the listed ones of contexts of one word
+            twice = None if d == 1 else bit_filter(counted[0], run_key)
+            counted.append(written(level_counts(docs, depths, bit_filter(contexts, key), np.sort(np.concatenate(hot or [np.zeros(0, U)])), twice), "successors"))
             release(spark)
         s = counted[-1].filter(F.col("level") == d).drop("level")
-        totals = dealt(contexts, lambda b, key=key: [key(b), b.column("n").to_numpy()], 1)
-        levels.append((written(tested_contexts(s, parents, totals, levels[-1][0] if levels else None), "contexts"), s))
-        contexts, key = s.select("ctx", "word", "n"), run_key
+        if d == 1:
+            known = dealt(contexts, lambda b: [first_key(b), b.column("n").to_numpy(), np.zeros(len(b), np.int64)], 1)
+        elif d == 2:
+            known = dealt(contexts, lambda b: [run_key(b), b.column("n").to_numpy(), mixed(column(b, "word"))], 1)
+        else:  # the suffix of a context is its own context's suffix with the same last word
+            own = dealt(contexts, lambda b: [column(b, c) for c in ("ctx", "word", "n")], 0)
+            shorter = dealt(levels[-1][0].select("ctx", "up"), lambda b: [column(b, "ctx"), column(b, "up")], 1)
+            known = met([own, shorter], [3, 2], as_contexts, side=1)
+        levels.append((written(tested_contexts(s, parents, known, levels[-1][0] if levels else None), "contexts"), s))
+        contexts, key = s, run_key
         parents = dealt(contexts, lambda b: [run_key(b), b.column("n").to_numpy().astype(np.float64)], 1)
         release(spark)
     kept: list[DataFrame] = []
@@ -495,6 +515,7 @@ class Lookup:
         return total, np.concatenate(places), np.concatenate(keys)
 
 
+#: Lookups carry 48 bits of their keys; the bucket, which follows from all 64, tells apart what they leave.
 #: A document of a run, and what the tables add to it.
 DOC = np.dtype([("id", "<i8"), ("null", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 PART = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
@@ -567,7 +588,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     deal = bucket_of(k, n_buckets)
                     order = np.argsort(deal * n + doc)
                     k, doc, deal = k[order], doc[order].astype(np.uint32), deal[order]
-                    rows += [(int(deal[x]), kind, k[x:y].tobytes(), doc[x:y].tobytes()) for x, y in slices(deal)]
+                    rows += [(int(deal[x]), kind, narrow(k[x:y]), doc[x:y].tobytes()) for x, y in slices(deal)]
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(np.full(m, (task << 32) + chunk)),
@@ -588,7 +609,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 if kind <= COUNT:
                     for packed in b.column("docs")[s:e].to_pylist():
                         key, v = np.frombuffer(packed, np.int64).reshape(2, -1)
-                        tables[2 * kind].append(key.view(U))
+                        tables[2 * kind].append(key.view(U) & LOW48)
                         tables[2 * kind + 1].append(v.view(np.float64))
                     continue
                 if ready is None:
@@ -601,7 +622,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     if kind == DOCS:
                         out.append((chunk, 0, docs_))
                         continue
-                    doc, keys = np.frombuffer(docs_, np.uint32), np.frombuffer(keys, U)
+                    doc, keys = np.frombuffer(docs_, np.uint32), widened(keys)
                     at, hit = found_in(ready[0 if kind == ASK_TREE else 2], keys)
                     if kind == ASK_TREE:
                         doc, at = doc[hit], at[hit]
