@@ -115,6 +115,51 @@ def test_forest(spark, monkeypatch):
     near = u @ u.T >= 0.95
     by = {r.vec_id: r for r in got}
     assert len(got) == 307 and all(by[i].n_links == 0 and by[i].component_id == i and by[i].kept for i in range(1000, 1006))
-    found, real = sum(by[i].n_links for i in range(300)), int(near[:300].sum() - 300)
+    links = near.sum(axis=1) - 1
+    assert all(by[i].n_links <= links[i] for i in range(300))
+    found, real = sum(by[i].n_links for i in range(300)), int(links[:300].sum())
     assert 0.97 * real <= found <= real
     assert by[210].component_id == 5 and not by[210].kept
+    assert rpforest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_forest_counts_each_link_once(spark, monkeypatch):
+    """A dense group that lies in many leaves and in several blocks, vectors in double precision, names that clash."""
+    monkeypatch.setattr(rpforest, "LEAF", 30)
+    monkeypatch.setattr(rpforest, "LEAF_MAX", 50)
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=8)
+    x = np.concatenate((c + rng.normal(size=(180, 8)) * 0.12, rng.normal(size=(200, 8))))
+    df = spark.createDataFrame([(i, [float(v) for v in r], "x", 1, 2) for i, r in enumerate(x)], "vec_id long, embedding array<double>, gid string, key int, leaf int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    got = {r.vec_id: r for r in rpforest.near_duplicates(df).collect()}
+    links = near.sum(axis=1) - 1
+    assert all(got[i].n_links <= links[i] for i in range(len(x)))
+    assert sum(r.n_links for r in got.values()) >= 0.95 * links.sum() and links.sum() > 5000
+
+
+def test_forest_recall_at_depth():
+    """Pairs at a cosine of exactly 0.95 share a leaf nearly always, also in trees much deeper than the sample can fit."""
+    rng = np.random.default_rng(7)
+    x = rpforest.unit(rng.normal(size=(9192, 64)) + 2 * rng.normal(size=(12, 64))[rng.integers(0, 12, 9192)])
+    q, s = x[:1000], x[1000:]
+    z = rng.normal(size=q.shape)
+    z = rpforest.unit(z - (z * q).sum(axis=1, keepdims=True) * q)
+    other = 0.95 * q + np.sqrt(1 - 0.95**2) * z
+    for n in (50_000, 10_000_000, 1_000_000_000):
+        forest = rpforest.fit_forest(s, n, rpforest.LEAF, rpforest.spill_of(64))
+        mine, its = (set(zip(*(c.tolist() for c in rpforest.route(v, forest, rpforest.spill_of(64))), strict=True)) for v in (q, other))
+        assert len({row for row, _ in mine & its}) >= 950 and len(mine) <= 90 * len(q)
+
+
+def test_spanning_roots_agree():
+    rng = np.random.default_rng(3)
+    for square in (True, False):
+        m = rng.random((60, 60 if square else 45)) < 0.02
+        if square:
+            m = m | m.T
+        listed = rpforest.spanning(m)
+        most, rpforest.LISTED_LINKS = rpforest.LISTED_LINKS, -1
+        assert (rpforest.spanning(m) == listed).all()
+        rpforest.LISTED_LINKS = most
