@@ -150,7 +150,7 @@ def test_forest_recall_at_depth():
     for n in (50_000, 10_000_000, 1_000_000_000):
         forest = rpforest.fit_forest(s, n, rpforest.LEAF, rpforest.spill_of(64))
         mine, its = (set(zip(*(c.tolist() for c in rpforest.route(v, forest, rpforest.spill_of(64))), strict=True)) for v in (q, other))
-        assert len({row for row, _ in mine & its}) >= 950 and len(mine) <= 90 * len(q)
+        assert len({row for row, _ in mine & its}) >= 950 and len(mine) <= 100 * len(q)
 
 
 def test_spanning_roots_agree():
