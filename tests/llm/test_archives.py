@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from threadline.llm import tokenfile, urlfilter, warc
 from threadline.llm.common import scratch
@@ -57,6 +58,15 @@ def test_url_lists_as_of_fetch_time(spark):
     assert urlfilter.judge(cap.limit(0), ch).count() == 0 and urlfilter.judge(cap, ch.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_hosts_that_are_addresses(spark):
+    urls = ["http://[::1]:8/a", "http://u@[2001:DB8::2]/", "http://10.0.0.5:80/x", "http://a.b.co.uk./", "http://1.2.3.4.example", "ftp://x", "no url", None]
+    got = [r.s for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").coalesce(1).select(urlfilter.suffixes(urlfilter.host_of(F.col("url"))).alias("s")).collect()]
+    assert got[:6] == [["[::1]"], ["[2001:db8::2]"], ["10.0.0.5"], ["a.b.co.uk", "b.co.uk", "co.uk"], ["1.2.3.4.example", "2.3.4.example", "3.4.example", "4.example"], ["x"]]
+    cap = spark.createDataFrame([(1, "http://10.0.0.5/"), (2, "http://[::1]:8/a"), (3, "http://z.0.5")], "id int, url string").selectExpr("id", "url", "timestamp'2024-02-01' as fetched")
+    ch = spark.createDataFrame([("l", "0.5", "add"), ("l", "[::1]", "add")], "list_name string, pattern string, action string").selectExpr("list_name", "pattern", "timestamp'2024-01-01' as effective", "action")
+    assert {r.id: r.blocked for r in urlfilter.judge(cap, ch).collect()} == {1: False, 2: True, 3: True}
+
+
 def test_token_files(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -108,6 +108,16 @@ def test_decontamination(spark):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
 
 
+def test_decontamination_edges(spark):
+    """Empty tables, a very long text, names that clash."""
+    docs = spark.createDataFrame([(1, "A b c " * 60_000 + "one two three", 7, "x"), (2, "x " * 9 + "y", 8, "y"), (3, None, 9, "z")], "doc_id long, text string, win int, start string")
+    bench = spark.createDataFrame([(1, "two THREE"), (2, "x x x x x x x x x y"), (3, None), (None, "b c a")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated, r.win, r.start) for r in winnow.contamination(docs, bench).collect()}
+    assert got == {1: (180003, 179999, 1, True, 7, "x"), 2: (10, 10, 1, True, 8, "y"), 3: (0, 0, 0, False, 9, "z")}
+    assert winnow.contamination(docs.limit(0), bench).count() == 0
+    assert {(r.n_hit, r.contaminated) for r in winnow.contamination(docs, bench.limit(0)).collect()} == {(0, False)}
+
+
 def test_winnowing_is_native(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     assert "Python" not in winnow.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()

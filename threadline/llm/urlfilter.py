@@ -33,18 +33,19 @@ FOREVER = "9999-12-31 00:00:00"
 
 
 def host_of(url) -> F.Column:
-    """Lower-case host without user, port and a final dot; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-case host without user, port and a final dot, an IPv6 address in its brackets; null if there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@]+)", 1)
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def suffixes(host) -> F.Column:
-    """The host and its parents down to two labels, longest first."""
+    """The host and its parents down to two labels, longest first; an address has no parents."""
     parts = F.split(host, r"\.")
-    return F.transform(
+    names = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
     )
+    return F.when(host.rlike(r"^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.array(host)).otherwise(names)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -134,11 +135,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH n0 AS (
-  SELECT page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host,
+  SELECT page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@]+)', 1), '\.+$', ''), '') AS host,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST('0x' || substr(md5(concat(coalesce(CAST(page_id AS VARCHAR), ''), '|', coalesce(url, ''))), 1, 8) AS BIGINT) % 518400) AS fetched
   FROM pages
 ), c AS (
-  SELECT row_number() OVER () AS rid, *, string_split(host, '.') AS parts FROM n0
+  SELECT row_number() OVER () AS rid, *, CASE WHEN regexp_matches(host, '^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$') THEN [host] ELSE string_split(host, '.') END AS parts FROM n0
 ), s AS (
   SELECT rid, page_id, fetched, i - 1 AS depth, array_to_string(parts[i:], '.') AS pattern
   FROM (SELECT *, unnest(range(1, greatest(len(parts) - 1, 1) + 1)) AS i FROM c WHERE host IS NOT NULL)

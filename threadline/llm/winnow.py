@@ -9,9 +9,10 @@ gives both. Each kept fingerprint carries the hashes of the ten-word windows
 around it; where fingerprints meet, the item's windows that hold it are
 compared with the document's, which extends the hit in both directions.
 
-Items of fewer than ten words are one window of their own length; for each
-such length that occurs (nine at most) the documents' windows of that length
-are joined with those items directly.
+Items of fewer than ten words are one window of their own length. A bitmap of
+MARKS bits for each such length says which words can begin one; the documents'
+windows of these lengths are made, in one pass, only where one can begin, and
+are joined with those items.
 
 Scale: documents are read in narrow stages; a row leaves its stage only after
 it has met a benchmark fingerprint. The benchmark side is broadcast if its
@@ -38,6 +39,7 @@ from .common import table, written
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1  # hashes a fingerprint is the smallest of
 BROADCAST_ROWS = 500_000
+MARKS = 4096
 #: Characters that are not part of words once A-Z are lower-cased; the same with A-Z still there.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -83,9 +85,16 @@ def spread(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def run_of(m: int):
-    """The hash of the m words from a place on; a function of one argument, as transform() counts them."""
-    return lambda i: F.xxhash64(F.slice(F.col("h"), i + 1, m))
+def starts_of(m: int, marks: list[int]) -> F.Column:
+    """(start, len, win) of the windows of m words whose first word is marked."""
+    cells = F.array(*[F.lit(x).cast("long") for x in marks])
+
+    def marked(i) -> F.Column:
+        k = F.pmod(F.get("h", i), F.lit(MARKS))
+        return F.call_function("shiftrightunsigned", F.get(cells, F.floor(k / 64).cast("int")), (k % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    at = F.filter(upto(F.size("h") - (m - 1)), marked)
+    return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(m).alias("len"), F.xxhash64(F.slice(F.col("h"), i + 1, m)).alias("win")))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -109,14 +118,18 @@ def document_hits(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFra
     d = spread(hashed(docs, "text"), ["dkey"])
     met = d.join(small(grouped.select("fp").distinct()), "fp").select("dkey", "fp", "pos", F.posexplode("around").alias("j", "win")).dropna(subset=["win"])
     full = met.join(small(grouped), ["fp", "win"]).select("dkey", (F.col("pos") - (SPAN - 1) + F.col("j")).alias("start"), F.lit(WINDOW).alias("len"), "win")
-    # short items: windows of each length that occurs
-    lengths = sorted(r.len for r in windows.filter(F.col("len") < WINDOW).select("len").distinct().collect())  # nine rows at most
+    # short items: of each length that occurs, the words that begin one
+    cell = F.pmod(F.get("h", F.lit(0)), F.lit(MARKS))
+    bits = b.filter(F.col("n") < WINDOW).select("n", F.floor(cell / 64).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit"))
+    marks: dict[int, list[int]] = {}
+    for r in bits.groupBy("n", "cell").agg(F.bit_or("bit").alias("bits")).collect():  # nine lengths of MARKS / 64 rows at most
+        marks.setdefault(r.n, [0] * (MARKS // 64))[r.cell] = r.bits
     hits = [full]
-    for m in lengths:
-        side = windows.filter(F.col("len") == m).select("win").distinct()
+    if marks:
         grams = docs.select("dkey", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-        found = grams.select("dkey", F.posexplode(F.transform(upto(F.size("h") - (m - 1)), run_of(m))).alias("start", "win"))
-        hits.append(found.join(small(side), "win").select("dkey", "start", F.lit(m).alias("len"), "win"))
+        found = grams.select("dkey", F.inline(F.concat(*[starts_of(m, marks[m]) for m in sorted(marks)])))
+        side = windows.filter(F.col("len") < WINDOW).select("win", "len").distinct()
+        hits.append(found.join(small(side), ["win", "len"]).select("dkey", "start", "len", "win"))
     return reduce(DataFrame.unionByName, hits).distinct(), windows.select("win", "item_id").dropna().distinct()
 
 
