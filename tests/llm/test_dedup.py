@@ -88,6 +88,9 @@ def test_suffix_dedup_repeated_rows_and_empty(spark):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in bwtdedup.cleaned(df).collect())
     assert got[:2] == [(1, 140, 0), (1, 140, 0)] and {g[2] for g in got[2:]} == {140}
     assert bwtdedup.cleaned(df.limit(0)).count() == 0
+    odd = df.selectExpr("doc_id", "text", "'a' as _doc", "'b' as _ver", "'c' as doc", "'d' as kept", "'e' as _keep")
+    got = bwtdedup.cleaned(odd).collect()
+    assert len(got) == 4 and {(r._doc, r._ver, r.doc, r._keep) for r in got} == {("a", "b", "c", "e")} and {r.n_removed for r in got} == {0, 140}
 
 
 def test_merge_orders_all_suffixes():

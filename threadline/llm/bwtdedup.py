@@ -481,13 +481,14 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """Documents with `kept` (what is left of the text; a character cut in half goes), n_bytes, n_removed, n_spans, kept_sha256."""
     results = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     keep = [c for c in docs.columns if c != text_col and c not in results]
-    d = keyed(docs.select(*keep, text_col), id_col, text_col)
+    alone = keep == [id_col]  # then the id comes back out of the key, and the texts are shuffled once for both joins
+    further = [] if alone else [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep")]  # in one column, so that no name clashes
+    d = keyed(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *further), "_id", "_text")
     spans = repeated_spans(d, length, k)
     per = spans.groupBy("doc", "ver").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
-    alone = keep == [id_col]  # then the id comes back out of the key, and the texts are shuffled once for both joins
-    left = d.select("_doc", "_ver", "_body", *([] if alone else keep))
+    left = d.select("_doc", "_ver", "_body", *([] if alone else ["_keep"]))
     j = left.join(per.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_ver") == F.col("ver")), "left")
-    columns = [F.nullif("_doc", F.lit(NULL_ID)).cast(docs.schema[id_col].dataType).alias(id_col)] if alone else keep
+    columns = [F.nullif("_doc", F.lit(NULL_ID)).cast(docs.schema[id_col].dataType).alias(id_col)] if alone else [F.col("_keep").getField(c).alias(c) for c in keep]
     return j.withColumn("_c", cut_out("_body", "spans")).select(
         *columns, F.col("_c.kept").alias("kept"), F.octet_length("_body").cast("long").alias("n_bytes"), "_c.n_removed", "_c.n_spans", "_c.kept_sha256"
     )
