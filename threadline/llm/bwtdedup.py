@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import give_back
 from .common import partitions, table, written
 
 LENGTH, K = 100, 48
@@ -374,6 +375,8 @@ def merged_spans(snippets: DataFrame, length: int) -> DataFrame:
                 last = r[0]
         if rows:
             yield done()
+        rows = []
+        give_back()
 
     return dealt.mapInArrow(run, SPAN)
 
@@ -428,10 +431,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                 ver.append(v)
                 texts.append(raw)
                 size += len(raw)
-                if size > 24 << 20:
+                if size > 16 << 20:
                     yield from candidate_rows(doc, ver, texts, length, k)
                     doc, ver, texts, size = [], [], [], 0
         yield from candidate_rows(doc, ver, texts, length, k)
+        doc, ver, texts = [], [], []
+        give_back()
 
     rows = docs.select("_doc", "_ver", "_body").mapInArrow(candidates, "mh long, sh long, doc long, ver long, sn long")
     scan = written(scan_groups(rows, length), "scan")

@@ -37,7 +37,6 @@ of its formula and the score is zero; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -49,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import give_back, runs
-from .common import discard, partitions, table, written
+from .common import discard, partitions, release, table, written
 from .packed import LOW48, bucket_of, buckets, dealt, met, narrow, slices, widened
 
 DEPTH, CONTEXT_MIN, SUCCESSOR_MIN, PULL = 3, 5, 2, 20.0
@@ -214,12 +213,6 @@ def found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_keys[at] == keys
 
 
-def release(spark: SparkSession) -> None:
-    """Let shuffle files go that nothing refers to; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 PAIRS = "bucket int, level int, ctx binary, size binary, word binary, n binary"
 LISTED = ["level", "ctx", "word", "n"]
 
