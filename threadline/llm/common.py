@@ -80,22 +80,24 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a <> b")
     e = written(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    labels = written(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node").withColumn("old", F.col("node")), "labels")
     for _ in range(max_rounds):
+        now = labels.select("node", "root")
         near = (
-            e.join(labels.hint("shuffle_hash"), F.col("b") == F.col("node"))
+            e.join(now.hint("shuffle_hash"), F.col("b") == F.col("node"))
             .groupBy("a").agg(F.min("root").alias("near"))
         )
-        step = labels.join(near.hint("shuffle_hash"), F.col("node") == F.col("a"), "left").select(
+        step = now.join(near.hint("shuffle_hash"), F.col("node") == F.col("a"), "left").select(
             "node", F.col("root").alias("old"), F.least("root", "near").alias("root")
         )
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        jump = now.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = written(
-            step.join(jump.hint("shuffle_hash"), "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")),
+            step.join(jump.hint("shuffle_hash"), "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "old"),
             "labels",
         )
-        changed = new.filter("old <> root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+        discard(labels)  # the new ones are written, and nothing else is made of these
+        labels = new
+        if not new.filter("old <> root").limit(1).count():
+            discard(e)
+            return new.select("node", "root")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
