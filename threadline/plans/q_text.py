@@ -51,7 +51,7 @@ def valid_comments(spark, d):
 
 
 def valid_submissions(spark, d):
-    t = noisy_comments(spark, d).withColumns({"title": F.substring("body", 1, 60), "selftext": F.col("body")})
+    t = noisy_comments(spark, d).withColumns({"title": F.col("body"), "selftext": F.col("body")})
     return C.clean_submissions(t).select("id", "title_clean", F.md5("full_text").alias("full_md5"))
 
 
@@ -85,7 +85,7 @@ def query_hits(spark, d):
     return R.query_hits(R.matched_queries(texts(spark, d), QUERIES_))
 
 
-def benchmark_mentions(spark, d):
+def community_search(spark, d):
     """Community search with a stated query."""
     return R.search(texts(spark, d).withColumn("ts", F.lit(None).cast("timestamp")), "the that", "src1", fields=("id",))
 
@@ -233,7 +233,7 @@ _HITS = "list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'contains(lower(t
 _DATED = f"t AS (SELECT doc_id AS id, source, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) AS ts, {_HITS} AS h FROM documents)"
 _TREE = f"WITH RECURSIVE {NOISY}, c AS (SELECT id, conv_id, CASE WHEN turn > 0 THEN id - 1 END AS parent FROM noisy), f AS (SELECT id, conv_id, parent, CAST(0 AS BIGINT) AS depth FROM c WHERE parent IS NULL UNION ALL SELECT c.id, c.conv_id, c.parent, f.depth + 1 FROM c JOIN f ON c.parent = f.id)"
 _ANY = lambda ws: "regexp_matches(lower(text), " + Q.q("|".join(ws)) + ")"
-_TITLE = "substr(body, 1, 60)"
+_TITLE = "body"
 _BOTH = f"concat_ws(' ', coalesce({_TITLE}, ''), coalesce(body, ''))"
 
 
@@ -257,7 +257,7 @@ QUERIES = {
     "comment_links": (comment_links, "SELECT l_linenumber = 1 AS top_level, count(*) AS n, count(DISTINCT l_orderkey) AS submissions FROM lineitem GROUP BY 1"),
     "multi_query_search": (multi_query_search, f"WITH m AS (SELECT doc_id AS id, {_HITS} AS h FROM documents) SELECT id, array_to_string(h, '|') AS queries FROM m WHERE len(h) > 0"),
     "query_hits": (query_hits, f"WITH m AS (SELECT unnest({_HITS}) AS query FROM documents) SELECT query, count(*) AS n FROM m GROUP BY 1"),
-    "benchmark_mentions": (benchmark_mentions, "SELECT doc_id AS id FROM documents WHERE lower(source) = 'src1' AND contains(lower(text), 'the') AND contains(lower(text), 'that')"),
+    "community_search": (community_search, "SELECT doc_id AS id FROM documents WHERE lower(source) = 'src1' AND contains(lower(text), 'the') AND contains(lower(text), 'that')"),
     "thread_flatten": (thread_flatten, f"{_TREE} SELECT id, depth, depth = 0 AS top_level, parent FROM f"),
     "thread_depth": (thread_depth, f"{_TREE} SELECT conv_id, max(depth) AS depth, count(*) AS n FROM f GROUP BY 1"),
     "keyword_coverage": (keyword_coverage, " UNION ALL ".join(f"SELECT '{k}' AS topic, count(*) FILTER ({_ANY(v)}) AS n FROM documents" for k, v in TOPICS.items())),
