@@ -39,17 +39,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends, its size is known."""
+def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
+    """Write a table to the shared folder (partitioned by a column, if one is given) and read it back: lineage ends, its size is known."""
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
+    out = spark.read.schema(schema).parquet(path).select(*df.columns)  # a partitioning column comes back last
     out._written_to = path
     return out
 
 
+def discard_part(table_: DataFrame, column: str, value) -> None:
+    """Delete the files of one value of the column that a written table is partitioned by."""
+    spark, path = table_.sparkSession, table_.__dict__.get("_written_to")
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of written tables; only when all that was made of them is written too."""
     for t in tables:

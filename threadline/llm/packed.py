@@ -2,9 +2,10 @@
 
 Rows whose columns are 8-byte numbers are dealt to buckets by a key; a task
 sends each bucket one row that holds its share of the columns as bytes, so a
-shuffle moves arrays instead of rows, and both ends work on them with numpy. A
-bucket is a share of the keys' hash bits; there are several a partition, and a
-task holds one at a time.
+shuffle moves arrays instead of rows, and both ends work on them with numpy;
+tables in this form are written and read back as they are. A bucket is a share
+of the keys' hash bits, BUCKETS of them a shuffle partition, and a task holds one
+at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .batches import give_back
 from .common import partitions
 
 #: Buckets a shuffle partition, and rows that a task packs together.
-BUCKETS, PACK_ROWS = 4, 1 << 19
+BUCKETS, PACK_ROWS = 1, 1 << 19
 PACKED = "bucket int, side int, rows binary"
 
 
@@ -69,20 +70,25 @@ def pack(x: np.ndarray, side: int, n: int) -> pa.RecordBatch:
     )
 
 
-def dealt(rows: DataFrame, columns: Callable[[pa.RecordBatch], list[np.ndarray]], side: int) -> DataFrame:
-    """Rows in packed form; `columns` gives a batch's numbers, the key first."""
+def columns_of(b: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    """The column arrays (as integers of 8 bytes) of each packed row."""
+    return [np.frombuffer(r, np.int64).reshape(width, -1) for r in b.column("rows").to_pylist()]
+
+
+def dealt(rows: DataFrame, columns: Callable[..., list[np.ndarray]], side: int, width: int = 0) -> DataFrame:
+    """Rows in packed form by a new key; `columns` gives a batch's numbers, or those of a packed row of so many columns, the key first."""
     n = buckets(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
-            if b.num_rows:
-                held.append(as_longs(columns(b)))
-                size += b.num_rows
-            if size >= PACK_ROWS:
-                yield pack(np.concatenate(held, axis=1), side, n)
-                held, size = [], 0
+            for part in columns_of(b, width) if width else [b] if b.num_rows else []:
+                held.append(as_longs(columns(part)))
+                size += held[-1].shape[1]
+                if size >= PACK_ROWS:
+                    yield pack(np.concatenate(held, axis=1), side, n)
+                    held, size = [], 0
         if held:
             yield pack(np.concatenate(held, axis=1), side, n)
         held = []
@@ -91,8 +97,24 @@ def dealt(rows: DataFrame, columns: Callable[[pa.RecordBatch], list[np.ndarray]]
     return rows.mapInArrow(run, PACKED)
 
 
-def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.ndarray]], names: list[str] | None = None, schema: str = "", side: int = 0) -> DataFrame:
-    """Packed sides bucket by bucket: `each` gets an array of columns a side and gives columns, which are packed again by the first (as this side), or rows with the names."""
+def gathered(rows: DataFrame, columns: Callable[[np.ndarray], list[np.ndarray]], width: int, out: int) -> np.ndarray:
+    """What `columns` gives of packed rows, on the driver; for selections of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [as_longs(columns(x)) for x in columns_of(b, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found if f.size], pa.binary())], names=["rows"])
+
+    got = rows.mapInArrow(run, "rows binary").toArrow()["rows"].to_pylist()
+    return np.concatenate([np.frombuffer(r, np.int64).reshape(out, -1) for r in got] or [np.zeros((out, 0), np.int64)], axis=1)
+
+
+def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.ndarray] | dict], names: list[str] | None = None, schema: str = "", side: int = 0) -> DataFrame:
+    """Packed sides bucket by bucket: `each` gets an array of columns a side and gives columns.
+
+    These are packed again by the first (as this side, or as several sides from
+    a dictionary), or become rows with the names.
+    """
     rows = sides[0]
     for s in sides[1:]:
         rows = rows.unionAll(s)
@@ -101,19 +123,23 @@ def met(sides: list[DataFrame], widths: list[int], each: Callable[..., list[np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, [[] for _ in widths]
 
-        def done() -> pa.RecordBatch:
+        def done() -> Iterator[pa.RecordBatch]:
             out = each(*[np.concatenate([np.frombuffer(r, np.int64).reshape(w, -1) for r in h], axis=1) if h else np.zeros((w, 0), np.int64) for h, w in zip(held, widths, strict=True)])
-            return pack(as_longs(out), side, n) if names is None else pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+            if names is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+                return
+            for which, columns in (out if isinstance(out, dict) else {side: out}).items():
+                yield pack(as_longs(columns), which, n)
 
         for b in batches:
             for k, which, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != bucket:
                     if bucket is not None:
-                        yield done()
+                        yield from done()
                     bucket, held = k, [[] for _ in widths]
                 held[which].append(r)
         if bucket is not None:
-            yield done()
+            yield from done()
         held = []
         give_back()
 

@@ -48,8 +48,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import give_back, runs
-from .common import discard, partitions, release, table, written
-from .packed import LOW48, bucket_of, buckets, dealt, met, narrow, slices, widened
+from .common import discard, discard_part, partitions, release, table, written
+from .packed import LOW48, PACKED, as_longs, bucket_of, buckets, columns_of, dealt, gathered, met, narrow, pack, slices, widened
 
 DEPTH, CONTEXT_MIN, SUCCESSOR_MIN, PULL = 3, 5, 2, 20.0
 #: Shares of all tokens from which words and entries are broadcast, and contexts are dealt by their pairs.
@@ -78,7 +78,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_keys(words: pa.Array) -> np.ndarray:
-    """48-bit hashes of words (binary or strings of 64-bit offsets): polynomials of their bytes, mixed."""
+    """64-bit hashes of words (binary or strings of 64-bit offsets): polynomials of their bytes, mixed."""
     if not len(words):
         return np.zeros(0, U)
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
@@ -86,7 +86,7 @@ def word_keys(words: pa.Array) -> np.ndarray:
     size = np.diff(at)
     begin = at[:-1] - at[0]
     power = np.cumprod(np.full(int(size.max()), U(0x9E3779B97F4A7C15)))
-    return mixed(np.add.reduceat(raw * power[np.arange(len(raw)) - np.repeat(begin, size)], begin)) & LOW48
+    return mixed(np.add.reduceat(raw * power[np.arange(len(raw)) - np.repeat(begin, size)], begin))
 
 
 def words_array(words: list[bytes] | pa.Array) -> pa.LargeBinaryArray:
@@ -117,12 +117,12 @@ class Words:
         return word_keys(self.kinds)
 
     def tokens(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the texts' words end to end, each text between an end that is a context only and its end token; and the place of the first of these."""
+        """Hashes (48 bits) of the texts' words end to end, each text between an end that is a context only and its end token; and the place of the first of these."""
         size = self.count + 2
         start = np.cumsum(size) - size
-        flat = np.full(int(size.sum()), END_KEY, U)
+        flat = np.full(int(size.sum()), END_KEY & LOW48, U)
         own = np.repeat(start + 1 - (np.cumsum(self.count) - self.count), self.count)
-        flat[own + np.arange(len(self.which))] = keys[self.which]
+        flat[own + np.arange(len(self.which))] = keys[self.which] & LOW48
         return flat, np.repeat(start, size)
 
 
@@ -136,15 +136,20 @@ def word_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, Words]]:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all tokens; a run of texts is counted before it is emitted."""
+    """Packed (word's key, n) over all tokens; a run of texts is counted before it is sent."""
+    n_buckets = buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e, w in word_runs(b.column(0), COUNT_RUN):
-                n = np.append(np.bincount(w.which, minlength=len(w.kinds)), e - s)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([w.kinds.cast(pa.binary()), pa.array([END_TOKEN], pa.binary())]), pa.array(n)], names=["word", "n"])
+                yield pack(as_longs([np.append(w.keys(), END_KEY), np.append(np.bincount(w.which, minlength=len(w.kinds)), e - s)]), 0, n_buckets)
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def total(x: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(x[0])
+        first = np.flatnonzero(np.concatenate(([True], np.diff(x[0][order]) != 0)))
+        return [x[0][order][first], np.add.reduceat(x[1][order], first)]
+
+    return met([docs.select(text_col).mapInArrow(run, PACKED)], [2], total)
 
 
 def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -172,13 +177,13 @@ def weight_key(g: np.ndarray) -> np.ndarray:
     return mixed(g ^ U(0x5851F42D4C957F2D))
 
 
-def bit_filter(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """Bits of the keys' low FILTER_BITS bits, gathered in parts; `keys` gives those of a batch."""
+def bit_filter(rows: DataFrame, keys: Callable[..., np.ndarray], columns: int = 0) -> np.ndarray:
+    """Bits of the keys' low FILTER_BITS bits, gathered in parts; `keys` gives those of a batch, or of a packed row of so many columns."""
     n, width, part_width = partitions(rows.sparkSession), FILTER_BITS, PART_BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = np.sort(keys(b) & U((1 << width) - 1))
+            low = np.sort(np.concatenate([keys(x) for x in (columns_of(b, columns) if columns else [b])] or [np.zeros(0, U)]) & U((1 << width) - 1))
             part = (low >> U(part_width)).astype(np.int32)
             cut = slices(part)
             bit = (low & U((1 << part_width) - 1)).astype(np.int32)
@@ -214,11 +219,10 @@ def found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.
 
 
 PAIRS = "bucket int, level int, ctx binary, size binary, word binary, n binary"
-LISTED = ["level", "ctx", "word", "n"]
 
 
 def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray, hot: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
-    """(level, ctx, word, n): successors seen SUCCESSOR_MIN times of contexts of `depths` words that can be seen CONTEXT_MIN times.
+    """Packed (ctx, word, n), the level as side: successors seen SUCCESSOR_MIN times of contexts of `depths` words that can be seen CONTEXT_MIN times.
 
     frequent: a filter of the runs of depths[0] words that are; a longer context
     must have such a run at both its ends. hot: those runs, sorted, that hold a
@@ -280,7 +284,7 @@ def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray,
         if held:
             yield counted(at[1], held)
 
-    def counted(d: int, rows: list[tuple]) -> pa.RecordBatch:
+    def counted(d: int, rows: list[tuple]) -> pa.RecordBatch:  # in the buckets that the pairs came in
         ctx, size, count = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in ((0, U), (1, np.int32), (3, np.int32)))
         ctx, word = np.repeat(ctx, size), widened(b"".join(r[2] for r in rows))
         order = np.argsort(longer(ctx, word))
@@ -291,12 +295,10 @@ def level_counts(docs: DataFrame, depths: tuple[int, ...], frequent: np.ndarray,
         count = np.add.reduceat(count, first)
         first = first[count >= SUCCESSOR_MIN]
         count = count[count >= SUCCESSOR_MIN]
-        order = np.argsort(ctx[first])
-        first, count = first[order], count[order]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *[pa.array(x.view(np.int64)) for x in (ctx[first], word[first], count)]], names=LISTED)
+        return pack(as_longs([ctx[first], word[first], count]), d, n_buckets)
 
     packed = docs.mapInArrow(pairs, PAIRS).repartitionById(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "level")
-    return packed.mapInArrow(merged, "level int, ctx long, word long, n long")
+    return packed.mapInArrow(merged, PACKED)
 
 
 def column(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -317,14 +319,19 @@ def values_at(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (table[1].view(np.float64)[order][at] if len(order) else np.ones(len(keys))), hit
 
 
-def run_key(b: pa.RecordBatch) -> np.ndarray:
-    """The runs of listed rows."""
-    return longer(column(b, "ctx"), column(b, "word"))
+def run_key(x: np.ndarray) -> np.ndarray:
+    """The runs of listed (ctx, word, n)."""
+    return longer(x[0].view(U), x[1].view(U))
+
 
+def first_key(x: np.ndarray) -> np.ndarray:
+    """The runs of single words (key, n)."""
+    return mixed(x[0].view(U) & LOW48)
 
-def first_key(b: pa.RecordBatch) -> np.ndarray:
-    """The runs of single words."""
-    return mixed(column(b, "key"))
+
+def often(x: np.ndarray, least: float = CONTEXT_MIN) -> np.ndarray:
+    """The columns whose last, a count, is large enough."""
+    return x[:, x[-1] >= least]
 
 
 def at_contexts(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +371,7 @@ def tested_contexts(s: DataFrame, parents: DataFrame, contexts: DataFrame, above
         ctx, up, total, gain, listed, kinds = sums(x[0], x[1], x[2], x[3].view(np.float64), x[4], x[5])
         return [ctx, up, total, gain - listed * np.log(total), listed, kinds]
 
-    mine = dealt(s, lambda b: [column(b, c) for c in ("ctx", "word", "n")], 0)
+    mine = dealt(s, list, 0, 3)
     partial = met([met([mine, contexts], [3, 3], known), parents], [5, 2], terms)
     out = met([partial], [6], whole, ["ctx", "up", "total", "gain", "listed", "kinds"], "ctx long, up long, total long, gain double, listed long, kinds long")
     gain = F.col("gain")
@@ -376,22 +383,21 @@ def tested_contexts(s: DataFrame, parents: DataFrame, contexts: DataFrame, above
 
 
 def gains_of(s: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
-    """(g, n, p, v) of the kept contexts' listed successors: count, model probability, log10 gain. parents: packed (run, model probability)."""
+    """Packed (run, log10 gain, count) of the kept contexts' listed successors, and as side 1 (run, model probability), of which parents has those a level above."""
 
     def of_kept(x: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
         (ctx, word, n), (free, total, up) = at_contexts(x, k)
         return [parent_run(up.view(U), word.view(U)), longer(ctx.view(U), word.view(U)), n, total, free]
 
-    def gain(x: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+    def gain(x: np.ndarray, table: np.ndarray) -> dict[int, list[np.ndarray]]:
         upg, g, n, total, free = x
         free, (pp, hit) = free.view(np.float64), values_at(upg, table)
         if not hit.all():
             raise RuntimeError("a kept context lists a successor that its suffix does not")
-        return [g, n, (n + free * pp) / (total + PULL), np.log10(1 + n / free / pp)]
+        return {0: [g, np.log10(1 + n / free / pp), n], 1: [g, (n + free * pp) / (total + PULL)]}
 
-    all_ = dealt(s, lambda b: [column(b, c) for c in ("ctx", "word", "n")], 0)
     some = dealt(kept, lambda b: [column(b, "ctx"), b.column("rest").to_numpy() + PULL, column(b, "total"), column(b, "up")], 1)
-    return met([met([all_, some], [3, 4], of_kept), parents], [5, 2], gain, ["g", "n", "p", "v"], "g long, n long, p double, v double")
+    return met([met([dealt(s, list, 0, 3), some], [3, 4], of_kept), parents], [5, 2], gain)
 
 
 def as_contexts(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
@@ -400,45 +406,48 @@ def as_contexts(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
     return [longer(ctx.view(U), word.view(U)), n, longer(up.view(U), word.view(U))]
 
 
-#: A part of the tree: rows with `v` and `n`, and what gives a batch's keys.
-Entries = tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]
+#: A part of the tree: rows, packed ones with so many columns, and what gives their (key, v, n).
+Entries = tuple[DataFrame, int, Callable[..., list[np.ndarray]]]
 
 
-def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> list[Entries]:
+def learn_tree(docs: DataFrame, words: DataFrame, p_of: Callable[[np.ndarray], np.ndarray], n_all: int) -> list[Entries]:
     """log10 back-off weights (v) of kept contexts and log10 gains of their listed successors, seen n times.
 
-    first: (key, n, p), the repeated words, their counts and the root's
-    probability. A run's count is its total as a context, and its successors
-    seen once are what the listed ones leave of it. Contexts of one word are
-    counted in one pass over the texts, longer ones together in another.
+    words: packed (key, n); p_of: the root's probability of a word seen so
+    often. A run's count is its total as a context, and its successors seen once
+    are what the listed ones leave of it. Contexts of one word are counted in
+    one pass over the texts, longer ones together in another.
     """
     spark = docs.sparkSession
-    root = lambda: dealt(first.select("key", "p"), lambda b: [first_key(b), column(b, "p")], 1)
+
+    def root_of(x: np.ndarray) -> list[np.ndarray]:
+        x = often(x, SUCCESSOR_MIN)
+        return [first_key(x), p_of(x[1])]
+
     levels: list[tuple[DataFrame, DataFrame]] = []
-    contexts, key, parents = first.select("key", "n"), first_key, root()
+    contexts, width, key, parents = words, 2, first_key, dealt(words, root_of, 1, 2)
     counted: list[DataFrame] = []
     for d in range(1, DEPTH + 1):
-        contexts = contexts.filter(F.col("n") >= CONTEXT_MIN)
         if d <= 2:
             # 1 / HOT_CONTEXT rows at most
-            hot = [key(b) for b in contexts.filter(F.col("n") >= HOT_CONTEXT * n_all).toArrow().to_batches()]
+            hot = gathered(contexts, lambda x, key=key: [key(often(x, max(CONTEXT_MIN, HOT_CONTEXT * n_all)))], width, 1)[0].view(U)
             depths = (1,) if d == 1 else tuple(range(2, DEPTH + 1))
             # a longer pair that occurs twice ends in one that does; those are the listed ones of contexts of one word
-            twice = None if d == 1 else bit_filter(counted[0], run_key)
-            counted.append(written(level_counts(docs, depths, bit_filter(contexts, key), np.sort(np.concatenate(hot or [np.zeros(0, U)])), twice), "successors"))
+            twice = None if d == 1 else bit_filter(counted[0], run_key, 3)
+            frequent = bit_filter(contexts, lambda x, key=key: key(often(x)), width)
+            counted.append(written(level_counts(docs, depths, frequent, np.sort(hot), twice), "successors"))
             release(spark)
-        s = counted[-1].filter(F.col("level") == d).drop("level")
+        s = counted[-1].filter(F.col("side") == d)
         if d == 1:
-            known = dealt(contexts, lambda b: [first_key(b), b.column("n").to_numpy(), np.zeros(len(b), np.int64)], 1)
+            known = dealt(words, lambda x: [first_key(often(x)), often(x)[1], np.zeros(often(x).shape[1], np.int64)], 1, 2)
         elif d == 2:
-            known = dealt(contexts, lambda b: [run_key(b), b.column("n").to_numpy(), mixed(column(b, "word"))], 1)
+            known = dealt(contexts, lambda x: [run_key(often(x)), often(x)[2], mixed(often(x)[1].view(U))], 1, 3)
         else:  # the suffix of a context is its own context's suffix with the same last word
-            own = dealt(contexts, lambda b: [column(b, c) for c in ("ctx", "word", "n")], 0)
             shorter = dealt(levels[-1][0].select("ctx", "up"), lambda b: [column(b, "ctx"), column(b, "up")], 1)
-            known = met([own, shorter], [3, 2], as_contexts, side=1)
+            known = met([dealt(contexts, lambda x: list(often(x)), 0, 3), shorter], [3, 2], as_contexts, side=1)
         levels.append((written(tested_contexts(s, parents, known, levels[-1][0] if levels else None), "contexts"), s))
-        contexts, key = s, run_key
-        parents = dealt(contexts, lambda b: [run_key(b), b.column("n").to_numpy().astype(np.float64)], 1)
+        contexts, width, key = s, 3, run_key
+        parents = dealt(s, lambda x: [run_key(x), x[2].astype(np.float64)], 1, 3)
         release(spark)
     kept: list[DataFrame] = []
     for d in range(DEPTH - 1, -1, -1):  # suffixes of kept contexts are kept
@@ -448,14 +457,23 @@ def learn_tree(docs: DataFrame, first: DataFrame, n_all: int) -> list[Entries]:
             k = k.join(below.hint("shuffle_hash"), "ctx", "left").withColumn("kept", F.col("kept") | F.coalesce("suffix", F.lit(False)))
         kept.insert(0, written(k.filter("kept").select("ctx", "up", "total", "rest"), "kept"))
     discard(*[k for k, _ in levels])
+
+    def weights(b: pa.RecordBatch) -> list[np.ndarray]:
+        total, rest = b.column("total").to_numpy(), b.column("rest").to_numpy()
+        return [weight_key(column(b, "ctx")), np.log10((rest + PULL) / (total + PULL)), total]
+
     out: list[Entries] = []
-    parents = root()
+    made: list[DataFrame] = []
+    parents = dealt(words, root_of, 1, 2)
     for k, (_, s) in zip(kept, levels, strict=True):
-        p = written(gains_of(s, k, parents), "gains")
+        made.append(written(gains_of(s, k, parents), "gains", by="side"))
+        if len(made) > 1:
+            discard_part(made[-2], "side", 1)
         release(spark)
-        parents = dealt(p.select("g", "p"), lambda b: [column(b, "g"), column(b, "p")], 1)
-        out.append((k.select("ctx", F.log10((F.col("rest") + PULL) / (F.col("total") + PULL)).alias("v"), F.col("total").alias("n")), lambda b: weight_key(column(b, "ctx"))))
-        out.append((p.select("g", "v", "n"), lambda b: column(b, "g")))
+        parents = made[-1].filter("side = 1")
+        out.append((k.select("ctx", "total", "rest"), 0, weights))
+        out.append((made[-1].filter("side = 0"), 3, list))
+    discard_part(made[-1], "side", 1)
     discard(*counted)
     return out
 
@@ -467,11 +485,15 @@ class Lookup:
         keys: list[np.ndarray] = [np.zeros(0, U)]
         values: list[np.ndarray] = [np.zeros(0)]
         self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        for rows, key in tree:
-            for b in rows.filter(F.col("n") >= least).toArrow().to_batches():  # at most 2 DEPTH / HOT_SHARE rows in all
-                keys.append(key(b))
-                values.append(column(b, "v"))
-            self.bits |= bit_filter(rows, key)
+        for rows, width, columns in tree:  # at most 2 DEPTH / HOT_SHARE rows in all
+            if width:
+                key, v, _ = gathered(rows, lambda x: list(often(x, least)), width, 3)
+            else:
+                some = [as_longs(columns(b)) for b in rows.filter(F.col("total") >= least).toArrow().to_batches() if b.num_rows]
+                key, v, _ = np.concatenate(some or [np.zeros((3, 0), np.int64)], axis=1)
+            keys.append(key.view(U))
+            values.append(v.view(np.float64))
+            self.bits |= bit_filter(rows, lambda x, columns=columns: columns(x)[0].view(U), width)
         order = np.argsort(np.concatenate(keys))
         self.keys, self.values = np.concatenate(keys)[order], np.concatenate(values)[order]
 
@@ -523,29 +545,21 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("_learn"))
     train = d.filter("_learn").select("text")
-    vocabulary = written(token_counts(train), "vocabulary")
-    n_all, v_all, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    words = written(token_counts(train), "words")
+    release(spark)
+    n_all, v_all, once, twice = gathered(words, lambda x: [np.array([f]) for f in (x[1].sum(), x.shape[1], (x[1] == 1).sum(), (x[1] == 2).sum())], 2, 4).sum(axis=1).tolist()  # a column a task's bucket
     floor = n_all + 0.1 * (v_all + 1)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
     unknown = discount * v_all / n_all if n_all else 1.0
     least = max(1.0, BROADCAST_SHARE * n_all)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(word_keys(words_array(b.column(0))).view(np.int64)), b.column(1)], names=["key", "n"])
-
-    keyed = written(vocabulary.mapInArrow(words, "key long, n long"), "words")
-    discard(vocabulary)
-    release(spark)
-
-    listed = keyed.filter(F.col("n") >= SUCCESSOR_MIN).select("key", "n", ((F.col("n") - discount) / float(max(n_all, 1))).alias("p"))
-    tree = learn_tree(train, listed, n_all)
+    tree = learn_tree(train, words, lambda n: (n - discount) / max(n_all, 1), n_all)
     release(spark)
     held = Lookup(tree, HOT_SHARE * n_all)
-    common = keyed.filter(F.col("n") >= least).select("key", "n").toPandas()  # at most 1 / BROADCAST_SHARE rows
-    order = np.argsort(common.key.to_numpy(np.int64).view(U))
+    key, n = gathered(words, lambda x: list(often(x, least)), 2, 2)  # at most 1 / BROADCAST_SHARE rows
+    order = np.argsort(key.view(U))
     release(spark)
-    model = spark.sparkContext.broadcast((held, common.key.to_numpy(np.int64).view(U)[order], common.n.to_numpy(np.int64)[order]))
+    model = spark.sparkContext.broadcast((held, key.view(U)[order], n[order]))
     n_parts, n_buckets = partitions(spark), buckets(docs)
 
     def by_count(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -633,7 +647,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     out.append((chunk, 1, part.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "kind", "rows"])
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_ = None
         for b in batches:
             for _, kind, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -652,13 +666,19 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(np.ascontiguousarray(x["id"]), mask=x["null"].copy()), *[pa.array(np.ascontiguousarray(x[c])) for c in ("tokens", "known", "base", "score")]]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    tables = dealt(keyed.filter(F.col("n") < least).select("key", "n"), lambda b: [column(b, "key"), b.column("n").to_numpy().astype(np.float64)], COUNT)
-    for some, key in tree:
-        tables = tables.unionAll(dealt(some.filter(F.col("n") < HOT_SHARE * n_all), lambda b, key=key: [key(b), column(b, "v")], ENTRY))
+    hot = HOT_SHARE * n_all
+    tables = dealt(words, lambda x: [x[0][x[1] < least], x[1][x[1] < least].astype(np.float64)], COUNT, 2)
+    for some, width, columns in tree:
+
+        def cold(x, columns=columns) -> list[np.ndarray]:
+            key, v, n = columns(x)
+            return [key[n < hot], v[n < hot]]
+
+        tables = tables.unionAll(dealt(some, cold, ENTRY, width))
     tables = tables.select("bucket", "side", F.lit(None).cast("long"), F.lit(None).cast("binary"), "rows")
     rows = d.select("doc_id", "text").mapInArrow(asked, DEALT).unionAll(tables)
     met = rows.repartitionById(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "chunk long, kind int, rows binary")
-    scored = met.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = met.repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 
