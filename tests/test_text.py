@@ -71,5 +71,6 @@ def test_predicates(spark, f, true, false):
 
 
 def test_terms(spark):
-    assert col(spark, ["The cat's 12 cats, http://x.y said UP", None, ""], lambda c: T.terms(c)) == [["the", "cat", "cats"], [], []]
+    assert col(spark, ["The cat's 12 cats, http://x.y said UP", None, ""], lambda c: T.terms(c)) == [["cat", "cats"], [], []]
+    assert col(spark, ["The cat's 12 cats, http://x.y said UP"], lambda c: T.terms(c, [], 2)) == [["the", "cat", "cats", "said", "up"]]
     assert col(spark, ["aaa bbb ccc", "aaa"], lambda c: T.ngrams(T.terms(c), 2)) == [["aaa bbb", "bbb ccc"], []]
