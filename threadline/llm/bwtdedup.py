@@ -46,7 +46,7 @@ from .common import partitions, table, written
 
 LENGTH, K = 100, 48
 PIECE = 1 << 18
-GROUP_ROWS, GROUP_BYTES, BATCH_BYTES = 8192, 4 << 20, 2 << 20
+GROUP_ROWS, GROUP_BYTES, BATCH_BYTES = 8192, 4 << 20, 1 << 20
 SHARDS, STEP = 4, 4
 NULL_ID = -(1 << 63)
 U = np.uint64
@@ -231,6 +231,7 @@ def scan_groups(rows: DataFrame, length: int) -> DataFrame:
                         held = (mh[i], doc[i], ver[i], start[i], size[i])
             cols = [np.concatenate([o[j] for o in out]) for j in range(6)]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if j == 0 else np.int64)) for j, c in enumerate(cols)], names=["kind", "mh", "doc", "ver", "start", "n"])
+        give_back()
 
     return dealt.mapInArrow(run, SCAN)
 
@@ -397,6 +398,8 @@ def with_bodies(docs: DataFrame, wanted: DataFrame, each, schema: str, names: li
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+        out = []
+        give_back()
 
     return j.select("_doc", "_ver", "_body", "parts").mapInArrow(run, schema)
 

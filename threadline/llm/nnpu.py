@@ -27,7 +27,6 @@ further columns are kept by `score`, where clashing names are overwritten.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -36,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import give_back
 from .common import table
 
 POSITIVES, UNLABELLED = 4000, 12000
@@ -43,8 +43,8 @@ POSITIVES, UNLABELLED = 4000, 12000
 MIN_COUNT, MIN_SHARE, LIFT = 5, 0.01, 5.0
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words that a task remembers, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -109,6 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             for p, t in zip(b.column("positive").to_pylist(), b.column("text").to_pylist(), strict=True):
                 f = pa.array(sorted(text_features(t)), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(f), pa.bool_()), f], names=["positive", "f"])
+        give_back()
 
     sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
@@ -143,47 +144,37 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The input's columns with `score` and `predicted`."""
     if model["bias"] is None:
         return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    digest = hashlib.sha256(repr((sorted(model["weights"].items()), model["bias"])).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast((digest, model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        digest, model = shared.value
-        weights, bias = model["weights"], model["bias"]
-        cache = word_cache(digest)
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights, bias = shared.value["weights"], shared.value["bias"]
+        cache: dict[str, tuple] = {}  # the features of words that the task has met
         none: tuple = ()
-        out = []
-        for t in texts:
-            t = t.as_py()
-            found: set[str] = set()
-            for w in set(WORD.findall(t.lower())) if t else none:
-                f = cache.get(w)
-                if f is None:
-                    f = tuple(x for x in word_features(w) if x in weights) or none
-                    if len(w) <= CACHE_CHARS:
-                        cache[w] = f
-                if f:
-                    found.update(f)
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            z = bias + sum(weights[f] for f in sorted(found))
-            out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
-        return pa.array(out, pa.float64())
+        for texts in batches:
+            out = []
+            for t in texts:
+                t = t.as_py()
+                found: set[str] = set()
+                for w in set(WORD.findall(t.lower())) if t else none:
+                    f = cache.get(w)
+                    if f is None:
+                        f = tuple(x for x in word_features(w) if x in weights) or none
+                        if len(w) <= CACHE_CHARS:
+                            cache[w] = f
+                    if f:
+                        found.update(f)
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                z = bias + sum(weights[f] for f in sorted(found))
+                out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            yield pa.array(out, pa.float64())
+        cache.clear()
+        give_back()
 
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-#: The features of words that a worker has met, under the digest of the one model that they are for.
-_cache: dict[str, dict] = {}
-
-
-def word_cache(digest: str) -> dict:
-    if digest not in _cache:
-        _cache.clear()
-        _cache[digest] = {}
-    return _cache[digest]
-
-
 def learned(spark: SparkSession, sf_dir: str) -> dict:
     """The model from the rows outside the held-out third."""
     return train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)

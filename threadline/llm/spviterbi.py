@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import RUN, checksums, distinct_parts, joined, lists, runs, spread
+from .batches import RUN, checksums, distinct_parts, give_back, joined, lists, runs, spread
 from .common import table
 
 SPACE = "▁"
@@ -270,6 +270,7 @@ def encoded_runs(v: Viterbi, texts: pa.Array) -> Iterator[tuple[list[str], np.nd
     for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         part = [t or "" for t in texts[s:e].to_pylist()]
         yield (part, *v.encode(part))
+    give_back()
 
 
 def encode_column(text: Column, model_path: str) -> Column:
