@@ -54,11 +54,11 @@ def nation_region(spark, d):
 
 def overview_stats(spark, d):
     o = S.overview(posts(spark, d)).withColumn("days", S.span_days(F.col("first_at"), F.col("last_at")))
-    return rounded(o, "avg_score", "avg_comments", n=4).withColumn("total_engagement", F.round("total_engagement", 1))
+    return rounded(o, "avg_score", "avg_comments", n=4).withColumn("total_engagement", F.round("total_engagement", 2))
 
 
 def community_stats(spark, d):
-    return rounded(S.community_stats(posts(spark, d)), "avg_score", "median_score", "avg_comments").withColumn("total_score", F.round("total_score", 1))
+    return rounded(S.community_stats(posts(spark, d)), "avg_score", "median_score", "avg_comments").withColumn("total_score", F.round("total_score", 2))
 
 
 def temporal_counts(spark, d):
@@ -288,8 +288,8 @@ QUERIES = {
     "region_counts": (region_counts, f"{P}, g AS (SELECT CASE WHEN subreddit IN ('1-urgent', '2-high') THEN 'Venezuela' ELSE 'US/English' END AS region, count(*) AS n FROM posts GROUP BY 1) SELECT *, round(n / sum(n) OVER (), 4) AS share FROM g"),
     "group_dim_join": (group_dim_join, f"{P} SELECT CASE WHEN subreddit IN ('1-urgent', '2-high') THEN 'hot' WHEN subreddit = '5-low' THEN 'cold' ELSE 'other' END AS grp, count(*) AS n FROM posts GROUP BY 1"),
     "nation_region": (nation_region, "SELECT r_name, count(*) AS n, count(DISTINCT n_name) AS nations FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
-    "overview_stats": (overview_stats, f"{P} SELECT count(id) AS posts, count(DISTINCT subreddit) AS communities, count(DISTINCT author) AS authors, min(ts) AS first_at, max(ts) AS last_at, round(avg(score), 4) AS avg_score, round(avg(num_comments), 4) AS avg_comments, round(sum(score) + sum(num_comments), 1) AS total_engagement, CAST(floor((epoch(max(ts)) - epoch(min(ts))) / 86400) AS BIGINT) AS days FROM posts"),
-    "community_stats": (community_stats, f"{P} SELECT subreddit, count(id) AS posts, count(DISTINCT author) AS authors, round(avg(score), 4) AS avg_score, round(median(score), 4) AS median_score, round(sum(score), 1) AS total_score, round(avg(num_comments), 4) AS avg_comments, CAST(sum(num_comments) AS BIGINT) AS total_comments FROM posts GROUP BY 1"),
+    "overview_stats": (overview_stats, f"{P} SELECT count(id) AS posts, count(DISTINCT subreddit) AS communities, count(DISTINCT author) AS authors, min(ts) AS first_at, max(ts) AS last_at, round(avg(score), 4) AS avg_score, round(avg(num_comments), 4) AS avg_comments, round(sum(score) + sum(num_comments), 2) AS total_engagement, CAST(floor((epoch(max(ts)) - epoch(min(ts))) / 86400) AS BIGINT) AS days FROM posts"),
+    "community_stats": (community_stats, f"{P} SELECT subreddit, count(id) AS posts, count(DISTINCT author) AS authors, round(avg(score), 4) AS avg_score, round(median(score), 4) AS median_score, round(sum(score), 2) AS total_score, round(avg(num_comments), 4) AS avg_comments, CAST(sum(num_comments) AS BIGINT) AS total_comments FROM posts GROUP BY 1"),
     "temporal_counts": (temporal_counts, f"{A}, t AS (SELECT CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(isodow(ts) - 1 AS INT) AS dow, CAST(hour(ts) AS INT) AS hour FROM activity) SELECT year, month, dow, hour, count(*) AS n FROM t GROUP BY GROUPING SETS ((year), (year, month), (dow), (hour))"),
     "yearly_full_outer": (yearly_full_outer, f"{P}, a AS (SELECT CAST(year(ts) AS INT) AS year, count(*) AS submissions FROM posts GROUP BY 1), b AS (SELECT CAST(year(l_shipdate) AS INT) AS year, count(*) AS comments FROM lineitem GROUP BY 1) SELECT year, coalesce(submissions, 0) AS submissions, coalesce(comments, 0) AS comments FROM a FULL JOIN b USING (year)"),
     "engagement_stats": (engagement_stats, f"{P} SELECT round(avg(score), 4) AS score_mean, round(median(score), 4) AS score_median, round(max(score), 4) AS score_max, round(quantile_cont(score, 0.95), 4) AS score_p95, round(avg(num_comments), 4) AS comments_mean, round(median(num_comments), 4) AS comments_median, CAST(sum(num_comments) AS BIGINT) AS comments_sum, max(num_comments) AS comments_max FROM posts"),
