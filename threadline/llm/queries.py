@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bwtdedup, nnpu, pst, revsearch, rpforest, simhash, spviterbi, tokenfile, tokenfst, urlfilter, warc, winnow
+from . import align, bwtdedup, nnpu, pst, revsearch, rpforest, simhash, spviterbi, tokenfile, tokenfst, urlfilter, warc, winnow
 
 #: query name -> module; each module has a function of that name and, where SQL can say it, SQL.
 MODULES = {
@@ -20,6 +20,7 @@ MODULES = {
     "op10_embedding_near_dedup": rpforest,
     "op11_ranked_lexical_search": revsearch,
     "op12_token_counts": tokenfst,
+    "op13_cross_tokenizer_alignment": align,
 }
 
 

@@ -181,6 +181,7 @@ class Heaps:
 def best_of_tasks(counts: DataFrame, index: Index, k: int, kind: str) -> DataFrame:
     """(no, item_id, doc, score): each task's best k documents of every item."""
     shared = counts.sparkSession.sparkContext.broadcast(index)
+    cells, together = CELLS, TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -194,8 +195,8 @@ def best_of_tasks(counts: DataFrame, index: Index, k: int, kind: str) -> DataFra
             part, reach = ix.parts(n, row, term, tf), ix.size[term]
             until, so_far = np.cumsum(sizes), np.concatenate(([0], np.cumsum(reach)))
             most = (so_far[until] - so_far[until - sizes]).tolist()
-            step = max(1, CELLS // many)
-            for s0, e0 in runs(most, TOGETHER):
+            step = max(1, cells // many)
+            for s0, e0 in runs(most, together):
                 for s in range(s0, e0, step):
                     e = min(s + step, e0)
                     lo, hi = int(until[s] - sizes[s]), int(until[e - 1])
