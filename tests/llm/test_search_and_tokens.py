@@ -211,4 +211,4 @@ def test_alignment_of_empty_tables(spark):
 
 def test_aligned_slices():
     groups, links = align.aligned([1, 2, 3], [2, 5, 6], [7, 8, 9], [4, 5, 6])
-    assert groups == [(0, 2, 0, 2), (2, 3, 2, 3)] and links == [(1, 7), (2, 7), (2, 8), (3, 9)]
+    assert groups == [(0, 2, 0, 2), (2, 3, 2, 3)] and links == [x << 32 | y for x, y in ((1, 7), (2, 7), (2, 8), (3, 9))]

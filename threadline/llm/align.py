@@ -14,7 +14,7 @@ what its stretches link: every pair of ids once, with the number of the run's
 documents that hold it. Pairs are summed over the runs, the highest count of
 every A id is taken, and each run asks for its pairs' counts, which it applies
 to its stretches and so to its documents. So a pair meets as many rows as there
-are runs, not documents, and a run (8 MB of texts, or one longer text) is the
+are runs, not documents, and a run (4 MB of texts, or one longer text) is the
 most that a task holds.
 
 Defined results: texts that are null or empty, or whose tokens' bytes under
@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,14 @@ from .tokenfile import cut_places
 from .tokenfst import byte_letters
 
 MARK = "▁"
-#: Bytes of texts in a run.
-RUN = 1 << 23
+#: Bytes of texts in a run, and distinct stretches that are encoded together.
+RUN, TOGETHER = 1 << 22, 1 << 14
 RUN_ROW = "run long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, kinds array<int>, times array<long>, pairs array<long>, freq array<long>, links array<int>, sizes array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups as (first, end) of both lists, and links as pairs of ids, of tokens that end at these bytes."""
+def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Groups as (first, end) of both lists, and links as pairs of ids (A's above B's 32 bits), of tokens that end at these bytes."""
     a_at, b_at = {end: i for i, end in enumerate(a_ends)}, {end: i for i, end in enumerate(b_ends)}
     groups, links = [], []
     i = j = 0
@@ -61,11 +63,12 @@ def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) ->
         groups.append((i, i_end, j, j_end))
         k = j
         for x in range(i, i_end):
-            links.append((a[x], b[k]))
-            while b_ends[k] < a_ends[x]:
+            upper, until = a[x] << 32, a_ends[x]
+            links.append(upper | b[k])
+            while b_ends[k] < until:
                 k += 1
-                links.append((a[x], b[k]))
-            k += b_ends[k] == a_ends[x]
+                links.append(upper | b[k])
+            k += b_ends[k] == until
         i, j = i_end, j_end
     return groups, links
 
@@ -97,15 +100,15 @@ class Pair:
         """Ids of stretches, each of which begins with the blank that B puts there itself."""
         return [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)], self.b.encode([s[1:] for s in stretches], num_threads=1)
 
-    def stretch(self, text: str, a: list[int], b: list[int]) -> tuple[str, int, list[tuple[int, int]]] | None:
+    def stretch(self, text: str, a: list[int], b: list[int]) -> tuple[str, int, list[int]] | None:
         """The groups as text, how many, and the links; None if a token list does not spell the stretch."""
         a_raw, b_raw = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes.get(i, b"") for i in b]
         raw = text.encode()
         if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
             return None
-        groups, links = aligned(a, np.cumsum([len(x) for x in a_raw]).tolist(), b, np.cumsum([len(x) for x in b_raw]).tolist())
-        said = ";".join(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}" for i, i_end, j, j_end in groups)
-        return said, len(groups), links
+        groups, links = aligned(a, list(accumulate(map(len, a_raw))), b, list(accumulate(map(len, b_raw))))
+        a_said, b_said = list(map(str, a)), list(map(str, b))
+        return ";".join([f"{','.join(a_said[i:i_end])}|{','.join(b_said[j:j_end])}" for i, i_end, j, j_end in groups]), len(groups), links
 
 
 _workers: dict[tuple[str, str], Pair] = {}
@@ -137,22 +140,27 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def run_rows(pair: Pair, run: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     """A row a document, then one for the run."""
     n, which, kinds = stretches(texts)
-    a, b = pair.encoded(kinds) if kinds else ([], [])
-    found = [pair.stretch(*x) for x in zip(kinds, a, b, strict=True)]
-    fine = np.array([f is not None for f in found], bool)
+    said: list[str] = []
+    codes = array("q")  # links of all distinct stretches, end to end
+    figures: list[tuple[int, int, int, int]] = []
+    for at in range(0, len(kinds), TOGETHER):
+        some = kinds[at : at + TOGETHER]
+        for text, a, b in zip(some, *pair.encoded(some), strict=True):
+            groups, many, links = pair.stretch(text, a, b) or ("", -1, [])
+            said.append(groups)
+            codes.extend(links)
+            figures.append((len(a), len(b), many, len(links)))
+    figure = np.array(figures, np.int64).reshape(-1, 4)
+    fine, sizes = figure[:, 2] >= 0, figure[:, 3]
     row = np.repeat(np.arange(len(texts)), n)
-    good = np.bincount(row[~fine[which]], minlength=len(texts)) == 0 if len(which) else np.ones(len(texts), bool)
-    said = [f[0] if f else "" for f in found]
+    good = np.bincount(row[~fine[which]], minlength=len(texts)) == 0
     ends = np.cumsum(n)
     digests = []
     for i, (s, e) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
         digests.append(hashlib.sha256(";".join([said[k] for k in which[s:e].tolist()]).encode()).hexdigest() if good[i] and e > s else "")
     keep = good[row]
-    per = lambda values: np.bincount(row[keep], weights=np.array(values, np.float64)[which[keep]], minlength=len(texts)).astype(np.int64) if len(which) else np.zeros(len(texts), np.int64)  # noqa: E731  counts stay far below 2**53
-    links = [f[2] if f else [] for f in found]
-    sizes = np.array([len(x) for x in links], np.int64)
-    codes = np.array([x << 32 | y for some in links for x, y in some], np.int64)
-    pairs, link = np.unique(codes, return_inverse=True)
+    per = lambda values: np.bincount(row[keep], weights=values[which[keep]], minlength=len(texts)).astype(np.int64)  # noqa: E731  counts stay far below 2**53
+    pairs, link = np.unique(np.frombuffer(codes, np.int64) if codes else np.zeros(0, np.int64), return_inverse=True)
     # the run's documents that hold each pair
     doc, kind, times = term_counts(np.where(good, n, 0), which[keep], np.arange(len(kinds)), len(kinds))
     reach = sizes[kind]
@@ -162,7 +170,7 @@ def run_rows(pair: Pair, run: int, ids: pa.Array, texts: list[str]) -> pa.Record
     late = pa.nulls(m, pa.list_(pa.int64()))
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     columns = [
-        pa.array(np.full(m + 1, run, np.int64)), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), *[pa.array(np.append(per(v), 0)) for v in ([len(x) for x in a], [len(x) for x in b], [f[1] if f else 0 for f in found], sizes)],
+        pa.array(np.full(m + 1, run, np.int64)), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), *[pa.array(np.append(per(v), 0)) for v in figure.T],
         pa.array([*digests, None]), pa.concat_arrays([lists(kind.astype(np.int32), k), pa.nulls(1, pa.list_(pa.int32()))]), pa.concat_arrays([lists(times.astype(np.int64), k), pa.nulls(1, pa.list_(pa.int64()))]),
         pa.concat_arrays([late, one(pairs, pa.int64())]), pa.concat_arrays([late, one(freq, pa.int64())]), pa.concat_arrays([pa.nulls(m, pa.list_(pa.int32())), one(link.astype(np.int32), pa.int32())]), pa.concat_arrays([late, one(sizes, pa.int64())]),
     ]
