@@ -14,8 +14,8 @@ what its stretches link: every pair of ids once, with the number of the run's
 documents that hold it. Pairs are summed over the runs, the highest count of
 every A id is taken, and each run asks for its pairs' counts, which it applies
 to its stretches and so to its documents. So a pair meets as many rows as there
-are runs, not documents, and a run (4 MB of texts, or one longer text) is the
-most that a task holds.
+are runs, not documents, and a run (2 MB of texts, or one longer text) is the
+most that a task holds; beside it, a bounded memory of stretches met before.
 
 Defined results: texts that are null or empty, or whose tokens' bytes under
 either tokenizer are not the blank and the text (a literal U+2581), have no
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
@@ -48,18 +49,21 @@ from .tokenfst import byte_letters
 
 MARK = "▁"
 #: Bytes of texts in a run, and distinct stretches that are encoded together.
-RUN, TOGETHER = 1 << 22, 1 << 14
+RUN, TOGETHER = 1 << 21, 1 << 14
+#: Bytes of remembered stretches before they become the old ones, from which what is still in use moves on; what one takes beside its text and result.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 160
+HEAD = struct.Struct("<4i")
 RUN_ROW = "run long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, kinds array<int>, times array<long>, pairs array<long>, freq array<long>, links array<int>, sizes array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
     """Groups as (first, end) of both lists, and links as pairs of ids (A's above B's 32 bits), of tokens that end at these bytes."""
-    a_at, b_at = {end: i for i, end in enumerate(a_ends)}, {end: i for i, end in enumerate(b_ends)}
+    a_at, b_at = dict(zip(a_ends, range(1, len(a) + 1), strict=True)), dict(zip(b_ends, range(1, len(b) + 1), strict=True))
     groups, links = [], []
     i = j = 0
     for end in sorted(a_at.keys() & b_at.keys()):
-        i_end, j_end = a_at[end] + 1, b_at[end] + 1
+        i_end, j_end = a_at[end], b_at[end]
         groups.append((i, i_end, j, j_end))
         k = j
         for x in range(i, i_end):
@@ -84,9 +88,14 @@ class Pair:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        self.a_bytes = [b""] * self.a.get_vocab_size()  # ids without bytes spell nothing
+        for t, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else b""
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.b_bytes = {}
+        self.b_bytes = [b""] * self.b.get_piece_size()
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -100,15 +109,34 @@ class Pair:
         """Ids of stretches, each of which begins with the blank that B puts there itself."""
         return [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)], self.b.encode([s[1:] for s in stretches], num_threads=1)
 
-    def stretch(self, text: str, a: list[int], b: list[int]) -> tuple[str, int, list[int]] | None:
-        """The groups as text, how many, and the links; None if a token list does not spell the stretch."""
-        a_raw, b_raw = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes.get(i, b"") for i in b]
+    def stretch(self, text: str, a: list[int], b: list[int]) -> bytes:
+        """HEAD (how many ids of A, of B, groups and links), the links, and the groups as text; -1 groups if a token list does not spell the stretch."""
+        a_raw, b_raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         raw = text.encode()
         if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-            return None
+            return HEAD.pack(0, 0, -1, 0)
         groups, links = aligned(a, list(accumulate(map(len, a_raw))), b, list(accumulate(map(len, b_raw))))
-        a_said, b_said = list(map(str, a)), list(map(str, b))
-        return ";".join([f"{','.join(a_said[i:i_end])}|{','.join(b_said[j:j_end])}" for i, i_end, j, j_end in groups]), len(groups), links
+        x, y = list(map(str, a)), list(map(str, b))
+        said = [f"{x[i] if i_end == i + 1 else ','.join(x[i:i_end])}|{y[j] if j_end == j + 1 else ','.join(y[j:j_end])}" for i, i_end, j, j_end in groups]
+        return HEAD.pack(len(a), len(b), len(groups), len(links)) + array("q", links).tobytes() + ";".join(said).encode()
+
+    def results(self, stretches: list[str]) -> list[bytes]:
+        """What `stretch` gives of each; remembered ones are not encoded again."""
+        if self.held > CACHE_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
+        for text in stretches:
+            if text not in self.known and text in self.old:
+                self.keep(text, self.old[text])
+        new = [text for text in stretches if text not in self.known]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            for text, a, b in zip(some, *self.encoded(some), strict=True):
+                self.keep(text, self.stretch(text, a, b))
+        return [self.known[text] for text in stretches]
+
+    def keep(self, text: str, found: bytes) -> None:
+        self.known[text] = found
+        self.held += len(text) + len(found) + ENTRY_BYTES
 
 
 _workers: dict[tuple[str, str], Pair] = {}
@@ -140,27 +168,21 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def run_rows(pair: Pair, run: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     """A row a document, then one for the run."""
     n, which, kinds = stretches(texts)
-    said: list[str] = []
-    codes = array("q")  # links of all distinct stretches, end to end
-    figures: list[tuple[int, int, int, int]] = []
-    for at in range(0, len(kinds), TOGETHER):
-        some = kinds[at : at + TOGETHER]
-        for text, a, b in zip(some, *pair.encoded(some), strict=True):
-            groups, many, links = pair.stretch(text, a, b) or ("", -1, [])
-            said.append(groups)
-            codes.extend(links)
-            figures.append((len(a), len(b), many, len(links)))
-    figure = np.array(figures, np.int64).reshape(-1, 4)
+    found = pair.results(kinds)
+    figure = np.frombuffer(b"".join([x[: HEAD.size] for x in found]), np.int32).reshape(-1, 4).astype(np.int64)
     fine, sizes = figure[:, 2] >= 0, figure[:, 3]
+    until = (HEAD.size + 8 * sizes).tolist()
+    said = [x[e:] for x, e in zip(found, until, strict=True)]
+    codes = np.frombuffer(b"".join([x[HEAD.size : e] for x, e in zip(found, until, strict=True)]), np.int64)
     row = np.repeat(np.arange(len(texts)), n)
     good = np.bincount(row[~fine[which]], minlength=len(texts)) == 0
     ends = np.cumsum(n)
     digests = []
     for i, (s, e) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
-        digests.append(hashlib.sha256(";".join([said[k] for k in which[s:e].tolist()]).encode()).hexdigest() if good[i] and e > s else "")
+        digests.append(hashlib.sha256(b";".join([said[k] for k in which[s:e].tolist()])).hexdigest() if good[i] and e > s else "")
     keep = good[row]
     per = lambda values: np.bincount(row[keep], weights=values[which[keep]], minlength=len(texts)).astype(np.int64)  # noqa: E731  counts stay far below 2**53
-    pairs, link = np.unique(np.frombuffer(codes, np.int64) if codes else np.zeros(0, np.int64), return_inverse=True)
+    pairs, link = np.unique(codes, return_inverse=True)
     # the run's documents that hold each pair
     doc, kind, times = term_counts(np.where(good, n, 0), which[keep], np.arange(len(kinds)), len(kinds))
     reach = sizes[kind]
