@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadline.operators import clean as C
 from threadline.operators import clusters as K
+from threadline.operators import density, metric
 from threadline.operators import periods as T
 from threadline.operators import search as R
 from threadline.operators import sentiment as N
@@ -63,7 +64,7 @@ def test_search_needs_every_token(spark):
 def test_density_clusters_find_blobs(spark):
     rng = np.random.default_rng(1)
     pts = [(i, [float(x) for x in rng.normal((i // 40) * 5.0, 0.2, 3)]) for i in range(80)] + [(100, [50.0, 50.0, 50.0])]
-    d = K.density_clusters(spark.createDataFrame(pts, "id long, embedding array<double>"), 1.0, min_size=10, min_samples=5).collect()
+    d = density.hierarchical_clusters(spark.createDataFrame(pts, "id long, embedding array<double>"), 1.0, min_size=10, min_samples=5).collect()
     by = {r.id: r.cluster_id for r in d}
     assert by[100] == -1 and len({by[i] for i in range(40)}) == 1 and len({by[i] for i in range(40, 80)}) == 1 and by[0] != by[40]
     assert all(0 <= r.cluster_prob <= 1 for r in d)
@@ -101,9 +102,9 @@ def test_neighbour_pairs_are_all_pairs(spark):
     df = spark.createDataFrame([(i, int(g[i]), [float(v) for v in r]) for i, r in enumerate(x)], "id long, g int, embedding array<double>")
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 1.1
     want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
-    assert {(r.a, r.b) for r in K.neighbour_pairs(df, 1.1).collect()} == want and len(want) > 1000
-    assert {(r.a, r.b) for r in K.neighbour_pairs(df, 1.1, within=("g",)).collect()} == {(i, j) for i, j in want if g[i] == g[j]}
-    assert K.neighbour_pairs(df.limit(0), 1.1).count() == 0
+    assert {(r.a, r.b) for r in metric.neighbour_pairs(df, 1.1).collect()} == want and len(want) > 1000
+    assert {(r.a, r.b) for r in metric.neighbour_pairs(df, 1.1, within=("g",)).collect()} == {(i, j) for i, j in want if g[i] == g[j]}
+    assert metric.neighbour_pairs(df.limit(0), 1.1).count() == 0
 
 
 def test_nested_trees(spark):
@@ -112,6 +113,48 @@ def test_nested_trees(spark):
     assert sorted((r._id, r.body, r._depth, r._is_top_level, r._parent_comment_id) for r in t.collect()) == [("a", "1", 0, True, None), ("b", "2", 1, False, "a"), ("c", "later", 0, True, None), ("d", "4", 0, True, None)]
 
 
+def test_nested_trees_of_any_depth_in_one_stage(spark):
+    rng = np.random.default_rng(8)
+
+    def grow(left, depth):
+        """Random trees, with comments that lack a body, ids that repeat, and odd values."""
+        out = {}
+        for _ in range(int(rng.integers(0, 4)) if depth else 5):
+            if left[0] <= 0:
+                break
+            left[0] -= 1
+            c = {"parent_id": f"t1_p{depth}", "score": [3, -1.5, True, None, "x", {"a": [1, "}"]}][int(rng.integers(0, 6))], "junk": ["]", {"b": 1}]}
+            if rng.random() < 0.9:
+                c["body"] = ["t", 'q" \\ {', "é\n", ""][int(rng.integers(0, 4))]
+            c["replies"] = grow(left, depth + 1) if rng.random() < 0.8 else ["", None][int(rng.integers(0, 2))]
+            out[f"c{int(rng.integers(0, 60))}"] = c
+        return out
+
+    def flat(tree, depth=0):
+        out = {}
+        for k, c in tree.items():
+            if c.get("body") is not None:
+                s = c["score"]
+                out.pop(k, None)
+                out[k] = (depth, c["body"], s if isinstance(s, str) or s is None else json.dumps(s))
+                for k2, v in (flat(c["replies"], depth + 1) if c["replies"] else {}).items():
+                    out.pop(k2, None)
+                    out[k2] = v
+        return out
+
+    trees = [grow([200], 0) for _ in range(20)]
+    deep = "{" + "".join(f'"d{i}": {{"body": "b", "replies": {{' for i in range(3000)) + "}}" * 3000 + "}"
+    bad = ["{", "[]", '{"a": {"body": "x"}', '{"a" {"body": 1}}', '{"a": {"body": "x"}} {', "5", '{"a": {"body": "x",}', ""]
+    df = spark.createDataFrame([(i, json.dumps(t, ensure_ascii=bool(i % 2))) for i, t in enumerate(trees)] + [(100, deep)] + [(200 + i, b) for i, b in enumerate(bad)], "submission_id long, tree string")
+    t = flatten_nested(df)
+    got = {}
+    for r in t.collect():
+        got.setdefault(r._submission_id, {})[r._id] = (r._depth, r.body, r.score)
+    assert {i: g for i, g in got.items() if i < 100} == {i: f for i, t_ in enumerate(trees) if (f := flat(t_))}
+    assert got[100] == {f"d{i}": (i, "b", None) for i in range(3000)} and max(got) == 100
+    assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+
+
 def test_samples_per_cluster(spark):
     rows = [(i, i % 2, float(i)) for i in range(40)] + [(100, 7, 1.0)]
     got = K.sample_texts(spark.createDataFrame(rows, "id long, cluster_id int, cluster_prob double"), n=6).collect()

@@ -1,97 +1,66 @@
-"""Clusters of vectors: density clustering, summaries, evolution, and the tables behind their charts."""
+"""Clusters of vectors: components, summaries, evolution, and the tables behind their charts; `density` finds the clusters."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import small, written
+from ..sources.shared import discard, written
 from .stats import row_shares, seeded_order, top_values, with_share
-from .vectors import centroids, cosine, reduce_dimensions
+from .vectors import centroids, cosine
 
 
-def neighbour_pairs(df: DataFrame, radius: float, id="id", vec="embedding", within: tuple[str, ...] = (), axes: int = 3) -> DataFrame:
-    """(a, b): ids of all vectors at most `radius` apart, a < b; exact.
+#: Edges up to which one task finds the components.
+FEW_EDGES = 200_000
 
-    Projections on orthonormal axes (the principal ones, fitted in one pass)
-    never lengthen a distance, so a pair lies in one cell of a grid of that
-    width or in cells next to each other. Every vector goes to its own cell and
-    is looked for from the cells around; cells and the `within` columns are the
-    join's key, and distances are tested in the join.
-    """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    d = df.select(F.col(id).alias("id"), *within, F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
-    first = d.select(F.size("v")).first()
-    k = min(axes, first[0]) if first else 1
-    if first is None or d.limit(k + 1).count() <= 1:
-        return d.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    pc = PCA(k=k, inputCol="p", outputCol="q").fit(d.select(array_to_vector("v").alias("p"))).pc.toArray()
-    line = lambda j: F.array(*[F.lit(float(x)) for x in pc[:, j]])
-    wide = radius * (1 + 1e-9) + 1e-12
-    cells = [F.floor(F.aggregate(F.zip_with("v", line(j), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / wide).alias(f"_c{j}") for j in range(k)]
-    at = written(d.select("id", *within, "v", *cells), "cells")
-    around = at.select(*[F.col(c).alias(f"_w_{c}") for c in within], F.col("id").alias("b"), F.col("v").alias("w"), *[F.col(f"_c{j}") for j in range(k)])
-    for j in range(k):
-        around = around.withColumn(f"_c{j}", F.explode(F.array(*[F.col(f"_c{j}") + s for s in (-1, 0, 1)])))
-    on = [f"_c{j}" for j in range(k)]
-    same = F.lit(True)
-    for c in within:
-        same = same & (F.col(c) == F.col(f"_w_{c}"))
-    keys = [at[c] == around[c] for c in on]
-    match = same & (F.col("id") < F.col("b"))
-    for e in keys:
-        match = match & e
-    square = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return at.join(around.hint("shuffle_hash"), match).filter(square <= radius * radius).select(F.col("id").alias("a"), "b")
 
+def united(edges: DataFrame) -> DataFrame:
+    """Components of a counted, small edge table by union-find in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, root) by min-label propagation with pointer jumping; each round is written, so lineage stays short."""
-    e = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    lab = written(e.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), "labels")
-    for _ in range(rounds):
-        near = e.join(lab.hint("shuffle_hash"), F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
-        low = lab.join(near.hint("shuffle_hash"), F.col("id") == F.col("a")).select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = lab.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = written(low.join(up.hint("shuffle_hash"), "root", "left").select("id", "was", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        lab = new.select("id", "root")
-        if new.filter("root <> was").limit(1).count() == 0:
-            return lab
-    raise RuntimeError("components did not settle")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
 
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = sorted((top(x), top(y)))
+                up[y] = x  # the smaller id stays on top
+        yield pa.RecordBatch.from_pydict({"id": list(up), "root": [top(x) for x in list(up)]}, pa.schema([("id", types[kind]), ("root", types[kind])]))
 
-def density_clusters(df: DataFrame, radius: float, min_size: int = 50, min_samples: int = 10, id="id", vec="embedding", within: tuple[str, ...] = (), reduce_to: int | None = None, pairs: DataFrame | None = None, least_rows: int = 0) -> DataFrame:
-    """id, cluster_id (-1: noise), cluster_prob, is_noise; with `within`, each of its groups on its own, all in one job.
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"id {kind}, root {kind}")
 
-    Core points have min_samples neighbours; connected core points and the
-    neighbours of core points are a cluster, named by its smallest core id; ones
-    below min_size are noise. cluster_prob is the share of a point's neighbours
-    in its own cluster. A group of `within` with fewer than least_rows rows is
-    noise as a whole (twice min_size is a usual guard).
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, root) of the vertices of edges (a, b): root is the smallest id reachable. Few edges, by count, go to one task.
+
+    Else min-label propagation with pointer jumping; each round is written, so
+    that lineage stays short, and the round before deleted.
     """
-    src = df if reduce_to is None else reduce_dimensions(df, reduce_to, vec, vec)
-    near = written(neighbour_pairs(src, radius, id, vec, within) if pairs is None else pairs, "pairs")
-    both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    deg = both.groupBy("a").agg(F.count("*").alias("deg"))
-    core = written(deg.filter(F.col("deg") >= min_samples).select(F.col("a").alias("c")), "core")
-    inner = near.join(core.hint("shuffle_hash"), F.col("a") == F.col("c"), "left_semi").join(core.withColumnRenamed("c", "c2").hint("shuffle_hash"), F.col("b") == F.col("c2"), "left_semi")
-    roots = core.join(components(inner).hint("shuffle_hash"), F.col("c") == F.col("id"), "left").select("c", F.coalesce("root", "c").alias("root"))
-    edge = both.join(roots.hint("shuffle_hash"), F.col("b") == F.col("c")).groupBy("a").agg(F.min("root").alias("via"))
-    all_ = df.select(F.col(id).alias("id"), *within)
-    j = all_.join(roots.withColumnsRenamed({"c": "c1", "root": "own"}).hint("shuffle_hash"), F.col("id") == F.col("c1"), "left")
-    j = j.join(edge.hint("shuffle_hash"), F.col("id") == F.col("a"), "left").select("id", *within, F.coalesce("own", "via").alias("root"))
-    sized = j.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("root").isNotNull() & (F.col("size") >= min_size))
-    named = j.join(sized.hint("shuffle_hash"), "root", "left").select("id", *within, F.when(F.col("size").isNotNull(), F.col("root")).alias("root"))
-    if within and least_rows:
-        enough = df.groupBy(*within).agg(F.count("*").alias("_k")).filter(F.col("_k") >= least_rows).withColumn("_enough", F.lit(True)).drop("_k")
-        named = named.join(small(enough), list(within), "left").withColumn("root", F.when(F.col("_enough"), F.col("root"))).drop("_enough")
-    lab = written(named.select("id", *within, "root"), "labels")
-    of = lab.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    share = both.join(lab.select(F.col("id").alias("a"), F.col("root").alias("ra")).hint("shuffle_hash"), "a").join(of.hint("shuffle_hash"), "b").groupBy("a").agg(F.avg((F.col("ra") == F.col("rb")).cast("double")).alias("p"))
-    out = lab.join(share.hint("shuffle_hash"), F.col("id") == F.col("a"), "left")
-    return out.select("id", *within, F.coalesce("root", F.lit(-1)).alias("cluster_id"), F.when(F.col("root").isNull(), 0.0).otherwise(F.coalesce("p", F.lit(1.0))).alias("cluster_prob"), F.col("root").isNull().alias("is_noise"))
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES and edges.schema["a"].dataType.simpleString() in ("bigint", "int", "string"):
+        return united(edges)
+    e = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    lab = written(e.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id").withColumn("was", F.lit(None).cast(e.schema["a"].dataType)), "labels")
+    for _ in range(rounds):
+        now = lab.select("id", "root")
+        near = e.join(now.hint("shuffle_hash"), F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
+        low = now.join(near.hint("shuffle_hash"), F.col("id") == F.col("a")).select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        new = written(low.join(up.hint("shuffle_hash"), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "was"), "labels")
+        discard(lab)
+        lab = new
+        if new.filter("root <> was").limit(1).count() == 0:
+            discard(e)
+            return new.select("id", "root")
+    raise RuntimeError("components did not settle")
 
 
 def cluster_summary(df: DataFrame, cluster="cluster_id", community="subreddit", ts="ts", sentiment: str | None = None) -> DataFrame:

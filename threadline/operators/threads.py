@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMMENT_FIELDS
 from ..functions.features import parent_comment
+from ..functions.nested import comments_of
 from ..sources.shared import written
 
 
@@ -39,32 +43,47 @@ def flatten_threads(comments: DataFrame, id="id", parent="parent_id", shared: st
     return out.withColumns({"_is_top_level": F.col("_depth") == 0, "_parent_comment_id": F.col(parent)})
 
 
-NESTED = ", ".join(f"{c}: string" for c in COMMENT_FIELDS)
+#: Comments that leave a task together.
+BATCH = 4096
 
 
-def flatten_nested(trees: DataFrame, tree: str = "tree", id: str = "submission_id") -> DataFrame:
+def flatten_nested(trees: DataFrame, tree: str = "tree", id: str = "submission_id", fields: list[str] = COMMENT_FIELDS) -> DataFrame:
     """Comments of nested trees {comment: {fields, replies: {...}}} in JSON, a row each, with _depth and its companions.
 
-    Level by level the replies of the last one are taken apart, each level a
-    narrow stage that is written before the next reads it; levels end with the
-    deepest thread. Comments without a body go with what is below them; of a
-    comment that occurs twice in a tree the later one in reading order stays.
+    One narrow stage, whatever the depth: a tree's text is read once. Comments
+    without a body go with what is below them; of a comment that occurs twice in
+    a tree the later one in reading order stays; a tree that is null or not such
+    JSON has no comments.
     """
-    schema = f"map<string, struct<{NESTED}, replies: string>>"
-    level = trees.select(F.col(id).alias("_submission_id"), F.array().cast("array<int>").alias("_path"), F.col(tree).alias("_tree"))
-    found, depth = None, 0
-    while True:
-        parts = level.select("_submission_id", F.col("_path").alias("_above"), F.posexplode(F.from_json("_tree", schema)).alias("_i", "_id", "c")).filter("c.body is not null")
-        flat = parts.select("_submission_id", F.concat("_above", F.array("_i")).alias("_path"), "_id", "c.*", F.lit(depth).alias("_depth"))
-        flat = written(flat, "level")
-        if not flat.limit(1).count() and found is not None:
-            break
-        found = flat.drop("replies") if found is None else found.unionByName(flat.drop("replies"))
-        level = flat.filter("replies is not null").select("_submission_id", "_path", F.col("replies").alias("_tree"))
-        depth += 1
-    w = Window.partitionBy("_submission_id", "_id").orderBy(F.desc("_path"))
-    last = found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_path")
-    return last.withColumns({"_is_top_level": F.col("_depth") == 0, "_parent_comment_id": parent_comment(F.col("parent_id"))})
+    kind = trees.schema[id].dataType.simpleString()
+    columns = ["_submission_id", "_id", *fields, "_depth"]
+    schema = f"_submission_id {kind}, _id string, {', '.join(f'{c} string' for c in fields)}, _depth int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, places = [], []
+
+            def done(b=b) -> pa.RecordBatch:
+                values = [pa.array([f.get(c) for _, _, f in own], pa.string()) for c in fields]
+                out = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), pa.array([i for i, _, _ in own], pa.string()), *values, pa.array([d for _, d, _ in own], pa.int32())], names=columns)
+                own.clear()
+                places.clear()
+                return out
+
+            for i, text in enumerate(b.column(1)):
+                try:
+                    found = comments_of(text.as_py() or "", fields)
+                except ValueError:
+                    continue
+                for at in range(0, len(found), BATCH):
+                    own += found[at : at + BATCH]
+                    places += [i] * len(found[at : at + BATCH])
+                    if len(own) >= BATCH:
+                        yield done()
+            yield done()
+
+    flat = trees.select(F.col(id), F.col(tree)).mapInArrow(run, schema)
+    return flat.withColumns({"_is_top_level": F.col("_depth") == 0, "_parent_comment_id": parent_comment(F.col("parent_id"))})
 
 
 def with_submission(comments: DataFrame, posts: DataFrame, link="submission_id", id="id", fields: tuple[str, ...] = ("title", "score")) -> DataFrame:

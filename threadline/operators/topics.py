@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import small, written
-from .clusters import density_clusters
+from .density import hierarchical_clusters
 from .stats import with_share
 from .terms import class_tfidf, term_rows, top_per
 from .vectors import centroids, cosine, embed, reduce_dimensions
 
 
-def fit_topics(df: DataFrame, radius: float, min_topic_size: int = 10, min_samples: int = 5, reduce_to: int = 5, id="id", text="text", n_topics: int | None = None, grams: tuple[int, ...] = (1, 2), rerank: bool = False) -> tuple[DataFrame, DataFrame]:
+def fit_topics(df: DataFrame, radius: float | list[float], min_topic_size: int = 10, min_samples: int = 5, reduce_to: int = 5, id="id", text="text", n_topics: int | None = None, grams: tuple[int, ...] = (1, 2), rerank: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with topic_id, topic_prob, topic_label; words of topics): -1 are outliers."""
     e = written(embed(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "embedded")
     d = reduce_dimensions(e, reduce_to).select("id", "text", "reduced")
-    c = density_clusters(d, radius, min_topic_size, min_samples, vec="reduced")
+    c = hierarchical_clusters(d, radius, min_topic_size, min_samples, vec="reduced")
     j = d.join(c.hint("shuffle_hash"), "id").select("id", "text", F.col("cluster_id").alias("topic_id"), F.col("cluster_prob").alias("topic_prob"))
     j = written(j, "topics")
     if n_topics is not None:

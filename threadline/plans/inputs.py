@@ -79,3 +79,20 @@ def dated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = """vectors AS (
   SELECT vec_id AS id, embedding, label AS cluster_id, o_orderdate AS ts, lower(o_orderpriority) AS subreddit, o_totalprice AS score, year(o_orderdate) AS period
   FROM embeddings JOIN orders ON vec_id = o_orderkey)"""
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as vectors of how many of a thousand characters each letter is, with the year of the order of the same number."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.translate(F.coalesce("text", F.lit("")), LETTERS.upper(), LETTERS).alias("t"))
+    n = F.greatest(F.length("t"), F.lit(1))
+    v = F.array(*[F.floor(1000 * (F.length("t") - F.length(F.replace("t", F.lit(c)))) / n).cast("double") for c in LETTERS])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("period"))
+    return t.select("id", v.alias("embedding")).join(o, "id", "left")
+
+
+PROFILES = f"""profiles AS (
+  SELECT doc_id AS id, [{", ".join(f"CAST(floor(1000 * (len(t) - len(replace(t, '{c}', ''))) / greatest(len(t), 1)) AS DOUBLE)" for c in LETTERS)}] AS embedding, year(o_orderdate) AS period
+  FROM (SELECT doc_id, translate(coalesce(text, ''), '{LETTERS.upper()}', '{LETTERS}') AS t FROM documents) LEFT JOIN orders ON doc_id = o_orderkey)"""

@@ -10,6 +10,7 @@ from ..functions import features as X
 from ..functions import predicates as P
 from ..operators import clean as C
 from ..operators import clusters as K
+from ..operators import density as D
 from ..operators import periods as T
 from ..operators import sentiment as N
 from ..operators import stats as S
@@ -62,7 +63,7 @@ def sentiment_tables(scored: DataFrame) -> dict[str, DataFrame]:
     return {"summary": N.aggregate(scored), "by_community": N.aggregate(scored, "subreddit"), "by_month": N.aggregate(scored, "year_month"), "by_both": N.aggregate(scored, "subreddit", "year_month")}
 
 
-def topic_tables(corpus: DataFrame, radius: float, **args) -> dict[str, DataFrame]:
+def topic_tables(corpus: DataFrame, radius: float | list[float], **args) -> dict[str, DataFrame]:
     """Topics of a corpus (id, text, created_datetime, subreddit): documents, words, info, over time, by community."""
     docs, words = O.fit_topics(corpus, radius, **args)
     j = docs.drop("text").join(corpus.select("id", "created_datetime", "subreddit"), "id")
@@ -72,9 +73,9 @@ def topic_tables(corpus: DataFrame, radius: float, **args) -> dict[str, DataFram
     }
 
 
-def cluster_tables(corpus: DataFrame, radius: float, period: str = "year_month", **args) -> dict[str, DataFrame]:
+def cluster_tables(corpus: DataFrame, radius: float | list[float], period: str = "year_month", **args) -> dict[str, DataFrame]:
     """Clusters of a corpus with embeddings: labels, summary, by period, evolution, flow, keywords, requests."""
-    labels = K.density_clusters(corpus, radius, **args)
+    labels = D.hierarchical_clusters(corpus, radius, **args)
     c = corpus.join(labels, "id")
     evolution = K.evolution(c, period)
     summary = K.cluster_summary(c, ts="created_datetime")

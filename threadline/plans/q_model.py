@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import PERIODS
 from ..functions import features as X
 from ..operators import clusters as C
+from ..operators import density as D
 from ..operators import sentiment as N
 from ..operators import stats as S
 from ..operators import terms as W
@@ -16,10 +17,10 @@ from ..operators.periods import periods_at
 from ..sources.shared import folder
 from ..streaming import streams as Z
 from . import sqltext as Q
-from .inputs import ACTIVITY, NOISY, VECTORS, activity, dated_vectors, noisy_comments, table, texts
+from .inputs import ACTIVITY, NOISY, PROFILES, VECTORS, activity, dated_vectors, letter_profiles, noisy_comments, table, texts
 from .pipelines import sentiment_tables
 
-RADIUS = 0.9
+RADII = [20.0, 30.0, 45.0, 100.0]
 POSITIVE, NEGATIVE = ["the", "and", "la", "der"], ["of", "to", "que", "die"]
 
 
@@ -121,15 +122,14 @@ def summary_requests(spark, d):
 
 
 def density_clusters(spark, d):
-    """Density clusters of the vectors: all pairs within the radius."""
-    c = C.density_clusters(dated_vectors(spark, d), radius=RADIUS, min_size=4, min_samples=2)
+    """Clusters of the documents' letter profiles over a ladder of radii, by excess of mass."""
+    c = D.hierarchical_clusters(letter_profiles(spark, d), RADII, min_size=20, min_samples=5)
     return c.withColumn("cluster_prob", F.round("cluster_prob", 6))
 
 
 def period_clusters(spark, d):
-    """The same in each period on its own, halved limits; periods below twice the least size are noise."""
-    v = dated_vectors(spark, d)
-    c = C.density_clusters(v, radius=RADIUS, min_size=2, min_samples=1, within=("period",), least_rows=200)
+    """The same in each period on its own, with halved limits; periods below twice the least size are noise."""
+    c = D.hierarchical_clusters(letter_profiles(spark, d), RADII, min_size=10, min_samples=3, within=("period",), least_rows=20)
     return c.withColumn("cluster_prob", F.round("cluster_prob", 6))
 
 
@@ -269,21 +269,33 @@ _AGG = "round(avg(sc), 6) AS mean_sentiment, round(stddev_samp(sc), 6) AS std_se
 _CENT = f"{X_}, e AS (SELECT period, cluster_id, i, avg(embedding[i]) AS x FROM (SELECT period, cluster_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM vectors) GROUP BY 1, 2, 3), c AS (SELECT period, cluster_id, list(x ORDER BY i) AS v FROM e GROUP BY 1, 2), n AS (SELECT period, cluster_id, count(*) AS n FROM vectors GROUP BY 1, 2), p AS (SELECT period, lead(period) OVER (ORDER BY period) AS nx FROM (SELECT DISTINCT period FROM vectors)), m AS (SELECT a.period AS from_period, b.period AS to_period, a.cluster_id AS from_cluster, b.cluster_id AS to_cluster, list_cosine_similarity(a.v, b.v) AS similarity FROM c a JOIN p ON a.period = p.period JOIN c b ON b.period = p.nx QUALIFY row_number() OVER (PARTITION BY a.period, a.cluster_id ORDER BY similarity DESC, b.cluster_id) = 1), evo AS (SELECT m.*, x.n AS from_count, y.n AS to_count FROM m JOIN n x ON x.period = from_period AND x.cluster_id = from_cluster JOIN n y ON y.period = to_period AND y.cluster_id = to_cluster WHERE similarity > 0)"
 _LEX = f"WITH t AS (SELECT doc_id AS id, string_split({Q.normal('text')}, ' ') AS w FROM documents), h AS (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'and', 'la', 'der'))) AS p, len(list_filter(w, lambda x: x IN ('of', 'to', 'que', 'die'))) AS n FROM t)"
 def _density(least, samples, within="", rows=0):
-    """Density clusters in SQL: pairs, core points, components of these by reachability, sizes, shares."""
-    w = f"AND x.{within} = y.{within}" if within else ""
-    few = f"LEFT JOIN (SELECT {within} AS g, count(*) AS k FROM vectors GROUP BY 1) z ON z.g = v.{within}" if within else ""
-    also = f"AND k >= {rows}" if within else ""
-    out = f"CAST(v.{within} AS INT) AS {within}, " if within else ""
-    return f"""WITH RECURSIVE {VECTORS}, near AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.id <> y.id {w} WHERE list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) <= {RADIUS}),
-core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= {samples}),
-reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b JOIN core c ON c.id = n.b),
-roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY 1),
-via AS (SELECT n.a AS id, min(root) AS root FROM near n JOIN roots r ON r.id = n.b GROUP BY 1),
-lab AS (SELECT v.id, coalesce(r.root, w.root) AS root FROM vectors v LEFT JOIN roots r ON r.id = v.id LEFT JOIN via w ON w.id = v.id),
-big AS (SELECT root, count(*) AS size FROM lab WHERE root IS NOT NULL GROUP BY 1 HAVING count(*) >= {least}),
-fin AS (SELECT v.id, v.period, CASE WHEN size IS NOT NULL {also} THEN lab.root END AS root FROM vectors v JOIN lab USING (id) LEFT JOIN big ON big.root = lab.root {few}),
-share AS (SELECT n.a AS id, avg(CASE WHEN x.root = y.root THEN 1.0 WHEN x.root IS NULL OR y.root IS NULL THEN NULL ELSE 0.0 END) AS p FROM near n JOIN fin x ON x.id = n.a JOIN fin y ON y.id = n.b GROUP BY 1)
-SELECT v.id, {out}coalesce(root, -1) AS cluster_id, round(CASE WHEN root IS NULL THEN 0.0 ELSE coalesce(p, 1.0) END, 6) AS cluster_prob, root IS NULL AS is_noise FROM fin v LEFT JOIN share USING (id)"""
+    """The tree of density clusters in SQL: components of each rung by reachability, then rung by rung clusters that go on, end and begin."""
+    w, out = (f"AND x.{within} IS NOT DISTINCT FROM y.{within}", f"{within}, ") if within else ("", "")
+    k, rate = len(RADII), [1.0 / r for r in RADII]
+    few = f"JOIN (SELECT {within} AS g FROM profiles GROUP BY 1 HAVING count(*) >= {rows}) ON g IS NOT DISTINCT FROM {within}" if within else ""
+    sql = [PROFILES, f"pts AS MATERIALIZED (SELECT profiles.* FROM profiles {few})"]
+    sql.append(f"near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, list_distance(x.embedding, y.embedding) AS d FROM pts x JOIN pts y ON true {w} WHERE list_distance(x.embedding, y.embedding) <= {RADII[-1]})")
+    for r, radius in enumerate(RADII):
+        sql.append(f"core{r} AS MATERIALIZED (SELECT a AS id FROM near WHERE d <= {radius} GROUP BY 1 HAVING count(*) > {samples})")
+        sql.append(f"reach{r} AS (SELECT id AS a, id AS b FROM core{r} UNION SELECT r.a, n.b FROM reach{r} r JOIN near n ON n.a = r.b JOIN core{r} c ON c.id = n.b WHERE d <= {radius})")
+        sql.append(f"lab{r} AS MATERIALIZED (SELECT a AS id, min(b) AS root FROM reach{r} GROUP BY 1)")
+        sql.append(f"size{r} AS (SELECT root, count(*) AS size FROM lab{r} GROUP BY 1 HAVING count(*) >= {least})")
+        name = f"{{'rung': {r}, 'root': root}}"
+        if not r:
+            sql.append(f"alive0 AS MATERIALIZED (SELECT root, size, {name} AS cluster, size * {rate[0]!r}::DOUBLE AS mass, NULL::DOUBLE AS parts FROM size0)")
+            continue
+        sql.append(f"moved{r} AS MATERIALIZED (SELECT cluster, mass, size, parts, l.root AS dest, mass - size * {rate[r]!r}::DOUBLE AS own, greatest(mass - size * {rate[r]!r}::DOUBLE, coalesce(parts, 0)) AS value FROM alive{r - 1} a JOIN lab{r} l ON l.id = a.root)")
+        sql.append(f"met{r} AS (SELECT dest, count(*) AS k, sum(value) AS worth, any_value(cluster) AS one, any_value(mass) AS m, any_value(size) AS s, any_value(parts) AS p FROM moved{r} GROUP BY 1)")
+        sql.append(f"alive{r} AS MATERIALIZED (SELECT root, size, CASE WHEN k = 1 THEN one ELSE {name} END AS cluster, CASE WHEN k = 1 THEN m + (size - s) * {rate[r]!r}::DOUBLE ELSE size * {rate[r]!r}::DOUBLE END AS mass, CASE WHEN k = 1 THEN p ELSE worth END AS parts FROM size{r} LEFT JOIN met{r} ON dest = root)")
+    ends = [f"SELECT cluster, {{'rung': {r}, 'root': dest}} AS parent, own, parts FROM moved{r} JOIN met{r} USING (dest) WHERE k > 1" for r in range(1, k)]
+    ends.append(f"SELECT cluster, NULL AS parent, mass - size * {rate[-1]!r}::DOUBLE AS own, parts FROM alive{k - 1}")
+    sql.append(f"tree AS MATERIALIZED (SELECT cluster, parent, own >= coalesce(parts, 0) AS best FROM ({' UNION ALL '.join(ends)}))")
+    sql.append("chosen AS (SELECT cluster, CASE WHEN best THEN cluster END AS label FROM tree WHERE parent IS NULL UNION ALL SELECT t.cluster, coalesce(c.label, CASE WHEN t.best THEN t.cluster END) FROM tree t JOIN chosen c ON t.parent = c.cluster)")
+    sql.append(f"places AS (SELECT id, min(rung) AS rung, arg_min(cluster, rung) AS cluster FROM ({' UNION ALL '.join(f'SELECT id, {r} AS rung, cluster FROM lab{r} JOIN alive{r} USING (root)' for r in range(k))}) GROUP BY 1)")
+    sql.append(f"held AS (SELECT id, label, least(1.0, [{', '.join(f'{x!r}::DOUBLE' for x in rate)}][rung + 1] / [{', '.join(f'{x!r}::DOUBLE' for x in rate)}][label.rung + 1]) AS prob FROM places JOIN chosen USING (cluster) WHERE label IS NOT NULL)")
+    sql.append("named AS (SELECT label, min(id) AS name FROM held GROUP BY 1)")
+    also = f"CAST(p.{within} AS INT) AS {within}, " if within else ""
+    return f"WITH RECURSIVE {', '.join(sql)} SELECT p.id, {also}coalesce(name, -1) AS cluster_id, round(coalesce(prob, 0), 6) AS cluster_prob, name IS NULL AS is_noise FROM profiles p LEFT JOIN held USING (id) LEFT JOIN named USING (label)"
 
 
 _TERMS = f"t AS (SELECT doc_id, source, {Q.terms('text')} AS w FROM documents)"
@@ -307,8 +319,8 @@ QUERIES = {
     "representative_docs": (representative_docs, f"{X_} SELECT cluster_id, id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id) AS INT) AS rank FROM vectors QUALIFY rank <= 5"),
     "cluster_labels": (cluster_labels, f"{X_}, k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2) SELECT cluster_id, concat('C', cluster_id, ' (r/', arg_min(subreddit, (-k, subreddit)), ', n=', CAST(sum(k) AS BIGINT), ')') AS label FROM k GROUP BY 1"),
     "summary_requests": (summary_requests, f"""{X_}, v AS (SELECT vectors.id, cluster_id, score / 1e6 AS prob, text FROM vectors JOIN documents ON doc_id = vectors.id), tp AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY prob DESC, id) AS rk FROM v QUALIFY rk <= 3), dr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42:' || id), id) AS h FROM v QUALIFY h <= 6), rs AS (SELECT dr.*, row_number() OVER (PARTITION BY dr.cluster_id ORDER BY h) + 3 AS rk FROM dr ANTI JOIN tp ON tp.id = dr.id AND tp.cluster_id = dr.cluster_id QUALIFY rk <= 6), al AS (SELECT cluster_id, rk, text FROM tp UNION ALL SELECT cluster_id, rk, text FROM rs), pc AS (SELECT cluster_id, rk, '[' || rk || '] ' || CASE WHEN len(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS piece FROM al), g AS (SELECT cluster_id, string_agg(piece, chr(10) || chr(10) ORDER BY rk) AS samples, count(*) AS n_samples FROM pc GROUP BY 1), k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2), m AS (SELECT cluster_id, CAST(sum(k) AS BIGINT) AS n, arg_min(subreddit, (-k, subreddit)) AS top_community FROM k GROUP BY 1) SELECT cluster_id, n, n_samples, top_community, len('Cluster of ' || n || ' posts, mostly from r/' || top_community || '.' || chr(10) || chr(10) || 'Samples:' || chr(10) || chr(10) || samples || chr(10) || chr(10) || 'Answer with JSON: label, summary.') AS request_chars FROM g JOIN m USING (cluster_id)"""),
-    "density_clusters": (density_clusters, _density(4, 2)),
-    "period_clusters": (period_clusters, _density(2, 1, "period", 200)),
+    "density_clusters": (density_clusters, _density(20, 5)),
+    "period_clusters": (period_clusters, _density(10, 3, "period", 20)),
     "topic_clusters": (topic_clusters, None),
     "scorer_sentiment": (scorer_sentiment, f"WITH t AS (SELECT doc_id AS id, CASE WHEN {Q.strip('text')} <> '' THEN least(len(text), 512) END AS k FROM documents) SELECT id, CASE k % 3 WHEN 0 THEN 'LABEL_pos' WHEN 1 THEN 'negative' ELSE 'neutral' END AS label, round(CASE k % 3 WHEN 0 THEN k / 1000.0 WHEN 1 THEN -k / 1000.0 ELSE 0 END, 6) AS score FROM t"),
     "sentiment_run": (sentiment_run, f"{_LEX}, s AS (SELECT id, source AS subreddit, '2024-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS year_month, coalesce((p - n) / nullif(p + n, 0), 0) AS sc FROM h JOIN documents ON doc_id = id) SELECT CASE WHEN grouping(subreddit) = 1 AND grouping(year_month) = 1 THEN 'summary' WHEN grouping(year_month) = 1 THEN 'by_community' WHEN grouping(subreddit) = 1 THEN 'by_month' ELSE 'by_both' END AS level, subreddit, year_month, count(*) AS total, round(avg(sc), 6) AS mean_sentiment, count(*) FILTER (sc > 0) AS positive_count, count(*) FILTER (sc < 0) AS negative_count FROM s GROUP BY GROUPING SETS ((), (subreddit), (year_month), (subreddit, year_month))"),

@@ -205,6 +205,28 @@ def nested_threads(spark, d):
     return t.select(F.col("_submission_id").alias("conv_id"), F.col("_id").cast("long").alias("id"), F.md5("body").alias("body_md5"), F.col("_depth").cast("long").alias("depth"), F.col("_is_top_level").alias("top_level"), F.col("_parent_comment_id").cast("long").alias("parent"))
 
 
+#: Comments of one of the deep trees.
+TREE = 1500
+
+
+def deep_threads(spark, d):
+    """Events as trees of 1,500 comments, a thousand levels deep: every third one ends a branch, the others go on."""
+    from ..operators.threads import flatten_nested
+
+    i = F.pmod("event_id", F.lit(TREE))
+    name = lambda x: F.concat(F.lit("e"), x)
+    above = F.when(i == 0, "t3_post").otherwise(F.concat(F.lit("t1_"), name(F.col("event_id") - F.when(i % 3 == 0, 2).otherwise(1))))
+    head = F.concat(F.lit('"'), name(F.col("event_id")), F.lit('": {"body": "'), F.col("event_type"), F.lit('", "extra": {"k": [1, "}"]}, "score": '), F.col("user_id"), F.lit(', "parent_id": "'), above, F.lit('", "replies": '))
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / TREE).alias("submission_id"), i.alias("i"), head.alias("head"))
+    t = e.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("i", "head"))).alias("t"))
+    last = F.col("t")[F.size("t") - 1]["i"]
+    piece = lambda x: F.concat(x["head"], F.when(x["i"] % 3 == 2, F.concat(F.lit('""}'), F.when(x["i"] < last, ", ").otherwise(""))).otherwise("{"))
+    opened = F.size(F.filter("t", lambda x: x["i"] % 3 != 2))
+    tree = F.concat(F.lit("{"), F.array_join(F.transform("t", piece), ""), F.repeat(F.lit("}}"), opened), F.lit("}"))
+    f = flatten_nested(t.select("submission_id", tree.alias("tree")))
+    return f.select(F.substring("_id", 2, 20).cast("long").alias("event_id"), F.col("_submission_id").alias("tree"), "body", F.col("score").cast("long").alias("score"), F.col("_depth").cast("long").alias("depth"), F.col("_is_top_level").alias("top_level"), F.substring("_parent_comment_id", 2, 20).cast("long").alias("parent"))
+
+
 def comment_fields(spark, d):
     """Allowed fields, blanked strings, plain types and provenance of rows that hold more than that."""
     n = noisy_comments(spark, d)
@@ -277,6 +299,7 @@ QUERIES = {
     "scan_grid": (scan_grid, f"WITH {_DATED}, w(window_start, window_end) AS (VALUES (DATE '2024-01-01', DATE '2024-01-31'), (DATE '2024-02-01', DATE '2024-02-29'), (DATE '2024-03-01', DATE '2024-03-31')), c(community) AS (VALUES ('src1'), ('src2'), ('src3')), q(query) AS (SELECT unnest({_QLIST})) SELECT community, window_start, window_end, query, count(t.id) AS n FROM c CROSS JOIN w CROSS JOIN q LEFT JOIN t ON t.source = community AND CAST(t.ts AS DATE) BETWEEN window_start AND window_end AND list_contains(t.h, query) GROUP BY ALL"),
     "collected_grid": (collected_grid, f"WITH {_DATED}, w(s, e) AS (VALUES (DATE '2024-01-01', DATE '2024-01-31'), (DATE '2024-02-01', DATE '2024-02-29'), (DATE '2024-03-01', DATE '2024-03-31'), (DATE '2024-01-15', DATE '2024-02-14'), (DATE '2024-02-15', DATE '2024-02-29')) SELECT id, min(s) AS window_start, 'monthly' AS granularity, 'historical' AS kind, array_to_string(list_sort(any_value(h)), '|') AS queries FROM t JOIN w ON CAST(ts AS DATE) BETWEEN s AND e WHERE source IN ('src1', 'src2', 'src3') AND len(h) > 0 GROUP BY id"),
     "hourly_collection": (hourly_collection, "WITH t AS (SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) AS ts, list_filter([CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'and') THEN 'the and' END, CASE WHEN contains(lower(text), 'que') THEN 'que' END], lambda x: x IS NOT NULL) AS h FROM documents) SELECT id, date_trunc('hour', ts) AS window_start, array_to_string(list_sort(h), '|') AS queries FROM t WHERE len(h) > 0 AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09 12:00:00'"),
+    "deep_threads": (deep_threads, f"WITH e AS (SELECT *, event_id % {TREE} AS i FROM events) SELECT event_id, event_id // {TREE} AS tree, event_type AS body, user_id AS score, i - i // 3 AS depth, i = 0 AS top_level, CASE WHEN i > 0 THEN event_id - CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END END AS parent FROM e"),
     "nested_threads": (nested_threads, f"{N} SELECT conv_id, id, md5(body) AS body_md5, turn AS depth, turn = 0 AS top_level, CASE WHEN turn > 0 THEN id - 1 END AS parent FROM noisy"),
     "comment_fields": (comment_fields, f"{N} SELECT id, author, CASE WHEN turn % 3 = 1 THEN 'mod' ELSE '' END AS distinguished, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE CAST(id AS DOUBLE) END AS edited, '[\"a\",\"' || author || '\"]' AS awards, 'comment' AS kind, upper(author) AS author_kind FROM noisy"),
     "comments_with_submission": (comments_with_submission, f"{N} SELECT n.id, conv_id AS submission_id, substr(text, 1, 20) AS title, len(text) AS score FROM noisy n LEFT JOIN documents ON doc_id = conv_id"),

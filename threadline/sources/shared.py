@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -19,14 +20,27 @@ def folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-threadline-")
         spark.sparkContext.setCheckpointDir(base)
+    base = "file://" + base if base.startswith("/") else base
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and its size is known."""
+def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
+    """Write a table to the shared folder (partitioned by a column, if one is given) and read it back: lineage ends there, and its size is known."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])  # a partitioning column comes back last
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables; only when all that was made of them is written too."""
+    for t in tables:
+        path = t.__dict__.get("_written_to")
+        if path:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Rows up to which a counted side is broadcast.
@@ -35,6 +49,4 @@ BROADCAST_ROWS = 100_000
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The side of a join that should be small: broadcast if it is counted to be, else a shuffled hash join."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
