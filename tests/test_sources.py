@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from threadline.functions import features as X
 from threadline.sources import archive as A
 
@@ -45,6 +48,38 @@ def test_shards_round_trip(spark, tmp_path):
     assert sorted((r._source[:-5], r._id, r.title, r.score) for r in got) == rows
 
 
+def test_one_shard_is_read_by_many_tasks(spark, tmp_path):
+    items = {f"x{i:04}": {"id": f"x{i}", "title": 'end },\n  }, "q": {' * (i % 3), "score": i, "_matched_queries": ["a", "b"] if i % 2 else None} for i in range(4000)}
+    (tmp_path / "big.json").write_text(json.dumps(items, indent=2))
+    (tmp_path / "flat.json").write_text(json.dumps({k: items[k] for k in list(items)[:50]}))
+    (tmp_path / "cut.json").write_text(json.dumps({"_meta": {"title": "m"}, **items}, indent=2)[:200_000])
+    (tmp_path / "none.json").write_text("{}")
+    A.save_shards(spark.createDataFrame([("own 1+é", k, v["title"], v["score"]) for k, v in items.items()], "_shard string, _id string, title string, score long"), str(tmp_path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = A.keyed_json(spark, str(tmp_path), A.SUBMISSION).withColumn("part", F.spark_partition_id()).select("_source", "_id", "title", "score", "part").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {}
+    for r in got:
+        by.setdefault(r._source, {})[r._id] = (r.title, r.score)
+    want = {k: (v["title"], v["score"]) for k, v in items.items()}
+    assert by["big.json"] == want and by["own 1+é.json"] == want
+    assert by["flat.json"] == {k: want[k] for k in list(want)[:50]} and by["cut.json"] == {k: want[k] for k in list(want)[: len(by["cut.json"])]} and 1000 < len(by["cut.json"]) < 4000
+    assert len({r.part for r in got if r._source == "big.json"}) > 5 and len(got) == sum(map(len, by.values()))
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i % 3}", f"a{i}", i) for i in range(90)], "_shard string, _id string, score long")
+    with pytest.raises(Exception, match="no more"):
+        A.save_shards(rows.withColumn("score", F.when(F.col("_id") == "a77", F.raise_error(F.lit("no more")).cast("long")).otherwise(F.col("score"))), str(tmp_path / "x"))
+    assert not list((tmp_path / "x").rglob("*.json")) and not list((tmp_path / "x").glob("*"))
+    A.save_shards(rows, str(tmp_path / "x"))
+    assert sorted(p.name for p in (tmp_path / "x").glob("[!.]*")) == ["s0.json", "s1.json", "s2.json"]
+    assert all(len(json.loads(p.read_text())) == 30 for p in (tmp_path / "x").glob("*.json"))
+
+
 def test_time_order_and_types(spark, tmp_path):
     df = spark.range(500).selectExpr("timestamp_seconds((id * 7919) % 500) as created_datetime", "cast(id as string) as edited", "array(id) as tags", "named_struct('a', id) as s")
     A.in_time_order(df).write.parquet(str(tmp_path / "t"))

@@ -50,7 +50,7 @@ def archive_salvage(spark, d):
     path = folder(spark, "cut")
     t = table(spark, d, "documents")
     A.save_shards(t.select(F.concat(F.lit("s"), F.pmod(F.col("doc_id"), F.lit(PIECES))).alias("_shard"), F.concat(F.lit("p"), F.col("doc_id")).alias("_id"), F.repeat(F.md5("text"), F.lit(40)).alias("selftext"), F.array(F.lit("q")).alias("_matched_queries")), path)
-    cut = spark.read.option("wholetext", True).text(path).select(F.expr("substring(rtrim(value), 1, length(rtrim(value)) - 9)").alias("value"))
+    cut = spark.read.text(path, wholetext=True).select(F.expr("substring(rtrim(value), 1, length(rtrim(value)) - 9)").alias("value"))
     cut.write.text(path + "-2")
     k = A.keyed_json(spark, path + "-2", A.SUBMISSION, "*.txt")
     return k.select("_id", F.md5("selftext").alias("digest"), F.col("_matched_queries")[0].alias("query"))

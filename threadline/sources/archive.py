@@ -1,14 +1,19 @@
 """Keyed-JSON archives, Parquet and CSV tables: scans and sinks.
 
 A shard is one JSON object a file, {id: {fields}}; keys that start with `_`
-are metadata. A file that does not parse is salvaged object by object, and
-what cannot be salvaged is dropped. A shard is parsed in one piece, so it must
-be below 2 GB and fit a task; an archive is split by community and window, and
-`save_shards` writes such pieces. JSON lines have no such bound.
+are metadata. A shard that is indented by two blanks, as `save_shards` writes
+it, is read by many tasks: the end of an item at that depth cannot occur within
+one, so it serves as the record separator of Spark's text reader, which finds
+the next one after any byte. A shard in another layout is one record, below 2 GB.
+What does not parse is salvaged item by item, and what cannot be salvaged is
+dropped.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,21 +30,34 @@ COMMENT = (
 )
 
 
+#: The end of an item of an indented shard. Strings hold no line breaks, and what is deeper has more blanks.
+ITEM_END = "\n  },"
+#: Pairs "id": {...} with one nested level at most; possessive, as the matcher otherwise keeps a frame for every character.
+PIECE = r'"([a-z0-9]+)"\s*:\s*(\{(?:[^{}]++|\{[^{}]*+\})*+\})'
+
+
+def items_of(records: DataFrame, schema: str, salvage: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row an item of the records of shards (`value`): _id and the fields."""
+    kind = f"map<string, struct<{ddl(schema)}>>"
+    parsed = lambda c: F.from_json(c, kind, {"mode": "PERMISSIVE"})
+    body = F.regexp_replace("value", r"^\s*\{?", "")
+    # the last item of a shard (or a whole one) closes the object; the others' ends went with the separator
+    m = F.coalesce(parsed(F.concat(F.lit("{"), body)), parsed(F.concat(F.lit("{"), body, F.lit("}}"))))
+    tagged = records.filter(F.trim(body) != "").select(*keep, "value", F.map_filter(m, lambda k, v: v.isNotNull()).alias("m"))
+    whole = tagged.filter("m is not null").select(*keep, F.explode("m").alias("_id", "v"))
+    if salvage:
+        bad = tagged.filter("m is null").select(*keep, F.explode(F.regexp_extract_all("value", F.lit(PIECE), F.lit(0))).alias("p"))
+        whole = whole.unionAll(bad.select(*keep, F.explode(parsed(F.concat(F.lit("{"), F.col("p"), F.lit("}")))).alias("_id", "v")).filter("v is not null"))
+    return whole.filter(~F.col("_id").startswith("_")).select("_id", *keep, "v.*")
+
+
 def keyed_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json", without: tuple[str, ...] = (), salvage: bool = True) -> DataFrame:
     """A row an item: _id (its key), _source (its file), and the fields. Absent fields are null."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).withColumn("_source", F.col("_metadata.file_name"))
+    raw = spark.read.option("lineSep", ITEM_END).option("pathGlobFilter", glob).text(path)
+    raw = raw.withColumn("_source", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))  # names come percent-encoded
     for part in without:
         raw = raw.filter(~F.contains("_source", F.lit(part)))
-    parsed = F.from_json("value", f"map<string, struct<{ddl(schema)}>>", {"mode": "PERMISSIVE"})
-    tagged = raw.select("_source", "value", F.map_filter(parsed, lambda k, v: v.isNotNull()).alias("m"))
-    whole = tagged.filter("m is not null").select("_source", F.explode("m").alias("_id", "v"))
-    if salvage:
-        # pairs "id": {...} with one nested level at most; possessive, as the matcher otherwise keeps a frame for every character
-        pieces = F.regexp_extract_all("value", F.lit(r'"([a-z0-9]+)"\s*:\s*(\{(?:[^{}]++|\{[^{}]*+\})*+\})'), F.lit(0))
-        bad = tagged.filter("m is null").select("_source", F.explode(pieces).alias("p"))
-        pair = F.from_json(F.concat(F.lit("{"), F.col("p"), F.lit("}")), f"map<string, struct<{ddl(schema)}>>")
-        whole = whole.unionAll(bad.select("_source", F.explode(pair).alias("_id", "v")).filter("v is not null"))
-    return whole.filter(~F.col("_id").startswith("_")).select("_id", "_source", "v.*")
+    return items_of(raw, schema, salvage, ("_source",))
 
 
 def ddl(schema: str) -> str:
@@ -135,22 +153,28 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tup
 def save_shards(df: DataFrame, path: str, shard: str = "_shard", key: str = "_id") -> None:
     """Keyed-JSON shards {id: {fields}}, a file `<shard>.json` for each value of the shard column, ids in their order.
 
-    An object is gathered whole, so a shard has to fit a task; what does not is
-    split by finer shards or written as JSON lines.
+    A shard's items are sorted and streamed to its file, so that no task holds
+    an object. All files are written aside and committed by Spark; only then
+    each takes its name, so what fails before leaves nothing to be read.
     """
     spark = df.sparkSession
     name = F.to_json(F.array(F.col(key).cast("string")))
-    entry = F.concat(F.substring(name, 2, 1 << 20).substr(F.lit(1), F.length(name) - 2), F.lit(":"), F.to_json(F.struct(*[c for c in df.columns if c not in (key, shard)])))
-    items = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), entry.alias("e"))))
-    one = df.groupBy(shard).agg(F.concat(F.lit("{"), F.array_join(F.transform(items, lambda x: x["e"]), ","), F.lit("}")).alias("value"))
-    one.repartition(shard).write.mode("overwrite").partitionBy(shard).option("lineSep", "\n").text(path)
-    # text files cannot be named as they are written: a rename a shard
+    fields = F.to_json(F.struct(*[c for c in df.columns if c not in (key, shard)]))
+    w = Window.partitionBy(shard).orderBy("_k", "_fields")
+    rows = df.select(F.col(shard).cast("string").alias(shard), F.col(key).cast("string").alias("_k"), F.expr("1").alias("_one"), F.substring(name, 2, 1 << 20).alias("_name"), fields.alias("_fields"))
+    first, last = F.lag("_one").over(w).isNull(), F.lead("_one").over(w).isNull()
+    item = F.concat(F.when(first, "{\n").otherwise(""), F.lit("  "), F.col("_name").substr(F.lit(1), F.length("_name") - 1), F.lit(": "), F.col("_fields").substr(F.lit(1), F.length("_fields") - 1), F.when(last, "\n  }\n}").otherwise(ITEM_END))
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in fs.globStatus(fs_path(f"{path}/{shard}=*/part-*")):
-        folder = f.getPath().getParent()
-        fs.rename(f.getPath(), fs_path(f"{path}/{folder.getName().split('=', 1)[1]}.json"))
-        fs.delete(folder, True)
+    aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"  # readers pass over names like this
+    try:
+        rows.select(shard, item.alias("value")).write.partitionBy(shard).option("lineSep", "\n").text(aside)
+        for f in fs.globStatus(fs_path(f"{aside}/{shard}=*/part-*")):
+            to = fs_path(f"{path}/{unquote(f.getPath().getParent().getName().split('=', 1)[1])}.json")
+            fs.delete(to, False)
+            fs.rename(f.getPath(), to)
+    finally:
+        fs.delete(fs_path(aside), True)
 
 
 def save_results(tables: dict[str, DataFrame], path: str, fmt: dict[str, str] | str = "parquet", partition_by: dict[str, tuple[str, ...]] | None = None) -> None:

@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_comments
 from ..operators.search import matched_queries
-from ..sources.archive import ddl
+from ..sources.archive import ITEM_END, items_of
 
 
 def stream_posts(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
     """Items of new keyed-JSON shards; the query's checkpoint remembers which files are done."""
-    raw = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path)
-    return raw.select(F.explode(F.from_json("value", f"map<string, struct<{ddl(schema)}>>")).alias("_id", "v")).filter(~F.col("_id").startswith("_")).select("_id", "v.*")
+    raw = spark.readStream.format("text").option("lineSep", ITEM_END).option("pathGlobFilter", glob).load(path)
+    return items_of(raw, schema, salvage=False)
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
