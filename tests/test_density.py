@@ -109,6 +109,14 @@ def test_cells_are_bounded_and_prune(spark):
     assert metric.compared_share(tree, metric.touching(tree, 0.5)) < 0.25
 
 
+def test_rungs_decide_by_exact_distances():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(1000, 3, (60, 5)), rng.integers(0, 4, (60, 5)), np.full((3, 5), 0.1)])
+    radii = [0.5, 1.0, 2.0, 3.0, float(np.sqrt(10))]
+    want = np.searchsorted(np.array(radii), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), side="left")
+    assert (metric.rungs(x, x, radii) == np.where(want == len(radii), metric.NEVER, want)).all()
+
+
 def test_spanning_forest_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(20):

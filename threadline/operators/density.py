@@ -41,9 +41,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import discard, small, written
 from . import metric
 from .clusters import components
-
-NEVER = 255
-
+from .metric import NEVER
 
 def spanning_forest(rung: np.ndarray, rungs: int) -> list[tuple[int, int]]:
     """Edges of a minimum spanning forest of a symmetric matrix of rungs (NEVER: no edge), the first of equal ones in row order."""
@@ -68,23 +66,16 @@ def spanning_forest(rung: np.ndarray, rungs: int) -> list[tuple[int, int]]:
                 comp[comp == comp[y]] = comp[x]
 
 
-def ladder(d: np.ndarray, radii: list[float]) -> np.ndarray:
-    """The first rung that a distance is not above; NEVER beyond the last."""
-    at = np.searchsorted(np.array(radii), d, side="left")
-    return np.where(at < len(radii), at, NEVER).astype(np.uint8)
-
-
 def core_rungs(cells: DataFrame, pairs: DataFrame, radii: list[float], min_samples: int) -> DataFrame:
     """(id, core): the first rung at which a vector has min_samples others; vectors that never have are left out."""
     k = len(radii)
 
     def count(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        other = x if y is None else y
+        rung = metric.rungs(metric.matrix(x["v"]), metric.matrix(other["v"]), radii)
         parts = []
-        for one, other in ((x, y), (y, x)) if y is not None else ((x, x),):
-            rung = ladder(metric.distances(metric.matrix(one["v"]), metric.matrix(other["v"])), radii)
-            w = other["w"].to_numpy()
-            n = np.stack([(rung <= r) @ w for r in range(k)], axis=1)
-            parts.append(pa.table({"id": one["id"], **{f"n{r}": n[:, r].astype(np.int64) for r in range(k)}}))
+        for one, near, w in ((x, rung, other["w"].to_numpy()), (other, rung.T, x["w"].to_numpy()))[: 1 if y is None else 2]:
+            parts.append(pa.table({"id": one["id"], **{f"n{r}": ((near <= r) @ w).astype(np.int64) for r in range(k)}}))
         return pa.concat_tables(parts)
 
     kind = cells.schema["id"].dataType.simpleString()
@@ -100,12 +91,12 @@ def forest_edges(cells: DataFrame, pairs: DataFrame, radii: list[float]) -> Data
     def work(x: pa.Table, y: pa.Table | None) -> pa.Table:
         if y is None:
             v, core, ids = metric.matrix(x["v"]), x["core"].to_numpy(), x["id"]
-            rung = ladder(metric.distances(v, v), radii)
+            rung = metric.rungs(v, v, radii)
         else:  # only edges across; those inside are another group's
             n = x.num_rows
             core, ids = np.concatenate((x["core"].to_numpy(), y["core"].to_numpy())), pa.chunked_array([*x["id"].chunks, *y["id"].chunks])
             rung = np.full((len(core), len(core)), NEVER, np.uint8)
-            rung[:n, n:] = ladder(metric.distances(metric.matrix(x["v"]), metric.matrix(y["v"])), radii)
+            rung[:n, n:] = metric.rungs(metric.matrix(x["v"]), metric.matrix(y["v"]), radii)
             rung[n:, :n] = rung[:n, n:].T
         core = core.astype(np.uint8)
         rung = np.maximum(rung, np.maximum(core[:, None], core[None, :]))

@@ -1,8 +1,8 @@
 """Exact search among vectors by metric partitions.
 
 Vectors are dealt to cells around anchors: of a node with more than `most`
-vectors a bounded sample gives anchors, each as far as can be from those before
-it, and every vector goes to the nearest; nodes that are still larger are split
+vectors a bounded sample gives anchors, far from each other and in the middle of
+what is nearest to them, and every vector goes to the nearest; nodes that are still larger are split
 again by anchors of their own. A cell keeps its centre and its reach, the
 largest distance from it. By the triangle inequality two cells hold vectors
 within a radius of each other only if their centres are at most the radius and
@@ -51,6 +51,34 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+#: The rung of a pair that is above all radii.
+NEVER = 255
+
+
+def rungs(x: np.ndarray, y: np.ndarray, radii: list[float]) -> np.ndarray:
+    """The first of the rising radii that each distance is not above.
+
+    Squared distances come from one product; where rounding could decide, they
+    are computed again from differences.
+    """
+    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    square = nx[:, None] + ny[None, :] - 2.0 * (x @ y.T)
+    unsure = 1e-10 * (nx[:, None] + ny[None, :])
+    doubt = np.zeros(square.shape, bool)
+    for r in radii:
+        doubt |= np.abs(square - r * r) <= unsure
+    i, j = np.nonzero(doubt)
+    out = np.zeros(square.shape, np.uint8)
+    for r in radii:
+        out += square > r * r
+    for at in range(0, len(i), 1 << 16):
+        d = x[i[at : at + (1 << 16)]] - y[j[at : at + (1 << 16)]]
+        exact = np.sqrt((d * d).sum(axis=1))
+        out[i[at : at + (1 << 16)], j[at : at + (1 << 16)]] = np.searchsorted(np.array(radii), exact, side="left")
+    out[out == len(radii)] = NEVER
+    return out
+
+
 def farthest_first(v: np.ndarray, k: int) -> np.ndarray:
     """Rows that are each as far as can be from those before; fewer than k if there are no more different ones."""
     chosen = [0]
@@ -61,6 +89,15 @@ def farthest_first(v: np.ndarray, k: int) -> np.ndarray:
     return v[chosen]
 
 
+def anchors_of(v: np.ndarray, k: int = ANCHORS, rounds: int = 6) -> np.ndarray:
+    """Anchors of a node's sample: far from each other among a few, then moved to the middle of what is nearest to them, so that lone outliers do not take most."""
+    a = farthest_first(v[: 4 * k], k)
+    for _ in range(rounds):
+        near = distances(v, a).argmin(axis=1)
+        a = np.stack([v[near == i].mean(axis=0) for i in np.unique(near)])
+    return a if len(np.unique(distances(v, a).argmin(axis=1))) > 1 else farthest_first(v, 2)
+
+
 def prepared(df: DataFrame, id: str, vec: str, within: tuple[str, ...] = ()) -> DataFrame:
     """(id, node, v): vectors that can be compared, each group of `within` (and each length) a root of its own."""
     v = F.col(vec).cast("array<double>")
@@ -74,7 +111,7 @@ def dealt(points: DataFrame, most: int) -> DataFrame:
     schema = "node string, anchors array<array<double>>"
 
     def anchors(key: tuple, t: pa.Table) -> pa.Table:
-        a = farthest_first(matrix(t["v"]), ANCHORS)
+        a = anchors_of(matrix(t["v"]))
         return pa.table({"node": [key[0].as_py()], "anchors": pa.array([a.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     whole, open_ = [], points
@@ -199,7 +236,7 @@ def neighbour_pairs(df: DataFrame, radius: float, id: str = "id", vec: str = "em
     def work(x: pa.Table, y: pa.Table | None) -> pa.Table:
         one = y is None
         y = x if one else y
-        near = distances(matrix(x["v"]), matrix(y["v"])) <= radius
+        near = rungs(matrix(x["v"]), matrix(y["v"]), [radius]) == 0
         i, j = np.nonzero(np.triu(near, 1) if one else near)
         return pa.table({"p": x["id"].take(pa.array(i)), "q": y["id"].take(pa.array(j))})
 

@@ -85,12 +85,12 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def letter_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as vectors of how many of a thousand characters each letter is, with the year of the order of the same number."""
+    """Documents as vectors of how many of a thousand characters each letter is, with the year of the order of the same number; written, as embeddings would be."""
     t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.translate(F.coalesce("text", F.lit("")), LETTERS.upper(), LETTERS).alias("t"))
     n = F.greatest(F.length("t"), F.lit(1))
     v = F.array(*[F.floor(1000 * (F.length("t") - F.length(F.replace("t", F.lit(c)))) / n).cast("double") for c in LETTERS])
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("period"))
-    return t.select("id", v.alias("embedding")).join(o, "id", "left")
+    return written(t.select("id", v.alias("embedding")).join(o, "id", "left"), "profiles")
 
 
 PROFILES = f"""profiles AS (

@@ -20,7 +20,7 @@ from . import sqltext as Q
 from .inputs import ACTIVITY, NOISY, PROFILES, VECTORS, activity, dated_vectors, letter_profiles, noisy_comments, table, texts
 from .pipelines import sentiment_tables
 
-RADII = [20.0, 30.0, 45.0, 100.0]
+RADII = [15.0, 20.0, 30.0, 45.0]
 POSITIVE, NEGATIVE = ["the", "and", "la", "der"], ["of", "to", "que", "die"]
 
 
