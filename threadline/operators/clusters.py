@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import sentiment_bucket
 from ..sources.shared import discard, written
 from .stats import row_shares, seeded_order, top_values, with_share
 from .vectors import centroids, cosine
@@ -130,11 +131,15 @@ def sample_texts(df: DataFrame, cluster="cluster_id", prob="cluster_prob", id="i
 
 
 def summary_requests(samples: DataFrame, summary: DataFrame, cluster="cluster_id", text="text", each: int = 500, budget: int = 8000) -> DataFrame:
-    """One request a cluster: numbered, cut samples within a running budget of characters, and the cluster's figures."""
+    """One request a cluster: numbered, cut samples within a running budget of characters, and the cluster's figures: size, main community, time range, mood if there is one."""
     piece = F.when(F.length(text) > each, F.concat(F.substring(text, 1, each), F.lit("..."))).otherwise(F.col(text))
     d = samples.withColumn("_piece", F.concat(F.lit("["), F.col("sample_rank"), F.lit("] "), piece))
     w = Window.partitionBy(cluster).orderBy("sample_rank").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_sum", F.sum(F.length("_piece")).over(w)).filter(F.col("_sum") <= budget)
     per = d.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "_piece"))), lambda x: x["_piece"]), "\n\n").alias("samples"), F.count("*").alias("n_samples"))
     j = per.join(summary, cluster)
-    return j.withColumn("request", F.format_string("Cluster of %d posts, mostly from r/%s.\n\nSamples:\n\n%s\n\nAnswer with JSON: label, summary.", F.col("n"), F.col("top_community"), F.col("samples"))).select(cluster, "n", "n_samples", "top_community", "request")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    when = F.coalesce(F.concat(F.lit(", from "), day("first_at"), F.lit(" to "), day("last_at")), F.lit(""))
+    mood = F.coalesce(F.concat(F.lit(", "), sentiment_bucket(F.col("mean_sentiment")), F.lit(" on the whole")), F.lit("")) if "mean_sentiment" in summary.columns else F.lit("")
+    request = F.concat(F.format_string("Cluster of %d posts, mostly from r/%s", F.col("n"), F.col("top_community")), when, mood, F.lit(".\n\nSamples:\n\n"), F.col("samples"), F.lit("\n\nAnswer with JSON: label, summary."))
+    return j.withColumn("request", request).select(cluster, "n", "n_samples", "top_community", "request")

@@ -50,8 +50,8 @@ def archive_salvage(spark, d):
     path = folder(spark, "cut")
     t = table(spark, d, "documents")
     A.save_shards(t.select(F.concat(F.lit("s"), F.pmod(F.col("doc_id"), F.lit(PIECES))).alias("_shard"), F.concat(F.lit("p"), F.col("doc_id")).alias("_id"), F.repeat(F.md5("text"), F.lit(40)).alias("selftext"), F.array(F.lit("q")).alias("_matched_queries")), path)
-    cut = spark.read.text(path, wholetext=True).select(F.expr("substring(rtrim(value), 1, length(rtrim(value)) - 9)").alias("value"))
-    cut.write.text(path + "-2")
+    cut = spark.read.text(path, wholetext=True).select(F.expr("substring(value, 1, length(value) - 9)").alias("value"), F.col("_metadata.file_name").alias("shard"))
+    cut.write.partitionBy("shard").text(path + "-2")  # a file a shard
     k = A.keyed_json(spark, path + "-2", A.SUBMISSION, "*.txt")
     return k.select("_id", F.md5("selftext").alias("digest"), F.col("_matched_queries")[0].alias("query"))
 
@@ -114,13 +114,20 @@ def embedding_store(spark, d):
 
 
 def stream_new_shards(spark, d):
-    """Shards as a stream, run twice over one folder: the second run reads only what came since."""
-    path = _archive(spark, d) + "/posts"
-    base = folder(spark, "newshards")
-    s = Z.stream_posts(spark, path, A.SUBMISSION).select("_id", "subreddit", "score")
-    for _ in range(2):
-        Z.run_available(s, base + "/out", base + "/checkpoint")
-    return spark.read.schema(s.schema).parquet(base + "/out").groupBy("subreddit").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    """Shards as a stream, run twice over one folder: the second run reads only the shards that came after the first."""
+    path, base = folder(spark, "shards"), folder(spark, "newshards")
+    s = table(spark, d, "documents").select(
+        F.concat(F.lit("half"), F.col("doc_id") % 2, F.lit("_"), F.pmod(F.floor(F.col("doc_id") / 2), F.lit(PIECES))).alias("_shard"), F.concat(F.lit("p"), F.col("doc_id")).alias("_id"),
+        F.upper("lang").alias("subreddit"), (F.col("doc_id") % 50).alias("score"), F.col("doc_id").alias("_doc"),
+    )
+    runs = []
+    for half in range(2):
+        A.save_shards(s.filter(F.col("_doc") % 2 == half).drop("_doc"), path)
+        z = Z.stream_posts(spark, path, A.SUBMISSION).select("_id", "subreddit", "score")
+        Z.run_available(z, base + "/out", base + "/checkpoint")
+        runs.append(spark.read.schema(z.schema).parquet(base + "/out").count())
+    out = spark.read.schema(z.schema).parquet(base + "/out").groupBy("subreddit").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return out.withColumns({"after_first": F.lit(runs[0]).cast("long"), "after_second": F.lit(runs[1]).cast("long")})
 
 
 def report_top(spark, d):
@@ -142,6 +149,6 @@ QUERIES = {
     "table_formats": (table_formats, f"WITH {POSTS} SELECT 'by_year' AS name, CAST(year(ts) AS VARCHAR) AS k, count(*) AS n, CAST(sum(num_comments) AS BIGINT) AS comments FROM posts GROUP BY 2 UNION ALL SELECT 'by_community', subreddit, count(*), CAST(sum(num_comments) AS BIGINT) FROM posts GROUP BY 2 UNION ALL SELECT 'by_month', strftime(ts, '%Y-%m'), count(*), CAST(sum(num_comments) AS BIGINT) FROM posts GROUP BY 2"),
     "partitioned_export": (partitioned_export, f"WITH {POSTS} SELECT 'US/English' AS region, CAST(month(ts) AS INT) AS month, count(*) AS n FROM posts WHERE year(ts) = 1996 GROUP BY 2"),
     "embedding_store": (embedding_store, "SELECT vec_id AS id, label, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings"),
-    "stream_new_shards": (stream_new_shards, "SELECT upper(lang) AS subreddit, count(*) AS n, CAST(sum(doc_id % 50) AS BIGINT) AS score FROM documents GROUP BY 1"),
+    "stream_new_shards": (stream_new_shards, "SELECT upper(lang) AS subreddit, count(*) AS n, CAST(sum(doc_id % 50) AS BIGINT) AS score, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS after_first, (SELECT count(*) FROM documents) AS after_second FROM documents GROUP BY 1"),
     "report_top": (report_top, "SELECT doc_id AS id, len(text) AS n, substr(text, 1, 30) AS preview FROM documents ORDER BY n DESC, id LIMIT 30"),
 }

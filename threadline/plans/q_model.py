@@ -118,7 +118,7 @@ def cluster_labels(spark, d):
 def summary_requests(spark, d):
     v = dated_vectors(spark, d).withColumn("cluster_prob", F.col("score") / 1e6)
     t = texts(spark, d).select("id", "text")
-    return C.summary_requests(C.sample_texts(v.join(t, "id"), n=6), C.cluster_summary(v)).select("cluster_id", "n", "n_samples", "top_community", F.length("request").alias("request_chars"))
+    return C.summary_requests(C.sample_texts(v.join(t, "id"), n=6), C.cluster_summary(v.withColumn("mood", F.col("score") / 1e6 - 0.1), sentiment="mood")).select("cluster_id", "n", "n_samples", "top_community", F.md5("request").alias("request_md5"))
 
 
 def density_clusters(spark, d):
@@ -255,6 +255,19 @@ def stream_clean(spark, d):
     return _stream(spark, Z.stream_clean(s, "author", "body"), "clean").select("id", "body_clean")
 
 
+def stream_alignment(spark, d):
+    """Daily events joined with posts as two streams; every seventh event has no posts. Last rows move both watermarks past the data."""
+    a = activity(spark, d).select("id", "ts", "subreddit")
+    day = F.date_trunc("day", "ts")
+    keyword = F.when(F.dayofmonth("event_ts") % 7 == 0, "nothing").otherwise("click")
+    e = a.filter("subreddit = 'purchase'").select(day.alias("event_ts")).distinct().select(F.date_format("event_ts", "yyyy-MM-dd").alias("event_id"), "event_ts", keyword.alias("keyword"))
+    over = F.expr("interval 30 days")
+    posts = a.unionByName(a.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("id"), (F.col("ts") + over).alias("ts"), F.lit("end").alias("subreddit")))
+    events = e.unionByName(e.agg(F.max("event_ts").alias("event_ts")).select(F.lit("end").alias("event_id"), (F.col("event_ts") + over).alias("event_ts"), F.lit("none").alias("keyword")))
+    s = Z.stream_alignment(_source(spark, posts, "posts"), _source(spark, events, "events"), unmatched=True)
+    return _stream(spark, s, "aligned").filter("event_id <> 'end'").groupBy("event_id", "keyword").agg(F.count("id").alias("n"))
+
+
 def stream_query_hits(spark, d):
     n = noisy_comments(spark, d).select(F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600).alias("ts"), "body")
     end = n.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 9 days")).alias("ts"), F.lit("https").alias("body"))
@@ -318,7 +331,7 @@ QUERIES = {
     "cluster_heatmap": (cluster_heatmap, f"{X_} SELECT subreddit, cluster_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY subreddit), 6) AS share FROM vectors GROUP BY 1, 2"),
     "representative_docs": (representative_docs, f"{X_} SELECT cluster_id, id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id) AS INT) AS rank FROM vectors QUALIFY rank <= 5"),
     "cluster_labels": (cluster_labels, f"{X_}, k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2) SELECT cluster_id, concat('C', cluster_id, ' (r/', arg_min(subreddit, (-k, subreddit)), ', n=', CAST(sum(k) AS BIGINT), ')') AS label FROM k GROUP BY 1"),
-    "summary_requests": (summary_requests, f"""{X_}, v AS (SELECT vectors.id, cluster_id, score / 1e6 AS prob, text FROM vectors JOIN documents ON doc_id = vectors.id), tp AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY prob DESC, id) AS rk FROM v QUALIFY rk <= 3), dr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42:' || id), id) AS h FROM v QUALIFY h <= 6), rs AS (SELECT dr.*, row_number() OVER (PARTITION BY dr.cluster_id ORDER BY h) + 3 AS rk FROM dr ANTI JOIN tp ON tp.id = dr.id AND tp.cluster_id = dr.cluster_id QUALIFY rk <= 6), al AS (SELECT cluster_id, rk, text FROM tp UNION ALL SELECT cluster_id, rk, text FROM rs), pc AS (SELECT cluster_id, rk, '[' || rk || '] ' || CASE WHEN len(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS piece FROM al), g AS (SELECT cluster_id, string_agg(piece, chr(10) || chr(10) ORDER BY rk) AS samples, count(*) AS n_samples FROM pc GROUP BY 1), k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2), m AS (SELECT cluster_id, CAST(sum(k) AS BIGINT) AS n, arg_min(subreddit, (-k, subreddit)) AS top_community FROM k GROUP BY 1) SELECT cluster_id, n, n_samples, top_community, len('Cluster of ' || n || ' posts, mostly from r/' || top_community || '.' || chr(10) || chr(10) || 'Samples:' || chr(10) || chr(10) || samples || chr(10) || chr(10) || 'Answer with JSON: label, summary.') AS request_chars FROM g JOIN m USING (cluster_id)"""),
+    "summary_requests": (summary_requests, f"""{X_}, v AS (SELECT vectors.id, cluster_id, score / 1e6 AS prob, text FROM vectors JOIN documents ON doc_id = vectors.id), tp AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY prob DESC, id) AS rk FROM v QUALIFY rk <= 3), dr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42:' || id), id) AS h FROM v QUALIFY h <= 6), rs AS (SELECT dr.*, row_number() OVER (PARTITION BY dr.cluster_id ORDER BY h) + 3 AS rk FROM dr ANTI JOIN tp ON tp.id = dr.id AND tp.cluster_id = dr.cluster_id QUALIFY rk <= 6), al AS (SELECT cluster_id, rk, text FROM tp UNION ALL SELECT cluster_id, rk, text FROM rs), pc AS (SELECT cluster_id, rk, '[' || rk || '] ' || CASE WHEN len(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS piece FROM al), g AS (SELECT cluster_id, string_agg(piece, chr(10) || chr(10) ORDER BY rk) AS samples, count(*) AS n_samples FROM pc GROUP BY 1), k AS (SELECT cluster_id, subreddit, count(*) AS k FROM vectors GROUP BY 1, 2), m AS (SELECT cluster_id, CAST(sum(k) AS BIGINT) AS n, arg_min(subreddit, (-k, subreddit)) AS top_community FROM k GROUP BY 1), z AS (SELECT cluster_id, strftime(min(ts), '%Y-%m-%d') AS lo, strftime(max(ts), '%Y-%m-%d') AS hi, avg(score / 1e6 - 0.1) AS mood FROM vectors GROUP BY 1) SELECT cluster_id, n, n_samples, top_community, md5('Cluster of ' || n || ' posts, mostly from r/' || top_community || ', from ' || lo || ' to ' || hi || ', ' || CASE WHEN mood > 0.2 THEN 'positive' WHEN mood < -0.2 THEN 'negative' ELSE 'neutral' END || ' on the whole.' || chr(10) || chr(10) || 'Samples:' || chr(10) || chr(10) || samples || chr(10) || chr(10) || 'Answer with JSON: label, summary.') AS request_md5 FROM g JOIN m USING (cluster_id) JOIN z USING (cluster_id)"""),
     "density_clusters": (density_clusters, _density(20, 5)),
     "period_clusters": (period_clusters, _density(10, 3, "period", 20)),
     "topic_clusters": (topic_clusters, None),
@@ -334,6 +347,7 @@ QUERIES = {
     "response_parsing": (response_parsing, "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 't' || turn ELSE 'Unknown' END AS label, md5(CASE WHEN turn % 2 = 0 THEN 's' || conv_id ELSE substr(text, 1, 500) END) AS summary_md5 FROM conversations"),
     "flashpoints": (flashpoints, f"WITH {ACTIVITY}, p(key, s, e, priority) AS (VALUES " + ", ".join(f"('{k}', TIMESTAMP '{s.replace('T', ' ')}', TIMESTAMP '{e.replace('T', ' ')}', '{pr}')" for k, _, s, e, pr in PERIODS) + ") SELECT key, priority, count(ts) AS n FROM p LEFT JOIN activity ON ts BETWEEN s AND e GROUP BY 1, 2"),
     "stream_window_counts": (stream_window_counts, f"WITH {ACTIVITY} SELECT date_trunc('hour', ts) AS window_start, subreddit, count(*) AS n FROM activity GROUP BY 1, 2"),
+    "stream_alignment": (stream_alignment, f"WITH {ACTIVITY}, ev AS (SELECT DISTINCT date_trunc('day', ts) AS event_ts FROM activity WHERE subreddit = 'purchase'), e AS (SELECT strftime(event_ts, '%Y-%m-%d') AS event_id, event_ts, CASE WHEN day(event_ts) % 7 = 0 THEN 'nothing' ELSE 'click' END AS keyword FROM ev) SELECT event_id, keyword, count(id) AS n FROM e LEFT JOIN activity a ON a.subreddit = keyword AND ts >= event_ts AND ts <= event_ts + INTERVAL 7 DAY GROUP BY 1, 2"),
     "stream_dedup": (stream_dedup, f"WITH {ACTIVITY} SELECT subreddit, count(*) AS n FROM activity GROUP BY 1"),
     "stream_clean": (stream_clean, f"WITH {NOISY}, c AS (SELECT id, {Q.clean('body')} AS body_clean FROM noisy WHERE {_VALID}) SELECT * FROM c WHERE {Q.words('body_clean')} >= 5"),
     "stream_query_hits": (stream_query_hits, f"WITH {NOISY}, h AS (SELECT date_trunc('day', TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INT))) AS window_start, unnest(list_filter([CASE WHEN contains(lower(body), 'https') THEN 'https' END, CASE WHEN contains(lower(body), 'the') AND contains(lower(body), 'and') THEN 'the and' END], lambda x: x IS NOT NULL)) AS query FROM noisy) SELECT window_start, query, count(*) AS n FROM h GROUP BY 1, 2"),

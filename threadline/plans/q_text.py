@@ -86,8 +86,8 @@ def query_hits(spark, d):
 
 
 def community_search(spark, d):
-    """Community search with a stated query."""
-    return R.search(texts(spark, d).withColumn("ts", F.lit(None).cast("timestamp")), "the that", "src1", fields=("id",))
+    """Community search with a stated query and time range: the 15 newest."""
+    return R.search(texts(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)), "the that", "src1", "2024-01-04", "2024-02-09 12:00:00", 15, ("id", "ts"))
 
 
 def _tree(spark, d):
@@ -241,8 +241,8 @@ def comments_with_submission(spark, d):
     from ..operators.threads import with_submission
 
     c = noisy_comments(spark, d).select("id", F.col("conv_id").alias("submission_id"))
-    p = texts(spark, d).select("id", F.substring("text", 1, 20).alias("title"), F.length("text").cast("long").alias("score"))
-    return with_submission(c, p).select("id", "submission_id", F.col("_submission_title").alias("title"), F.col("_submission_score").alias("score"))
+    p = texts(spark, d).select("id", F.col("text").alias("title"), F.length("text").cast("long").alias("score"))
+    return with_submission(c, p).select("id", "submission_id", F.md5("_submission_title").alias("title_md5"), F.col("_submission_score").alias("score"))
 
 
 N = f"WITH {NOISY} "
@@ -279,7 +279,7 @@ QUERIES = {
     "comment_links": (comment_links, "SELECT l_linenumber = 1 AS top_level, count(*) AS n, count(DISTINCT l_orderkey) AS submissions FROM lineitem GROUP BY 1"),
     "multi_query_search": (multi_query_search, f"WITH m AS (SELECT doc_id AS id, {_HITS} AS h FROM documents) SELECT id, array_to_string(h, '|') AS queries FROM m WHERE len(h) > 0"),
     "query_hits": (query_hits, f"WITH m AS (SELECT unnest({_HITS}) AS query FROM documents) SELECT query, count(*) AS n FROM m GROUP BY 1"),
-    "community_search": (community_search, "SELECT doc_id AS id FROM documents WHERE lower(source) = 'src1' AND contains(lower(text), 'the') AND contains(lower(text), 'that')"),
+    "community_search": (community_search, "SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) AS ts FROM documents WHERE lower(source) = 'src1' AND contains(lower(text), 'the') AND contains(lower(text), 'that') AND ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-02-09 12:00:00' ORDER BY ts DESC LIMIT 15"),
     "thread_flatten": (thread_flatten, f"{_TREE} SELECT id, depth, depth = 0 AS top_level, parent FROM f"),
     "thread_depth": (thread_depth, f"{_TREE} SELECT conv_id, max(depth) AS depth, count(*) AS n FROM f GROUP BY 1"),
     "keyword_coverage": (keyword_coverage, " UNION ALL ".join(f"SELECT '{k}' AS topic, count(*) FILTER ({_ANY(v)}) AS n FROM documents" for k, v in TOPICS.items())),
@@ -302,5 +302,5 @@ QUERIES = {
     "deep_threads": (deep_threads, f"WITH e AS (SELECT *, event_id % {TREE} AS i FROM events) SELECT event_id, event_id // {TREE} AS tree, event_type AS body, user_id AS score, i - i // 3 AS depth, i = 0 AS top_level, CASE WHEN i > 0 THEN event_id - CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END END AS parent FROM e"),
     "nested_threads": (nested_threads, f"{N} SELECT conv_id, id, md5(body) AS body_md5, turn AS depth, turn = 0 AS top_level, CASE WHEN turn > 0 THEN id - 1 END AS parent FROM noisy"),
     "comment_fields": (comment_fields, f"{N} SELECT id, author, CASE WHEN turn % 3 = 1 THEN 'mod' ELSE '' END AS distinguished, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE CAST(id AS DOUBLE) END AS edited, '[\"a\",\"' || author || '\"]' AS awards, 'comment' AS kind, upper(author) AS author_kind FROM noisy"),
-    "comments_with_submission": (comments_with_submission, f"{N} SELECT n.id, conv_id AS submission_id, substr(text, 1, 20) AS title, len(text) AS score FROM noisy n LEFT JOIN documents ON doc_id = conv_id"),
+    "comments_with_submission": (comments_with_submission, f"{N} SELECT n.id, conv_id AS submission_id, md5(text) AS title_md5, len(text) AS score FROM noisy n LEFT JOIN documents ON doc_id = conv_id"),
 }

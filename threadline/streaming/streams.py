@@ -46,6 +46,20 @@ def stream_query_hits(df: DataFrame, queries: list[str], ts: str, text: str, wid
     return hit.withWatermark(ts, delay).groupBy(F.window(ts, width), "query").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "query", "n")
 
 
+def stream_alignment(posts: DataFrame, events: DataFrame, ts: str = "ts", key: str = "subreddit", days: int = 7, delay: str = "1 day", unmatched: bool = False) -> DataFrame:
+    """Posts with the events (event_id, event_ts, keyword) whose keyword is their key, within `days` after them; optionally also events without any.
+
+    Both watermarks bound the state: a post waits for late events, an event for
+    the posts of its days. An event without posts leaves once no post can come
+    for it any more.
+    """
+    p = posts.withWatermark(ts, delay)
+    e = events.withWatermark("event_ts", delay)
+    late = F.expr(f"event_ts + interval {days} days")  # as a literal, so that the planner can bound the state
+    on = (F.col("keyword") == F.col(key)) & (F.col(ts) >= F.col("event_ts")) & (F.col(ts) <= late)
+    return e.join(p, on, "leftOuter" if unmatched else "inner")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write what has arrived to Parquet and stop."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
