@@ -35,11 +35,25 @@ def test_model_runs(spark, tmp_path):
     e = c.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.1))))
     k = R.cluster_tables(e, 0.3, min_size=5, min_samples=3)
     assert k["totals"].first().clusters == 2 and k["requests"].count() == 2 and {r.similarity > 0.99 for r in k["evolution"].collect()} == {True}
+    table = {r.cluster_id: r for r in k["table"].collect()}
+    assert {r.n for r in table.values()} == {30} and {w for r in table.values() for w in r.keywords.split(", ")} >= {"apple", "engine"}
+    dots = k["scatter"].collect()
+    assert len(dots) == 60 and {r.preview.split(" ")[0] for r in dots} == {"apple", "engine"} and len({(round(r.x, 6), round(r.y, 6)) for r in dots}) == 2
+    assert sum(r.n for r in topics["table"].collect()) == topics["documents"].filter("topic_id <> -1").count()
     A.save_results(t | {"topics": topics["info"]}, str(tmp_path / "r"), {"summary": "csv"}, {"by_both": ("year_month",)})
     back = A.load_all_results(spark, str(tmp_path / "r"), {"summary": "csv", "by_both": "parquet"})
     assert back["summary"].count() == 1 and back["by_both"].filter("year_month = '2024-02'").count() == 1
 
 
+def test_collections_by_default_lists(spark):
+    rows = [(1, "Maduro and Venezuela", "venezuela", "2019-01-25 10:30:00"), (2, "Maduro", "cats", "2019-01-25 10:30:00"), (3, "weather", "venezuela", "2019-01-25 10:30:00"), (4, "venezuela oil", "vzla", "2019-03-01 00:00:00")]
+    p = spark.createDataFrame(rows, "id int, text string, subreddit string, d string").withColumn("ts", F.col("d").cast("timestamp"))
+    h = {r.id: r for r in R.collect_historical(p, "2019-01-01", "2019-04-01").collect()}
+    assert set(h) == {1, 4} and h[1]._matched_queries == ["Maduro", "Venezuela"] and h[1]._granularity == "monthly" and str(h[4]._window_start)[:7] == "2019-03"
+    c = R.collect_crisis(p, "guaido_recognition_2019").collect()
+    assert [(r.id, str(r._window_start)[:13], r._collection_type) for r in c] == [(1, "2019-01-25 10", "crisis")]
+
+
 def test_export(spark, tmp_path):
     (tmp_path / "x_filtered.json").write_text(json.dumps({"a": {"id": "a", "title": "t", "created_utc": 5}}))
     (tmp_path / "comments_x.json").write_text(json.dumps({"c": {"id": "c", "body": "b", "created_utc": 5}}))

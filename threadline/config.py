@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-# They must equal those of the workload that this library serves.
+# All lists, tables and patterns of this module are fixed values: they must equal those of the workload that this library serves.
 BOT_ACCOUNTS = [
     "AutoModerator", "autotldr", "empleadoEstatalBot", "RemindMeBot", "TweetPoster", "imguralbumbot", "sneakpeekbot", "RepostSleuthBot",
     "WikiTextBot", "HelperBot_", "GoodBot_BadBot", "timezone_bot", "WikiSummarizerBot", "stabbot", "totesmessenger", "TotesMessenger",
@@ -94,18 +92,3 @@ said says would could also one two new first last many much even still well back
 time year years day days week today news report reddit post comments amp people thing something really actually just right need let us im dont thats cant wont didnt
 doesnt isnt arent wasnt werent youre hes shes theyre weve youve theyve id youd hed wed theyd ill youll hell shell theyll
 """.split()
-
-
-@dataclass(frozen=True)
-class EngineConfig:
-    bots: list[str] = field(default_factory=lambda: BOT_ACCOUNTS)
-    deleted_markers: list[str] = field(default_factory=lambda: DELETED_MARKERS)
-    media_domains: list[str] = field(default_factory=lambda: MEDIA_DOMAINS)
-    moderation: list[str] = field(default_factory=lambda: MODERATION_PATTERNS)
-    low_value: list[str] = field(default_factory=lambda: LOW_VALUE_PATTERNS)
-    periods: list[tuple] = field(default_factory=lambda: PERIODS)
-    topics: dict = field(default_factory=lambda: TOPIC_TERMS)
-    min_words: int = 5
-    min_title_words: int = 2
-    max_url_ratio: float = 0.7
-    min_letter_ratio: float = 0.3

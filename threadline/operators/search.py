@@ -48,7 +48,9 @@ def windowed_matches(posts: DataFrame, communities: list[str], windows: DataFram
     the row, and posts meet windows by day.
     """
     d = matched_queries(posts.filter(F.lower(by).isin([c.lower() for c in communities])), queries, text).withColumn("_d", F.to_date(ts))
-    end = F.when(F.col("window_end").cast("timestamp") == F.date_trunc("day", F.col("window_end").cast("timestamp")), F.col("window_end").cast("timestamp") + F.expr("interval 86399999999 microseconds")).otherwise(F.col("window_end").cast("timestamp"))
+    first, last = F.col("window_start").cast("timestamp"), F.col("window_end").cast("timestamp")
+    days = (first == F.date_trunc("day", first)) & (last == F.date_trunc("day", last))  # a window of days: its last one counts whole
+    end = F.when(days, last + F.expr("interval 86399999999 microseconds")).otherwise(last)
     w = windows.select(F.col("window_start").cast("timestamp").alias("_window_start"), end.alias("_window_end"))
     w = w.withColumn("_d", F.explode(F.sequence(F.to_date("_window_start"), F.to_date("_window_end"))))
     j = d.join(small(w), "_d").filter((F.col(ts) >= F.col("_window_start")) & (F.col(ts) <= F.col("_window_end"))).drop("_d")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import both_in, mentions
 from ..functions.text import is_term, ngrams, terms, tokens
-from ..sources.shared import small
+from ..sources.shared import small, written
 
 
 def term_rows(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -80,6 +80,7 @@ def class_tfidf(df: DataFrame, cls: str, text="text", stop: list[str] | None = N
     tf = term_counts(df, text, grams[0], stop, (cls,))
     for n in grams[1:]:
         tf = tf.unionByName(term_counts(df, text, n, stop, (cls,)))
+    tf = written(tf, "tf")  # counted once, read by all that follows
     size = tf.groupBy(cls).agg(F.sum("n").alias("size"))
     mean = size.agg(F.avg("size").alias("mean"))
     total = tf.groupBy("term").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_df)
@@ -100,10 +101,10 @@ def cluster_keywords(df: DataFrame, cluster: str, doc: str, text="text", k: int
     """
     t = terms(F.col(text), stop)
     grams = df.select(cluster, doc, F.explode(F.concat(t, ngrams(t, 2))).alias("term"))
-    tf = grams.groupBy(cluster, doc, "term").agg(F.count("*").alias("tf"))
+    tf = written(grams.groupBy(cluster, doc, "term").agg(F.count("*").alias("tf")), "tf")
     stats = tf.groupBy(cluster, "term").agg(F.sum("tf").alias("f"), F.count("*").alias("df"))
     stats = top_per(stats, cluster, "f", vocabulary).drop("rank")
-    docs = df.groupBy(cluster).agg(F.countDistinct(doc).alias("docs"))
+    docs = written(df.groupBy(cluster).agg(F.countDistinct(doc).alias("docs")), "docs")
     v = tf.join(stats.hint("shuffle_hash"), [cluster, "term"]).join(small(docs), cluster)
     v = v.withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     norm = v.groupBy(cluster, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

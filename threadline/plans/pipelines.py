@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import KEYWORD_GROUPS, PERIODS, TIMELINE_EVENTS, TIMELINE_WINDOWS, TOPIC_TERMS
+from ..config import COMMUNITIES, CRISIS_COMMUNITIES, CRISIS_QUERIES, KEYWORD_GROUPS, PERIODS, PRIORITY_QUERIES, TIMELINE_EVENTS, TIMELINE_WINDOWS, TOPIC_TERMS
 from ..functions import features as X
 from ..functions import predicates as P
+from ..functions import text as U
 from ..operators import clean as C
 from ..operators import clusters as K
 from ..operators import density as D
 from ..operators import periods as T
+from ..operators import search as R
 from ..operators import sentiment as N
 from ..operators import stats as S
 from ..operators import terms as W
 from ..operators import topics as O
+from ..operators import vectors as V
 from ..sources import archive as A
 
 #: The named periods with their ends as dates alone, so that the last day counts to midnight only, as where they come from.
@@ -69,7 +72,7 @@ def topic_tables(corpus: DataFrame, radius: float | list[float], **args) -> dict
     j = docs.drop("text").join(corpus.select("id", "created_datetime", "subreddit"), "id")
     return {
         "documents": docs, "words": words, "info": O.topic_info(docs, words), "over_time": O.topics_over_time(j.filter("topic_id <> -1"), "created_datetime"),
-        "by_community": O.topics_by_group(j, "subreddit"), "representative": O.representative(docs),
+        "by_community": O.topics_by_group(j, "subreddit"), "representative": O.representative(docs), "table": topic_table(docs, words),
     }
 
 
@@ -77,14 +80,47 @@ def cluster_tables(corpus: DataFrame, radius: float | list[float], period: str =
     """Clusters of a corpus with embeddings: labels, summary, by period, evolution, flow, keywords, requests."""
     labels = D.hierarchical_clusters(corpus, radius, **args)
     c = corpus.join(labels, "id")
+    words = W.cluster_keywords(c.filter("cluster_id <> -1"), "cluster_id", "id")
     evolution = K.evolution(c, period)
     summary = K.cluster_summary(c, ts="created_datetime")
     return {
         "labels": labels, "totals": K.totals(c), "summary": summary, "by_period": K.temporal_clusters(c, F.col(period)), "heatmap": K.heatmap(c, "subreddit"),
-        "evolution": evolution, "flow": K.flow_edges(evolution), "keywords": W.cluster_keywords(c.filter("cluster_id <> -1"), "cluster_id", "id"),
+        "evolution": evolution, "flow": K.flow_edges(evolution), "keywords": words, "table": cluster_table(summary, words), "scatter": scatter(corpus, labels),
         "requests": K.summary_requests(K.sample_texts(c.filter("cluster_id <> -1")), summary),
     }
 
 
+def scatter(corpus: DataFrame, labels: DataFrame, vec: str = "embedding", text: str = "text", chars: int = 100) -> DataFrame:
+    """id, x, y, cluster_id, is_noise and a preview of the text: what a scatter chart shows of all clustered rows."""
+    flat = V.reduce_dimensions(corpus.select("id", text, vec), 2, vec, "_xy")
+    j = flat.join(labels.select("id", "cluster_id", "is_noise").hint("shuffle_hash"), "id")
+    return j.select("id", F.col("_xy")[0].alias("x"), F.col("_xy")[1].alias("y"), "cluster_id", "is_noise", U.preview(F.col(text), chars).alias("preview"))
+
+
+def cluster_table(summary: DataFrame, keywords: DataFrame, k: int = 30) -> DataFrame:
+    """The k largest clusters with their figures and keywords in order, and a label."""
+    words = keywords.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("keywords"))
+    t = summary.join(words.hint("shuffle_hash"), "cluster_id", "left").withColumn("label", X.cluster_label(F.col("cluster_id"), F.col("top_community"), F.col("n")))
+    return S.top(t, k, "n", "cluster_id")
+
+
+def topic_table(docs: DataFrame, words: DataFrame, k: int = 30) -> DataFrame:
+    """The k largest topics with their share of the documents, label and words; outliers are left out."""
+    said = words.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("words"))
+    info = S.with_share(O.topic_info(docs, words), "n").filter("topic_id <> -1")
+    return S.top(info.join(said.hint("shuffle_hash"), "topic_id", "left"), k, "n", "topic_id")
+
+
+def collect_historical(posts: DataFrame, start: str, end: str, communities: list[str] = COMMUNITIES, queries: list[str] = PRIORITY_QUERIES) -> DataFrame:
+    """Posts of the listed communities that match a query, month by month, once each with their tags."""
+    return R.collect_windows(posts, communities, T.monthly_windows(posts.sparkSession, start, end), queries, "monthly", "historical")
+
+
+def collect_crisis(posts: DataFrame, key: str, communities: list[str] = CRISIS_COMMUNITIES, queries: list[str] = CRISIS_QUERIES) -> DataFrame:
+    """The same for one named period, hour by hour."""
+    start, end = next((s.replace("T", " "), e.replace("T", " ")) for k, _, s, e, _ in PERIODS if k == key)
+    return R.collect_windows(posts, communities, T.hourly_windows(posts.sparkSession, start, end), queries, "hourly", "crisis")
+
+
 def list_periods(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PERIODS, "key string, name string, start string, end string, priority string").orderBy("start")
