@@ -96,13 +96,25 @@ def topics_by_group(docs: DataFrame, group: str, topic="topic_id") -> DataFrame:
     return with_share(docs.groupBy(group, topic).agg(F.count("*").alias("n")), "n", (group,))
 
 
-def topics_over_time(docs: DataFrame, ts: str, bins: int = 30, topic="topic_id") -> DataFrame:
-    """(bin, topic, n): equal-width time bins over the whole range; the last moment is in the last bin."""
+def with_time_bins(docs: DataFrame, ts: str, bins: int = 30) -> DataFrame:
+    """Adds bin (1 ...): equal widths over the whole range; the last moment is in the last bin; rows without a time go."""
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-    ends = docs.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    ends = docs.agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
     d = docs.filter(F.col(ts).isNotNull()).crossJoin(F.broadcast(ends))  # one row
-    b = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.least(F.floor((t - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)) + 1, F.lit(bins))).cast("int")
-    return d.groupBy(b.alias("bin"), topic).agg(F.count("*").alias("n"))
+    b = F.when(F.col("_hi") == F.col("_lo"), 1).otherwise(F.least(F.floor((t - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)) + 1, F.lit(bins))).cast("int")
+    return d.withColumn("bin", b).drop("_lo", "_hi")
+
+
+def topics_over_time(docs: DataFrame, ts: str, bins: int = 30, topic="topic_id") -> DataFrame:
+    """(bin, topic, n)."""
+    return with_time_bins(docs, ts, bins).groupBy("bin", topic).agg(F.count("*").alias("n"))
+
+
+def words_over_time(docs: DataFrame, ts: str, bins: int = 30, k: int = 5, topic="topic_id", text="text", min_df: int = 2, digits: int = 9) -> DataFrame:
+    """(bin, topic, term, weight, rank): the k words that tell a topic in a bin from all other topics and bins."""
+    d = with_time_bins(docs, ts, bins).withColumn("_class", F.struct("bin", topic))
+    w = class_tfidf(d, "_class", text, min_df=min_df).withColumn("weight", F.round("weight", digits))
+    return top_per(w, "_class", "weight", k).select("_class.*", "term", "weight", "rank")
 
 
 def representative(docs: DataFrame, n: int = 10, topic="topic_id", prob="topic_prob", id="id") -> DataFrame:

@@ -195,6 +195,12 @@ def topics_over_time(spark, d):
     return O.topics_over_time(dated_vectors(spark, d), "ts", 30, "cluster_id")
 
 
+def words_over_time(spark, d):
+    """The three words that tell a language in each quarter of the time."""
+    t = table(spark, d, "documents").select("text", F.col("lang").alias("topic_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("ts"))
+    return O.words_over_time(t, "ts", 4, 3)
+
+
 def topics_by_group(spark, d):
     return O.topics_by_group(dated_vectors(spark, d), "subreddit", "cluster_id").withColumn("share", F.round("share", 6))
 
@@ -342,6 +348,7 @@ QUERIES = {
     "pca_2d": (pca_2d, None),
     "topic_model": (topic_model, None),
     "topics_over_time": (topics_over_time, f"{X_}, e AS (SELECT CAST(epoch_us(min(ts)) AS DOUBLE) AS lo, CAST(epoch_us(max(ts)) AS DOUBLE) AS hi FROM vectors) SELECT least(CAST(floor((epoch_us(ts) - lo) / ((hi - lo) / 30)) AS INT) + 1, 30) AS bin, cluster_id, count(*) AS n FROM vectors, e GROUP BY 1, 2"),
+    "words_over_time": (words_over_time, f"WITH t AS (SELECT CAST((1704067200 + doc_id * 3600) * 1000000 AS DOUBLE) AS us, lang, {Q.terms('text')} AS w FROM documents), e AS (SELECT min(us) AS lo, max(us) AS hi FROM t), c AS (SELECT least(CAST(floor((us - lo) / ((hi - lo) / 4)) AS INT) + 1, 4) AS bin, lang, unnest(w) AS term FROM t, e), n AS (SELECT bin, lang, term, count(*) AS n FROM c GROUP BY ALL), z AS (SELECT bin, lang, sum(n) AS size FROM n GROUP BY ALL), m AS (SELECT avg(size) AS mean FROM z), f AS (SELECT term, sum(n) AS f FROM n GROUP BY 1 HAVING sum(n) >= 2), x AS (SELECT bin, lang AS topic_id, term, round(n / size * ln(1 + mean / f), 9) AS weight FROM n JOIN z USING (bin, lang) JOIN f USING (term), m) SELECT bin, topic_id, term, weight, CAST(row_number() OVER (PARTITION BY bin, topic_id ORDER BY weight DESC, term) AS INT) AS rank FROM x QUALIFY rank <= 3"),
     "topics_by_group": (topics_by_group, f"{X_} SELECT subreddit, cluster_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY subreddit), 6) AS share FROM vectors GROUP BY 1, 2"),
     "topic_words": (topic_words, f"WITH {_TERMS}, c AS (SELECT source, unnest(w) AS term FROM t), n AS (SELECT source, term, count(*) AS n FROM c GROUP BY 1, 2), z AS (SELECT source, sum(n) AS size FROM n GROUP BY 1), m AS (SELECT avg(size) AS mean FROM z), f AS (SELECT term, sum(n) AS f FROM n GROUP BY 1 HAVING sum(n) >= 2), x AS (SELECT source, term, round(n / size * ln(1 + mean / f), 9) AS weight FROM n JOIN z USING (source) JOIN f USING (term), m), r AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM x QUALIFY rank <= 4) SELECT source AS subreddit, source || '_' || string_agg(term, '_' ORDER BY rank) AS topic_label FROM r GROUP BY 1"),
     "response_parsing": (response_parsing, "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 't' || turn ELSE 'Unknown' END AS label, md5(CASE WHEN turn % 2 = 0 THEN 's' || conv_id ELSE substr(text, 1, 500) END) AS summary_md5 FROM conversations"),
