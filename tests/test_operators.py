@@ -70,6 +70,22 @@ def test_density_clusters_find_blobs(spark):
     assert all(0 <= r.cluster_prob <= 1 for r in d)
 
 
+def test_components_by_either_way(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(300 + i, 301 + i) for i in range(40)] + [(7, 7), (500, 501), (500, 501)]
+    top = {x: x for p in pairs for x in p}
+    for _ in range(60):
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    e = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.id: r.root for r in K.components(e).collect()} == top
+    monkeypatch.setattr(K, "FEW_EDGES", 5)
+    assert {r.id: r.root for r in K.components(e).collect()} == top
+    assert K.components(e.limit(0)).count() == 0
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x")], "a string, b string")
+    assert {r.id: r.root for r in K.components(words).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
 def test_evolution_and_centroids(spark):
     rows = [("p1", 0, [1.0, 0.0]), ("p1", 1, [0.0, 1.0]), ("p2", 0, [0.9, 0.1]), ("p2", 7, [-1.0, 0.0])]
     e = K.evolution(spark.createDataFrame(rows, "period string, cluster_id int, embedding array<double>"), threshold=0.5).collect()
