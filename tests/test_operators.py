@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadline.operators import clean as C
 from threadline.operators import clusters as K
-from threadline.operators import density, metric
+from threadline.operators import density, merging, metric
 from threadline.operators import periods as T
 from threadline.operators import search as R
 from threadline.operators import sentiment as N
@@ -223,3 +223,35 @@ def test_period_join_is_broadcast(spark):
     dim = spark.createDataFrame([("a", "2020-01-01", "2020-01-20", 0)], "name string, s string, e string, ord int").selectExpr("name", "cast(s as timestamp) start", "cast(e as timestamp) end", "ord")
     plan = T.tag_periods(spark.range(10).selectExpr("id", "timestamp_seconds(id) ts"), dim, "ts")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def chain(x, size, n):
+    """Average linkage one merge at a time: the groups of topics that are left."""
+    groups = [[i] for i in range(len(x))]
+    s = x @ x.T
+    like = lambda a, b: sum(size[i] * size[j] * s[i, j] for i in a for j in b) / (sum(size[i] for i in a) * sum(size[j] for j in b))
+    while len(groups) > n:
+        _, i, j = max((like(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+        groups[j] = groups[j] + groups.pop(i)
+    return {frozenset(g) for g in groups}
+
+
+def test_topic_reduction_is_the_chain(spark):
+    rng = np.random.default_rng(21)
+    base = rng.random((7, 40)) ** 4
+    w = np.array([base[i % 7] + 0.4 * rng.random(40) ** 3 for i in range(50)])
+    size = rng.integers(1, 60, 50).tolist()
+    x = w / np.linalg.norm(w, axis=1)[:, None]
+    weights = spark.createDataFrame([(i, f"t{j}", float(w[i, j])) for i in range(50) for j in range(40)], "topic_id long, term string, weight double")
+    sizes = spark.createDataFrame(list(enumerate(size)), "topic_id long, size long")
+    for n in (30, 4):
+        got: dict = {}
+        for r in merging.reduced(weights, sizes, n).collect():
+            got.setdefault(r.into, set()).add(r.topic_id)
+        assert {frozenset(g) for g in got.values()} == chain(x, size, n)
+        assert all(into == max(g, key=lambda t: (size[t], -t)) for into, g in got.items())
+    assert merging.reduced(weights.limit(0), sizes, 50).filter("topic_id <> into").count() == 0
+    apart = {r.topic_id: r.into for r in merging.reduced(weights.limit(0), sizes, 48).collect()}  # nothing is alike
+    least = sorted(range(50), key=lambda t: (size[t], -t))
+    assert {t for t, i in apart.items() if t != i} == set(least[:2]) and {apart[t] for t in least[:2]} == {least[-1]}
+    assert merging.reduced(weights.limit(0), sizes.limit(0), 3).count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import small, written
 from .density import hierarchical_clusters
+from .merging import merged_topics
 from .stats import with_share
 from .terms import class_tfidf, term_rows, top_per
 from .vectors import centroids, cosine, embed, reduce_dimensions
@@ -29,38 +30,6 @@ def fit_topics(df: DataFrame, radius: float | list[float], min_topic_size: int =
     return j.join(small(topic_labels(words)), "topic_id", "left"), words
 
 
-def merged_topics(docs: DataFrame, n: int, topic: str = "topic_id", text: str = "text") -> DataFrame:
-    """Topics merged down to n: the smallest one joins the one whose term weights are the most alike, again and again.
-
-    The similarities of all pairs of topics are computed in Spark; the chain of
-    merges runs over that table of topics alone.
-    """
-    w = class_tfidf(docs.filter(F.col(topic) != -1), topic, text, min_df=2)
-    size = {r[topic]: r.n for r in docs.filter(F.col(topic) != -1).groupBy(topic).agg(F.count("*").alias("n")).collect()}  # a row a topic
-    if len(size) <= n:
-        return docs
-    norm = w.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    u = written(w.join(small(norm), topic).select(topic, "term", (F.col("weight") / F.col("norm")).alias("u")), "weights")
-    a, b = u.select(F.col(topic).alias("a"), "term", F.col("u").alias("ua")), u.select(F.col(topic).alias("b"), "term", F.col("u").alias("ub"))
-    pairs = a.join(b.hint("shuffle_hash"), "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("s"))
-    like: dict = {}
-    for r in pairs.collect():  # a row a pair of topics
-        like[r.a, r.b] = like[r.b, r.a] = r.s
-    into = {t: t for t in size}
-    live = dict(size)
-    while len(live) > n:
-        least = min(live, key=lambda t: (live[t], t))
-        best = max((t for t in live if t != least), key=lambda t: (like.get((least, t), 0.0), live[t], -t))
-        for t in live:  # average linkage, weighted by size
-            if t not in (least, best):
-                s = (like.get((least, t), 0.0) * live[least] + like.get((best, t), 0.0) * live[best]) / (live[least] + live[best])
-                like[best, t] = like[t, best] = s
-        live[best] += live.pop(least)
-        into = {t: best if x == least else x for t, x in into.items()}
-    of = F.create_map(*[F.lit(x) for p in into.items() for x in p])
-    return docs.withColumn(topic, F.coalesce(F.try_element_at(of, F.col(topic)), F.col(topic)))
-
-
 def reranked(words: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, topic: str = "topic_id") -> DataFrame:
     """The candidate words of topics (topic, term, weight) by likeness: a term is the mean vector of the topic's documents with it, compared with the topic's mean."""
     v = docs.filter(F.col(topic) != -1).join(vectors.hint("shuffle_hash"), "id")

@@ -11,6 +11,7 @@ from ..operators import density as D
 from ..operators import sentiment as N
 from ..operators import stats as S
 from ..operators import terms as W
+from ..operators import merging as M
 from ..operators import topics as O
 from ..operators import vectors as V
 from ..operators.periods import periods_at
@@ -191,6 +192,13 @@ def embedding_index(spark, d):
     return got.join(mine.withColumn("in_cluster", F.lit(True)).hint("shuffle_hash"), "id", "left").select("embedding_idx", "id", F.coalesce("in_cluster", F.lit(False)).alias("in_cluster"))
 
 
+def topic_reduction(spark, d):
+    """Sources as topics, merged down to eight by the likeness of their terms."""
+    t = table(spark, d, "documents").select("text", F.crc32("source").alias("topic_id"))
+    m = M.merged_topics(t.withColumn("was", F.col("topic_id")), 8)
+    return m.groupBy(F.col("was").alias("topic_id"), F.col("topic_id").alias("into")).agg(F.count("*").alias("n"))
+
+
 def topics_over_time(spark, d):
     return O.topics_over_time(dated_vectors(spark, d), "ts", 30, "cluster_id")
 
@@ -347,6 +355,7 @@ QUERIES = {
     "embedding_index": (embedding_index, "SELECT e.vec_id AS embedding_idx, i.vec_id AS id, coalesce(i.label = 3, false) AS in_cluster FROM embeddings e LEFT JOIN embeddings i ON i.vec_id * 2 = e.vec_id"),
     "pca_2d": (pca_2d, None),
     "topic_model": (topic_model, None),
+    "topic_reduction": (topic_reduction, None),
     "topics_over_time": (topics_over_time, f"{X_}, e AS (SELECT CAST(epoch_us(min(ts)) AS DOUBLE) AS lo, CAST(epoch_us(max(ts)) AS DOUBLE) AS hi FROM vectors) SELECT least(CAST(floor((epoch_us(ts) - lo) / ((hi - lo) / 30)) AS INT) + 1, 30) AS bin, cluster_id, count(*) AS n FROM vectors, e GROUP BY 1, 2"),
     "words_over_time": (words_over_time, f"WITH t AS (SELECT CAST((1704067200 + doc_id * 3600) * 1000000 AS DOUBLE) AS us, lang, {Q.terms('text')} AS w FROM documents), e AS (SELECT min(us) AS lo, max(us) AS hi FROM t), c AS (SELECT least(CAST(floor((us - lo) / ((hi - lo) / 4)) AS INT) + 1, 4) AS bin, lang, unnest(w) AS term FROM t, e), n AS (SELECT bin, lang, term, count(*) AS n FROM c GROUP BY ALL), z AS (SELECT bin, lang, sum(n) AS size FROM n GROUP BY ALL), m AS (SELECT avg(size) AS mean FROM z), f AS (SELECT term, sum(n) AS f FROM n GROUP BY 1 HAVING sum(n) >= 2), x AS (SELECT bin, lang AS topic_id, term, round(n / size * ln(1 + mean / f), 9) AS weight FROM n JOIN z USING (bin, lang) JOIN f USING (term), m) SELECT bin, topic_id, term, weight, CAST(row_number() OVER (PARTITION BY bin, topic_id ORDER BY weight DESC, term) AS INT) AS rank FROM x QUALIFY rank <= 3"),
     "topics_by_group": (topics_by_group, f"{X_} SELECT subreddit, cluster_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY subreddit), 6) AS share FROM vectors GROUP BY 1, 2"),
