@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_stats", "q_text", "q_model", "q_files")
+MODULES = ("q_stats", "q_text", "q_model", "q_files", "q_state")
 
 
 def _all() -> dict:

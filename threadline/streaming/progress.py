@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUT = "shard string, n long, eligible long, processed long, complete boolean"
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's state worker has Spark's own path only
+
+
 class ShardProgress(StatefulProcessor):
     """One shard: a map of its posts (wanted, done) and its counts.
 
