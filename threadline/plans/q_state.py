@@ -13,11 +13,11 @@ from .inputs import ACTIVITY, POSTS, activity, posts, table
 
 
 def stream_completeness(spark, d):
-    """Months of orders as shards, run in two halves over one checkpoint; done are the orders with a finished line item. The last row of a shard is its state."""
+    """Months of orders as shards, run in two halves over one checkpoint; done are the orders with a finished small line item. The last row of a shard is its state."""
     p = posts(spark, d).select(F.date_format("ts", "yyyy-MM").alias("shard"), "id", "num_comments", "ts")
-    done = table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("id")).distinct()
+    done = table(spark, d, "lineitem").filter("l_linestatus = 'F' AND l_quantity < 30").select(F.col("l_orderkey").alias("id")).distinct()
     done = p.join(done.hint("shuffle_hash"), "id", "left_semi").select("shard", "id", "ts")
-    end = p.agg((F.max("ts") + F.expr("interval 900 days")).alias("ts")).select(F.lit("end").alias("shard"), F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("num_comments"), "ts")
+    end = p.agg((F.max("ts") + F.expr("interval 9000 days")).alias("ts")).select(F.lit("end").alias("shard"), F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("num_comments"), "ts")
     base, halves = folder(spark, "progress"), (F.col("id") % 2 == 0, F.col("id") % 2 != 0)
     for half in halves:
         new = p.filter(half)
@@ -64,7 +64,7 @@ def bucketed_lookup(spark, d):
 _LEVEL = "SELECT {}, count(*) AS rows, count(DISTINCT author) AS authors, true AS within FROM a GROUP BY ALL"
 
 QUERIES = {
-    "stream_completeness": (stream_completeness, f"WITH {POSTS}, x AS (SELECT strftime(ts, '%Y-%m') AS shard, num_comments >= 3 AS wanted, id IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') AS done FROM posts) SELECT shard, count(*) FILTER (wanted) AS eligible, count(*) FILTER (done) AS processed, processed >= eligible AS complete FROM x GROUP BY 1 HAVING count(*) FILTER (wanted) > 0"),
+    "stream_completeness": (stream_completeness, f"WITH {POSTS}, x AS (SELECT strftime(ts, '%Y-%m') AS shard, num_comments >= 3 AS wanted, id IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 30) AS done FROM posts) SELECT shard, count(*) FILTER (wanted) AS eligible, count(*) FILTER (done) AS processed, processed >= eligible AS complete FROM x GROUP BY 1 HAVING count(*) FILTER (wanted) > 0"),
     "sketch_counts": (sketch_counts, f"WITH {ACTIVITY}, a AS (SELECT subreddit, CAST(ts AS DATE) AS day, author FROM activity) " + " UNION ALL ".join(_LEVEL.format(c) for c in ("subreddit, day", "NULL AS subreddit, day", "subreddit, NULL AS day")) + " UNION ALL SELECT NULL, NULL, count(*), count(DISTINCT author), true FROM a"),
     "bucketed_resume": (bucketed_resume, f"WITH {POSTS} SELECT id, subreddit, num_comments FROM posts WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
     "bucketed_lookup": (bucketed_lookup, "SELECT doc_id AS id, len(embedding) AS dim FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN embeddings ON doc_id = vec_id"),

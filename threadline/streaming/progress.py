@@ -22,8 +22,8 @@ class ShardProgress(StatefulProcessor):
     """One shard: a map of its posts (wanted, done) and its counts.
 
     The map is kept in the state store, post by post, so a shard need not fit
-    into a task. A row is put out whenever the shard becomes complete, and one
-    that is not when nothing has come for `wait_ms` of event time; then the
+    into a task. A row is put out whenever new rows leave the shard complete with
+    other counts than its last row had, and one that is not complete when nothing has come for `wait_ms` of event time; then the
     shard's state goes.
     """
 
@@ -37,7 +37,7 @@ class ShardProgress(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, eligible, processed, complete, due = self.counts.get() if self.counts.exists() else (0, 0, 0, False, -1)
-        last = -1
+        before, last = (eligible, processed), -1
         for b in rows:
             for id_, wanted, done, ts in zip(b["id"], b["wanted"], b["done"], b["ts"], strict=True):
                 was = self.posts.getValue((id_,)) if self.posts.containsKey((id_,)) else (False, False)
@@ -53,7 +53,7 @@ class ShardProgress(StatefulProcessor):
             due = last + self.wait_ms
             self.handle.registerTimer(due)
         full = eligible > 0 and processed >= eligible
-        if full and not complete:
+        if full and (not complete or before != (eligible, processed)):
             n += 1
             yield self.row(key, n, eligible, processed, True)
         self.counts.update((n, eligible, processed, full, due))
@@ -75,8 +75,8 @@ class ShardProgress(StatefulProcessor):
 def stream_completeness(posts: DataFrame, done: DataFrame, min_comments: int, wait: str = "1 day", delay: str = "1 day", shard: str = "shard", id: str = "id", ts: str = "ts", comments: str = "num_comments") -> DataFrame:
     """(shard, n, eligible, processed, complete): streams of posts and of posts that are done, each with shard, id and time.
 
-    A row comes when a shard becomes complete (n counts its rows, as later posts
-    may open it again), or when it is still open `wait` after its last row. Posts
+    A row comes when a shard becomes complete or its counts change while it is (n
+    counts its rows; later posts may also open it again), or when it is still open `wait` after its last row. Posts
     and done ones may repeat and come in any order, within `delay`. Rows without
     a shard, an id or a time go. A restart goes on from the checkpoint.
     """
