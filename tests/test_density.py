@@ -132,3 +132,31 @@ def test_spanning_forest_is_minimal():
                     a, b = names[which][i], names[which][j]
                     names[which] = [min(a, b) if x in (a, b) else x for x in names[which]]
             assert names[0] == names[1]
+
+
+def test_dense_blocks_are_not_squared(monkeypatch):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(0, 0.3, (6000, 3)), [[9.0, 9.0, 9.0]]])
+    done, rungs = [0], metric.rungs
+    monkeypatch.setattr(metric, "rungs", lambda x, y, r: done.__setitem__(0, done[0] + len(x) * len(y)) or rungs(x, y, r))
+    parts = metric.blocks(v, np.arange(len(v)))
+    assert sorted(np.concatenate([b.rows for b in parts]).tolist()) == list(range(len(v))) and max(len(b.rows) for b in parts) <= 1024
+    near = metric.block_pairs(parts, parts)
+    up = np.arange(len(v))
+    edges = density.link(v, up, np.ones(len(v), bool), parts, parts, near, 3.0)
+    assert len(edges) == 5999 and len(np.unique(density.roots(up, np.arange(len(v))))) == 2
+    n = density.counts(v, np.ones(len(v), np.int64), np.arange(len(v)), np.arange(len(v)), [3.0], 6)
+    assert (n[0] == 6).sum() == 6000 and n[0][-1] == 1
+    assert done[0] < len(v) ** 2 * 0.7  # both steps; before, each compared all pairs
+
+
+def test_counts_and_whole_rungs_equal_brute_force():
+    rng = np.random.default_rng(10)
+    v, w = rng.integers(0, 30, (2500, 4)).astype(float), rng.integers(1, 3, 2500)
+    radii = [float(np.sqrt(3)), 4.0, 7.5]
+    d = metric.distances(v, v)
+    assert (metric.rungs(v, v, radii) == np.where(d <= radii[0], 0, np.where(d <= radii[1], 1, np.where(d <= radii[2], 2, metric.NEVER)))).all()
+    ask, of = np.arange(0, 2500, 2), np.arange(1, 2500, 2)
+    got = density.counts(v, w, ask, of, radii, 9)
+    want = np.stack([np.minimum((d[np.ix_(ask, of)] <= r) @ w[of], 9) for r in radii])
+    assert (got[0] == want[0]).all() and (got[:, want[0] < 9] == want[:, want[0] < 9]).all()

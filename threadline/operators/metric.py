@@ -18,7 +18,9 @@ dimensions are all about as far from each other, and then all cells touch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,8 @@ def rungs(x: np.ndarray, y: np.ndarray, radii: list[float]) -> np.ndarray:
     are computed again from differences.
     """
     nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    if len(x) and len(y) and max(nx.max(), ny.max()) < 1 << 22 and (x == np.rint(x)).all() and (y == np.rint(y)).all():
+        return whole_rungs(x, y, nx, ny, radii)
     square = nx[:, None] + ny[None, :] - 2.0 * (x @ y.T)
     unsure = 1e-10 * (nx[:, None] + ny[None, :])
     doubt = np.zeros(square.shape, bool)
@@ -79,6 +83,21 @@ def rungs(x: np.ndarray, y: np.ndarray, radii: list[float]) -> np.ndarray:
     return out
 
 
+def whole_rungs(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, radii: list[float]) -> np.ndarray:
+    """The same of short vectors of whole numbers: their squared distances are whole and below 2^24, so single precision holds them."""
+    f = np.float32
+    square = (-2 * x).astype(f) @ y.T.astype(f)
+    square += nx.astype(f)[:, None]
+    square += ny.astype(f)[None, :]
+    out = np.zeros(square.shape, np.uint8)
+    for r in radii:
+        most = math.floor(min(r * r, float(1 << 24)))
+        most += (math.sqrt(most + 1) <= r) - (math.sqrt(most) > r)
+        out += square > f(most)
+    out[out == len(radii)] = NEVER
+    return out
+
+
 def farthest_first(v: np.ndarray, k: int) -> np.ndarray:
     """Rows that are each as far as can be from those before; fewer than k if there are no more different ones."""
     chosen = [0]
@@ -98,6 +117,44 @@ def anchors_of(v: np.ndarray, k: int = ANCHORS, rounds: int = 6) -> np.ndarray:
     return a if len(np.unique(distances(v, a).argmin(axis=1))) > 1 else farthest_first(v, 2)
 
 
+class Block(NamedTuple):
+    """Rows of a task's vectors that lie together."""
+
+    rows: np.ndarray
+    centre: np.ndarray
+    reach: float
+
+
+def blocks(v: np.ndarray, rows: np.ndarray, size: int = 1024) -> list[Block]:
+    """The given rows in blocks of at most `size` around anchors; equal vectors are cut anywhere."""
+    if not len(rows):
+        return []
+    if len(rows) <= size:
+        c = v[rows].mean(axis=0)
+        return [Block(rows, c, float(distances(v[rows], c[None]).max()) * (1 + 1e-9))]
+    x = v[rows]
+    near = distances(x, anchors_of(x[:: max(1, len(x) // SAMPLE)], split_into(len(rows), size))).argmin(axis=1)
+    parts = [rows[near == i] for i in np.unique(near)]
+    if len(parts) == 1:
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+    return [b for p in parts for b in blocks(v, p, size)]
+
+
+def block_pairs(one: list[Block], other: list[Block]) -> list[tuple[float, int, int]]:
+    """(gap, i, j) of all pairs, the least gap first: no two vectors of them are nearer than that."""
+    if not one or not other:
+        return []
+    d = distances(np.stack([b.centre for b in one]), np.stack([b.centre for b in other])) * (1 - 1e-9)
+    gap = d - np.array([b.reach for b in one])[:, None] - np.array([b.reach for b in other])[None, :]
+    order = np.lexsort((d.ravel(), np.maximum(gap, 0).ravel()))
+    return [(float(gap.flat[o]), int(o) // len(other), int(o) % len(other)) for o in order]
+
+
+def split_into(n: int, most: int) -> int:
+    """Anchors for a node of n vectors: twice the cells it needs, ANCHORS at most."""
+    return min(ANCHORS, max(2, math.ceil(2 * n / most)))
+
+
 def prepared(df: DataFrame, id: str, vec: str, within: tuple[str, ...] = ()) -> DataFrame:
     """(id, node, v): vectors that can be compared, each group of `within` (and each length) a root of its own."""
     v = F.col(vec).cast("array<double>")
@@ -111,21 +168,21 @@ def dealt(points: DataFrame, most: int) -> DataFrame:
     schema = "node string, anchors array<array<double>>"
 
     def anchors(key: tuple, t: pa.Table) -> pa.Table:
-        a = anchors_of(matrix(t["v"]))
+        a = anchors_of(matrix(t["v"]), split_into(t["n"][0].as_py(), most))
         return pa.table({"node": [key[0].as_py()], "anchors": pa.array([a.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     whole, open_ = [], points
     while True:
-        large = open_.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("node")
+        large = open_.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("node", "n")
         if not large.limit(1).count():
             whole.append(open_)
             break
         large = written(large, "large")
         rows = open_.join(small(large.withColumn("more", F.lit(True))), "node", "left")
-        whole.append(rows.filter("more is null").drop("more"))
+        whole.append(rows.filter("more is null").drop("more", "n"))
         rows = rows.filter("more").drop("more")
         drawn = rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= SAMPLE)
-        found = written(drawn.select("node", "v").groupBy("node").applyInArrow(anchors, schema), "anchors")
+        found = written(drawn.select("node", "v", "n").groupBy("node").applyInArrow(anchors, schema), "anchors")
         split = found.filter(F.size("anchors") > 1)
         near = F.array_position(F.transform("anchors", lambda a: distance(F.col("v"), a)), F.array_min(F.transform("anchors", lambda a: distance(F.col("v"), a))))
         # one anchor only: the sample's vectors are all equal, and so the node cannot be split by it
