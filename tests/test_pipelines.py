@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from threadline.operators import sentiment as N
 from threadline.plans import pipelines as R
 from threadline.sources import archive as A
 
@@ -59,3 +60,11 @@ def test_export(spark, tmp_path):
     (tmp_path / "comments_x.json").write_text(json.dumps({"c": {"id": "c", "body": "b", "created_utc": 5}}))
     R.run_export(spark, str(tmp_path), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/submissions")).first().title == "t" and spark.read.parquet(str(tmp_path / "out/comments")).count() == 1
+
+
+def test_sentiment_tables_score_texts_once(spark):
+    label, confidence = N.lexicon_score(F.col("text"), ["good"], ["bad"])
+    rows = spark.createDataFrame([(1, "good good", "a", "2024-01"), (2, "bad", "a", "2024-02"), (3, None, "b", "2024-01")], "id int, text string, subreddit string, year_month string")
+    t = R.sentiment_tables(N.score_sentiment(rows, label, confidence))
+    assert all("regexp_replace" not in x._jdf.queryExecution().toString() for x in t.values())
+    assert {r.subreddit: (r.total, r.positive_count, r.negative_count) for r in t["by_community"].collect()} == {"a": (2, 1, 1), "b": (1, 0, 0)}

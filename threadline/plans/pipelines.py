@@ -20,6 +20,7 @@ from ..operators import terms as W
 from ..operators import topics as O
 from ..operators import vectors as V
 from ..sources import archive as A
+from ..sources.shared import written
 
 #: The named periods with their ends as dates alone, so that the last day counts to midnight only, as where they come from.
 TAGS = [(name, start[:10], end[:10]) for _, name, start, end, _ in PERIODS]
@@ -63,6 +64,8 @@ def analysis_tables(posts: DataFrame, ts: str = "created_datetime", text: str =
 
 
 def sentiment_tables(scored: DataFrame) -> dict[str, DataFrame]:
+    """Overall, by community, by month, and by both; texts are scored once, and the scores written."""
+    scored = written(scored.select("subreddit", "year_month", "sentiment_label", "sentiment_score"), "scored")
     return {"summary": N.aggregate(scored), "by_community": N.aggregate(scored, "subreddit"), "by_month": N.aggregate(scored, "year_month"), "by_both": N.aggregate(scored, "subreddit", "year_month")}
 
 
