@@ -12,8 +12,9 @@
    both near it, so a link a row joins all that belong together.
 3. Candidates among sets over FEW shingles. Each of many tables picks some of the bits; nodes that agree in
    them meet. Bits a table rise with the number of nodes and tables with them,
-   so that at `least` all but MISS of the pairs are expected to meet. Pairs over
-   RADIUS bits apart or too different in size go.
+   so that at `least` all but MISS of the pairs are expected to meet. A table's
+   key is a shard, the shard is a BK-tree, and a node's lookup follows the edges
+   within RADIUS of its distance; pairs too different in size go.
 4. Verification. The shingle sets of candidates are compared in full.
 
 At first a node of a group is only compared with one node before it that its
@@ -41,7 +42,9 @@ from .batches import give_back
 from .common import connected_components, discard, partitions, release, written
 from .simhash import SEED, STEP, words_of
 
-WORDS, RADIUS, MISS, SMALL = 4, 62, 0.005, 64
+WORDS, RADIUS, MISS = 4, 62, 0.005
+#: Nodes of a small shard; a step of lookups makes at most as many visits as 16,384 queries in such shards.
+SMALL = 64
 FEW = 11  # at 0.8, sets with up to so many shingles in common differ in two at most
 NODE = ["sk", "f0", "f1", "f2", "f3", "size"]
 
@@ -145,56 +148,74 @@ def dealt(nodes: DataFrame, places: np.ndarray, extra: list[str]) -> DataFrame:
     return nodes.select(*names).mapInArrow(run, f"k long, {kinds}").repartition(partitions(nodes.sparkSession), "k").sortWithinPartitions("k", "sk")
 
 
+class BKForest:
+    """BK-trees of shards that stand one after the other, built level by level, all at once.
+
+    A node's children are keyed by their distance to it; nodes with equal
+    fingerprints are leaves under the first of them. A shard's first node is its
+    root, and nodes come after the ones they hang under.
+    """
+
+    def __init__(self, words: list[np.ndarray], root: np.ndarray):
+        self.words, self.root = [w.view(np.uint64) for w in words], root
+        n = len(root)
+        up, dist = np.full(n, -1), np.zeros(n, np.int64)
+        rows = np.flatnonzero(root != np.arange(n))
+        at = root[rows]
+        while len(rows):
+            d = self.distance(rows, at)
+            _, first, slot = np.unique(at * (64 * WORDS + 1) + d, return_index=True, return_inverse=True)
+            child = rows[first][slot]
+            stop = (child == rows) | (d == 0)
+            up[rows[stop]], dist[rows[stop]] = at[stop], d[stop]
+            rows, at = rows[~stop], child[~stop]
+        self.child = np.argsort(up, kind="stable")
+        self.first = np.searchsorted(up[self.child], np.arange(n + 1))
+        self.dist = dist[self.child]
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in self.words)
+
+    def before(self, ok, one: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(node, a node before it in its shard) within RADIUS that are `ok`: all of them, or one for each node that has one."""
+        ahead = np.cumsum(np.arange(len(self.root)) - self.root)
+        lo = 0
+        while lo < len(ahead):
+            hi = max(lo + 1, int(np.searchsorted(ahead, (ahead[lo - 1] if lo else 0) + most)))
+            q = np.arange(lo, hi)
+            q = q[self.root[q] < q]
+            node = self.root[q]
+            while len(q):
+                d = self.distance(q, node)
+                near = d <= RADIUS
+                near[near] = ok(q[near], node[near])
+                if one:
+                    found, at = np.unique(q[near], return_index=True)
+                    yield found, node[near][at]
+                    left = ~np.isin(q, found)
+                    q, node, d = q[left], node[left], d[left]
+                else:
+                    yield q[near], node[near]
+                kids = self.first[node + 1] - self.first[node]
+                rep = np.repeat(np.arange(len(q)), kids)
+                edge = np.arange(len(rep)) - np.repeat(np.cumsum(kids) - kids, kids) + np.repeat(self.first[node], kids)
+                on = (np.abs(self.dist[edge] - d[rep]) <= RADIUS) & (self.child[edge] < q[rep])
+                q, node = q[rep[on]], self.child[edge[on]]
+            lo = hi
+
+
 def candidates(rows: DataFrame, least: float, across: bool) -> DataFrame:
     """(a, b): pairs that may reach `least`, for each node one with a node before it; across: all pairs that lie across components (column root)."""
 
-    def near(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        d = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in range(2, 2 + WORDS))
-        small, large = np.minimum(x[6][i], x[6][j]), np.maximum(x[6][i], x[6][j])
-        return (d <= RADIUS) & (small >= least * large)
-
     def pairs(x: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(x[0])) + 1, [len(x[0])]))
-        for s, e in zip(cut[:-1][np.diff(cut) > SMALL].tolist(), cut[1:][np.diff(cut) > SMALL].tolist(), strict=True):
-            if across:
-                order = s + np.argsort(x[7][s:e], kind="stable")
-                ends = np.searchsorted(x[7][order], x[7][order], side="right")
-                for at, i in enumerate(order):  # each with the components after its own
-                    j = order[ends[at] :]
-                    j = j[near(x, np.full(len(j), i), j)]
-                    yield np.full(len(j), i), j
-            else:
-                rest = np.arange(s, e)
-                while len(rest) > 1:
-                    lead, rest = rest[0], rest[1:]
-                    ok = near(x, np.full(len(rest), lead), rest)
-                    yield np.full(ok.sum(), lead), rest[ok]
-                    rest = rest[~ok]
-        n = np.diff(cut)
-        left = np.where(n <= SMALL, n, 0)
-        end = np.repeat(np.where(left > 0, cut[1:], cut[:-1]), n)
-        later = np.maximum(end - np.arange(len(x[0])) - 1, 0)
-        for s, e in blocks(later):
-            i = np.repeat(np.arange(s, e), later[s:e])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[s:e]) - later[s:e], later[s:e])
-            ok = near(x, i, j)
-            if across:
-                ok &= x[7][i] != x[7][j]
-                yield i[ok], j[ok]
-            else:  # blocks end with groups, so a node's first partner is here
-                j, first = np.unique(j[ok], return_index=True)
-                yield i[ok][first], j
-
-    def blocks(later: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-        """Ranges of nodes with about `most` pairs that end where a group does."""
-        ends = np.flatnonzero(later == 0) + 1
-        total = np.cumsum(later)
-        at = 0
-        while at < len(later):
-            stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + most)) + 1
-            e = int(ends[min(np.searchsorted(ends, stop), len(ends) - 1)])
-            yield at, e
-            at = e
+        start = np.concatenate(([True], x[0][1:] != x[0][:-1]))
+        forest = BKForest(x[2 : 2 + WORDS], np.maximum.accumulate(np.where(start, np.arange(len(start)), 0)))
+
+        def ok(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            alike = np.minimum(x[6][i], x[6][j]) >= least * np.maximum(x[6][i], x[6][j])
+            return alike & (x[7][i] != x[7][j]) if across else alike
+
+        return forest.before(ok, not across, SMALL << 14)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
