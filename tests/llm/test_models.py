@@ -118,6 +118,16 @@ def test_decontamination_edges(spark):
     assert {(r.n_hit, r.contaminated) for r in winnow.contamination(docs, bench.limit(0)).collect()} == {(0, False)}
 
 
+def test_words_are_counted_and_lowered_as_defined(spark):
+    """Counts without matching a pattern word by word; only A-Z are lower-cased, in ASCII texts and others."""
+    rows = ["", " ", "a", " a", "a ", ",A-b,,C9 ", "\u00c9T\u00c9 \u00c9t\u00e9 ABC", "K \u212a", "\x7fx\x00y", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i")
+    ws = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in rows]
+    got = d.select(winnow.words(F.col("t")).alias("w"), winnow.word_count(F.coalesce("t", F.lit(""))).alias("n"))
+    assert [(r.w, r.n) for r in got.collect()] == [(w, len(w)) for w in ws]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_winnowing_is_native(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     assert "Python" not in winnow.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
