@@ -212,3 +212,12 @@ def test_alignment_of_empty_tables(spark):
 def test_aligned_slices():
     groups, links = align.aligned([1, 2, 3], [2, 5, 6], [7, 8, 9], [4, 5, 6])
     assert groups == [(0, 2, 0, 2), (2, 3, 2, 3)] and links == [x << 32 | y for x, y in ((1, 7), (2, 7), (2, 8), (3, 9))]
+
+
+def test_stretches_of_a_batch_as_one_by_one():
+    """A batch gives what each stretch gives, also where some are not spelled by their tokens."""
+    pair = align.Pair(A, B)
+    kinds = list(dict.fromkeys(align.stretches([*texts(4, 200, 60), *[t or "" for _, t in EXTRA]])[2]))
+    for some in (kinds, [" \u2581"], [" a", " \u2581", " b\u2581c", " d"]):
+        a, b = pair.encoded(some)
+        assert pair.batch(some, a, b) == [pair.stretch(*x) for x in zip(some, a, b, strict=True)]

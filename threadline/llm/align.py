@@ -32,7 +32,7 @@ import os
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,11 @@ def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) ->
     return groups, links
 
 
+def whole(strings: pa.LargeBinaryArray) -> bytes:
+    """Strings that were taken one by one, end to end."""
+    return bytes(memoryview(strings.buffers()[2])) if len(strings) else b""
+
+
 class Pair:
     """Both tokenizers with the bytes of their ids."""
 
@@ -104,6 +109,9 @@ class Pair:
                 self.b_bytes[i] = piece.replace(MARK, " ").encode()
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("a piece goes on after a blank; stretches would not be independent")
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_spelled, self.b_spelled = pa.array(self.a_bytes, pa.large_binary()), pa.array(self.b_bytes, pa.large_binary())
+        self.said = pa.array([b"%d%s" % (i, after) for n, kinds in ((len(self.a_bytes), b",|"), (len(self.b_bytes), b",;")) for after in (kinds[:1], kinds[1:]) for i in range(n)], pa.large_binary())
 
     def encoded(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of stretches, each of which begins with the blank that B puts there itself."""
@@ -120,6 +128,42 @@ class Pair:
         said = [f"{x[i] if i_end == i + 1 else ','.join(x[i:i_end])}|{y[j] if j_end == j + 1 else ','.join(y[j:j_end])}" for i, i_end, j, j_end in groups]
         return HEAD.pack(len(a), len(b), len(groups), len(links)) + array("q", links).tobytes() + ";".join(said).encode()
 
+    def batch(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[bytes]:
+        """What `stretch` gives of each, of all at once.
+
+        Ends are places in all texts end to end. Every stretch of bytes between two
+        neighbouring ends of either list is one link: of the tokens that cover it.
+        """
+        raws = [t.encode() for t in texts]
+        size = np.array(list(map(len, raws)), np.int64)
+        na, nb = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
+        x, y = np.array(list(chain.from_iterable(a)), np.int64), np.array(list(chain.from_iterable(b)), np.int64)
+        x_size, y_size = self.a_size[x], self.b_size[y]
+        x_raw, y_raw, raw = self.a_spelled.take(pa.array(x)), self.b_spelled.take(pa.array(y)), b"".join(raws)
+        plain = (x_size > 0).all() and (y_size > 0).all() and np.array_equal(sums(x_size, na), size) and np.array_equal(sums(y_size, nb), size)
+        if not raw or not plain or whole(x_raw) != raw or whole(y_raw) != raw:  # some of them are not spelled by their tokens
+            if len(texts) == 1:
+                return [self.stretch(texts[0], a[0], b[0])]
+            half = len(texts) // 2
+            return self.batch(texts[:half], a[:half], b[:half]) + self.batch(texts[half:], a[half:], b[half:])
+        x_end, y_end, end = np.cumsum(x_size), np.cumsum(y_size), np.cumsum(size)
+        ends = np.union1d(x_end, y_end)
+        links = (x[np.searchsorted(x_end, ends)] << 32 | y[np.searchsorted(y_end, ends)]).tobytes()
+        x_cut, y_cut = np.isin(x_end, y_end, assume_unique=True), np.isin(y_end, x_end, assume_unique=True)
+        x_group, y_group = np.cumsum(x_cut) - x_cut, np.cumsum(y_cut) - y_cut
+        # ids as text, A's of a group before B's: after each a comma, a bar or a semicolon, which the last of a stretch goes without
+        said = np.concatenate((x + len(self.a_bytes) * x_cut, 2 * len(self.a_bytes) + y + len(self.b_bytes) * y_cut))
+        said = self.said.take(pa.array(said[np.argsort(np.concatenate((2 * x_group, 2 * y_group + 1)), kind="stable")]))
+        until = np.frombuffer(said.buffers()[1], np.int64)[: len(said) + 1][np.cumsum(na + nb)].tolist()
+        said = whole(said)
+        groups, n_links = np.diff(np.searchsorted(x_end[x_cut], end, side="right"), prepend=0), np.diff(np.searchsorted(ends, end, side="right"), prepend=0)
+        heads = np.stack((na, nb, groups, n_links), axis=1).astype(np.int32).tobytes()
+        out, at, begin, h = [], 0, 0, HEAD.size
+        for i, (e, stop) in enumerate(zip((8 * np.cumsum(n_links)).tolist(), until, strict=True)):
+            out.append(heads[i * h : i * h + h] + links[at:e] + said[begin : stop - 1])
+            at, begin = e, stop
+        return out
+
     def results(self, stretches: list[str]) -> list[bytes]:
         """What `stretch` gives of each; remembered ones are not encoded again."""
         if self.held > CACHE_BYTES:
@@ -130,8 +174,8 @@ class Pair:
         new = [text for text in stretches if text not in self.known]
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
-            for text, a, b in zip(some, *self.encoded(some), strict=True):
-                self.keep(text, self.stretch(text, a, b))
+            for text, found in zip(some, self.batch(some, *self.encoded(some)), strict=True):
+                self.keep(text, found)
         return [self.known[text] for text in stretches]
 
     def keep(self, text: str, found: bytes) -> None:
