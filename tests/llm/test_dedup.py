@@ -166,3 +166,14 @@ def test_spanning_roots_agree():
         most, rpforest.LISTED_LINKS = rpforest.LISTED_LINKS, -1
         assert (rpforest.spanning(m) == listed).all()
         rpforest.LISTED_LINKS = most
+
+
+@pytest.mark.parametrize("length", [30, 31, 32, 100])
+def test_repeats_of_just_the_length_are_found(length):
+    """Whatever the length: symbols a round divide it, so that agreeing so far is told from agreeing less."""
+    random.seed(length)
+    text = lambda n: bytes(random.randrange(97, 123) for _ in range(n))
+    same = text(length)
+    texts = [b"<" + same + b">" + text(20), text(9) + b"[" + same + b"]", b"{" + same[1:] + b"}" + text(40)]
+    got = bwtdedup.repeated_windows(texts, np.arange(3), np.zeros(3, np.int64), np.zeros(3, np.int64), length)
+    assert got == [(1, 0, 10, length)]

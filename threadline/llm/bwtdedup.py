@@ -47,7 +47,7 @@ from .common import partitions, table, written
 LENGTH, K = 100, 48
 PIECE = 1 << 18
 GROUP_ROWS, GROUP_BYTES, BATCH_BYTES = 8192, 4 << 20, 1 << 20
-SHARDS, STEP = 4, 4
+SHARDS, STEPS = 4, (10, 4, 1)
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -249,13 +249,13 @@ def stable_order(x: np.ndarray) -> np.ndarray:
 
 
 def merge_shards(texts: list[bytes], shard: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of all suffixes, ordered by their first `depth` symbols (a multiple of STEP).
+    """Interleave of all suffixes, ordered by their first `depth` symbols, so many a round as the first of STEPS that divides it.
 
     Returns text number and offset per suffix in merged order, the common prefix
     with the one before in whole steps (depth where they agree that far), and
     each suffix's length. `shard` gives the shard of each text.
     """
-    q = STEP
+    q = next(x for x in STEPS if depth % x == 0)
     lens = np.array([len(t) for t in texts])
     gap = lens + q
     begin = np.concatenate(([0], np.cumsum(gap)[:-1]))
@@ -264,11 +264,15 @@ def merge_shards(texts: list[bytes], shard: np.ndarray, depth: int = LENGTH) ->
     off = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
     pos = begin[owner] + off
     sym[pos] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    packed = sym[:-q]
-    for i in range(1, q):
-        packed = packed * 257 + sym[i : len(sym) - q + i]
-    gram = np.zeros(len(packed), np.int64)
-    gram[pos] = dense(packed[pos]) + 1  # 0: past the end
+    # q symbols as one number: of half of them, then of two such
+    half = (q + 1) // 2
+    packed = sym[:-half]
+    for i in range(1, half):
+        packed = packed * 257 + sym[i : len(sym) - half + i]
+    part = np.zeros(len(sym), np.int64)
+    part[pos] = dense(packed[pos]) + 1  # 0: past the end
+    gram = np.zeros(len(sym) - q, np.int64)
+    gram[pos] = dense(part[pos] * (len(part) + 1) + part[pos + half]) + 1 if half < q else part[pos]
     end = begin[owner] + lens[owner]
     # every shard sorts its own suffixes by doubling
     order = []
@@ -286,20 +290,19 @@ def merge_shards(texts: list[bytes], shard: np.ndarray, depth: int = LENGTH) ->
         order.append(mine[np.argsort(rank[p], kind="stable")])
     local = np.concatenate(order)
     # the transform: the q symbols before a suffix, -1 where its text starts
-    before = np.where(off[local] >= q, gram[np.maximum(pos[local] - q, 0)], -1)
-    base = np.concatenate(([0], np.cumsum([len(o) for o in order])))
+    gram = gram.astype(np.int32)
+    before = np.where(off[local] >= q, gram[np.maximum(pos[local] - q, 0)], np.int32(-1))
     z = np.repeat(np.arange(len(order), dtype=np.uint8), [len(o) for o in order])
     n = len(local)
     short = local[lens[owner[local]] - off[local] <= q]  # suffixes that no other suffix follows
     short_gram, short_shard = gram[pos[short]], shard[owner[short]].astype(np.uint8)
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     common = np.full(n, depth, np.int64)
     common[:1] = 0
-    at = np.empty(n, np.int64)
+    at, turn = np.empty(n, np.int32), np.arange(n, dtype=np.int32)
 
     def places(z: np.ndarray) -> np.ndarray:
-        for s in range(len(order)):
-            at[z == s] = np.arange(base[s], base[s + 1])
+        at[np.argsort(z, kind="stable")] = turn  # a shard's suffixes stay in their order
         return at
 
     for t in range(depth // q):
@@ -307,14 +310,14 @@ def merge_shards(texts: list[bytes], shard: np.ndarray, depth: int = LENGTH) ->
         has = x >= 0
         syms = np.concatenate((short_gram, x[has]))
         # what follows a short suffix is nothing: equal to all before the first round, to none after it
-        blocks = np.concatenate((-1 - np.arange(len(short)) if t else np.zeros(len(short), np.int64), block[has]))
+        blocks = np.concatenate((-1 - np.arange(len(short_gram), dtype=np.int32) if t else np.zeros(len(short_gram), np.int32), block[has]))
         by = stable_order(syms)
         z = np.concatenate((short_shard, z[has]))[by]
         syms, blocks = syms[by], blocks[by]
         border = np.ones(n, bool)
         border[1:] = (syms[1:] != syms[:-1]) | (blocks[1:] != blocks[:-1])
         common[border & (common == depth)] = q * t
-        block = np.cumsum(border)
+        block = np.cumsum(border, dtype=np.int32)
     item = local[places(z)]
     return owner[item], off[item], common, lens[owner[item]] - off[item]
 
@@ -322,7 +325,7 @@ def merge_shards(texts: list[bytes], shard: np.ndarray, depth: int = LENGTH) ->
 def repeated_windows(texts: list[bytes], doc: np.ndarray, ver: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     """(doc, ver, start, bytes) of the stretches of superwindows that occur earlier in another of them."""
     shard = np.arange(len(texts)) % min(SHARDS, len(texts))
-    who, off, common, left = merge_shards(texts, shard, -(-length // STEP) * STEP)
+    who, off, common, left = merge_shards(texts, shard, length)
     interval = np.cumsum(common < length)
     whole = left >= length
     who, off, interval = who[whole], off[whole], interval[whole]
