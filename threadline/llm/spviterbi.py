@@ -6,7 +6,7 @@ largest total score is taken; of equal ones, that whose last piece is longest,
 then that of the piece before, and so on. Characters that no piece covers are
 spelled with the file's byte pieces.
 
-Texts are taken in runs of a few megabytes. A run falls into parts wherever no
+Texts are taken in runs of two megabytes. A run falls into parts wherever no
 piece joins two neighbouring characters (so before every word), and each
 distinct part of the run is solved once: parts of one length form a matrix and
 advance together, hashes of all substrings of one length are looked up in the
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import RUN, checksums, distinct_parts, give_back, joined, lists, runs, spread
+from .batches import checksums, distinct_parts, give_back, joined, lists, runs, spread
 from .common import table
 
 SPACE = "▁"
@@ -44,6 +44,8 @@ BASE = 0x9E3779B97F4A7C15
 SOLVE_CHARS = 1 << 18
 #: Parts up to EVEN characters form matrices of one length; longer ones up to LONG share matrices a little longer than they are.
 EVEN, LONG, STRETCH = 40, 2048, 1.2
+#: Bytes of texts that are encoded together, and ids that are decoded together: a worker holds about 30 bytes for each.
+ENCODE_RUN = 1 << 21
 _workers: dict = {}
 
 
@@ -267,7 +269,7 @@ def model(path: str) -> Viterbi:
 
 def encoded_runs(v: Viterbi, texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Texts (null: empty), their ids end to end and how many each has, a run at a time."""
-    for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+    for s, e in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), ENCODE_RUN):
         part = [t or "" for t in texts[s:e].to_pylist()]
         yield (part, *v.encode(part))
     give_back()
@@ -292,7 +294,7 @@ def decode_column(ids: Column, model_path: str) -> Column:
         count = pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64)
         flat, out = pc.fill_null(rows.flatten(), -1).to_numpy(), []
         at = np.concatenate(([0], np.cumsum(count)))
-        for s, e in runs(count.tolist(), RUN // 4):
+        for s, e in runs(count.tolist(), ENCODE_RUN):
             out += model(model_path).decode(flat[at[s] : at[e]], count[s:e])
         return pa.array(out, pa.string())
 
