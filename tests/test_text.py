@@ -22,6 +22,14 @@ def test_rewrites(spark):
     assert got == ["a b c", "t b i s x sp", "in\nq\n\nH", "ok no", "a b\n\nc", ""]
 
 
+def test_word_counts(spark):
+    """Words between white space of any kind, counted without matching a pattern word by word."""
+    values = ["", " ", "a", " a\u3000b\n", "\u00a0x\x1cy\x85z", "one two  three", None]
+    assert col(spark, values, T.word_count) == [len((v or "").split()) for v in values]
+    d = spark.createDataFrame([("a b",)], "t string").select(T.word_count(F.col("t")))
+    assert "regexp_extract_all" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_edit_content_cut(spark):
     assert col(spark, ["keep Edit: drop\nall", "reedit: x"], lambda c: T.remove_edit_markers(c, cut=True)) == ["keep ", "reedit: x"]
 

@@ -87,7 +87,8 @@ def clean_text(t: Column, *, urls=True, links=True, markup=True, edits=True, emo
 
 
 def word_count(t: Column) -> Column:
-    return F.regexp_count(F.coalesce(t, F.lit("")), F.lit(f"{NOT_SPACE}+"))
+    """Words of a text (null: none); split, as counting matches of a pattern costs ten times as much."""
+    return F.size(F.array_remove(F.split(F.coalesce(t, F.lit("")), f"{SPACE}+"), ""))
 
 
 def normalize_for_terms(t: Column) -> Column:
