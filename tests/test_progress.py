@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from threadline.streaming import progress as G
 from threadline.streaming import streams as Z
 
@@ -25,3 +27,43 @@ def test_completeness_goes_on_after_a_restart(spark, tmp_path):
     assert two == [("a", 1, 1, 1, True), ("b", 1, 2, 2, True)]
     three = go([("a", "8", 9, at(3)), ("end", "0", 0, at(100))], [])  # a opens again and stays open, e was never done
     assert three == [("a", 1, 1, 1, True), ("a", 2, 2, 1, False), ("b", 1, 2, 2, True), ("e", 1, 1, 0, False)]
+
+
+def test_the_store_is_asked_once_for_a_post():
+    """A batch's rows of one post are one question, and posts that are neither wanted nor done are none."""
+    class Store:
+        def __init__(self):
+            self.at, self.calls, self.timers = {}, 0, []
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.at.get(key)
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self.at
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.at[key] = value
+
+        def exists(self):
+            return bool(self.at)
+
+        def get(self):
+            return self.at["v"]
+
+        def update(self, value):
+            self.at["v"] = value
+
+        def registerTimer(self, due):
+            self.timers.append(due)
+
+    p = G.ShardProgress(1000)
+    p.handle = p.posts = posts = Store()
+    p.counts = Store()
+    ts = pd.to_datetime(["2024-01-01"] * 6 + ["2024-01-02"])
+    b = pd.DataFrame({"id": ["1", "1", "2", "3", "3", "1", "4"], "wanted": [True, False, True, False, False, True, False], "done": [False, True, False, False, False, False, True], "ts": ts})
+    assert list(p.handleInputRows(("s",), iter([b, b[:0]]), None))[0].values.tolist() == [["s", 1, 2, 2, True]]
+    assert p.counts.at["v"] == (1, 2, 2, True, int(ts[-1].timestamp() * 1000) + 1000) and set(posts.at) == {("1",), ("2",), ("4",)}
+    assert posts.calls == 6  # asked and updated, for three posts

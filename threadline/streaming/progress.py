@@ -39,14 +39,17 @@ class ShardProgress(StatefulProcessor):
         n, eligible, processed, complete, due = self.counts.get() if self.counts.exists() else (0, 0, 0, False, -1)
         before, last = (eligible, processed), -1
         for b in rows:
-            for id_, wanted, done, ts in zip(b["id"], b["wanted"], b["done"], b["ts"], strict=True):
-                was = self.posts.getValue((id_,)) if self.posts.containsKey((id_,)) else (False, False)
+            if not len(b):
+                continue
+            last = max(last, int(b["ts"].max().timestamp() * 1000))
+            # the store is asked once for each post of a batch, and not for rows that say nothing of theirs
+            for id_, wanted, done in b[b["wanted"] | b["done"]].groupby("id", sort=False)[["wanted", "done"]].any().itertuples(name=None):
+                was = tuple(self.posts.getValue((id_,)) or (False, False))
                 now = (was[0] or bool(wanted), was[1] or bool(done))
-                if now != tuple(was):
+                if now != was:
                     self.posts.updateValue((id_,), now)
                     eligible += now[0] - was[0]
                     processed += now[1] - was[1]
-                last = max(last, int(ts.timestamp() * 1000))
         if last + self.wait_ms > due:
             if due >= 0:
                 self.handle.deleteTimer(due)
