@@ -160,3 +160,17 @@ def test_counts_and_whole_rungs_equal_brute_force():
     got = density.counts(v, w, ask, of, radii, 9)
     want = np.stack([np.minimum((d[np.ix_(ask, of)] <= r) @ w[of], 9) for r in radii])
     assert (got[0] == want[0]).all() and (got[:, want[0] < 9] == want[:, want[0] < 9]).all()
+
+
+def test_letter_profiles_count_ascii_letters_of_any_text(spark, tmp_path):
+    """Each letter is looked for in what the ones before it leave, not in the whole text 26 times."""
+    from threadline.plans.inputs import BY_USE, LETTERS, letter_counts, letter_profiles
+
+    texts = {1: "The Quick brown fox", 2: None, 3: "", 4: "İstanbul Kelvin K ſ é ÀÉa", 5: "zZz" * 400, 6: " \n\t", 7: "日本 é E", 8: "a b c d" * 9}
+    assert sorted(BY_USE) == list(LETTERS)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "o_orderkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["id"]: list(r["embedding"]) for r in letter_profiles(spark, str(tmp_path)).collect()}
+    assert got == {k: [float(1000 * sum(x in (c, c.upper()) for x in t or "") // max(len(t or ""), 1)) for c in LETTERS] for k, t in texts.items()}
+    one = spark.createDataFrame([("abca cab",)], "t string").select(letter_counts("t").alias("n")).first()["n"]
+    assert {c: n for c, n in zip(BY_USE, one, strict=True) if n} == {"a": 3, "b": 2, "c": 2}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -82,13 +82,25 @@ VECTORS = """vectors AS (
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: The same, roughly the most frequent first.
+BY_USE = "eainrtoslducmpghvbfykwzjxq"
+
+
+def letter_counts(t: Column | str) -> Column:
+    """How often each of BY_USE occurs, in that order: letters are taken out one after the other, so that the text gets shorter."""
+    start = F.struct(F.replace(t, F.lit(" "), F.lit("")).alias("t"), F.array().cast("array<int>").alias("n"))
+    size = lambda s: F.array_append(s["n"], F.octet_length(s["t"]))
+    left = F.aggregate(F.array(*[F.lit(c) for c in BY_USE]), start, lambda s, c: F.struct(F.replace(s["t"], c, F.lit("")).alias("t"), size(s).alias("n")), size)
+    return F.zip_with(F.slice(left, 1, len(BY_USE)), F.slice(left, 2, len(BY_USE)), lambda a, b: a - b)
 
 
 def letter_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as vectors of how many of a thousand characters each letter is, with the year of the order of the same number; written, as embeddings would be."""
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.translate(F.coalesce("text", F.lit("")), LETTERS.upper(), LETTERS).alias("t"))
-    n = F.greatest(F.length("t"), F.lit(1))
-    v = F.array(*[F.floor(1000 * (F.length("t") - F.length(F.replace("t", F.lit(c)))) / n).cast("double") for c in LETTERS])
+    x = F.coalesce("text", F.lit(""))
+    t = F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, LETTERS.upper(), LETTERS))  # ASCII is lowered at once
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.alias("t"), F.greatest(F.length(x), F.lit(1)).alias("n"))
+    t = t.select("id", "n", letter_counts(F.col("t")).alias("k"))
+    v = F.array(*[F.floor(1000 * F.col("k")[BY_USE.index(c)] / F.col("n")).cast("double") for c in LETTERS])
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("period"))
     return written(t.select("id", v.alias("embedding")).join(o, "id", "left"), "profiles")
 
