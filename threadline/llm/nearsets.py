@@ -19,8 +19,12 @@
 
 At first a node of a group is only compared with one node before it that its
 fingerprint is near to; what these pairs link is merged, and then the pairs that
-still lie across components are compared, all of them, so that a large group of
-copies is not squared.
+still lie across components are compared, so that a large group of copies is not
+squared. Where a node of a shard has over CROWD of these, the shard gives no
+pairs but the nodes that have any. Such nodes are joined exactly: of two sets
+that reach `least` the first shingles, the rarest among these nodes first, have
+one in common. Texts made from one by different changes differ in just those, so
+a large group that is near `least` but under it is not squared either.
 
 Defined results: a null text is an empty one, and those are one node; a text of
 fewer words than a shingle has is one shingle; equal texts are one node; ties do
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import give_back
@@ -45,6 +49,8 @@ from .simhash import SEED, STEP, words_of
 WORDS, RADIUS, MISS = 4, 62, 0.005
 #: Nodes of a small shard; a step of lookups makes at most as many visits as 16,384 queries in such shards.
 SMALL = 64
+#: Nodes across components that a node may be near to in a shard.
+CROWD = 8
 FEW = 11  # at 0.8, sets with up to so many shingles in common differ in two at most
 NODE = ["sk", "f0", "f1", "f2", "f3", "size"]
 
@@ -204,8 +210,27 @@ class BKForest:
             lo = hi
 
 
+def uncrowded(found: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of shards in which no node has more than CROWD; of other shards each node that has a pair, paired with itself. Holds CROWD pairs a node and a step's."""
+    n, full = np.zeros(len(root), np.int64), np.zeros(len(root), bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, most = 0, len(root) * CROWD
+    for i, j in found:
+        n += np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
+        full[root[n > CROWD]] = True
+        held.append((i, j))
+        size += len(i)
+        if size > most:
+            held = [(i[~full[root[i]]], j[~full[root[i]]]) for i, j in held]
+            size = sum(len(i) for i, _ in held)
+    for i, j in held:
+        yield i[~full[root[i]]], j[~full[root[i]]]
+    own = np.flatnonzero((n > 0) & full[root])
+    yield own, own
+
+
 def candidates(rows: DataFrame, least: float, across: bool) -> DataFrame:
-    """(a, b): pairs that may reach `least`, for each node one with a node before it; across: all pairs that lie across components (column root)."""
+    """(a, b): pairs that may reach `least`, for each node one with a node before it; across: pairs that lie across components (column root), and a = b for nodes in a crowd."""
 
     def pairs(x: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = np.concatenate(([True], x[0][1:] != x[0][:-1]))
@@ -215,7 +240,8 @@ def candidates(rows: DataFrame, least: float, across: bool) -> DataFrame:
             alike = np.minimum(x[6][i], x[6][j]) >= least * np.maximum(x[6][i], x[6][j])
             return alike & (x[7][i] != x[7][j]) if across else alike
 
-        return forest.before(ok, not across, SMALL << 14)
+        found = forest.before(ok, not across, SMALL << 14)
+        return uncrowded(found, forest.root) if across else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -239,7 +265,34 @@ def candidates(rows: DataFrame, least: float, across: bool) -> DataFrame:
                     a, b = x[1][i], x[1][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def crowd_pairs(crowd: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of nodes (sk, root, sh) of different components whose sets can reach `least`; none that do is missing.
+
+    Two sets with o in common have one among the first n - o + 1 of each, in any
+    order; the shingles that few of these nodes have come first. And they differ
+    in no fewer shingles than their parities do: bits of how many shingles fall
+    to each of 1,024 places, even or odd.
+    """
+    each = crowd.select("sk", "root", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63))
+    words = [f"p{i}" for i in range(16)]
+    odd = each.groupBy("sk").agg(*[F.coalesce(F.bit_xor(F.when(F.shiftright("s", 6).bitwiseAND(15) == i, bit)), F.lit(0)).alias(w) for i, w in enumerate(words)])
+    use = each.groupBy("s").agg(F.count("*").alias("uses"), (F.min("root") != F.max("root")).alias("across"))
+    ranked = each.join(use.hint("shuffle_hash"), "s").withColumn("place", F.row_number().over(Window.partitionBy("sk").orderBy("uses", "s")))
+    first = lambda share: F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+    heads = ranked.filter(F.col("across") & first(least)).select("s", "sk", "root", "n", "place", first(2 * least / (1 + least)).alias("short"))
+    heads = written(heads.join(odd.hint("shuffle_hash"), "sk"), "heads")
+    x, y = heads.alias("x"), heads.filter("short").alias("y")  # y is the smaller one
+    both = F.col("x.n") + F.col("y.n")
+    fit = F.struct("y.n", "y.sk") < F.struct("x.n", "x.sk")
+    fit &= (F.col("x.root") != F.col("y.root")) & (F.col("y.n") >= least * F.col("x.n") - 1e-9)
+    fit &= F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1 >= least / (1 + least) * both - 1e-9
+    fit &= sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0)) <= (1 - least) / (1 + least) * both + 1e-9
+    met = x.join(y.hint("shuffle_hash"), (F.col("x.s") == F.col("y.s")) & fit)
+    return met.select(F.least("x.sk", "y.sk").alias("a"), F.greatest("x.sk", "y.sk").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -277,9 +330,15 @@ def near_sets(docs: DataFrame, key: str, text: str = "text", shingle: int = 5, l
     rooted = nodes.join(roots.hint("shuffle_hash"), F.col("sk") == F.col("node"), "left").select(*NODE, F.coalesce("root", "sk").alias("root"))
     rooted = written(rooted, "rooted")
     release(spark)
-    more = written(candidates(dealt(rooted, places, ["root"]), least, True), "pairs")
-    discard(pairs, rooted)
+    found = written(candidates(dealt(rooted, places, ["root"]), least, True), "pairs")
     release(spark)
+    more, crowd = found.filter("a <> b"), found.filter("a = b").select(F.col("a").alias("sk"))
+    if crowd.limit(1).count():
+        of = sets.join(crowd.hint("shuffle_hash"), "sk", "left_semi").groupBy("sk").agg(F.first("sh").alias("sh"))
+        of = written(of.join(rooted.select("sk", "root").hint("shuffle_hash"), "sk"), "crowd")
+        more = written(more.unionAll(crowd_pairs(of, least)).distinct(), "pairs")
+        release(spark)
+    discard(pairs, rooted)
     if more.limit(1).count():
         late = written(verified(more, sets, least), "links")
         release(spark)
