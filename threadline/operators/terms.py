@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.predicates import both_in, mentions
 from ..functions.text import is_term, ngrams, terms, tokens
 from ..sources.shared import small, written
 
 
+def words_of(df: DataFrame, text="text", stop: list[str] | None = None) -> Column:
+    """The terms of a column of texts; a column of arrays holds them already."""
+    return F.col(text) if isinstance(df.schema[text].dataType, T.ArrayType) else terms(F.col(text), stop)
+
+
 def term_rows(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each n-gram of each document, within the document."""
-    return df.select(*keep, F.explode(ngrams(terms(F.col(text), stop), n)).alias("term"))
+    return df.select(*keep, F.explode(ngrams(words_of(df, text, stop), n)).alias("term"))
+
+
+def gram_rows(df: DataFrame, n: int, keep: tuple[str, ...] = (), words="words") -> DataFrame:
+    """A row (keep, w0, w1, ...) for each n-gram of a column of terms, its words apart."""
+    size = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return df.select(*keep, F.inline(F.arrays_zip(*[F.slice(words, i + 1, size) for i in range(n)])).alias(*[f"w{i}" for i in range(n)]))
+
+
+def grams_among(df: DataFrame, good: DataFrame, n: int, keep: tuple[str, ...] = (), words="words") -> DataFrame:
+    """(keep, term, n): the n-grams whose words are all among good (keep, term); a null in keep is nowhere."""
+    g, side, names = gram_rows(df, n, keep, words), small(good), [f"w{i}" for i in range(n)]
+    for c in names:
+        g = g.join(side.select(*keep, F.col("term").alias(c)), [*keep, c], "left_semi")
+    return g.groupBy(*keep, *names).agg(F.count("*").alias("n")).select(*keep, F.concat_ws(" ", *names).alias("term"), "n")
 
 
 def top_terms(df: DataFrame, n: int, k: int, text="text", stop: list[str] | None = None) -> DataFrame:
@@ -21,7 +41,7 @@ def top_terms(df: DataFrame, n: int, k: int, text="text", stop: list[str] | None
 
 def term_counts(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep, term, n). Single words are counted first and tested after, each once."""
-    if n > 1:
+    if n > 1 or isinstance(df.schema[text].dataType, T.ArrayType):
         return term_rows(df, text, n, stop, keep).groupBy(*keep, "term").agg(F.count("*").alias("n"))
     words = df.select(*keep, F.explode(tokens(F.col(text))).alias("term")).groupBy(*keep, "term").agg(F.count("*").alias("n"))
     return words.filter(is_term(F.col("term"), stop))
@@ -98,14 +118,25 @@ def cluster_keywords(df: DataFrame, cluster: str, doc: str, text="text", k: int
 
     The cluster's most frequent terms (1- and 2-grams) are its vocabulary; idf is
     ln((1 + n) / (1 + df)) + 1 within the cluster, and document vectors have length one.
+    A pair of words is no more frequent than either, so pairs are counted of those
+    words only that are as frequent as the last one that the vocabulary could have.
     """
-    t = terms(F.col(text), stop)
-    grams = df.select(cluster, doc, F.explode(F.concat(t, ngrams(t, 2))).alias("term"))
-    tf = written(grams.groupBy(cluster, doc, "term").agg(F.count("*").alias("tf")), "tf")
-    stats = tf.groupBy(cluster, "term").agg(F.sum("tf").alias("f"), F.count("*").alias("df"))
-    stats = top_per(stats, cluster, "f", vocabulary).drop("rank")
+    t = written(df.filter(F.col(cluster).isNotNull()).select(cluster, doc, words_of(df, text, stop).alias("words")), "terms")
+    one = written(term_counts(t, "words", keep=(cluster,)), "words")
+    last = top_per(one, cluster, "n", vocabulary).filter(F.col("rank") == vocabulary).select(cluster, F.col("n").alias("least"))
+    good = written(one.join(small(written(last, "least")), cluster, "left").filter(F.col("n") >= F.coalesce("least", F.lit(1))).select(cluster, "term", "n"), "good")
+    both = good.unionByName(grams_among(t, good.select(cluster, "term"), 2, (cluster,)))
+    of = written(top_per(both, cluster, "n", vocabulary).select(cluster, "term", F.split("term", " ").alias("w")), "vocabulary")
+    tf = None
+    for n in (1, 2):
+        names = [f"w{i}" for i in range(n)]
+        side = small(of.filter(F.size("w") == n).select(cluster, "term", *[F.col("w")[i].alias(c) for i, c in enumerate(names)]))
+        rows = gram_rows(t, n, (cluster, doc)).join(side, [cluster, *names]).select(cluster, doc, "term")
+        tf = rows if tf is None else tf.unionByName(rows)
+    tf = written(tf.groupBy(cluster, doc, "term").agg(F.count("*").alias("tf")), "tf")
+    stats = tf.groupBy(cluster, "term").agg(F.count("*").alias("df"))
     docs = written(df.groupBy(cluster).agg(F.countDistinct(doc).alias("docs")), "docs")
-    v = tf.join(stats.hint("shuffle_hash"), [cluster, "term"]).join(small(docs), cluster)
+    v = tf.join(small(written(stats, "stats")), [cluster, "term"]).join(small(docs), cluster)
     v = v.withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     norm = v.groupBy(cluster, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     m = v.join(norm.hint("shuffle_hash"), [cluster, doc]).groupBy(cluster, "term").agg((F.sum(F.col("w") / F.col("norm")) / F.first("docs")).alias("weight"))
