@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadline.operators import terms as W
 
@@ -30,6 +31,20 @@ def kept(monkeypatch):
     return got
 
 
+def test_frequent_ngrams_are_exact(posts, monkeypatch):
+    monkeypatch.setattr(W, "FIRST_WORDS", 4)  # too few at first
+    for n, k in ((2, 15), (3, 10), (3, 100_000)):
+        want = W.term_counts(posts, n=n).orderBy(F.desc("n"), "term").limit(k).collect()
+        assert W.top_terms(posts, n, k).select("term", "n").collect() == want and want
+    assert W.top_terms(posts.limit(0), 3, 5).count() == 0
+
+
+def test_rare_ngrams_are_not_counted(posts, kept, monkeypatch):
+    monkeypatch.setattr(W, "FIRST_WORDS", 20)
+    pairs = []
+    monkeypatch.setattr(W, "grams_among", lambda df, good, n, keep=(), f=W.grams_among: pairs.append(good.count()) or f(df, good, n, keep))
+    W.top_terms(posts, 2, 3).collect()
+    assert pairs and max(pairs) < posts.select(F.explode(W.words_of(posts)).alias("t")).distinct().count()
 
 
 def test_cluster_keywords_keep_the_vocabulary_only(posts, kept):

@@ -21,6 +21,10 @@ def term_rows(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = N
     return df.select(*keep, F.explode(ngrams(words_of(df, text, stop), n)).alias("term"))
 
 
+#: Words of which a search for frequent n-grams starts.
+FIRST_WORDS = 1000
+
+
 def gram_rows(df: DataFrame, n: int, keep: tuple[str, ...] = (), words="words") -> DataFrame:
     """A row (keep, w0, w1, ...) for each n-gram of a column of terms, its words apart."""
     size = F.greatest(F.size(words) - (n - 1), F.lit(0))
@@ -36,7 +40,25 @@ def grams_among(df: DataFrame, good: DataFrame, n: int, keep: tuple[str, ...] =
 
 
 def top_terms(df: DataFrame, n: int, k: int, text="text", stop: list[str] | None = None) -> DataFrame:
-    return term_counts(df, text, n, stop).orderBy(F.desc("n"), "term").limit(k)
+    """The k most frequent n-grams.
+
+    An n-gram is no more frequent than its words. So the n-grams of the most
+    frequent words are counted first, and if the k-th of them is rarer than some
+    word left out, those of all words that are as frequent as it.
+    """
+    if n == 1:
+        return term_counts(df, text, 1, stop).orderBy(F.desc("n"), "term").limit(k)
+    t = written(df.select(words_of(df, text, stop).alias("words")), "terms")
+    one = written(term_counts(t, "words"), "words")
+    first = one.select("n").orderBy(F.desc("n")).limit(FIRST_WORDS + k).agg(F.min("n"), F.count("*")).first()
+    least = first[0] if first[1] == FIRST_WORDS + k else 1
+    while True:
+        found = written(grams_among(t, one.filter(F.col("n") >= least).select("term"), n).orderBy(F.desc("n"), "term").limit(k), "grams")
+        last = found.agg(F.min("n"), F.count("*")).first()
+        need = last[0] if last[1] == k else 1
+        if need >= least:
+            return found.orderBy(F.desc("n"), "term")
+        least = need
 
 
 def term_counts(df: DataFrame, text="text", n: int = 1, stop: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
