@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadline.operators import terms as W
+from threadline.operators import topics as O
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,20 @@ def test_cluster_keywords_keep_the_vocabulary_only(posts, kept):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert kept["tf"][0].select("c", "term").distinct().count() == len(want)  # other terms are counted, but not by document
 
+
+def test_weightiest_terms_are_those_of_all(posts, kept):
+    p = posts.filter("c is not null")
+    d = p.select("c", W.words_of(p).alias("words"))
+    for k, least in ((5, 2), (30, 1), (10_000, 2)):
+        rows = [[(r.c, r.term, r["rank"], round(r.weight, 12)) for r in t.collect()] for t in (W.top_class_terms(d, "c", k, min_df=least), W.top_per(W.class_tfidf(p, "c", min_df=least, grams=(1, 2)), "c", "weight", k))]
+        assert sorted(rows[0]) == sorted(rows[1]) and any(" " in r[1] for r in rows[0])
+    pairs = p.select("c", F.explode(W.ngrams(W.words_of(p), 2)).alias("t")).distinct().count()
+    assert kept["tf"][1].count() < pairs / 2  # of k = 5
+
+
+def test_topics_cut_texts_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(W, "terms", lambda *a, f=W.terms: calls.append(1) or f(*a))
+    words = ["apple banana cherry grape", "engine wheel motor brake"]
+    docs, said = O.fit_topics(spark.createDataFrame([(i, words[i % 2]) for i in range(60)], "id long, text string"), 0.2, n_topics=1, rerank=True, reduce_to=2)
+    assert docs.columns == ["topic_id", "id", "text", "topic_prob", "topic_label"] and docs.count() == 60 and said.count() and len(calls) == 1

@@ -34,6 +34,11 @@ from ..sources.shared import small, written
 MOST, ANCHORS, SAMPLE = 1024, 16, 1024
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt by a key whose groups are few, small in bytes and long in work: a number of partitions that is given is not coalesced by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -205,7 +210,7 @@ def centres(cells: DataFrame) -> DataFrame:
         return pa.table({"node": [key[0].as_py()], "centre": [c.tolist()], "reach": [float(distances(v, c[None]).max()) * (1 + 1e-9)], "n": [len(v)]})
 
     up = F.when(F.instr("node", "/") > 0, F.regexp_replace("node", r"/[^/]*$", ""))
-    level = written(cells.groupBy("cell").applyInArrow(of, schema).withColumns({"leaf": F.lit(True), "parent": up}), "centres")
+    level = written(spread(cells, "cell").groupBy("cell").applyInArrow(of, schema).withColumns({"leaf": F.lit(True), "parent": up}), "centres")
     tree = [level]
     depth = int(level.agg(F.max(F.size(F.split("node", "/")))).first()[0] or 1)
     made = level
@@ -272,7 +277,7 @@ def each_pair(points: DataFrame, pairs: DataFrame, radius: float, work: Callable
         x, y = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
         return work(x, y) if x.num_rows and y.num_rows else empty
 
-    return paired(points, pairs, radius).groupBy("pair").applyInArrow(run, schema)
+    return spread(paired(points, pairs, radius), "pair").groupBy("pair").applyInArrow(run, schema)
 
 
 def compared_share(tree: DataFrame, pairs: DataFrame) -> float:

@@ -135,6 +135,42 @@ def top_per(df: DataFrame, group: str, by: str, k: int, tie: str = "term") -> Da
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top_class_terms(df: DataFrame, cls: str, k: int, words="words", min_df: int = 1, grams: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(class, term, weight, rank): the k weightiest of class_tfidf, from a column of terms; longer n-grams are counted only where they can be among them.
+
+    With n occurrences in its class a term weighs n / size * ln(1 + mean / n) at
+    most, which rises with n, and an n-gram is no more frequent than its words.
+    So the k-th weight among single words says which words an n-gram must have.
+    Rows without a class are left out.
+    """
+    if grams[0] != 1 or len(grams) < 2:
+        return top_per(class_tfidf(df, cls, words, min_df=min_df, grams=grams), cls, "weight", k)
+    t = df.filter(F.col(cls).isNotNull()).select(cls, F.col(words).alias("words"))
+    held = F.lit(0)
+    for n in grams:
+        held = held + F.greatest(F.size("words") - (n - 1), F.lit(0))
+    size = written(t.groupBy(cls).agg(F.sum(held).alias("size")).filter("size > 0"), "sizes")
+    size = size.crossJoin(F.broadcast(size.agg(F.avg("size").alias("mean"))))  # one row
+    one = written(term_counts(t, "words", keep=(cls,)), "tf")
+    weigh = lambda f: F.col("n") / F.col("size") * F.log(1 + F.col("mean") / f)
+
+    def weighed(tf: DataFrame, f: DataFrame) -> DataFrame:
+        return tf.join(f.filter(F.col("f") >= min_df).hint("shuffle_hash"), "term").join(small(size), cls).select(cls, "term", weigh(F.col("f")).alias("weight"))
+
+    best = written(top_per(weighed(one, one.groupBy("term").agg(F.sum("n").alias("f"))), cls, "weight", k), "words")
+    bound = written(size.join(best.filter(F.col("rank") == k).select(cls, (F.col("weight") * (1 - 1e-9)).alias("least")).hint("shuffle_hash"), cls, "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "bounds")
+    fit = lambda tf: tf.join(small(bound), cls).filter(weigh(F.col("n")) >= F.col("least"))
+    good = written(fit(one).select(cls, "term"), "good")
+    out = best.select(cls, "term", "weight")
+    for n in grams[1:]:
+        tf = written(fit(grams_among(t, good, n, (cls,))).select(cls, "term", "n"), "tf")
+        names, parts = [f"w{i}" for i in range(n)], F.split("term", " ")
+        asked = written(tf.select("term").distinct().select(*[parts[i].alias(c) for i, c in enumerate(names)]), "asked")
+        f = gram_rows(t, n).join(small(asked), names, "left_semi").groupBy(*names).agg(F.count("*").alias("f"))  # over all classes
+        out = out.unionByName(weighed(tf, f.select(F.concat_ws(" ", *names).alias("term"), "f")))
+    return top_per(out, cls, "weight", k)
+
+
 def cluster_keywords(df: DataFrame, cluster: str, doc: str, text="text", k: int = 10, vocabulary: int = 1000, stop: list[str] | None = None) -> DataFrame:
     """(cluster, term, weight, rank): mean TF-IDF over each cluster's documents, all clusters in one job.
 

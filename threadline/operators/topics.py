@@ -5,37 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import small, written
+from ..sources.shared import discard, small, written
 from .density import hierarchical_clusters
 from .merging import merged_topics
 from .stats import with_share
-from .terms import class_tfidf, term_rows, top_per
+from .terms import class_tfidf, gram_rows, top_class_terms, top_per, words_of
 from .vectors import centroids, cosine, embed, reduce_dimensions
 
 
 def fit_topics(df: DataFrame, radius: float | list[float], min_topic_size: int = 10, min_samples: int = 5, reduce_to: int = 5, id="id", text="text", n_topics: int | None = None, grams: tuple[int, ...] = (1, 2), rerank: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents with topic_id, topic_prob, topic_label; words of topics): -1 are outliers."""
-    e = written(embed(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "embedded")
-    d = reduce_dimensions(e, reduce_to).select("id", "text", "reduced")
-    c = hierarchical_clusters(d, radius, min_topic_size, min_samples, vec="reduced")
-    j = d.join(c.hint("shuffle_hash"), "id").select("id", "text", F.col("cluster_id").alias("topic_id"), F.col("cluster_prob").alias("topic_prob"))
+    """(documents with topic_id, topic_prob, topic_label; words of topics): -1 are outliers. Texts are cut into terms once."""
+    t = written(df.select(F.col(id).alias("id"), F.col(text).alias("text"), words_of(df, text).alias("terms")), "terms")
+    e = written(embed(t, "terms"), "embedded")
+    discard(t)
+    d = reduce_dimensions(e, reduce_to).select("id", "text", "terms", "reduced")
+    c = hierarchical_clusters(d.select("id", "reduced"), radius, min_topic_size, min_samples, vec="reduced")
+    j = d.join(c.hint("shuffle_hash"), "id").select("id", "text", "terms", F.col("cluster_id").alias("topic_id"), F.col("cluster_prob").alias("topic_prob"))
     j = written(j, "topics")
     if n_topics is not None:
-        j = written(merged_topics(j, n_topics), "topics")
-    weights = class_tfidf(j.filter("topic_id <> -1"), "topic_id", min_df=2, grams=grams)
-    words = top_per(weights, "topic_id", "weight", 30 if rerank else 10)
+        j = written(merged_topics(j, n_topics, text="terms"), "topics")
+    words = written(top_class_terms(j.filter("topic_id <> -1"), "topic_id", 30 if rerank else 10, "terms", min_df=2, grams=grams), "words")
     if rerank:
-        words = reranked(words.drop("rank"), j, e.select("id", "embedding"))
-    words = written(words, "words")
-    return j.join(small(topic_labels(words)), "topic_id", "left"), words
+        words = written(reranked(words.drop("rank"), j, e.select("id", "embedding"), text="terms"), "words")
+    return j.drop("terms").join(small(topic_labels(words)), "topic_id", "left"), words
 
 
-def reranked(words: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, topic: str = "topic_id") -> DataFrame:
+def reranked(words: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, topic: str = "topic_id", text: str = "text") -> DataFrame:
     """The candidate words of topics (topic, term, weight) by likeness: a term is the mean vector of the topic's documents with it, compared with the topic's mean."""
     v = docs.filter(F.col(topic) != -1).join(vectors.hint("shuffle_hash"), "id")
-    c = centroids(v, topic).select(topic, F.col("centroid"))
-    grams = term_rows(v, "text", 1, keep=(topic, "id")).unionByName(term_rows(v, "text", 2, keep=(topic, "id"))).distinct()
-    with_term = grams.join(small(words.select(topic, "term")), [topic, "term"]).join(vectors.hint("shuffle_hash"), "id")
+    c = written(centroids(v, topic).select(topic, F.col("centroid")), "centroids")
+    said = docs.filter(F.col(topic) != -1).select(topic, "id", words_of(docs, text).alias("words"))
+    with_term = None
+    for n in (1, 2):  # rows of the candidates only, before they are made distinct
+        names = [f"w{i}" for i in range(n)]
+        parts = F.split("term", " ")
+        some = small(words.filter(F.size(parts) == n).select(topic, "term", *[parts[i].alias(w) for i, w in enumerate(names)]))
+        rows = gram_rows(said, n, (topic, "id")).join(some, [topic, *names]).select(topic, "id", "term")
+        with_term = rows if with_term is None else with_term.unionByName(rows)
+    with_term = with_term.distinct().join(vectors.hint("shuffle_hash"), "id")
     t = centroids(with_term, topic, "term").select(topic, "term", F.col("centroid").alias("term_vector"))
     j = t.join(small(c), topic).join(small(words), [topic, "term"])
     return top_per(j.select(topic, "term", "weight", cosine(F.col("term_vector"), F.col("centroid")).alias("similarity")), topic, "similarity", k)

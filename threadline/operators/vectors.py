@@ -22,14 +22,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def embed(df: DataFrame, text: str = "text", dim: int = 256, out: str = "embedding") -> DataFrame:
-    """Hashed TF-IDF of unit length."""
+    """Hashed TF-IDF of unit length, of texts or of arrays of terms."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    from ..functions.text import terms
+    from .terms import words_of
 
-    d = df.withColumn("_t", terms(F.col(text)))
+    d = df.withColumn("_t", words_of(df, text))
     p = Pipeline(stages=[HashingTF(inputCol="_t", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_w"), Normalizer(inputCol="_w", outputCol="_n")])
     return p.fit(d).transform(d).withColumn(out, vector_to_array("_n")).drop("_t", "_tf", "_w", "_n")
 
