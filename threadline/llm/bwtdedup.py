@@ -46,7 +46,7 @@ from .common import partitions, table, written
 
 LENGTH, K = 100, 48
 PIECE = 1 << 18
-GROUP_ROWS, GROUP_BYTES, BATCH_BYTES = 8192, 4 << 20, 1 << 20
+GROUP_ROWS, GROUP_BYTES, BATCH_BYTES = 8192, 4 << 20, 1 << 19
 SHARDS, STEPS = 4, (10, 4, 1)
 NULL_ID = -(1 << 63)
 U = np.uint64
@@ -237,7 +237,15 @@ def scan_groups(rows: DataFrame, length: int) -> DataFrame:
 
 
 def dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1]
+    """The rank of each value among the distinct ones, in half of what np.unique takes."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    rank = np.zeros(len(x), np.int32)
+    np.cumsum(x[1:] != x[:-1], dtype=np.int32, out=rank[1:])
+    del x
+    out = np.empty(len(rank), np.int32)
+    out[order] = rank
+    return out
 
 
 def stable_order(x: np.ndarray) -> np.ndarray:
@@ -258,46 +266,58 @@ def merge_shards(texts: list[bytes], shard: np.ndarray, depth: int = LENGTH) ->
     q = next(x for x in STEPS if depth % x == 0)
     lens = np.array([len(t) for t in texts])
     gap = lens + q
-    begin = np.concatenate(([0], np.cumsum(gap)[:-1]))
+    begin = np.concatenate(([0], np.cumsum(gap)[:-1])).astype(np.int32)  # a batch is far below 2 GB
     sym = np.zeros(int(gap.sum()) + q, np.int64)
-    owner = np.repeat(np.arange(len(texts)), lens)
-    off = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lens)
+    off = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
     pos = begin[owner] + off
-    sym[pos] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    sym[pos] = np.frombuffer(b"".join(texts), np.uint8)
+    sym[pos] += 1
     # q symbols as one number: of half of them, then of two such
     half = (q + 1) // 2
     packed = sym[:-half]
     for i in range(1, half):
         packed = packed * 257 + sym[i : len(sym) - half + i]
-    part = np.zeros(len(sym), np.int64)
-    part[pos] = dense(packed[pos]) + 1  # 0: past the end
-    gram = np.zeros(len(sym) - q, np.int64)
-    gram[pos] = dense(part[pos] * (len(part) + 1) + part[pos + half]) + 1 if half < q else part[pos]
-    end = begin[owner] + lens[owner]
+    part = np.zeros(len(sym), np.int32)
+    size = len(sym) - q
+    del sym
+    packed = packed[pos]
+    part[pos] = dense(packed) + 1  # 0: past the end
+    del packed
+    gram = np.zeros(size, np.int32)
+    if half < q:
+        key = part[pos].astype(np.int64)
+        key *= len(part) + 1
+        key += part[pos + half]
+        gram[pos] = dense(key) + 1
+        del key
+    else:
+        gram[pos] = part[pos]
+    del part
     # every shard sorts its own suffixes by doubling
     order = []
     for s in range(int(shard.max()) + 1):
         mine = np.flatnonzero(shard[owner] == s)
-        p, e = pos[mine], end[mine]
-        rank = np.zeros(len(gram), np.int64)
+        p = pos[mine]
+        e = begin[owner[mine]] + lens[owner[mine]].astype(np.int32)
+        rank = np.zeros(len(gram), np.int32)
         rank[p] = gram[p]
         h = q
         while h < depth and len(p):
             nxt = p + h
-            key = rank[p] * (len(gram) + 1) + np.where(nxt < e, rank[np.minimum(nxt, len(gram) - 1)], 0)
+            key = rank[p].astype(np.int64) * (len(gram) + 1) + np.where(nxt < e, rank[np.minimum(nxt, len(gram) - 1)], 0)
             rank[p] = dense(key) + 1
             h *= 2
         order.append(mine[np.argsort(rank[p], kind="stable")])
     local = np.concatenate(order)
     # the transform: the q symbols before a suffix, -1 where its text starts
-    gram = gram.astype(np.int32)
     before = np.where(off[local] >= q, gram[np.maximum(pos[local] - q, 0)], np.int32(-1))
     z = np.repeat(np.arange(len(order), dtype=np.uint8), [len(o) for o in order])
     n = len(local)
     short = local[lens[owner[local]] - off[local] <= q]  # suffixes that no other suffix follows
     short_gram, short_shard = gram[pos[short]], shard[owner[short]].astype(np.uint8)
     block = np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int64)
+    common = np.full(n, depth, np.int32)
     common[:1] = 0
     at, turn = np.empty(n, np.int32), np.arange(n, dtype=np.int32)
 
