@@ -67,3 +67,87 @@ def test_the_store_is_asked_once_for_a_post():
     assert list(p.handleInputRows(("s",), iter([b, b[:0]]), None))[0].values.tolist() == [["s", 1, 2, 2, True]]
     assert p.counts.at["v"] == (1, 2, 2, True, int(ts[-1].timestamp() * 1000) + 1000) and set(posts.at) == {("1",), ("2",), ("4",)}
     assert posts.calls == 6  # asked and updated, for three posts
+
+
+class Kept:
+    """A state variable that counts how often it is asked."""
+
+    def __init__(self):
+        self.at, self.calls = {}, 0
+
+    def asked(self, x=None):
+        self.calls += 1
+        return x
+
+    def getValue(self, key):
+        return self.asked(self.at.get(key))
+
+    def updateValue(self, key, value):
+        self.at[self.asked(key)] = value
+
+    def removeKey(self, key):
+        self.asked(self.at.pop(key))
+
+    def exists(self):
+        return bool(self.at)
+
+    def get(self):
+        return self.at["v"]
+
+    def update(self, value):
+        self.at["v"] = value
+
+    def clear(self):
+        self.at = {}
+
+
+class Handle:
+    def __init__(self):
+        self.kept = {}
+
+    def getMapState(self, name, key, value):
+        return self.kept.setdefault(name, Kept())
+
+    getValueState = lambda self, name, schema: self.kept.setdefault(name, Kept())
+    registerTimer = deleteTimer = lambda self, due: None
+
+
+def used_processor(spark, monkeypatch, tmp_path):
+    """The processor that the operator hands to Spark."""
+    from pyspark.sql.group import GroupedData
+
+    seen = []
+    monkeypatch.setattr(GroupedData, "transformWithStateInPandas", lambda self, p, *a, **k: seen.append(p))
+    spark.createDataFrame([], POST).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([], DONE).write.parquet(str(tmp_path / "d"))
+    G.stream_completeness(Z.stream_table(spark, str(tmp_path / "p")), Z.stream_table(spark, str(tmp_path / "d")), 2, "6 hours", "1 hour")
+    return seen[0]
+
+
+def test_posts_are_settled_by_the_block(spark, monkeypatch, tmp_path):
+    """The store is asked for blocks of posts: far fewer questions than posts, also when a shard's blocks are cut anew, with the counts of a plain map."""
+    import numpy as np
+
+    monkeypatch.setattr(G, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(G, "BLOCKS", 4, raising=False)
+    p, handle, rng, want, rows = used_processor(spark, monkeypatch, tmp_path), Handle(), np.random.default_rng(4), {}, 0
+    p.init(handle)
+    for size in (1, 40, 0, 900, 5000, 5000):
+        ids = [["é" * (int(i) % 4) + str(i), ""][int(i) == 7] for i in rng.integers(0, 4000, size)]
+        hashes = [5 if len(i) < 3 else int(i.strip("é")) * 2654435761 % (1 << 40) - (1 << 39) for i in ids]  # short ids share one
+        b = pd.DataFrame({"id": pd.Series(ids, dtype=object), "h": np.array(hashes, np.int64), "wanted": rng.random(size) < 0.4, "done": rng.random(size) < 0.4, "ts": pd.to_datetime(["2024-01-01"] * size)})
+        for i, w, d in zip(b["id"], b["wanted"], b["done"], strict=True):
+            if w or d:
+                was = want.get(i, (False, False))
+                want[i] = (was[0] or w, was[1] or d)
+        rows += size
+        list(p.handleInputRows(("s",), iter([b[: size // 2], b[size // 2 :]]), None))
+        assert handle.kept["counts"].get()[1:3] == (sum(w for w, _ in want.values()), sum(d for _, d in want.values()))
+    assert handle.kept["posts"].calls < rows / 10 and handle.kept["size"].get() == (len(want), 128)  # cut for all rows of a batch that may be new
+    t = G.from_blocks([v[0] for v in handle.kept["posts"].at.values()])
+    assert {i: (w, d) for i, w, d in zip(*(t[c].to_pylist() for c in ("id", "wanted", "done")), strict=True)} == want and t.num_rows == len(want)
+    before = dict(handle.kept["posts"].at)
+    list(p.handleInputRows(("s",), iter([b]), None))  # nothing new: no block is written
+    assert all(handle.kept["posts"].at[k] is v for k, v in before.items())
+    list(p.handleExpiredTimer(("s",), None, None))
+    assert not any(k.at for k in handle.kept.values())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sketches as K
 from ..sources import bucketed as B
-from ..sources.shared import folder
+from ..sources.shared import discard, folder, written
 from ..streaming import progress as G
 from ..streaming import streams as Z
 from .inputs import ACTIVITY, POSTS, activity, posts, table
@@ -16,15 +16,16 @@ def stream_completeness(spark, d):
     """Months of orders as shards, run in two halves over one checkpoint; done are the orders with a finished small line item. The last row of a shard is its state."""
     p = posts(spark, d).select(F.date_format("ts", "yyyy-MM").alias("shard"), "id", "num_comments", "ts")
     done = table(spark, d, "lineitem").filter("l_linestatus = 'F' AND l_quantity < 30").select(F.col("l_orderkey").alias("id")).distinct()
-    done = p.join(done.hint("shuffle_hash"), "id", "left_semi").select("shard", "id", "ts")
+    p = written(p.join(done.withColumn("done", F.lit(True)).hint("shuffle_hash"), "id", "left").withColumn("half", F.col("id") % 2 == 0), "orders", by="half")  # the tables are joined once for both halves
     end = p.agg((F.max("ts") + F.expr("interval 9000 days")).alias("ts")).select(F.lit("end").alias("shard"), F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("num_comments"), "ts")
-    base, halves = folder(spark, "progress"), (F.col("id") % 2 == 0, F.col("id") % 2 != 0)
+    base, halves = folder(spark, "progress"), (F.col("half"), ~F.col("half"))
     for half in halves:
-        new = p.filter(half)
+        new = p.filter(half).select("shard", "id", "num_comments", "ts")
         (new.unionByName(end) if half is halves[1] else new).write.mode("append").parquet(base + "/posts")
-        done.filter(half).write.mode("append").parquet(base + "/done")
+        p.filter(half & F.col("done")).select("shard", "id", "ts").write.mode("append").parquet(base + "/done")
         s = G.stream_completeness(Z.stream_table(spark, base + "/posts"), Z.stream_table(spark, base + "/done"), 3, "10 days", "3000 days")
         Z.run_available(s, base + "/out", base + "/checkpoint")
+    discard(p)
     out = spark.read.schema(G.OUT).parquet(base + "/out")
     return out.groupBy("shard").agg(F.max(F.struct("n", "eligible", "processed", "complete")).alias("x")).select("shard", "x.eligible", "x.processed", "x.complete")
 
