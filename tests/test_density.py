@@ -174,3 +174,42 @@ def test_letter_profiles_count_ascii_letters_of_any_text(spark, tmp_path):
     assert got == {k: [float(1000 * sum(x in (c, c.upper()) for x in t or "") // max(len(t or ""), 1)) for c in LETTERS] for k, t in texts.items()}
     one = spark.createDataFrame([("abca cab",)], "t string").select(letter_counts("t").alias("n")).first()["n"]
     assert {c: n for c, n in zip(BY_USE, one, strict=True) if n} == {"a": 3, "b": 2, "c": 2}
+
+
+def test_vectors_ask_single_cells_and_no_pair_of_cells_meets(spark, monkeypatch):
+    """Only vectors that lack neighbours or lie apart ask other cells, and only cells whose boxes are near; the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    far = [rng.normal((x, y, 0, 0), (0.6, 0.3, 0.3, 0.3), (150, 4)) for x, y in ((0, 0), (14, 0), (0, 17), (13, 16))]
+    v, radii = np.concatenate([*far, rng.uniform(-5, 20, (60, 4))]).round(3), [0.4, 0.8, 1.6, 3.0]
+    monkeypatch.setattr(metric, "each_pair", lambda *a: (_ for _ in ()).throw(AssertionError("cells meet in pairs")))
+    monkeypatch.setattr(density, "SAMPLED", 40, raising=False)
+    made, was = {}, density.written
+
+    def written(df, name, *a, **k):
+        out = was(df, name, *a, **k)
+        if name == "asks":
+            made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(density, "written", written)
+    got = density.hierarchical_clusters(frame(spark, v), radii, min_size=12, min_samples=5, most=60).collect()
+    assert sorted((r.id, r.cluster_id, round(r.cluster_prob, 9), r.is_noise) for r in got) == brute(v, radii, 12, 5)
+    assert len(made["asks"]) == 2 and max(made["asks"]) < 4 * len(v)  # over 20 cells
+
+
+def test_boxes_bound_distances_and_counts_beside_are_exact():
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(0, 9, (900, 6)) * [9, 4, 1, 1, 0.5, 0.1], rng.normal(1e7, 1e-3, (100, 6))])
+    axes = {6: np.linalg.qr(rng.normal(size=(6, 6)))[0][:, :4]}
+    for of in ({}, axes):
+        parts = metric.blocks(v, np.arange(500, 1000), 64)
+        gaps = metric.box_gaps(v[:500], of, *density.boxed(v, parts, of))
+        d = metric.distances(v[:500], v)
+        assert all((gaps[:, j] <= d[:, b.rows].min(axis=1)).all() for j, b in enumerate(parts)) and gaps.max() > 50
+    w, radii, limit = rng.integers(1, 4, 1000), [12.0, 18.0, 30.0], 7
+    upto = rng.integers(0, 3, 500)
+    got = density.counts_beside(v, w, 500, upto, radii, limit, axes)
+    want = np.stack([np.minimum((d[:, 500:] <= r) @ w[500:], limit) for r in radii])
+    first = lambda n: [next((r for r in range(u + 1) if n[r, i] >= limit), None) for i, u in enumerate(upto)]
+    assert first(got) == first(want) and len(set(first(want))) == 4
+    assert all((got[: (upto[i] if f is None else f - 1) + 1, i] == want[: (upto[i] if f is None else f - 1) + 1, i]).all() for i, f in enumerate(first(want)))

@@ -19,11 +19,12 @@ dimensions are all about as far from each other, and then all cells touch.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 from ..sources.shared import small, written
 
 #: Vectors in a cell, anchors of a node, and vectors of a node from which its anchors are taken.
-MOST, ANCHORS, SAMPLE = 1024, 16, 1024
+MOST, ANCHORS, SAMPLE = 1024, 16, 1000  # Spark cuts a sample of at most 1,000 before it is shuffled
 
 
 def spread(rows: DataFrame, by: str) -> DataFrame:
@@ -189,7 +190,7 @@ def dealt(points: DataFrame, most: int) -> DataFrame:
         drawn = rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= SAMPLE)
         found = written(drawn.select("node", "v", "n").groupBy("node").applyInArrow(anchors, schema), "anchors")
         split = found.filter(F.size("anchors") > 1)
-        near = F.array_position(F.transform("anchors", lambda a: distance(F.col("v"), a)), F.array_min(F.transform("anchors", lambda a: distance(F.col("v"), a))))
+        near = F.array_min(F.transform("anchors", lambda a, i: F.struct(distance(F.col("v"), a).alias("d"), (i + 1).alias("i"))))["i"]
         # one anchor only: the sample's vectors are all equal, and so the node cannot be split by it
         stuck = rows.join(small(found.filter(F.size("anchors") == 1).select("node")), "node", "left_semi")
         whole.append(stuck.select("id", "node", "v"))
@@ -280,6 +281,110 @@ def each_pair(points: DataFrame, pairs: DataFrame, radius: float, work: Callable
     return spread(paired(points, pairs, radius), "pair").groupBy("pair").applyInArrow(run, schema)
 
 
+#: Axes of a box at most, and vectors a part of the ones that ask one cell.
+AXES, PART = 16, 8192
+
+
+def axes_of(points: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors in a bounded sample, orthonormal axes along which it is widest. Distances along any such axes bound the whole ones; these bound them best."""
+    of: dict[int, list] = {}
+    for r in points.orderBy(F.xxhash64("id"), "id").limit(4 * SAMPLE).select("v").collect():
+        of.setdefault(len(r["v"]), []).append(r["v"])
+    out = {}
+    for n, rows in of.items():
+        x = np.array(rows)
+        x = x - x.mean(axis=0)
+        x /= max(np.abs(x).max(), 1e-300)
+        out[n] = np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :AXES])
+    return out
+
+
+def turned(v: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Coordinates along the axes; the first ones themselves for a length that has none."""
+    return v @ axes[v.shape[1]] if v.shape[1] in axes else v[:, :AXES].copy()
+
+
+def box(v: np.ndarray, axes: dict[int, np.ndarray]) -> tuple[list[float], list[float]]:
+    """Bounds along the axes, a little wider than rounding could make them."""
+    p, more = turned(v, axes), 1e-12 * float(np.abs(v).sum(axis=1).max())
+    return (p.min(axis=0) - more).tolist(), (p.max(axis=0) + more).tolist()
+
+
+def box_gaps(v: np.ndarray, axes: dict[int, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For rows and boxes, what no vector in the box is nearer than."""
+    out, p, less = np.empty((len(v), len(lo))), turned(v, axes), 1e-12 * np.abs(v).sum(axis=1)
+    for i in range(0, len(v), 256):
+        x = p[i : i + 256]
+        d = np.zeros((len(x), len(lo)))
+        for j in range(x.shape[1]):
+            g = np.maximum(np.maximum(lo[None, :, j] - x[:, None, j], x[:, None, j] - hi[None, :, j]), 0)
+            d += g * g
+        out[i : i + 256] = np.maximum(np.sqrt(d) * (1 - 1e-9) - less[i : i + 256, None], 0)
+    return out
+
+
+class Boxes(NamedTuple):
+    """The boxes of one root's cells, in the order of the cells: at which rung and of which component they are, and how large that is."""
+
+    cells: list[str]
+    first: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    rung: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+
+
+def gathered_boxes(boxes: DataFrame) -> dict[str, Boxes]:
+    """(cell, root, lo, hi, rung, label, size) by root, on the driver: a few rows for each cell of a root that has several."""
+    of: dict[str, list] = {}
+    for r in boxes.collect():
+        of.setdefault(r["root"], []).append(r)
+    out = {}
+    for root, rows in of.items():
+        rows.sort(key=lambda r: r["cell"])
+        names = [r["cell"] for r in rows]
+        first = [i for i, c in enumerate(names) if not i or names[i - 1] != c]
+        label = np.empty(len(rows), object)
+        label[:] = [r["label"] for r in rows]
+        out[root] = Boxes([names[i] for i in first], np.array(first), np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows]), np.array([r["rung"] for r in rows]), label, np.array([r["size"] for r in rows]))
+    return out
+
+
+def routed(asks: DataFrame, boxes: dict[str, Boxes], axes: dict[int, np.ndarray], upto: Callable[[np.ndarray, pa.Table, Boxes], np.ndarray], keep: list[str]) -> DataFrame:
+    """Asking rows (with root, cell, v and `keep`) once for every other cell that they ask: `upto` says for rows and boxes, by the gaps, up to which rung, or -1."""
+    names, parts = ["id", "v", *keep], spread(asks, "id")
+    shared = asks.sparkSession.sparkContext.broadcast((boxes, axes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes, axes = shared.value
+        for b in batches:
+            whole = pa.Table.from_batches([b])
+            for root in whole["root"].unique().to_pylist():
+                t, at = whole.filter(pc.equal(whole["root"], root)), boxes.get(root)
+                place = {c: i for i, c in enumerate(at.cells)} if at else {}
+                for i in range(0, t.num_rows if at else 0, 512):
+                    x = t.slice(i, 512)
+                    best = np.maximum.reduceat(upto(box_gaps(matrix(x["v"]), axes, at.lo, at.hi), x, at), at.first, axis=1)
+                    own = np.array([place.get(c, -1) for c in x["cell"].to_pylist()])
+                    best[np.flatnonzero(own >= 0), own[own >= 0]] = -1
+                    row, cell = np.nonzero(best >= 0)
+                    out = x.select(names).take(pa.array(row)).append_column("cell", pa.array(at.cells, pa.string()).take(pa.array(cell))).append_column("upto", pa.array(best[row, cell].astype(np.int32)))
+                    yield from out.combine_chunks().to_batches()
+
+    return parts.mapInArrow(run, ", ".join([*[f"{c} {asks.schema[c].dataType.simpleString()}" for c in names], "cell string", "upto int"]))
+
+
+def asked(asks: DataFrame, points: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What `work` gives for rows that ask a cell (PART or so at a time; a written table) and the points of the cell."""
+    loads = small(asks.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = asks.join(loads, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    other = points.join(loads, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    deal = lambda d: d.repartition(parts, "cell", "part").groupBy("cell", "part")
+    return deal(one).cogroup(deal(other)).applyInArrow(lambda x, y: work(x, y), schema)
+
+
 def compared_share(tree: DataFrame, pairs: DataFrame) -> float:
     """Share of all pairs of vectors whose cells touch."""
     n = tree.filter("leaf").select("node", "n")
